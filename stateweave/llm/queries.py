@@ -21,7 +21,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, digests=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and the label model's verdict on every document."""
+    from .quality import judge_documents
+
+    return judge_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    from .probminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op7_near_duplicates": op7_near_duplicates, "op10_quality": op10_quality}
 
 #: Where SQL can express a query.
 ORACLES: dict[str, str] = {}
