@@ -21,6 +21,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, digests=True)
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and hidden-Markov scores of every document."""
+    from .hmm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the label model's verdict on every document."""
     from .quality import judge_documents
@@ -42,7 +49,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op7_near_duplicates": op7_near_duplicates, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op7_near_duplicates": op7_near_duplicates, "op8_hmm": op8_hmm, "op10_quality": op10_quality}
 
 #: Where SQL can express a query.
 ORACLES: dict[str, str] = {}
