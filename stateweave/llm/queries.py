@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,14 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials in every document; the masked text by its digest."""
+    from .secret_scan import labelled_findings, scan_secrets, train_forest
+
+    found = scan_secrets(table(spark, sf_dir, "documents"), train_forest(labelled_findings()))
+    return found.select("doc_id", "n_candidates", "n_secrets", "max_probability", F.expr("transform(findings, f -> f.begin)").alias("begins"), F.sha2("masked", 256).alias("masked_sha256"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document."""
     from .licenses import scan_licenses
@@ -63,7 +72,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op6_licenses": op6_licenses, "op7_near_duplicates": op7_near_duplicates, "op8_hmm": op8_hmm, "op9_mixing": op9_mixing, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op4_secrets": op4_secrets, "op6_licenses": op6_licenses, "op7_near_duplicates": op7_near_duplicates, "op8_hmm": op8_hmm, "op9_mixing": op9_mixing, "op10_quality": op10_quality}
 
 #: Where SQL can express a query.
 ORACLES: dict[str, str] = {}
