@@ -7,6 +7,7 @@ often each rule gives each vote on good and on bad documents; the posterior prob
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import stored
 from .texts import Words, as_bytes, bound_batches, mixed, pieces, range_hash
@@ -122,9 +124,13 @@ RULES = [
 ]
 
 
-def vote_pattern(rules: list[Rule]) -> Column:
-    """All votes as one number in base 3: 0 abstains, 1 good, 2 bad."""
-    votes = [F.when(F.expr(r.bad), 2).when(F.expr(r.good), 1).otherwise(0) * F.lit(3**i) for i, r in enumerate(rules)]
+_NAMES = re.compile(r"\b(?:" + "|".join(COUNTS) + r")\b")
+
+
+def vote_pattern(rules: list[Rule], inside: str = "") -> Column:
+    """All votes as one number in base 3: 0 abstains, 1 good, 2 bad.  ``inside``: the struct that holds the counts."""
+    say = lambda x: F.expr(_NAMES.sub(lambda m: f"{inside}{m[0]}", x))
+    votes = [F.when(say(r.bad), 2).when(say(r.good), 1).otherwise(0) * F.lit(3**i) for i, r in enumerate(rules)]
     total = votes[0]
     for v in votes[1:]:
         total = total + v
@@ -161,6 +167,19 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, n_rules: int, bad_share:
     return post[:, 0]
 
 
+def _failed(inside: str = "") -> Column:
+    words, repeats = F.col(f"{inside}n_words"), F.col(f"{inside}n_repeat_words")
+    return (words < 10) | (100 * repeats > 20 * words)
+
+
+def _posterior(votes: DataFrame, n_rules: int) -> DataFrame:
+    """votes, quality: a row for each pattern that occurs."""
+    seen = votes.groupBy("votes").count().collect()  # at most 3 ** n_rules rows
+    patterns = np.array([r["votes"] for r in seen], np.int64)
+    good = estimate(patterns, np.array([r["count"] for r in seen], float), n_rules)
+    return votes.sparkSession.createDataFrame([(int(p), float(g)) for p, g in zip(patterns, good, strict=True)], "votes int, quality double")
+
+
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
     """Counts of each document, ``quality`` (posterior probability of being good), ``base_failed`` and ``kept``.
 
@@ -173,14 +192,35 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rules = rules or RULES
     counted = stored(count_documents(docs, id_col, text_col).withColumn("votes", vote_pattern(rules)))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    seen = counted.where(~failed).groupBy("votes").count().collect()  # at most 3 ** len(rules) rows
-    patterns = np.array([r["votes"] for r in seen], np.int64)
-    good = estimate(patterns, np.array([r["count"] for r in seen], float), len(rules))
-    table = counted.sparkSession.createDataFrame([(int(p), float(g)) for p, g in zip(patterns, good, strict=True)], "votes int, quality double")
+    failed = _failed()
+    table = _posterior(counted.where(~failed), len(rules))
     return (
         counted.join(F.broadcast(table), "votes", "left")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.coalesce(F.col("quality"), F.lit(0.0)) >= threshold))
         .drop("votes")
     )
+
+
+def keep_documents(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge_documents` keeps, with all of their columns.
+
+    Reads the texts twice (for the estimate and for the result) and shuffles none of them.
+    """
+    rules = rules or RULES
+    bound_batches(docs.sparkSession)
+    counted = count_documents(docs, docs.columns[0], text_col).withColumn("votes", vote_pattern(rules))
+    table = _posterior(counted.where(~_failed()), len(rules)).withColumnsRenamed({"votes": "__votes", "quality": "__quality"})
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(at).cast(pa.string()))
+            for a, b in pieces(texts):
+                counts = pa.StructArray.from_arrays([pa.array(c) for c in count_texts(texts[a:b]).T], names=COUNTS)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), counts], names=[*names, "__counts"])
+
+    judged = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__counts", T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))]))
+    judged = judged.where(~_failed("__counts.")).withColumn("__votes", vote_pattern(rules, "__counts."))
+    return judged.join(F.broadcast(table), "__votes").where(F.col("__quality") >= threshold).select(*[f"`{c}`" for c in names])

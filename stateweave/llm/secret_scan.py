@@ -219,3 +219,19 @@ def scan_secrets(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_c
 
     schema = f"`{id_col}` {id_type}, n_candidates bigint, n_secrets bigint, max_probability double, findings array<struct<begin:bigint,end:bigint,probability:double>>, masked string"
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def mask_documents(docs: DataFrame, forest: Forest, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` with a placeholder for each secret in their texts; all rows and columns stay (null texts too)."""
+    bound_batches(docs.sparkSession)
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masked = [None if t is None else mask_text(t, scan_text(t, forest, threshold)[1]) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            columns = list(batch.columns)
+            columns[at] = pa.array(masked, pa.binary()).cast(batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
