@@ -1,7 +1,7 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A document is a weighted set of word shingles (weight: how often the shingle occurs).  Each shingle's arrivals form a
-Poisson process whose rate is its weight; every arrival falls on one of ``m`` registers, a register keeps the shingle
+A document is a weighted set of word shingles (weight: the bytes of the shingle's words).  Each shingle's arrivals form
+a Poisson process whose rate is its weight; every arrival falls on one of ``m`` registers, a register keeps the shingle
 that arrives first, and a shingle stops as soon as its next arrival is later than the latest register.  Two documents
 agree on a register with the probability Jaccard similarity of their weighted sets.  Registers are cut into bands;
 documents with an equal band become candidates, and candidates are linked if the exact Jaccard similarity of their
@@ -20,18 +20,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .store import stored
+from .store import discard, stored
 from .texts import LOWER, Words, as_bytes, bound_batches, mixed, pieces
 
-#: Buckets of up to this many different texts get every pair; larger ones pairs with a leader and with neighbours
-#: first, and every pair between members that those links have not brought together afterwards.
+#: Members of a bucket of band values that are paired with each other; members of larger buckets are paired with a
+#: leader and two neighbours first, and what that leaves apart is compared by an exact join afterwards.
 SMALL_BUCKET = 8
 #: Members of a bucket whose neighbours are looked for together.
 WINDOW_ROWS = 4096
+#: Most bits of the filter that is sent to all workers (8 MB).
+FILTER_BITS = 1 << 26
+#: Candidates whose registers agree less than this are dropped unread; a pair at 0.8 does so once in 10**9 cases.
+SKETCH_FLOOR = 0.55
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text: index of the text, 64-bit hash, number of times.
+    """Distinct shingles of each text: index of the text, 64-bit hash, weight.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  A text of fewer than ``size`` words has one shingle of all
     its words; a text without words has none.
@@ -39,6 +43,8 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray,
     w = Words([t.translate(LOWER) for t in texts])
     at, h = w.windows(size)
     doc = w.doc[at]
+    letters = np.append(0, np.cumsum(w.end - w.begin))
+    weight = letters[at + size] - letters[at]
     short = np.flatnonzero((w.counts > 0) & (w.counts < size))
     if len(short):
         whole = np.zeros(len(short), np.uint64)
@@ -46,12 +52,13 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray,
             more = w.counts[short] > k
             whole[more] = mixed(whole[more] + w.hash[w.first[:-1][short[more]] + k] + np.uint64(k + 1))
         doc, h = np.concatenate([doc, short]), np.concatenate([h, mixed(whole + w.counts[short].astype(np.uint64))])
+        weight = np.concatenate([weight, letters[w.first[1:][short]] - letters[w.first[:-1][short]]])
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    return doc[first], h[first], np.diff(np.append(first, len(h)))
+    return doc[first], h[first], weight[order][first]
 
 
 def sketch(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -76,45 +83,91 @@ def sketch(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m:
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """node, digest of the words, n_shingles and one 64-bit value for each band."""
+    """node, digest of the words, n_shingles, one 64-bit value for each band, one byte of each register."""
     salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for a, b in pieces(texts):
-                doc, h, count = shingle_sets(texts[a:b], size)
-                regs = sketch(doc, h, count, b - a, bands * rows).reshape(b - a, bands, rows)
+                doc, h, weight = shingle_sets(texts[a:b], size)
+                regs = sketch(doc, h, weight, b - a, bands * rows).reshape(b - a, bands, rows)
                 key = np.broadcast_to(salt, (b - a, bands)).copy()
                 for k in range(rows):
                     key = mixed(key + regs[:, :, k])
+                low = mixed(regs).astype(np.uint8).reshape(b - a, bands * rows)
                 digest = [hashlib.blake2b(b" ".join(t.translate(LOWER).split()), digest_size=16).digest() for t in texts[a:b]]
                 n = np.bincount(doc, minlength=b - a)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(key.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), keys], names=["node", "digest", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), keys, pa.array([x.tobytes() for x in low], pa.binary())], names=["node", "digest", "n_shingles", "bands", "registers"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(f"`{id_col}`").alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return source.mapInArrow(run, f"node {id_type}, digest binary, n_shingles bigint, bands array<bigint>")
+    return source.mapInArrow(run, f"node {id_type}, digest binary, n_shingles int, bands array<bigint>, registers binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
-    """Those pairs (a, b) whose shingle sets have at least the similarity ``threshold``, with the similarity."""
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids' hashes: bits, 16 for each id but ``FILTER_BITS`` at most."""
+    n = ids.count()
+    bits = 1 << 10
+    while bits < min(16 * n, FILTER_BITS):
+        bits *= 2
+    h = ids.select(F.xxhash64("node").alias("h"))
+    at = F.explode(F.array(*[F.pmod(x, F.lit(bits)) for x in _hashes(F.col("h"))])).alias("at")
+    words = h.select(at).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("x")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _hashes(h):
+    """The places of a hash in the filter, before the remainder."""
+    return [h, h.bitwiseXOR(F.shiftright(h, 29)) if not isinstance(h, np.ndarray) else h ^ (h >> 29)]
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs whose registers agree often enough to be worth reading."""
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("registers").alias(f"r{x}"))
+    joined = pairs.join(side("b").hint("shuffle_merge"), "b").join(side("a").hint("shuffle_merge"), "a").select("a", "b", "ra", "rb")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= SKETCH_FLOOR))
+
+    return joined.mapInArrow(compare, pairs.select("a", "b").schema)
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Shingle sets (packed, sorted) of the wanted nodes.  Texts don't travel: workers filter the ids they read."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col(f"`{id_col}`").alias("node"), F.col(f"`{text_col}`").cast("string").alias("text")).join(wanted, "node", "left_semi")
+    spark = docs.sparkSession
+    member = spark.sparkContext.broadcast(_filter_of(wanted))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            h = batch.column(2).to_numpy()
+            hit = np.ones(len(h), bool)
+            for x in _hashes(h):
+                hit &= member.value[x % len(member.value)]
+            batch = batch.filter(pa.array(hit))
             texts = as_bytes(batch.column(1))
             for a, b in pieces(texts):
                 doc, h, _ = shingle_sets(texts[a:b], size)
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "shingles"])
 
+    node = F.col(f"`{id_col}`")
+    source = docs.where(node.isNotNull()).select(node.alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(node).alias("h"))
     # rows that repeat an id are one document: any of its texts will do, as equal texts are what repeats
-    found = stored(texts.mapInArrow(sets, f"node {id_type}, shingles binary").dropDuplicates(["node"]))
-    joined = pairs.join(found.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b").join(found.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").select("a", "b", "sa", "sb")
+    return source.mapInArrow(sets, f"node {id_type}, shingles binary").join(wanted.hint("shuffle_merge"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those pairs (a, b) whose shingle sets have at least the similarity ``threshold``, with the similarity."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    joined = pairs.join(side("b").hint("shuffle_merge"), "b").join(side("a").hint("shuffle_merge"), "a").select("a", "b", "sa", "sb")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,56 +180,109 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
                 out.append(common / (len(both) - common) if len(both) else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
+    id_type = pairs.schema["a"].dataType.simpleString()
     return joined.mapInArrow(compare, f"a {id_type}, b {id_type}, similarity double").where(F.col("similarity") >= threshold)
 
 
+def _left_apart(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Every pair of members (node, label) of different components that can still reach the threshold, exactly.
+
+    Shingles are ordered from rare to frequent.  The smaller set of such a pair has one of its first ``index`` shingles
+    among the first ``probe`` of the larger one, so wording that many members share leads to no pairs unless it fills
+    the sets.  Shingles that only one component has are left out.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            n = np.array([len(x) for x in arrays])
+            take = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.repeat(n, n), pa.int32()), pa.array(np.concatenate(arrays) if len(n) else np.zeros(0, np.int64))], names=["node", "label", "size", "shingle"])
+
+    id_type = sets.schema["node"].dataType.simpleString()
+    rows = stored(members.join(sets, "node").select("node", "label", "shingles").mapInArrow(unpack, f"node {id_type}, label {id_type}, size int, shingle bigint"))
+    frequency = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    ranked = rows.join(frequency, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))).where("lo <> hi")
+    probe = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
+    index = F.col("size") - F.ceil(F.col("size") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
+    first = stored(ranked.where(F.col("rank") <= probe).select("shingle", "node", "label", "size", "rank", (F.col("rank") <= index).alias("indexed")))
+    small = first.where("indexed").drop("indexed")
+    large = first.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "size", "rank")])
+    order = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("node") < F.col("node2")))
+    room = F.least(F.col("size") - F.col("rank"), F.col("size2") - F.col("rank2")) + 1  # shared at most, if this is the first shared
+    enough = room >= (F.col("size") + F.col("size2")) * (threshold / (1 + threshold)) - 1e-9
+    return small.join(large, "shingle").where(order & enough & (F.col("label") != F.col("label2"))).select(*_pair("node", "node2")).distinct()
+
+
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
     """The near-duplicate class of every document: ``id_col`` and ``class_id`` (the smallest id in the class).
 
     Links are between texts whose sets of ``size``-word shingles have a Jaccard similarity of ``threshold`` or more.
-    With 32 bands of 5 registers a pair at 0.8 shares no band with a probability of about 3 in a million.
+    With 24 bands of 4 registers a pair at 0.8 shares no band with a probability of about 3 in a million.
 
     Scale: exact copies (equal words) are collapsed to their smallest id first, by a grouping with map-side
     aggregation.  A band value's bucket never meets in one task: its leader and size come from such a grouping too,
     the join back can be split, and neighbours are looked for among at most about ``WINDOW_ROWS`` members.  Pairs grow
-    with the number of documents times bands.  In buckets with over ``SMALL_BUCKET`` texts, members that the first
-    links leave in different components are compared with each other in a second pass, so no link is given up.
+    with the number of documents times bands.  Members of buckets with more than ``SMALL_BUCKET + 1`` texts that the
+    first links leave in different components go through an exact prefix-filtered join, so no link is given up.  Texts
+    are read three times but never shuffled; only the shingle sets of candidates are.
 
     A null text is an empty one; texts without words are copies of each other.  Rows with equal ids are one document.
-    Rows with a null id are returned with a null class unless they copy a document with an id.  Extra columns are ignored; an empty
-    table gives an empty result.
+    Rows with a null id get the class of their copies, or null.  Extra columns are ignored; an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     all_docs = stored(_sketched(docs, id_col, text_col, size, bands, rows))
     leader = all_docs.groupBy("digest").agg(F.min("node").alias("rep"))
-    members = stored(all_docs.select("node", "digest").join(leader, "digest").select("node", "rep"))
-    alone = all_docs.join(leader.where("rep IS NOT NULL"), (all_docs.digest == leader.digest) & (all_docs.node == leader.rep), "left_semi").where("n_shingles > 0").dropDuplicates(["node"])
+    members = stored(all_docs.select("node", "digest").join(leader.hint("shuffle_merge"), "digest").select("node", "rep"))
+    leaders = members.where("node = rep").select("node").distinct()
+    alone = stored(all_docs.where("n_shingles > 0").drop("digest").join(leaders.hint("shuffle_merge"), "node", "left_semi").dropDuplicates(["node"]))
+    discard(all_docs)
 
-    entries = stored(alone.select("node", "n_shingles", F.explode("bands").alias("key")))
-    order = F.xxhash64("key", "node")
-    buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "node", "n_shingles")).alias("lead")).where("n > 1")
-    shared = stored(entries.join(buckets, "key"))
+    entries = alone.select("node", "n_shingles", F.explode("bands").alias("key"))
+    lead = F.min(F.struct("node", "n_shingles")).alias("lead")
+    buckets = entries.groupBy("key").agg(F.count("*").cast("int").alias("n"), lead).where("n > 1")
+    shared = stored(entries.join(buckets.hint("shuffle_merge"), "key"))
     fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold  # noqa: E731  else the sets' sizes alone rule a link out
     stars = shared.where((F.col("node") != F.col("lead.node")) & fits("n_shingles", "lead.n_shingles")).select(*_pair("node", "lead.node"))
-    near = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / WINDOW_ROWS))).orderBy(order, "node")
+    near = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / WINDOW_ROWS))).orderBy(F.xxhash64("key", "node"), "node")
     before = F.array(*[F.when((F.lit(k) <= 2) | (F.col("n") <= SMALL_BUCKET + 1), F.lag(F.struct(F.col("node").alias("other"), F.col("n_shingles").alias("m")), k).over(near)) for k in range(1, SMALL_BUCKET + 1)])
     paths = shared.select("node", "n_shingles", before.alias("before")).select("node", "n_shingles", F.explode("before").alias("p")).where(F.col("p").isNotNull() & fits("n_shingles", "p.m")).select(*_pair("node", "p.other"))
-    pairs = stored(stars.unionByName(paths).distinct())
-    links = stored(_verified(pairs, docs, id_col, text_col, size, threshold))
+    pairs = stored(_alike(stars.unionByName(paths).distinct(), alone))
+
+    ends = lambda x: x.select(F.col("a").alias("node")).union(x.select(F.col("b").alias("node")))
+    big = shared.where(F.col("n") > SMALL_BUCKET + 1).select("key", "node")
+    wanted = stored(ends(pairs).union(big.select("node")).distinct())
+    sets = stored(_sets(wanted, docs, id_col, text_col, size))
+    links = stored(_linked(pairs, sets, threshold))
     labels = components(links)
 
-    large = shared.where(F.col("n") > SMALL_BUCKET + 1).select("key", "node", "n_shingles").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    apart = stored(large.join(split, "key", "left_semi"))
-    other = apart.withColumnsRenamed({"node": "node2", "n_shingles": "n2", "label": "label2"})
-    crossing = apart.join(other, "key").where((F.col("label") < F.col("label2")) & fits("n_shingles", "n2")).select(*_pair("node", "node2"))
-    rest = stored(crossing.distinct().join(pairs, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        links = stored(links.unionByName(_verified(rest, docs, id_col, text_col, size, threshold)))
+    labelled = big.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    apart = stored(labelled.join(split, "key", "left_semi").select("node", "label").distinct())
+    if apart.limit(1).count():
+        more = _linked(_left_apart(apart, sets, threshold).join(pairs, ["a", "b"], "left_anti"), sets, threshold)
+        links = stored(links.unionByName(more))
         labels = components(links)
     return members.join(labels, members.rep == labels.node, "left").select(members.node.alias(id_col), F.coalesce("label", "rep").alias("class_id"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the document with the smallest id stays.
+
+    Rows with a null id can't be told apart and all stay.  Of rows with equal ids one stays.
+    """
+    node = F.col(f"`{id_col}`")
+    classes = stored(near_duplicates(docs, id_col, text_col, **options))
+    stay = classes.where(node == F.col("class_id")).groupBy(node).count()
+    kept = docs.join(stay.select(node.alias("__id")).hint("shuffle_merge"), node == F.col("__id"), "left_semi")
+    if stay.where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col])
+    if classes.where(node.isNull()).limit(1).count():
+        kept = kept.unionByName(docs.where(node.isNull()))
+    return kept
