@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at (a longer text is a step of its own).
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 #: Rows and bytes that Spark puts into one Arrow batch for a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
 
