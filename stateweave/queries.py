@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import functions as fn
 from .keys import scramble, stratified_folds, stratified_subsample
-from .operators import adapt, quantiles, rank, stats
+from .models import FusedRegressor, GeneralizedRegressor, MultiLabelClassifier, MultiOutputRegressor, SharedClassifier, StateClassifier, StateRidgeRegressor
+from .operators import adapt, quantiles, rank, solve, stats
+from .plans.program import Bundle, Feature, Program, constant_program
+from .plans.rewrite import optimised
 from .sources import order_features, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -483,3 +487,196 @@ def gate_map(spark, sf_dir):
     """Whether the coarse state is a function of the fine one, on the rows there are."""
     df = order_states(spark, sf_dir, 16).withColumn("coarse", fn.coarser(F.col("s_price"), 16, 4))
     return df.groupBy(F.col("s_price").alias("fine")).agg(F.min("coarse").alias("low"), F.max("coarse").alias("high"))
+
+
+# programs and fits ------------------------------------------------------------------------------------------------
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def frozen_program(link: str = "logit") -> Program:
+    """A program with fixed thresholds and tables, of every kind of term."""
+    features = {
+        "num:price": Feature("num:price", "numeric", "price", 4, 150000.0, [50000.0, 150000.0, 250000.0]),
+        "num:balance": Feature("num:balance", "numeric", "balance", 3, 0.0, [0.0, 5000.0]),
+        "catid:priority": Feature("catid:priority", "category", "priority", 6, values=PRIORITIES),
+        "num:day": Feature("num:day", "numeric", "day", 2, 15.0, [15.0]),
+    }
+    return Program(
+        features,
+        0.25,
+        [("num:price", [0.0, 0.5, -0.25, 1.0]), ("num:balance", [0.0, -0.5, 0.75]), ("catid:priority", [0.0, 0.1, 0.2, 0.3, 0.4, -1.0]), ("num:day", [0.0, 0.0])],
+        [("num:price", "num:balance", [[0.0, 0.1, 0.2], [0.0, 0.3, -0.3], [0.0, 0.0, 0.6], [0.0, -0.2, 0.1]]), ("num:balance", "num:price", [[0.05, 0.0, 0.0, 0.1], [0.0, 0.0, 0.2, 0.0], [0.0, 0.4, 0.0, 0.0]])],
+        [("month", 6.0, 6.5, 3.5, 0.2)],
+        link,
+    )
+
+
+def _case(name: str, table: list[float]) -> str:
+    return "CASE " + name + " " + " ".join(f"WHEN {i} THEN {v!r}" for i, v in enumerate(table)) + " ELSE 0 END"
+
+
+_P = frozen_program()
+_STATES_SQL = f"{OC}, z AS (SELECT oc.*, CAST(price >= 50000 AS INTEGER) + CAST(price >= 150000 AS INTEGER) + CAST(price >= 250000 AS INTEGER) AS a, CAST(balance >= 0 AS INTEGER) + CAST(balance >= 5000 AS INTEGER) AS b, coalesce(list_position({PRIORITIES}, priority) - 1, 5) AS c FROM oc)"
+_SCORE = f"0.25 + {_case('a', _P.unary[0][1])} + {_case('b', _P.unary[1][1])} + {_case('c', _P.unary[2][1])} + {_case('a * 3 + b', [v for r in _P.pairs[0][2] for v in r])} + {_case('b * 4 + a', [v for r in _P.pairs[1][2] for v in r])} + (month - 6.5) / 3.5 * 0.2"
+_SCORED = f"WITH {_STATES_SQL}, s AS (SELECT o_orderkey, {_SCORE} AS score FROM z) SELECT o_orderkey, round(score, 9) AS score, round(1 / (1 + exp(-score)), 9) AS probability FROM s"
+
+
+def _scored(df: DataFrame, program: Program) -> DataFrame:
+    z = program.score()
+    return df.select("o_orderkey", F.round(z, 9).alias("score"), F.round(fn.sigmoid(z), 9).alias("probability"))
+
+
+@query(_SCORED)
+def score_program_semantic(spark, sf_dir):
+    """Scores of the fixed program as it was built."""
+    return _scored(order_features(spark, sf_dir), frozen_program())
+
+
+@query(_SCORED)
+def score_program_optimized(spark, sf_dir):
+    """The same scores from the rewritten program."""
+    return _scored(order_features(spark, sf_dir), optimised(frozen_program()))
+
+
+def _q16(table: list[float]) -> list[float]:
+    q, scale, _ = fn.quantise(table)
+    return [v * scale for v in q]
+
+
+_SCORE16 = f"0.25 + {_case('a', _q16(_P.unary[0][1]))} + {_case('b', _q16(_P.unary[1][1]))} + {_case('c', _q16(_P.unary[2][1]))} + {_case('a * 3 + b', _q16([v for r in _P.pairs[0][2] for v in r]))} + {_case('b * 4 + a', _q16([v for r in _P.pairs[1][2] for v in r]))} + (month - 6.5) / 3.5 * 0.2"
+
+
+@query(f"WITH {_STATES_SQL}, s AS (SELECT o_orderkey, {_SCORE16} AS score FROM z) SELECT o_orderkey, round(score, 9) AS score FROM s")
+def score_int16(spark, sf_dir):
+    """Scores from tables in 16-bit fixed point."""
+    return order_features(spark, sf_dir).select("o_orderkey", F.round(frozen_program().quantised().score(), 9).alias("score"))
+
+
+@query(f"WITH {_STATES_SQL}, s AS (SELECT o_orderkey, {_SCORE} AS u, 2 * ({_SCORE}) - 1 AS v FROM z), e AS (SELECT o_orderkey, exp(greatest(u - greatest(u, v, 0), -50)) AS a, exp(greatest(v - greatest(u, v, 0), -50)) AS b, exp(greatest(0 - greatest(u, v, 0), -50)) AS c FROM s) SELECT o_orderkey, round(a / (a + b + c), 9) AS p0, round(b / (a + b + c), 9) AS p1, round(c / (a + b + c), 9) AS p2, CASE WHEN a >= b AND a >= c THEN 'x' WHEN b >= c THEN 'y' ELSE 'z' END AS prediction FROM e")
+def ovr_softmax_scores(spark, sf_dir):
+    """Three heads coupled by a softmax, and the class."""
+    p = frozen_program("identity")
+    bundle = Bundle([p, p.calibrated(2.0, -1.0), Program({})], "softmax", ["x", "y", "z"])
+    out = bundle.transform(order_features(spark, sf_dir))
+    return out.select("o_orderkey", *[F.round(F.col("probabilities")[i], 9).alias(f"p{i}") for i in range(3)], "prediction")
+
+
+@query(f"WITH {_STATES_SQL}, s AS (SELECT o_orderkey, 1 / (1 + exp(-({_SCORE}))) AS p FROM z) SELECT o_orderkey, round(p, 9) AS p0, CAST(0.000001 AS DOUBLE) AS p1, CAST(p >= 0.6 AS INTEGER) AS l0, 0 AS l1 FROM s")
+def multilabel_threshold(spark, sf_dir):
+    """Two labels, one of them constant, with thresholds of their own."""
+    bundle = Bundle([frozen_program(), constant_program(0.0)], "labels", ["a", "b"], [0.6, 0.5])
+    out = bundle.transform(order_features(spark, sf_dir))
+    return out.select("o_orderkey", *[F.round(F.col("probabilities")[i], 9).alias(f"p{i}") for i in range(2)], *[F.col("prediction")[i].alias(f"l{i}") for i in range(2)])
+
+
+@query("WITH s AS (SELECT o_orderkey, 1 - 0.3 * least(o_totalprice / 500000, 1) AS a, 0.6 - 0.5 * least(o_totalprice / 500000, 1) AS b FROM orders) SELECT o_orderkey, round(-2 + 0.5 * (1 + a) + 1 * (a + b) + 0.5 * b, 9) AS mean FROM s")
+def survival_integral(spark, sf_dir):
+    """The mean of a distribution from survival probabilities at two thresholds."""
+    x = F.least(F.col("o_totalprice") / 500000, F.lit(1.0))
+    mean = fn.survival_mean(-2.0, [-1.0, 1.0], 2.0, [1 - 0.3 * x, 0.6 - 0.5 * x])
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(mean, 9).alias("mean"))
+
+
+@query("SELECT c_custkey, round(c_acctbal, 6) AS q0, round(greatest(c_acctbal, c_acctbal * 0.5 + 100), 6) AS q1, round(greatest(c_acctbal, c_acctbal * 0.5 + 100, 2000 - c_acctbal), 6) AS q2 FROM customer")
+def non_crossing_quantiles(spark, sf_dir):
+    """Quantile predictions raised so that they don't cross."""
+    b = F.col("c_acctbal")
+    return table(spark, sf_dir, "customer").select("c_custkey", *[F.round(q, 6).alias(f"q{i}") for i, q in enumerate(fn.running_max([b, b * 0.5 + 100, 2000 - b]))])
+
+
+@query("WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_quantity, l_tax) AS c, corr(l_extendedprice, l_discount) AS d, corr(l_extendedprice, l_tax) AS e, corr(l_discount, l_tax) AS f FROM lineitem) SELECT round(4.0 + 2 * (a*a + b*b + c*c + d*d + e*e + f*f), 6) AS square_sum, 4.0 AS trace FROM c")
+def output_spectrum_moments(spark, sf_dir):
+    """First two moments of the spectrum of four outputs' correlations."""
+    df = table(spark, sf_dir, "lineitem")
+    g = stats.gram(df, LINE)
+    values, _, _ = solve.output_spectrum(np.array(g), g[0][0])
+    return spark.createDataFrame([(round(float((values**2).sum()), 6), round(float(values.sum()), 6))], "square_sum double, trace double")
+
+
+@query(f"WITH {OC}, m AS (SELECT avg(y) AS p FROM oc) SELECT o_orderkey, round(p - y, 9) AS g, round(p * (1 - p), 9) AS h FROM oc, m")
+def logistic_gradients(spark, sf_dir):
+    """Gradient and Hessian of the log loss at the constant model."""
+    df = order_features(spark, sf_dir)
+    p = df.agg(F.avg("y")).first()[0]
+    return df.select("o_orderkey", F.round(F.lit(p) - F.col("y"), 9).alias("g"), F.lit(round(p * (1 - p), 9)).alias("h"))
+
+
+@query("WITH s AS (SELECT sum(l_quantity * l_quantity) AS xx, sum(l_quantity) AS x, sum(l_quantity * l_extendedprice) AS xy, sum(l_extendedprice) AS y, count(*) AS n FROM lineitem), b AS (SELECT (xy - x * y / n) / (xx - x * x / n + 1.0) AS b, * FROM s) SELECT round(b, 5) AS slope, round((y - b * x) / n, 4) AS intercept FROM b")
+def ridge_closed_form(spark, sf_dir):
+    """Ridge regression of price on quantity from one Gram matrix."""
+    g = np.array(stats.gram(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"]))
+    w = solve.ridge_from_gram(g[:2, :2], g[:2, 2:], 1.0)
+    return spark.createDataFrame([(round(float(w[1, 0]), 5), round(float(w[0, 0]), 4))], "slope double, intercept double")
+
+
+ORDER_COLUMNS = ["price", "balance", "day", "month", "priority", "segment"]
+SMALL = {"bins": 8, "pair_features": 4, "max_pairs": 2, "max_features": 6}
+
+
+@query()
+def fit_classifier(spark, sf_dir):
+    """A binary classifier of finished orders: key, probability, class."""
+    df = order_features(spark, sf_dir)
+    model = StateClassifier(**SMALL).fit(df, ORDER_COLUMNS, "y", "o_orderkey")
+    return model.predict(df.select("o_orderkey", *ORDER_COLUMNS)).select("o_orderkey", "probability", "prediction")
+
+
+@query()
+def fit_multiclass(spark, sf_dir):
+    """Status of orders by a softmax on shared structure."""
+    df = order_features(spark, sf_dir)
+    model = SharedClassifier(**SMALL).fit(df, ORDER_COLUMNS, "status", "o_orderkey")
+    return model.predict(df.select("o_orderkey", *ORDER_COLUMNS)).select("o_orderkey", "probabilities", "prediction")
+
+
+@query()
+def fit_multilabel(spark, sf_dir):
+    """Quality and toxicity of documents from language, source and length."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    model = MultiLabelClassifier(**SMALL).fit(df, ["lang", "source", "n_chars"], ["quality", "toxic"], "doc_id")
+    return model.predict(df.select("doc_id", "lang", "source", "n_chars")).select("doc_id", "probabilities", "prediction")
+
+
+@query()
+def fit_ridge(spark, sf_dir):
+    """Prices of orders by the finite-state ridge regression."""
+    df = order_features(spark, sf_dir)
+    features = ["balance", "day", "month", "priority", "segment", "status"]
+    model = StateRidgeRegressor(**SMALL).fit(df, features, "price", "o_orderkey")
+    return model.predict(df.select("o_orderkey", *features)).select("o_orderkey", "prediction")
+
+
+@query()
+def fit_fused(spark, sf_dir):
+    """Prices of orders by the fused residual regression."""
+    df = order_features(spark, sf_dir)
+    features = ["balance", "day", "month", "priority", "segment", "status"]
+    model = FusedRegressor(**(SMALL | {"thresholds": 4})).fit(df, features, "price", "o_orderkey")
+    return model.predict(df.select("o_orderkey", *features)).select("o_orderkey", "prediction")
+
+
+@query()
+def fit_poisson(spark, sf_dir):
+    """Events of each user by a Poisson model of the mean value and the number of types."""
+    df = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.count_distinct("event_type").alias("types"))
+    model = GeneralizedRegressor(loss="poisson", bins=8).fit(df, ["mean_value", "types"], "n", "user_id")
+    return model.predict(df.select("user_id", "mean_value", "types")).select("user_id", "prediction")
+
+
+@query()
+def fit_quantiles(spark, sf_dir):
+    """Three quantiles of prices of orders, which don't cross."""
+    df = order_features(spark, sf_dir)
+    features = ["balance", "month", "priority"]
+    model = GeneralizedRegressor(loss="quantile", quantiles=(0.1, 0.5, 0.9), bins=8).fit(df, features, "price", "o_orderkey")
+    return model.predict(df.select("o_orderkey", *features)).select("o_orderkey", "prediction")
+
+
+@query()
+def fit_multioutput(spark, sf_dir):
+    """Price and balance together from shared structure."""
+    df = order_features(spark, sf_dir)
+    features = ["day", "month", "priority", "segment"]
+    model = MultiOutputRegressor(bins=8).fit(df, features, ["price", "balance"], "o_orderkey")
+    return model.predict(df.select("o_orderkey", *features)).select("o_orderkey", "prediction_price", "prediction_balance")
