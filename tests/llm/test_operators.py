@@ -1,0 +1,371 @@
+"""Each operator against a brute-force version, with nulls, empty and repeated rows, ties and clashing columns."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from stateweave.llm import bpe, graph, hmm, licenses, mixing, probminhash, quality, secret_scan, suffix_dedup, trie_tokens, vptree
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+TEXT = "doc_id bigint, text string, source string, n_tokens int, n_words int, node int"
+key = lambda r: tuple((x is None, str(x)) for x in r)
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, s, 7, 7, 7) for i, t, s in rows], TEXT)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Texts with copies, near copies, repeats, odd characters and long words; null and repeated ids; null texts."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghéß") for _ in range(rnd.randint(1, 7)))
+    base = [" ".join(word() for _ in range(rnd.randint(30, 90))) for _ in range(6)]
+    out = []
+    for i in range(90):
+        kind = i % 6
+        t = base[i % 5]
+        if kind == 1:
+            w = t.split(" ")
+            w[rnd.randrange(len(w))] = "changed"
+            t = " ".join(w)
+        elif kind == 2:
+            t = " ".join(word() for _ in range(rnd.randint(0, 60))) + "\n" + base[5] + "\n" + "ab " * 40
+        elif kind == 3:
+            t = rnd.choice(["", "one", "a b", "x" * 3000, "A b c\x1cd  e \n\n f's 12½ <|endoftext|> z", "t\0u" * 60])
+        elif kind == 4:
+            t = rnd.choice(["Licensed under CC BY-NC 4.0.", 'token = "0123456789abcdef0123456789abcdef01234567" end', "Gnu General public LICENSE gnu general public license"]) + " " + base[5]
+        out.append((i, t, rnd.choice(["a", "a", "b", "é", None])))
+    return [*out, (None, base[0], None), (None, None, "a"), (200, None, None), (5, out[5][1], out[5][2]), (5, out[5][1], out[5][2])]
+
+
+def test_bpe_equals_the_library(spark, rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    want = []
+    for i, x, _ in rows:
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        back = t.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    got = bpe.encode_documents(table(spark, rows), BPE, with_ids=False, digests=True).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert bpe.encode_documents(table(spark, []), BPE).count() == 0
+
+
+def test_every_bpe_token_is_reachable():
+    with open(BPE, "rb") as f:
+        c = bpe.Codec(f.read())
+    rnd = random.Random(0)
+    for i in rnd.sample(range(50000), 1500):
+        s = c.piece(i)
+        parts = [c.vocab[x] for x in s]
+        while True:  # merges in order
+            ranked = [(c.merge[p][0], k) for k, p in enumerate(zip(parts, parts[1:], strict=False)) if p in c.merge]
+            if not ranked:
+                break
+            _, k = min(ranked)
+            parts[k : k + 2] = [c.merge[parts[k], parts[k + 1]][1]]
+        assert parts == [i]
+
+
+def removed_by_hand(rows, length=50):
+    first = {}
+    rank = lambda i: 2**62 if i is None else i
+    for i, t, _ in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            first[w] = min(first.get(w, 2**63), rank(i))
+    out = []
+    for i, t, _ in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if first[b[p : p + length]] < rank(i):
+                gone[p : p + length] = b"\1" * length
+        spans = sum(1 for j, g in enumerate(gone) if g and not (j and gone[j - 1]))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out, key=key)
+
+
+@pytest.mark.parametrize(("shard_bytes", "hot"), [(1500, 256), (1500, 2), (1 << 22, 256)])
+def test_suffix_dedup(spark, rows, shard_bytes, hot):
+    got = suffix_dedup.remove_repeats(table(spark, rows), shard_bytes=shard_bytes, hot_shards=hot).collect()
+    assert sorted(map(tuple, got), key=key) == removed_by_hand(rows)
+
+
+def test_suffix_dedup_empty(spark):
+    assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
+
+
+def test_suffix_array():
+    rnd = random.Random(5)
+    for k in range(60):
+        t = "\0".join("".join(rnd.choice("ab" if k % 2 else "abcdef") for _ in range(rnd.randint(0, 50))) for _ in range(5)) + "\0"
+        order = suffix_dedup.suffix_array(np.frombuffer(t.encode(), np.uint8), 56)
+        cut = [t[i : i + 56] for i in order]
+        assert sorted(order.tolist()) == list(range(len(t))) and cut == sorted(cut)
+
+
+def test_trie_counts(spark, rows):
+    with open(BPE, "rb") as f:
+        scores = trie_tokens.zipf_scores(f.read())
+
+    def best(w):
+        table = [(0.0, 0)]
+        for e in range(1, len(w) + 1):
+            s, n = max((table[b][0] + scores[w[b:e]], -table[b][1] - 1) for b in range(max(0, e - 130), e) if w[b:e] in scores)
+            table.append((s, -n))
+        return table[-1]
+
+    want = []
+    for i, t, _ in rows:
+        w = [best(b" " + x) for x in (t or "").encode().split()]
+        want.append((i, len(w), sum(n for _, n in w), round(sum(s for s, _ in w), 6)))
+    got = [(*r[:3], round(r[3], 6)) for r in map(tuple, trie_tokens.count_tokens(table(spark, rows), BPE).collect())]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_secrets(spark, rows):
+    forest = secret_scan.train_forest(secret_scan.labelled_findings())
+    held = secret_scan.labelled_findings(800, seed=99)
+    x = np.array([secret_scan.features(v, b, a) for v, b, a, _ in held])
+    assert ((forest.probability(x) >= 0.5) == [y for *_, y in held]).mean() > 0.95
+    got = secret_scan.scan_secrets(table(spark, rows), forest).collect()
+    text = defaultdict(list)
+    for i, t, _ in rows:
+        text[i].append(t)
+    assert len(got) == len(rows)
+    for r in got:
+        has = any(t and "token = " in t for t in text[r.doc_id])
+        assert (r.n_secrets > 0) == has and (r.masked is None) == (r.doc_id is None and r.masked is None or r.doc_id == 200)
+        if has:
+            assert "0123456789abcdef" not in r.masked and 'token = "[secret]" end' in r.masked
+    kept = secret_scan.mask_documents(table(spark, rows), forest)
+    assert kept.count() == len(rows) and kept.columns == table(spark, rows).columns
+
+
+def test_nearest_is_exact(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, 6)).astype(np.float32)
+    v[100:250] = v[7]
+    data = [(i, [float(y) for y in x], 1) for i, x in enumerate(v)]
+    odd = [(400, None, 1), (401, [0.0] * 6, 1), (402, [float("nan")] * 6, 1), (403, [None] * 6, 1), (404, [1.0, 2.0], 1), (420, [2.0, 1.0], 1), (None, [1.0] * 6, 1), (440, [], 1)]
+    df = spark.createDataFrame(data + odd, "vec_id bigint, embedding array<float>, rank int")
+    got = defaultdict(list)
+    for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=90, block_rows=9).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    x = v.astype(float)
+    for q in range(0, 400, 20):
+        s = (x * x[q]).sum(axis=1)
+        want = sorted((i for i in range(400) if i != q), key=lambda i: (-round(s[i], 9), i))[:20]
+        found = sorted(got.pop(q))
+        assert [i for _, i, _ in found] == want and [k for k, *_ in found] == list(range(1, 21))
+        assert np.allclose([z for *_, z in found], s[want])
+    assert {k: [i for _, i, _ in v] for k, v in got.items()} == {420: [404]}
+    assert vptree.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_relaxed_pruning_keeps_recall():
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(20, 16))
+    x = centre[rng.integers(0, 20, 4000)] + 0.3 * rng.normal(size=(4000, 16))
+    q = x[:100]
+    exact, _ = vptree.Tree(x, np.arange(4000)).search(q, np.arange(100), 20)
+    near, _ = vptree.Tree(x, np.arange(4000)).search(q, np.arange(100), 20, factor=1.3)
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(exact, near, strict=True)]) >= 0.9
+
+
+def test_licenses(spark, rows):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    want = []
+    for i, t, _ in rows:
+        w = pattern.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        found = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        at = [k for k, _ in found]
+        want.append((i, len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))))
+    got = licenses.scan_licenses(table(spark, rows)).collect()
+    assert sorted((tuple(r)[:6] for r in got), key=key) == sorted(want, key=key)
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
+
+
+def test_templates():
+    scan = licenses.Scanner(licenses.PHRASES, {"t": "granted to {{1,2}} <<free of charge>> hereby"}).scan
+    says = lambda x: [(b, e) for b, e, _, full in scan(x.encode())[1] if full]
+    assert says("Granted to anyone hereby") == [(0, 4)] and says("x granted to any one, free of charge, hereby y") == [(1, 9)]
+    assert says("granted to hereby") == [] and says("granted to a b c hereby") == [] and says("granted to a free charge hereby") == []
+
+
+def links_by_hand(rows, size=5):
+    sets = {}
+    for i, t, _ in rows:
+        w = (t or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
+        if i is not None:
+            sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else {()}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            p, q = root(a), root(b)
+            parent[max(p, q)] = min(p, q)
+    return {i: root(i) for i in sets}
+
+
+def test_near_duplicates(spark, rows):
+    got = probminhash.near_duplicates(table(spark, rows)).collect()
+    want = links_by_hand(rows)
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == want
+    assert len({r.class_id for r in got}) < 60
+    kept = probminhash.keep_one_of_each(table(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
+
+
+def test_near_duplicates_in_large_buckets(spark):
+    """Many near copies of one text that are linked only through others, and short texts that share a common line."""
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    out = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rnd.randint(0, 4)):
+            w[rnd.randrange(120)] = f"x{i}"
+        out.append((i, " ".join(w), "a"))
+    out += [(100 + i, "this line is in a lot of short texts here " + " ".join(f"s{i}_{k}" for k in range(i % 4)), "a") for i in range(60)]
+    got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(table(spark, out)).collect()}
+    assert got == links_by_hand(out)
+
+
+def test_sketch_estimates_probability_jaccard():
+    rng = np.random.default_rng(1)
+    a, b = np.arange(0, 300), np.arange(100, 400)
+    w = rng.gamma(2.0, size=400)
+    h = probminhash.mixed(np.arange(400, dtype=np.uint64))
+    doc = np.repeat([0, 1], 300)
+    regs = probminhash.sketch(doc, np.concatenate([h[a], h[b]]), np.concatenate([w[a], w[b]]), 2, 4096)
+    both, union = w[100:300].sum(), w.sum()
+    assert (regs[0] == regs[1]).mean() == pytest.approx(both / union, abs=0.03)
+
+
+def test_components(spark):
+    pairs = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 20), (30, 31)] + [(k, k + 1) for k in range(40, 70)]
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame([*pairs, (None, 1)], "a int, b int")).collect()}
+    assert got == {**dict.fromkeys([1, 2, 3, 7, 8, 9], 1), 20: 20, 30: 30, 31: 30, **dict.fromkeys(range(40, 71), 40)}
+
+
+def test_hmm_recursions():
+    rng = np.random.default_rng(0)
+    m = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3))
+    seqs = [rng.integers(0, 5, n).astype(np.uint16) for n in (1, 4, 2, 6)]
+    like, counts = [], np.zeros(len(m.pack()))
+    for q in seqs:
+        paths = []
+        for p in itertools.product(range(3), repeat=len(q)):
+            x = m.first[p[0]] * m.emit[p[0], q[0]] * math.prod(m.move[a, b] * m.emit[b, c] for a, b, c in zip(p, p[1:], q[1:], strict=False))
+            paths.append((x, p))
+        total = sum(x for x, _ in paths)
+        like.append(math.log10(total))
+        c = hmm.Model(np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5)))
+        for x, p in paths:
+            c.first[p[0]] += x / total
+            for a, b in zip(p, p[1:], strict=False):
+                c.move[a, b] += x / total
+            for s, o in zip(p, q, strict=True):
+                c.emit[s, o] += x / total
+        counts += c.pack()
+    flat, lengths = np.concatenate(seqs), np.array([len(q) for q in seqs])
+    assert hmm.log10_likelihood(m, flat, lengths) == pytest.approx(like)
+    assert hmm.expected_counts(m, flat, lengths).pack() == pytest.approx(counts)
+
+
+def test_hmm_scores(spark, rows):
+    tokens = lambda t: [*(t or "").encode().translate(hmm.LOWER).split(), None]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    count = Counter(w for i, t, _ in rows if not held(i) for w in tokens(t))
+    n, v = sum(count.values()), len(count)
+    want = [(i, held(i), len(tokens(t)), sum(w in count for w in tokens(t)), n, round(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t)), 6)) for i, t, _ in rows]
+    got = hmm.score_documents(table(spark, rows), states=3, n_classes=64, rounds=2, shard_bytes=4000).collect()
+    assert sorted(((*tuple(r)[:5], round(r.base_score, 6)) for r in got), key=key) == sorted(want, key=key)
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) and all(r.score < 0 for r in got)
+    assert hmm.score_documents(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_mixing(spark, rows, block):
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = defaultdict(int)
+    for _, t, s in rows:
+        total[s] += size(t)
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(order, mixing.targets([total[s] for s in order]), strict=True))
+    assert sum(goal.values()) == pytest.approx(1.5 * sum(total.values()))
+    mix = mixing.Mix(table(spark, rows), block_words=block, shard_words=900)
+    got = mix.taken().collect()
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, mixing.mix_documents(table(spark, rows), block_words=block, shard_words=900).collect()), key=key)
+    assert sorted(((r.doc_id, r["size"]) for r in got), key=key) == sorted(((i, size(t)) for i, t, _ in rows), key=key)
+    assert all(r.taken <= 2 * r["size"] for r in got)
+    pieces = mix.pieces().collect()
+    taken = defaultdict(int)
+    for p in pieces:
+        taken[order[p.src]] += p.n_words
+    assert all(abs(taken[s] - goal[s]) <= 1 for s in order)
+    words = [(p.src, p.start + w, p.epoch) for p in pieces for w in range(p.first_word, p.first_word + p.n_words)]
+    assert len(words) == len(set(words))  # shards are disjoint
+    assert mixing.mix_documents(table(spark, [])).count() == 0
+
+
+def test_splitting_tree_is_exact():
+    blocks = np.array([13, 0, 40, 7])
+    got = [mixing.shard_quota(blocks, 6, s, 3) for s in range(6)]
+    assert (sum(q for _, q in got) == blocks).all()
+    assert all((a + q == b).all() for (a, q), (b, _) in zip(got, got[1:], strict=False))
+
+
+def counts_by_hand(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    times = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    cover = {j for k in range(len(w) - 4) if times[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+    seen, dup = set(), 0
+    for line in (t or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), dup, len(cover)
+
+
+def test_quality(spark, rows):
+    more = [*rows, (300, "same line here\nsame line here\n\n  \nsame line here", "a"), (301, "word### " * 30, "a")]
+    got = quality.judge_documents(table(spark, more)).collect()
+    want = [(i, *counts_by_hand(t)) for i, t, _ in more]
+    assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got), key=key) == sorted(want, key=key)
+    for r in got:
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.kept and r.base_failed)
+    kept = quality.keep_documents(table(spark, more))
+    assert kept.columns == table(spark, rows).columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(r.doc_id for r in got if r.kept and r.doc_id is not None)
+    assert quality.judge_documents(table(spark, [])).count() == 0
+
+
+def test_label_model_finds_bad_documents():
+    rng = np.random.default_rng(6)
+    bad = rng.random(20_000) < 0.1
+    votes = np.where(bad[:, None], np.where(rng.random((20_000, 5)) < 0.5, 2, 1), np.where(rng.random((20_000, 5)) < 0.003, 2, 1))
+    pattern, n = np.unique(votes @ 3 ** np.arange(5), return_counts=True)
+    good = dict(zip(pattern, quality.estimate(pattern, n.astype(float), 5), strict=True))
+    said = np.array([good[p] for p in votes @ 3 ** np.arange(5)]) < 0.5
+    assert said[~bad].mean() < 0.02 and said[bad].mean() > 0.9
