@@ -24,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import bound_batches
+from .texts import bound_batches, tidied
 
 #: Entries that a worker's caches hold at most; a full cache starts anew (results don't depend on it).
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 
 #: How a byte-level vocabulary writes bytes as printable characters, and how it splits texts.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -204,6 +204,12 @@ class Codec:
         return self.bytes[np.repeat(start - ends + size, size) + np.arange(total)].tobytes().decode("utf-8", "replace")
 
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        for cache in (self.shorter, self.compatible, self.pre_token, self.after_space, self.at_start):
+            cache.clear()
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -241,5 +247,6 @@ def encode_documents(docs: DataFrame, definition_path: str, id_col: str = "doc_i
                 columns["ids_sha256"] = pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string())
                 columns["decoded_sha256"] = pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        c.forget()
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(tidied(run), schema)

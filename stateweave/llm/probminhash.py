@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import components
+from .graph import components, follow
 from .store import discard, stored
-from .texts import LOWER, Words, as_bytes, bound_batches, mixed, pieces
+from .texts import LOWER, Words, as_bytes, bound_batches, mixed, pieces, tidied
 
 #: Members of a bucket of band values that are paired with each other; members of larger buckets are paired with a
 #: leader and two neighbours first, and what that leaves apart is compared by an exact join afterwards.
@@ -103,7 +103,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int
 
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(f"`{id_col}`").alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return source.mapInArrow(run, f"node {id_type}, digest binary, n_shingles int, bands array<bigint>, registers binary")
+    return source.mapInArrow(tidied(run), f"node {id_type}, digest binary, n_shingles int, bands array<bigint>, registers binary")
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -136,7 +136,7 @@ def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
                 yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= SKETCH_FLOOR))
 
-    return joined.mapInArrow(compare, pairs.select("a", "b").schema)
+    return joined.mapInArrow(tidied(compare), pairs.select("a", "b").schema)
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, size:
     node = F.col(f"`{id_col}`")
     source = docs.where(node.isNotNull()).select(node.alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(node).alias("h"))
     # rows that repeat an id are one document: any of its texts will do, as equal texts are what repeats
-    return source.mapInArrow(sets, f"node {id_type}, shingles binary").join(wanted.hint("shuffle_merge"), "node", "left_semi").dropDuplicates(["node"])
+    return source.mapInArrow(tidied(sets), f"node {id_type}, shingles binary").join(wanted.hint("shuffle_merge"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -181,7 +181,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
     id_type = pairs.schema["a"].dataType.simpleString()
-    return joined.mapInArrow(compare, f"a {id_type}, b {id_type}, similarity double").where(F.col("similarity") >= threshold)
+    return joined.mapInArrow(tidied(compare), f"a {id_type}, b {id_type}, similarity double").where(F.col("similarity") >= threshold)
 
 
 def _left_apart(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -200,7 +200,7 @@ def _left_apart(members: DataFrame, sets: DataFrame, threshold: float) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.repeat(n, n), pa.int32()), pa.array(np.concatenate(arrays) if len(n) else np.zeros(0, np.int64))], names=["node", "label", "size", "shingle"])
 
     id_type = sets.schema["node"].dataType.simpleString()
-    rows = stored(members.join(sets, "node").select("node", "label", "shingles").mapInArrow(unpack, f"node {id_type}, label {id_type}, size int, shingle bigint"))
+    rows = stored(members.join(sets, "node").select("node", "label", "shingles").mapInArrow(tidied(unpack), f"node {id_type}, label {id_type}, size int, shingle bigint"))
     frequency = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     ranked = rows.join(frequency, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))).where("lo <> hi")
     probe = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
@@ -267,8 +267,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = stored(labelled.join(split, "key", "left_semi").select("node", "label").distinct())
     if apart.limit(1).count():
         more = _linked(_left_apart(apart, sets, threshold).join(pairs, ["a", "b"], "left_anti"), sets, threshold)
-        links = stored(links.unionByName(more))
-        labels = components(links)
+        name = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+        more = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        joined = components(more.where("a <> b"))
+        grown = follow(labels, joined)
+        labels = stored(grown.unionByName(joined.join(labels, "node", "left_anti")))
     return members.join(labels, members.rep == labels.node, "left").select(members.node.alias(id_col), F.coalesce("label", "rep").alias("class_id"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import stored
-from .texts import Words, as_bytes, bound_batches, mixed, pieces, range_hash
+from .texts import Words, as_bytes, bound_batches, mixed, pieces, range_hash, tidied
 
 #: Counts of a document, in this order.
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_marks", "n_letters", "n_solid"]
@@ -100,7 +100,7 @@ def count_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 counts = count_texts(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c) for c in counts.T)], names=[id_col, *COUNTS])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {id_type}, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(tidied(run), f"`{id_col}` {id_type}, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
 
 @dataclass(frozen=True)
@@ -221,6 +221,6 @@ def keep_documents(docs: DataFrame, text_col: str = "text", rules: list[Rule] |
                 counts = pa.StructArray.from_arrays([pa.array(c) for c in count_texts(texts[a:b]).T], names=COUNTS)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), counts], names=[*names, "__counts"])
 
-    judged = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__counts", T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))]))
+    judged = docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField("__counts", T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))]))
     judged = judged.where(~_failed("__counts.")).withColumn("__votes", vote_pattern(rules, "__counts."))
     return judged.join(F.broadcast(table), "__votes").where(F.col("__quality") >= threshold).select(*[f"`{c}`" for c in names])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import as_bytes, bound_batches
+from .texts import as_bytes, bound_batches, tidied
 
 # Names that announce a credential, prefixes of known kinds, and names that announce something harmless.
 TELLING = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "auth", "credential", "bearer"]
@@ -101,7 +101,7 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, le
             gini[(v[1:] == v[:-1]) | (k < least) | (n - k < least)] = -1
             i = int(np.argmax(gini))
             if gini[i] > best[0]:
-                best = (float(gini[i]), f, float((v[i] + v[i + 1]) / 2))
+                best = (float(gini[i]), f, float(v[i]))
         if best[1] >= 0:
             go = x[rows, best[1]] <= best[2]
             nodes[me][:2] = best[1:]
@@ -218,7 +218,7 @@ def scan_secrets(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_c
             ], names=[id_col, "n_candidates", "n_secrets", "max_probability", "findings", "masked"])
 
     schema = f"`{id_col}` {id_type}, n_candidates bigint, n_secrets bigint, max_probability double, findings array<struct<begin:bigint,end:bigint,probability:double>>, masked string"
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(tidied(run), schema)
 
 
 def mask_documents(docs: DataFrame, forest: Forest, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -234,4 +234,4 @@ def mask_documents(docs: DataFrame, forest: Forest, text_col: str = "text", thre
             columns[at] = pa.array(masked, pa.binary()).cast(batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .texts import as_bytes, bound_batches
+from .texts import as_bytes, bound_batches, tidied
 
 #: Pre-tokens whose counts a worker remembers; a full memory starts anew (results don't depend on it).
 CACHE_ENTRIES = 400_000
@@ -115,4 +115,4 @@ def count_tokens(docs: DataFrame, definition_path: str, id_col: str = "doc_id",
             columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=[id_col, "n_pre_tokens", "n_tokens", "log_probability"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {id_type}, n_pre_tokens bigint, n_tokens bigint, log_probability double")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(tidied(run), f"`{id_col}` {id_type}, n_pre_tokens bigint, n_tokens bigint, log_probability double")

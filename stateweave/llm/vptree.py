@@ -9,7 +9,6 @@ so far.  Factor 1 is exact search; larger factors leave out more.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
