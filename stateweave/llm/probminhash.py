@@ -1,11 +1,12 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A document is a weighted set of word shingles (weight: the bytes of the shingle's words).  Each shingle's arrivals form
-a Poisson process whose rate is its weight; every arrival falls on one of ``m`` registers, a register keeps the shingle
-that arrives first, and a shingle stops as soon as its next arrival is later than the latest register.  Two documents
-agree on a register with the probability Jaccard similarity of their weighted sets.  Registers are cut into bands;
-documents with an equal band become candidates, and candidates are linked if the exact Jaccard similarity of their
-shingle sets reaches the threshold.  Classes are the connected components of the links.
+Each element's arrivals form a Poisson process whose rate is its weight; every arrival falls on one of ``m`` registers,
+a register keeps the element that arrives first, and an element stops as soon as its next arrival is later than the
+latest register.  Two sets agree on each register, independently, with their probability Jaccard similarity.  A document
+is the set of its word shingles, all of weight 1, so that this is the plain Jaccard similarity by which links are
+decided: weights would hide pairs that differ in a few heavy shingles.  Registers are cut into bands; documents with an
+equal band become candidates, and candidates are linked if the exact Jaccard similarity of their shingle sets reaches
+the threshold.  Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -30,12 +31,13 @@ SMALL_BUCKET = 8
 WINDOW_ROWS = 4096
 #: Most bits of the filter that is sent to all workers (8 MB).
 FILTER_BITS = 1 << 26
-#: Candidates whose registers agree less than this are dropped unread; a pair at 0.8 does so once in 10**9 cases.
+#: Candidates whose registers agree less than this are dropped unread: a pair at 0.8 does so with a probability of
+#: 1 * 10**-8 (at most 52 of 96 independent registers of probability 0.8).
 SKETCH_FLOOR = 0.55
 
 
-def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text: index of the text, 64-bit hash, weight.
+def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text: index of the text, 64-bit hash.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  A text of fewer than ``size`` words has one shingle of all
     its words; a text without words has none.
@@ -43,8 +45,6 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray,
     w = Words([t.translate(LOWER) for t in texts])
     at, h = w.windows(size)
     doc = w.doc[at]
-    letters = np.append(0, np.cumsum(w.end - w.begin))
-    weight = letters[at + size] - letters[at]
     short = np.flatnonzero((w.counts > 0) & (w.counts < size))
     if len(short):
         whole = np.zeros(len(short), np.uint64)
@@ -52,13 +52,12 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray,
             more = w.counts[short] > k
             whole[more] = mixed(whole[more] + w.hash[w.first[:-1][short[more]] + k] + np.uint64(k + 1))
         doc, h = np.concatenate([doc, short]), np.concatenate([h, mixed(whole + w.counts[short].astype(np.uint64))])
-        weight = np.concatenate([weight, letters[w.first[1:][short]] - letters[w.first[:-1][short]]])
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    return doc[first], h[first], weight[order][first]
+    return doc[first], h[first]
 
 
 def sketch(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -90,8 +89,8 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for a, b in pieces(texts):
-                doc, h, weight = shingle_sets(texts[a:b], size)
-                regs = sketch(doc, h, weight, b - a, bands * rows).reshape(b - a, bands, rows)
+                doc, h = shingle_sets(texts[a:b], size)
+                regs = sketch(doc, h, np.ones(len(h)), b - a, bands * rows).reshape(b - a, bands, rows)
                 key = np.broadcast_to(salt, (b - a, bands)).copy()
                 for k in range(rows):
                     key = mixed(key + regs[:, :, k])
@@ -154,7 +153,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, size:
             batch = batch.filter(pa.array(hit))
             texts = as_bytes(batch.column(1))
             for a, b in pieces(texts):
-                doc, h, _ = shingle_sets(texts[a:b], size)
+                doc, h = shingle_sets(texts[a:b], size)
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "shingles"])
 

@@ -251,6 +251,25 @@ def test_near_duplicates_in_large_buckets(spark):
     assert got == links_by_hand(out)
 
 
+def test_near_duplicates_with_one_long_word(spark):
+    """Near copies that differ in a long word (plain Jaccard similarity 0.8 or more) or in a few short ones."""
+    rnd = random.Random(9)
+    out = []
+    for i in range(40):
+        w = [f"{rnd.randrange(10**5):05}" for _ in range(100)]
+        k = rnd.randrange(10, 90)
+        for j in range(2):
+            copy = list(w)
+            copy[k] = rnd.choice("abcdef") * rnd.choice([200, 300, 2000]) + str(j)
+            out.append((10 * i + j, " ".join(copy), "a"))
+        copy = list(w)
+        copy[5::12] = ["other"] * len(copy[5::12])
+        out.append((10 * i + 5, " ".join(copy), "a"))
+    got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(table(spark, out)).collect()}
+    assert got == links_by_hand(out)
+    assert all(got[10 * i + 1] == 10 * i for i in range(40))
+
+
 def test_sketch_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     a, b = np.arange(0, 300), np.arange(100, 400)
