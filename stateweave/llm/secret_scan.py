@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +28,10 @@ HARMLESS = ["sha1", "sha256", "md5", "checksum", "digest", "commit", "uuid", "gu
 DICTIONARY = ["the", "and", "ing", "ion", "ent", "for", "tion", "with", "that", "this", "name", "user", "test", "example", "your", "here", "change", "value", "string", "token", "pass", "word", "key", "index", "path", "file", "image", "page", "http", "www", "com", "org", "html", "main", "data", "item", "list", "view", "date", "time"]
 
 #: A value assigned to a telling name, a known prefix with what follows, a long string without blanks.
-_NAMED = re.compile(rb"(?i:" + b"|".join(t.replace("_", "[_-]?").encode() for t in TELLING) + rb")[A-Za-z_-]{0,12}[\"']?\s{0,3}(?:(?<=(?i:bearer))\s|:=|=>|[:=])\s{0,3}[\"'`]?([A-Za-z0-9_+/=.~-]{8,512})")
-_KNOWN = re.compile(b"((?:" + b"|".join(re.escape(p.encode()) for p in PREFIXES) + rb")[A-Za-z0-9_+/=.-]{10,512})")
-_LONG = re.compile(rb"([A-Za-z0-9_+/=.-]{24,512})")
+#: A candidate ends where its characters do, however long it is.
+_NAMED = re.compile(rb"(?i:" + b"|".join(t.replace("_", "[_-]?").encode() for t in TELLING) + rb")[A-Za-z_-]{0,12}[\"']?\s{0,3}(?:(?<=(?i:bearer))\s|:=|=>|[:=])\s{0,3}[\"'`]?([A-Za-z0-9_+/=.~-]{8,})")
+_KNOWN = re.compile(b"((?:" + b"|".join(re.escape(p.encode()) for p in PREFIXES) + rb")[A-Za-z0-9_+/=.-]{10,})")
+_LONG = re.compile(rb"([A-Za-z0-9_+/=.-]{24,})")
 _DIGIT, _LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z]")
 #: Bytes of text on each side of a candidate that are looked at.
 CONTEXT = 48
@@ -45,15 +47,15 @@ _HARMLESS = re.compile("(?:" + "|".join(HARMLESS) + r")[a-z_-]{0,12}\W{0,6}$")
 def features(value: str, before: str, after: str) -> list[float]:
     """``FEATURES`` of a candidate and its surroundings."""
     n = len(value)
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
-    turns = list(zip(kinds, kinds[1:], strict=False))
+    kinds = "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value)
+    turns = Counter(zip(kinds, kinds[1:], strict=False))
     counts = np.array([value.count(c) for c in set(value)], float) / n
     low = value.lower()
-    vowel = [c in "aeiou" for c in low if c.isalpha()]
+    vowel = bytes(c in "aeiou" for c in low if c.isalpha())
     near = before.lower()
     return [
         n, kinds.count("u") / n, kinds.count("d") / n, kinds.count("o") / n,
-        sum({a, b} == {"u", "l"} for a, b in turns) / n, sum(("d" in (a, b)) and a != b for a, b in turns) / n,
+        (turns["u", "l"] + turns["l", "u"]) / n, sum(k for (a, b), k in turns.items() if "d" in (a, b) and a != b) / n,
         sum(a == b for a, b in zip(value, value[1:], strict=False)) / n, float(-(counts * np.log2(counts)).sum()),
         sum(a != b for a, b in zip(vowel, vowel[1:], strict=False)) / max(1, len(vowel)), float(all(c in string.hexdigits for c in value)),
         sum(len(m) for m in _WORDS.findall(low)) / n, value.count("/") / n, value.count(".") / n,

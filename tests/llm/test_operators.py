@@ -155,6 +155,18 @@ def test_secrets(spark, rows):
     assert kept.count() == len(rows) and kept.columns == table(spark, rows).columns
 
 
+@pytest.mark.parametrize("length", [500, 600, 900, 2000, 100_000])
+def test_long_secrets_are_masked_whole(length):
+    forest = secret_scan.train_forest(secret_scan.labelled_findings())
+    rnd = random.Random(length)
+    value = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(length))
+    head, body, end = value[: length // 10], value[length // 10 : -43], value[-43:]
+    for before, secret, after in [("see ", f"eyJ{head}.eyJ{body}.{end}", " here"), ('token = "', value, '" end'), ("Authorization: Bearer ", f"eyJ{head}.{body}-_{end}", "\n"), ("", value, "")]:
+        text = (before + secret + after).encode()
+        n, found = secret_scan.scan_text(text, forest)
+        assert n == 1 and secret_scan.mask_text(text, found).decode() == f"{before}[secret]{after}"
+
+
 def test_nearest_is_exact(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(400, 6)).astype(np.float32)
