@@ -1,10 +1,11 @@
-"""A hidden Markov language model with classes of tokens.
-
-States emit classes, a class emits its tokens by their counts: P(token | state) = P(class | state) P(token | class).
-A token's class is a function of its last bytes, so the tables of the model have a fixed size; token counts cover the
-whole training text and stay distributed.  Baum-Welch runs on the sequences of classes: every partition computes
-expected counts with the scaled forward-backward recursion, Spark sums them, the driver normalises them.  The score of
-a text is its exact likelihood, from the scaled forward recursion over all of its tokens.
+"""A hidden Markov language model whose states emit tokens.
+
+Baum-Welch starts with emissions tied by classes of tokens (by their last bytes): P(token | state) = P(class | state)
+P(token | class), where the second factor doesn't matter to the states.  Every partition computes expected counts with
+the scaled forward-backward recursion, Spark sums them, the driver normalises them.  The last round unties the tokens:
+its expected counts of each token in each state cover the whole training text and stay distributed in shards of tokens.
+The tied emissions are what they are smoothed with.  The score of a text is its exact likelihood, from the scaled forward
+recursion over all of its tokens.
 """
 
 from __future__ import annotations
@@ -151,33 +152,93 @@ class _Shard:
         self.cut = np.searchsorted(home[self.order], np.arange(n_shards + 1))
 
 
-def tell_counts(table: pa.Table, n_classes: int, n_shards: int) -> pa.Table:
-    """A shard of documents: its tokens, their classes and their counts in training texts."""
+def tell_counts(table: pa.Table, model: Model, n_classes: int, n_shards: int) -> pa.Table:
+    """A shard of documents: its tokens, their classes, their counts and expected counts by state in training texts."""
     if not table.num_rows:
         return messages([])
     source = table.column("shard")[0].as_py()
     s = _Shard(table, n_classes, n_shards)
-    n = np.bincount(s.which, np.repeat(s.train, s.counts), len(s.keys)).astype(np.int64)
-    return messages([(k, source, 0, blob(s.keys[own := s.order[s.cut[k] : s.cut[k + 1]]]), blob(s.key_class[own]), blob(n[own])) for k in range(n_shards) if s.cut[k] < s.cut[k + 1]])
-
-
-def add_counts(table: pa.Table) -> pa.Table:
-    """A shard of tokens: each sender's tokens' counts over all documents, and (kind 2) sums for each class."""
+    train = np.repeat(s.train, s.counts)
+    n = np.bincount(s.which, train, len(s.keys)).astype(np.int64)
+    which, lengths = s.which[train], s.counts[s.train]
+    by_token = Model(model.first, model.move, model.emit[:, s.key_class])
+    expected = np.zeros((len(s.keys), len(model.first)))
+    edge = np.append(0, np.cumsum(lengths))
+    for a, b in _passes(lengths):
+        expected += expected_counts(by_token, which[edge[a] : edge[b]], lengths[a:b]).emit.T
+    expected = expected.astype(np.float32)
+    return messages([(k, source, 0, blob(s.keys[own := s.order[s.cut[k] : s.cut[k + 1]]]), blob(s.key_class[own]), blob(n[own]) + blob(expected[own])) for k in range(n_shards) if s.cut[k] < s.cut[k + 1]])
+
+
+def _both_counts(packed: bytes, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of tokens and their expected counts by state, from a message."""
+    k = len(packed) // (8 + 4 * states)
+    return np.frombuffer(packed, np.int64, k), np.frombuffer(packed, np.float32, k * states, 8 * k).reshape(k, states)
+
+
+def add_counts(table: pa.Table, states: int) -> pa.Table:
+    """A shard of tokens: each sender's tokens' counts over all documents, sums for each class (2) and each state (3)."""
     shard = table.column("shard")[0].as_py()
     keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("a")]
     distinct, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    total = np.bincount(which, np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("c")]), len(distinct)).astype(np.int64)
+    total, expected = np.zeros(len(distinct), np.int64), np.zeros((len(distinct), states))
     out, start = [], 0
+    for k, c in zip(keys, table.column("c"), strict=True):
+        own = which[start : start + len(k)]  # a sender names a token once
+        n, e = _both_counts(c.as_py(), states)
+        total[own] += n
+        expected[own] += e
+        start += len(k)
+    start = 0
+    sums, expected = expected.sum(axis=0), expected.astype(np.float32)
     for source, k in zip(table.column("source").to_pylist(), keys, strict=True):
-        out.append((source, shard, 1, blob(total[which[start : start + len(k)]]), b"", b""))
+        own = which[start : start + len(k)]
+        out.append((source, shard, 1, blob(total[own]) + blob(expected[own]), b"", b""))
         start += len(k)
     classes = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table.column("b")])[first]
     mass, kinds = np.bincount(classes, total), np.bincount(classes, total > 0)
     known = np.flatnonzero(kinds)
     out.append((-1, shard, 2, blob(known.astype(np.int64)), blob(mass[known].astype(np.int64)), blob(kinds[known].astype(np.int64))))
+    out.append((-1, shard, 3, blob(sums), b"", b""))
     return messages(out)
 
 
+def token_emissions(model: Model, classes: np.ndarray, within: np.ndarray, expected: np.ndarray, state_sums: np.ndarray, distinct: int) -> np.ndarray:
+    """P(token | state): expected counts, and half a count for each different token dealt out by the tied emissions."""
+    prior = 0.5 * (distinct + 1)
+    return (expected.T + prior * model.emit[:, classes] * within) / (state_sums[:, None] + prior)
+
+
+def _state_sums(replies: DataFrame, states: int) -> np.ndarray:
+    """Expected counts of each state over all tokens (one row for each state reaches the driver)."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(states), pa.int32()), pa.array(np.frombuffer(a, np.float64))], names=["i", "x"])
+
+    out = np.zeros(states)
+    for r in replies.where("kind = 3").select("a").mapInArrow(unpack, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        out[r["i"]] = r["x"]
+    return out
+
+
+def _class_counts(sequences: DataFrame, n_classes: int) -> np.ndarray:
+    """How often each class occurs in the training texts (one row for each class reaches the driver)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(n_classes + 1, np.int64)
+        for batch in batches:
+            n += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16), minlength=n_classes + 1)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], names=["i", "n"])
+
+    out = np.zeros(n_classes + 1, np.int64)
+    for r in sequences.select("classes").mapInArrow(run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        out[r["i"]] = r["n"]
+    return out
+
+
 def _class_sums(replies: DataFrame, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and different tokens of each class in the training texts (one row for each class reaches the driver)."""
 
@@ -240,7 +301,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty result.  Other columns are ignored.
 
     Scale: texts are dealt once by id; what travels besides is one entry for each different token of a shard, there and
-    back.  A word that every text has costs one entry a shard.  The driver gets ``states * n_classes`` sums a round.
+    back, with its counts by state.  A word that every text has costs one entry a shard.  The driver gets
+    ``states * n_classes`` sums a round.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -250,10 +312,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), held_out.alias("held_out"))
     dealt = source.select(shard_of(F.col("id"), n).alias("shard"), "id", "text", "held_out")
 
-    told = dealt.groupBy("shard").applyInArrow(lambda t: tell_counts(t, n_classes, n), MESSAGE)
-    replies = stored(told.groupBy("shard").applyInArrow(add_counts, MESSAGE))
-    mass, kinds = _class_sums(replies, n_classes)
-
     def sequences_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(0))
@@ -262,27 +320,35 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(cls, np.cumsum(counts)[:-1])], pa.binary())], names=["classes"])
 
     sequences = stored(source.where(~F.col("held_out")).select("text").mapInArrow(sequences_of, "classes binary"))
-    model = start_model(mass, states)
+    before = model = start_model(_class_counts(sequences, n_classes), states)
     for _ in range(rounds):
-        model = maximised(_em_round(sequences, model))
+        before, model = model, maximised(_em_round(sequences, model))
     discard(sequences)
+
+    # the last round's expected counts once more, token by token
+    told = dealt.groupBy("shard").applyInArrow(lambda t: tell_counts(t, before, n_classes, n), MESSAGE)
+    replies = stored(told.groupBy("shard").applyInArrow(lambda t: add_counts(t, states), MESSAGE))
+    mass, kinds = _class_sums(replies, n_classes)
+    state_sums = _state_sums(replies, states)
     total, distinct = int(mass.sum()), int(kinds.sum())
 
     def score(t: pa.Table, inbox: pa.Table) -> pa.Table:
         s = _Shard(t, n_classes, n)
-        count = np.zeros(len(s.keys), np.int64)
+        count, expected = np.zeros(len(s.keys), np.int64), np.zeros((len(s.keys), states), np.float32)
         for home, a in zip(inbox.column("source").to_pylist(), inbox.column("a").to_pylist(), strict=True):
-            count[s.order[s.cut[home] : s.cut[home + 1]]] = np.frombuffer(a, np.int64)
+            own = s.order[s.cut[home] : s.cut[home + 1]]
+            count[own], expected[own] = _both_counts(a, states)
         c = count[s.which]
         doc = np.repeat(np.arange(len(s.texts)), s.counts)
         base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-        within = np.log10((c + 0.5) / (mass[s.cls] + 0.5 * (kinds[s.cls] + 1)))
-        within[s.hash == END] = 0.0  # the only token of its class
+        within = (count + 0.5) / (mass[s.key_class] + 0.5 * (kinds[s.key_class] + 1))
+        within[s.keys == END] = 1.0  # the only token of its class
+        by_token = Model(model.first, model.move, token_emissions(model, s.key_class, within, expected, state_sums, distinct))
         summed = lambda x: np.bincount(doc, x, len(s.texts))
-        model_score = summed(within)
+        model_score = np.zeros(len(s.texts))
         edge = np.append(0, np.cumsum(s.counts))
         for a, b in _passes(s.counts):
-            model_score[a:b] += log10_likelihood(model, s.cls[edge[a] : edge[b]], s.counts[a:b])
+            model_score[a:b] = log10_likelihood(by_token, s.which[edge[a] : edge[b]], s.counts[a:b])
         columns = [t.column("id"), t.column("held_out"), pa.array(s.counts), pa.array(summed(c > 0).astype(np.int64)), pa.array(np.full(len(s.texts), total)), pa.array(summed(base)), pa.array(model_score)]
         return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

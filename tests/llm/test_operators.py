@@ -336,6 +336,31 @@ def test_hmm_scores(spark, rows):
     assert hmm.score_documents(table(spark, [])).count() == 0
 
 
+def test_hmm_emissions_belong_to_tokens(spark, rows):
+    """Scores by hand, with one table for all tokens: words of one class differ in how much a state likes them."""
+    texts = [(i, (t or "").encode()) for i, t, _ in rows if i is not None]
+    hashes, classes, lengths = hmm.tokens_of([t for _, t in texts], 64)
+    keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    key_class = classes[first]
+    train = np.array([zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in texts])
+    inside = np.repeat(train, lengths)
+    count = np.bincount(which[inside], minlength=len(keys))
+    mass, kinds = np.bincount(key_class, count, 65), np.bincount(key_class, count > 0, 65)
+    model = hmm.start_model(mass, 3)
+    for _ in range(2):
+        tokens = hmm.expected_counts(hmm.Model(model.first, model.move, model.emit[:, key_class]), which[inside], lengths[train]).emit
+        model = hmm.maximised(hmm.expected_counts(model, classes[inside], lengths[train]))
+    within = (count + 0.5) / (mass + 0.5 * (kinds + 1))[key_class]
+    within[keys == hmm.END] = 1
+    prior = 0.5 * ((count > 0).sum() + 1)
+    emit = (tokens + prior * model.emit[:, key_class] * within) / (tokens.sum(axis=1, keepdims=True) + prior)
+    want = hmm.log10_likelihood(hmm.Model(model.first, model.move, emit), which, lengths)
+    got = hmm.score_documents(table(spark, [r for r in rows if r[0] is not None]), states=3, n_classes=64, rounds=2, shard_bytes=4000).collect()
+    assert sorted((r.doc_id, r.score) for r in got) == [(i, pytest.approx(x, rel=1e-5)) for i, x in sorted(zip([i for i, _ in texts], want.tolist(), strict=True))]
+    one = (key_class == np.bincount(key_class).argmax()) & (count > 0)
+    assert np.ptp(emit[0, one] / emit[1, one]) > 0.01
+
+
 @pytest.mark.parametrize("block", [16, 4096])
 def test_mixing(spark, rows, block):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
