@@ -39,6 +39,16 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` doesn't have (whatever their case)."""
+    taken, out, i = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if (name := f"sw_{i}") not in taken:
+            out.append(name)
+        i += 1
+    return out
+
+
 try:
     _trim = ctypes.CDLL(None).malloc_trim
 except (AttributeError, OSError):  # not the GNU C library

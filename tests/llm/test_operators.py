@@ -376,15 +376,48 @@ def test_mixing(spark, rows, block):
     assert sorted(((r.doc_id, r["size"]) for r in got), key=key) == sorted(((i, size(t)) for i, t, _ in rows), key=key)
     assert all(r.taken <= 2 * r["size"] for r in got)
     pieces = mix.pieces().collect()
-    taken = defaultdict(int)
+    taken, starts = defaultdict(int), defaultdict(int)
     for p in pieces:
-        taken[order[p.src]] += p.n_words
+        taken[order[p.src]] += p.words
     assert all(abs(taken[s] - goal[s]) <= 1 for s in order)
-    words = [(p.src, p.start + w, p.epoch) for p in pieces for w in range(p.first_word, p.first_word + p.n_words)]
-    assert len(words) == len(set(words))  # shards are disjoint
+    # the streams by hand: sizes one after the other, cut into blocks, each block in the shard that the tree draws
+    sizes = defaultdict(list)
+    for r in mix.placed.where("size > 0").collect():
+        sizes[r.src].append((r.start, r["size"]))
+    home = {(src, b): k for k in range(mix.shards) for src, (s, q) in enumerate(zip(*mixing.shard_quota(mix.blocks, mix.shards, k, 9), strict=True)) for b in mixing.permuted(np.arange(s, s + q), int(mix.blocks[src]), 9 + src).tolist()}
+    assert len(home) == mix.blocks.sum()
+    want = []
+    for src, parts in sizes.items():
+        assert sum(n for _, n in parts) == total[order[src]]
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+            want += [(src, start, e, min(n, mix.words[src] - start - e * total[order[src]]), home[src, (start + e * total[order[src]]) // block]) for e in (0, 1) if start + e * total[order[src]] < mix.words[src]]
+    assert sorted((p.src, p.start, p.epoch, p.words, p.shard) for p in pieces) == sorted(want)
+    by_shard = defaultdict(list)
+    for p in pieces:
+        by_shard[p.shard].append(p.place)
+    assert all(sorted(x) == list(range(1, len(x) + 1)) for x in by_shard.values()) and (len(by_shard) > 1) == (mix.shards > 1)
+    for r in got:
+        assert (r.n_copies == 0) == (r.taken == 0) == (r["shard"] is None) and (r.n_copies == 2) == (r.second_place is not None)
     assert mixing.mix_documents(table(spark, [])).count() == 0
 
 
+def test_mixed_documents(spark, rows):
+    docs = spark.createDataFrame([(i, t, s, k) for k, (i, t, s) in enumerate(rows)], "doc_id bigint, text string, source string, sw_0 int")
+    mix = mixing.Mix(docs, block_words=16, shard_words=900)
+    got = mix.documents(docs)
+    assert got.columns == docs.columns
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    copies = mix.pieces().collect()
+    assert sorted(((r.doc_id, r.source, size(r.text)) for r in got.collect()), key=key) == sorted(((p.id, sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))[p.src], p.words) for p in copies), key=key)
+    whole = Counter((i, t, s) for i, t, s in rows)
+    assert all(n <= 2 * whole[k] for k, n in Counter((r.doc_id, r.text, r.source) for r in got.collect()).items() if k in whole)
+    assert max(Counter(r.sw_0 for r in got.collect()).values()) <= 2
+    assert mixing.Mix(docs.limit(0)).documents(docs.limit(0)).count() == 0
+
+
 def test_splitting_tree_is_exact():
     blocks = np.array([13, 0, 40, 7])
     got = [mixing.shard_quota(blocks, 6, s, 3) for s in range(6)]
@@ -392,6 +425,12 @@ def test_splitting_tree_is_exact():
     assert all((a + q == b).all() for (a, q), (b, _) in zip(got, got[1:], strict=False))
 
 
+def test_blocks_are_permuted():
+    for n in (1, 2, 3, 7, 64, 1000):
+        got = mixing.permuted(np.arange(n), n, 5)
+        assert sorted(got.tolist()) == list(range(n)) and (n < 60 or (np.diff(got) == 1).mean() < 0.1)
+
+
 def counts_by_hand(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     times = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
