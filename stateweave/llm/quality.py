@@ -1,7 +1,7 @@
 """Quality rules as weak supervision.
 
 Each rule votes good or bad on a document, or abstains.  Expectation-maximisation estimates from the votes alone how
-often each rule gives each vote on good and on bad documents; the posterior probability of being good replaces
+often each rule votes bad on good and on bad documents; the posterior probability of being good replaces
 "all rules must pass".  Only counts of vote patterns (at most 3 to the power of the number of rules) reach the driver.
 """
 
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import stored
-from .texts import Words, as_bytes, bound_batches, mixed, pieces, range_hash, tidied
+from .texts import Words, as_bytes, bound_batches, mixed, pieces, range_hash, tidied, unused
 
 #: Counts of a document, in this order.
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_marks", "n_letters", "n_solid"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_marks", "n_letters", "n_marked"]
 WINDOW = 5
 
 _SYMBOL, _UPPER, _LOWER, _MARK, _LETTER = (np.zeros(256, np.int64) for _ in range(5))
@@ -69,6 +69,7 @@ def count_texts(texts: list[bytes]) -> np.ndarray:
     line_doc = np.searchsorted(starts, line_start, side="right") - 1
     dup_lines = _surplus(line_doc, range_hash(w.sums, line_start, line_end), n)
 
+    marked = (_SYMBOL[data[w.begin]] | _SYMBOL[data[w.end - 1]]) > 0  # words that begin or end with a symbol
     at, h = w.windows(WINDOW)
     repeat = np.zeros(n, np.int64)
     if len(at):
@@ -84,7 +85,7 @@ def count_texts(texts: list[bytes]) -> np.ndarray:
         repeat = np.bincount(w.doc[np.cumsum(cover[:-1]) > 0], minlength=n)
     return np.stack([
         w.counts, _per_text(inside * begins_char, starts), _per_text(_SYMBOL[data], starts), dup_lines, repeat, np.bincount(line_doc, minlength=n),
-        _per_text(_UPPER[data], starts), _per_text(_LOWER[data], starts), _per_text(_MARK[data], starts), _per_text(_LETTER[data] * begins_char, starts), _per_text(inside * begins_char, starts),
+        _per_text(_UPPER[data], starts), _per_text(_LOWER[data], starts), _per_text(_MARK[data], starts), _per_text(_LETTER[data] * begins_char, starts), np.bincount(w.doc[marked], minlength=n),
     ], axis=1).astype(np.int64)
 
 
@@ -120,7 +121,8 @@ RULES = [
     Rule("capitals", "n_upper > n_lower", "n_upper + n_lower > 0 AND 4 * n_upper <= n_lower"),
     Rule("marks", "4 * n_marks > n_words", "50 * n_marks <= n_words"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words", "word_chars >= 3 * n_words AND word_chars <= 12 * n_words"),
-    Rule("letters", "2 * n_letters < n_solid", "10 * n_letters >= 8 * n_solid"),
+    Rule("letters", "4 * n_letters < 3 * word_chars", "10 * n_letters >= 9 * word_chars"),
+    Rule("symbol_words", "10 * n_marked > n_words", "50 * n_marked <= n_words"),
 ]
 
 
@@ -137,34 +139,38 @@ def vote_pattern(rules: list[Rule], inside: str = "") -> Column:
     return total.cast("int")
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, n_rules: int, bad_share: float = 0.15, prior: tuple[float, float] = (8.0, 0.05), rounds: int = 50) -> np.ndarray:
-    """Posterior probability of being good for each vote pattern.
+#: Belief before any document is seen: how often a rule that votes calls a good and a bad document bad, as so many votes.
+BELIEF, BELIEF_VOTES = (0.01, 0.25), 20.0
+#: Where estimation starts: probability of being bad with no, one, two and more bad votes.
+START = (0.02, 0.3, 0.9, 0.98)
 
-    The starting belief is that a rule that votes calls a good document bad with probability 0.002 and a bad one with
-    0.25.  ``prior`` is the weight of that belief on good and on bad documents, in numbers of the whole table.  Being
-    strong for good documents it makes a lone bad vote count, which votes alone can't tell from a false alarm; being
-    weak for bad ones it lets the data say which rules find them.
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, n_rules: int, bad_share: float = 0.15, belief_votes: float = BELIEF_VOTES, rounds: int = 2000, tolerance: float = 1e-10) -> np.ndarray:
+    """Posterior probability of being good for each vote pattern, by expectation-maximisation.
+
+    Estimated are the share of bad documents and, for every rule, how often it votes bad where it votes, on good and on
+    bad documents.  ``BELIEF`` counts as ``belief_votes`` votes on each side, so it fades as documents are added.
+    Estimation starts from the number of bad votes and ends when no posterior moves by more than ``tolerance``.  A bad
+    vote never speaks for a document: a rule found to vote bad more often on good documents gets one rate for both.
     Without any documents there is nothing to estimate and the result is empty.
     """
     if not len(patterns):
         return np.zeros(0)
     votes = patterns[:, None] // 3 ** np.arange(n_rules) % 3
     says_bad, says_good = (votes == 2).astype(float), (votes == 1).astype(float)
-    weight = counts / counts.sum()
-    start = np.array([0.002, 0.25])  # a bad vote on a good and on a bad document
-    bad_vote = np.repeat(start[:, None], n_rules, axis=1)
-    share = np.array([1 - bad_share, bad_share])
+    bad = np.array(START)[np.minimum(says_bad.sum(axis=1), 3).astype(int)]
     for _ in range(rounds):
-        fit = np.log(share) + says_bad @ np.log(bad_vote).T + says_good @ np.log1p(-bad_vote).T
-        post = np.exp(fit - fit.max(axis=1, keepdims=True))
-        post /= post.sum(axis=1, keepdims=True)
-        mass = post * weight[:, None]
-        for c in (0, 1):
-            b, g = mass[:, c] @ says_bad, mass[:, c] @ says_good
-            bad_vote[c] = (b + prior[c] * start[c]) / (b + g + prior[c])
-        bad_vote[0] = np.minimum(bad_vote[0], bad_vote[1] / 2)  # a rule's bad vote never speaks for the document
-        share = (mass.sum(axis=0) + prior[1] * np.array([1 - bad_share, bad_share])) / (1 + prior[1])
-    return post[:, 0]
+        share = (counts @ bad + belief_votes * bad_share) / (counts.sum() + belief_votes)
+        mass = np.stack([(1 - bad) * counts, bad * counts])
+        voted_bad = mass @ says_bad + belief_votes * np.array(BELIEF)[:, None]
+        voted = mass @ (says_bad + says_good) + belief_votes
+        rate = voted_bad / voted
+        rate = np.where(rate[0] > rate[1], voted_bad.sum(axis=0) / voted.sum(axis=0), rate)
+        odds = np.log(share / (1 - share)) + says_bad @ np.log(rate[1] / rate[0]) + says_good @ np.log((1 - rate[1]) / (1 - rate[0]))
+        last, bad = bad, 1 / (1 + np.exp(-odds))
+        if np.abs(bad - last).max() <= tolerance:
+            break
+    return 1 - bad
 
 
 def _failed(inside: str = "") -> Column:
@@ -174,7 +180,7 @@ def _failed(inside: str = "") -> Column:
 
 def _posterior(votes: DataFrame, n_rules: int) -> DataFrame:
     """votes, quality: a row for each pattern that occurs."""
-    seen = votes.groupBy("votes").count().collect()  # at most 3 ** n_rules rows
+    seen = sorted(votes.groupBy("votes").count().collect())  # at most 3 ** n_rules rows; sorted, so that sums are the same in every run
     patterns = np.array([r["votes"] for r in seen], np.int64)
     good = estimate(patterns, np.array([r["count"] for r in seen], float), n_rules)
     return votes.sparkSession.createDataFrame([(int(p), float(g)) for p, g in zip(patterns, good, strict=True)], "votes int, quality double")
@@ -185,42 +191,43 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     One row for each row of ``docs``; the counts are written once to the shared folder, as they are read twice (for
     the estimate and for the result).  ``base_failed``: under 10 words, or over 20 % of them in repeated 5-word
-    windows; such documents aren't kept and have no part in the estimate (their ``quality`` is that of others with
-    the same votes, or null); others are kept if ``quality`` is at least ``threshold``.  A null or empty text
-    has no words and fails; an empty table gives an empty result; repeated rows are judged each; other columns are
-    ignored.
+    windows; such documents aren't kept, others are if ``quality`` is at least ``threshold``.  All documents have a
+    part in the estimate.  A null or empty text has no words and fails; an empty table gives an empty result; repeated
+    rows are judged each; other columns are ignored.
     """
     rules = rules or RULES
     counted = stored(count_documents(docs, id_col, text_col).withColumn("votes", vote_pattern(rules)))
     failed = _failed()
-    table = _posterior(counted.where(~failed), len(rules))
+    table = _posterior(counted, len(rules))
     return (
-        counted.join(F.broadcast(table), "votes", "left")
+        counted.join(F.broadcast(table), "votes")
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.coalesce(F.col("quality"), F.lit(0.0)) >= threshold))
+        .withColumn("kept", ~failed & (F.col("quality") >= threshold))
         .drop("votes")
     )
 
 
 def keep_documents(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge_documents` keeps, with all of their columns.
+    """The rows of ``docs`` that :func:`judge_documents` keeps, with all of their columns, whatever their names.
 
-    Reads the texts twice (for the estimate and for the result) and shuffles none of them.
+    Reads the texts twice (for the estimate and for the result) and shuffles none of them.  Rows whose text is null,
+    empty or too short go; repeated rows stay or go together; an empty table gives an empty one.
     """
     rules = rules or RULES
     bound_batches(docs.sparkSession)
-    counted = count_documents(docs, docs.columns[0], text_col).withColumn("votes", vote_pattern(rules))
-    table = _posterior(counted.where(~_failed()), len(rules)).withColumnsRenamed({"votes": "__votes", "quality": "__quality"})
     names = docs.columns
     at = names.index(text_col)
+    inside, votes, quality = unused(docs, 3)
+    counted = count_documents(docs.select(F.lit(0).alias(votes), F.col(f"`{text_col}`").alias("text")), votes, "text").withColumn("votes", vote_pattern(rules))
+    table = _posterior(counted, len(rules)).toDF(votes, quality)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(at).cast(pa.string()))
             for a, b in pieces(texts):
                 counts = pa.StructArray.from_arrays([pa.array(c) for c in count_texts(texts[a:b]).T], names=COUNTS)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), counts], names=[*names, "__counts"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), counts], names=[*names, inside])
 
-    judged = docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField("__counts", T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))]))
-    judged = judged.where(~_failed("__counts.")).withColumn("__votes", vote_pattern(rules, "__counts."))
-    return judged.join(F.broadcast(table), "__votes").where(F.col("__quality") >= threshold).select(*[f"`{c}`" for c in names])
+    judged = docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(inside, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))]))
+    judged = judged.where(~_failed(f"{inside}.")).withColumn(votes, vote_pattern(rules, f"{inside}."))
+    return judged.join(F.broadcast(table), votes).where(F.col(quality) >= threshold).select(*[f"`{c}`" for c in names])

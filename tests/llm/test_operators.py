@@ -456,11 +456,85 @@ def test_quality(spark, rows):
     assert quality.judge_documents(table(spark, [])).count() == 0
 
 
-def test_label_model_finds_bad_documents():
+def em_by_hand(votes, belief=(0.01, 0.25), weight=20.0, bad_share=0.15, rounds=3000):
+    """Expectation-maximisation document by document (votes: 0 abstains, 1 good, 2 bad)."""
+    start = (0.02, 0.3, 0.9, 0.98)
+    bad = [start[min(3, v.count(2))] for v in votes]
+    for _ in range(rounds):
+        share = (sum(bad) + weight * bad_share) / (len(votes) + weight)
+        rates = []
+        for r in range(len(votes[0])):
+            sums = [[weight * belief[c], weight] for c in (0, 1)]
+            for v, b in zip(votes, bad, strict=True):
+                for c, p in ((0, 1 - b), (1, b)):
+                    sums[c][0] += p * (v[r] == 2)
+                    sums[c][1] += p * (v[r] > 0)
+            good_rate, bad_rate = (x / n for x, n in sums)
+            if good_rate > bad_rate:
+                good_rate = bad_rate = (sums[0][0] + sums[1][0]) / (sums[0][1] + sums[1][1])
+            rates.append((good_rate, bad_rate))
+        last, bad = bad, []
+        for v in votes:
+            p = [1 - share, share]
+            for x, rate in zip(v, rates, strict=True):
+                for c in (0, 1):
+                    p[c] *= {0: 1.0, 1: 1 - rate[c], 2: rate[c]}[x]
+            bad.append(p[1] / sum(p))
+        if max(abs(x - y) for x, y in zip(bad, last, strict=True)) < 1e-10:
+            break
+    return [1 - b for b in bad]
+
+
+def test_label_model_equals_em_by_hand():
+    rnd = random.Random(2)
+    votes = [[rnd.choice([0, 1, 1, 2]) if rnd.random() < 0.3 else 1 for _ in range(4)] for _ in range(150)]
+    code = np.array([sum(v * 3**i for i, v in enumerate(d)) for d in votes])
+    pattern, n = np.unique(code, return_counts=True)
+    good = dict(zip(pattern.tolist(), quality.estimate(pattern, n.astype(float), 4).tolist(), strict=True))
+    assert [good[c] for c in code.tolist()] == pytest.approx(em_by_hand(votes), abs=1e-6)
+
+
+@pytest.mark.parametrize(("rules", "noise"), [(5, 0.0), (5, 0.3), (8, 0.5)])
+@pytest.mark.parametrize("n", [2_000, 200_000])
+def test_label_model_finds_bad_documents(rules, noise, n):
+    """One rule may call documents bad at random: it is found out, at every size of the table."""
     rng = np.random.default_rng(6)
-    bad = rng.random(20_000) < 0.1
-    votes = np.where(bad[:, None], np.where(rng.random((20_000, 5)) < 0.5, 2, 1), np.where(rng.random((20_000, 5)) < 0.003, 2, 1))
-    pattern, n = np.unique(votes @ 3 ** np.arange(5), return_counts=True)
-    good = dict(zip(pattern, quality.estimate(pattern, n.astype(float), 5), strict=True))
-    said = np.array([good[p] for p in votes @ 3 ** np.arange(5)]) < 0.5
-    assert said[~bad].mean() < 0.02 and said[bad].mean() > 0.9
+    bad = rng.random(n) < 0.1
+    votes = np.where(bad[:, None], np.where(rng.random((n, rules)) < 0.5, 2, 1), np.where(rng.random((n, rules)) < 0.003, 2, 1))
+    if noise:
+        votes[:, 0] = np.where(rng.random(n) < noise, 2, 1)
+    pattern, count = np.unique(votes @ 3 ** np.arange(rules), return_counts=True)
+    good = dict(zip(pattern, quality.estimate(pattern, count.astype(float), rules), strict=True))
+    said = np.array([good[p] for p in votes @ 3 ** np.arange(rules)]) < 0.5
+    assert said[~bad].mean() < 0.02 and said[bad].mean() > 0.6
+
+
+def test_verdicts_by_hand(spark, rows):
+    """The whole query: counts, votes and posteriors worked out text by text."""
+    more = [*rows, (300, "same line here\nsame line here\n\n  \nsame line here", "a"), *((310 + k, f"word### a{k}### b### " * 12, "a") for k in range(8)), (301, "LOUD WORDS ! ! ! " * 9, "a")]
+
+    def vote(t):
+        t = t or ""
+        n, chars, symbols, dup, rep = counts_by_hand(t)
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", t), sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in t.split("\n"))
+        upper, lower, marks = sum("A" <= c <= "Z" for c in t), sum("a" <= c <= "z" for c in t), t.count("!")
+        letters = sum(c > "\x7f" or c.isalpha() for c in t)
+        marked = sum(w[0] in "#*$%&|<>" or w[-1] in "#*$%&|<>" for w in words)
+        rules = [
+            (n < 10, n >= 20), (10 * symbols > n, 50 * symbols <= n), (100 * rep > 20 * n, 100 * rep <= 5 * n), (lines >= 4 and 2 * dup > lines, lines >= 3 and dup == 0), (upper > lower, upper + lower > 0 and 4 * upper <= lower),
+            (4 * marks > n, 50 * marks <= n), (chars < 2 * n or chars > 20 * n, 3 * n <= chars <= 12 * n), (4 * letters < 3 * chars, 10 * letters >= 9 * chars), (10 * marked > n, 50 * marked <= n),
+        ]
+        return [2 if b else 1 if g else 0 for b, g in rules], n < 10 or 100 * rep > 20 * n
+
+    votes = [vote(t) for _, t, _ in more]
+    want = em_by_hand([v for v, _ in votes])
+    got = quality.judge_documents(table(spark, more)).collect()
+    assert sorted(((r.doc_id, round(r.quality, 5), r.kept) for r in got), key=key) == sorted(((i, round(q, 5), q >= 0.5 and not failed) for (i, _, _), q, (_, failed) in zip(more, want, votes, strict=True)), key=key)
+    assert not any(r.kept for r in got if r.doc_id and 310 <= r.doc_id < 318)
+
+
+def test_quality_with_clashing_columns_and_nothing_to_judge(spark):
+    df = spark.createDataFrame([(1, "w " * 30, 0, 0.5, 1), (2, None, 0, 0.5, 1), (2, "", 0, 0.5, 1), (None, "many different words " + " ".join(map(str, range(40000))), 0, 0.5, 1)], "n_words int, text string, votes int, quality double, sw_0 int")
+    kept = quality.keep_documents(df)
+    assert kept.columns == df.columns and [r.n_words for r in kept.collect()] in ([None], [])
+    assert quality.keep_documents(df.limit(0)).count() == 0
