@@ -95,7 +95,90 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_nearest": op5_nearest, "op6_licenses": op6_licenses, "op7_near_duplicates": op7_near_duplicates, "op8_hmm": op8_hmm, "op9_mixing": op9_mixing, "op10_quality": op10_quality, "pipeline": pipeline}
+# what SQL can say of queries that it can't express whole ----------------------------------------------------------
 
+
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases that ``op6_licenses`` finds."""
+    return op6_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def hmm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token counts and base scores of ``op8_hmm``."""
+    return op8_hmm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of ``op9_mixing``, and what the mix takes of each source."""
+    mix = op9_mixing(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return mix.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("source_size").alias("source_size"), F.round(F.max("target"), 6).alias("target"), F.sum("taken").alias("taken"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of ``op10_quality``."""
+    return op10_quality(spark, sf_dir).drop("kept", "quality")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_nearest": op5_nearest, "op6_licenses": op6_licenses,
+    "op7_near_duplicates": op7_near_duplicates, "op8_hmm": op8_hmm, "op9_mixing": op9_mixing, "op10_quality": op10_quality, "pipeline": pipeline,
+    "licenses_base": licenses_base, "hmm_base": hmm_base, "mixing_targets": mixing_targets, "quality_base": quality_base,
+}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC32 = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda crc, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, b)), CAST(4294967295 AS BIGINT)), 4294967295)"""
 #: Where SQL can express a query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_nearest": """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+ok AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v) AS score
+  FROM ok q JOIN ok c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op7_near_duplicates": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+m AS (SELECT doc_id, words, min(doc_id) OVER (PARTITION BY words) AS rep FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
+  FROM m WHERE doc_id = rep AND len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE CAST(common AS DOUBLE) / (x.n + y.n - common) >= 0.8),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT DISTINCT rep AS node, rep AS other FROM m UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT node, min(other) AS class_id FROM r GROUP BY 1)
+SELECT doc_id, class_id FROM m JOIN c ON rep = node""",
+    "licenses_base": rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+x AS (SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) - 1 AS i FROM w),
+y AS (SELECT *, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT unnest(['gnu general public license', 'apache license', 'cc by', 'mit license']) AS k, unnest(['gpl', 'apache', 'cc-by', 'mit']) AS label),
+f AS (SELECT doc_id, i AS place, label FROM y JOIN p ON a || ' ' || b = k OR a || ' ' || b || ' ' || c || ' ' || d = k)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM w LEFT JOIN f ON w.doc_id = f.doc_id GROUP BY w.doc_id, words""",
+    "hmm_base": rf"""
+WITH t AS (SELECT doc_id, coalesce({_CRC32} % 5 = 1, false) AS held_out, list_append(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), ' ') AS tokens FROM documents),
+x AS (SELECT doc_id, held_out, unnest(tokens) AS token FROM t),
+c AS (SELECT token, count(*) AS c FROM x WHERE NOT held_out GROUP BY 1),
+k AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 6) AS base_score
+FROM x LEFT JOIN c USING (token), k GROUP BY 1, 2""",
+    "mixing_targets": rf"""
+WITH d AS (SELECT source, count(*) AS n, CAST(sum(len({_WORDS})) AS BIGINT) AS size FROM documents GROUP BY 1),
+g AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 1.5 * sum(size) OVER () AS total FROM d),
+o AS (SELECT *, 2.0 * size / w AS ratio, row_number() OVER (ORDER BY 2.0 * size / w, source NULLS LAST) AS i FROM g),
+q AS (SELECT *, (total - coalesce(sum(2.0 * size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+z AS (SELECT coalesce((SELECT level FROM q WHERE level <= ratio ORDER BY i LIMIT 1), (SELECT max(ratio) FROM q)) AS level)
+SELECT source, n, size, size AS source_size, round(least(2.0 * size, w * z.level), 6) AS target, CAST(round_even(least(2.0 * size, w * z.level), 0) AS BIGINT) AS taken FROM q, z""",
+    "quality_base": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+w AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) AS k, unnest(range(1, len(words) - 3)) AS i FROM t),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS times FROM w),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM k WHERE times > 1) GROUP BY 1),
+l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+c AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM l LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c""",
+}

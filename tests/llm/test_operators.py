@@ -167,7 +167,8 @@ def test_long_secrets_are_masked_whole(length):
         assert n == 1 and secret_scan.mask_text(text, found).decode() == f"{before}[secret]{after}"
 
 
-def test_nearest_is_exact(spark):
+@pytest.mark.parametrize("cell_rows", [30, 4096])
+def test_nearest_is_exact(spark, cell_rows):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(400, 6)).astype(np.float32)
     v[100:250] = v[7]
@@ -175,7 +176,7 @@ def test_nearest_is_exact(spark):
     odd = [(400, None, 1), (401, [0.0] * 6, 1), (402, [float("nan")] * 6, 1), (403, [None] * 6, 1), (404, [1.0, 2.0], 1), (420, [2.0, 1.0], 1), (None, [1.0] * 6, 1), (440, [], 1)]
     df = spark.createDataFrame(data + odd, "vec_id bigint, embedding array<float>, rank int")
     got = defaultdict(list)
-    for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=90, block_rows=9).collect():
+    for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=90, block_rows=9, cell_rows=cell_rows).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     x = v.astype(float)
     for q in range(0, 400, 20):
@@ -188,14 +189,38 @@ def test_nearest_is_exact(spark):
     assert vptree.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_relaxed_pruning_keeps_recall():
-    rng = np.random.default_rng(3)
-    centre = rng.normal(size=(20, 16))
-    x = centre[rng.integers(0, 20, 4000)] + 0.3 * rng.normal(size=(4000, 16))
+def clustered(n, seed=3):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(40, 16))
+    x = centre[rng.integers(0, 40, n)] + 0.2 * rng.normal(size=(n, 16))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("factor", "recall", "share"), [(1.0, 1.0, 0.35), (1.5, 0.99, 0.2), (2.5, 0.95, 0.13)])
+def test_tree_leaves_out_what_it_may(factor, recall, share):
+    """Recall against brute force, and how much of a clustered table is looked at."""
+    x = clustered(8000)
     q = x[:100]
-    exact, _ = vptree.Tree(x, np.arange(4000)).search(q, np.arange(100), 20)
-    near, _ = vptree.Tree(x, np.arange(4000)).search(q, np.arange(100), 20, factor=1.3)
-    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(exact, near, strict=True)]) >= 0.9
+    found, score, looked = vptree.Tree(x, np.arange(8000)).search(q, np.arange(100), 20, factor)
+    s = q @ x.T
+    s[np.arange(100), np.arange(100)] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, want, strict=True)]) >= recall
+    assert looked.mean() <= share * 8000
+
+
+def test_whole_shards_are_left_out(spark):
+    x = clustered(3000, 5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    s = x @ x[::20].T
+    for factor, recall, share in [(1.0, 1.0, 0.5), (2.0, 0.9, 0.35)]:
+        got = defaultdict(set)
+        looked = {}
+        for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, factor=factor, shard_rows=70, block_rows=40, cell_rows=50, with_looked=True).collect():
+            got[r.query_id].add(r.vec_id)
+            looked[r.query_id] = r.looked
+        hits = [len(got[q] & set([i for i in np.argsort(-s[:, q // 20]) if i != q][:20])) / 20 for q in range(0, 3000, 20)]
+        assert np.mean(hits) >= recall and np.mean(list(looked.values())) <= share * 3000
 
 
 def test_licenses(spark, rows):
