@@ -61,9 +61,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credentials in every document; the masked text by its digest."""
-    from .secret_scan import labelled_findings, scan_secrets, train_forest
+    from .secret_scan import corpus_forest, scan_secrets
 
-    found = scan_secrets(table(spark, sf_dir, "documents"), train_forest(labelled_findings()))
+    docs = table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, corpus_forest(docs))
     return found.select("doc_id", "n_candidates", "n_secrets", "max_probability", F.expr("transform(findings, f -> f.begin)").alias("begins"), F.sha2("masked", 256).alias("masked_sha256"))
 
 
