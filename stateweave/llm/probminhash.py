@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from .graph import components, follow
 from .store import discard, stored
-from .texts import LOWER, Words, as_bytes, bound_batches, mixed, pieces, tidied
+from .texts import LOWER, Words, as_bytes, bound_batches, mixed, pieces, tidied, unused
 
 #: Members of a bucket of band values that are paired with each other; members of larger buckets are paired with a
 #: leader and two neighbours first, and what that leaves apart is compared by an exact join afterwards.
@@ -60,6 +60,11 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
     return doc[first], h[first]
 
 
+def digests(texts: list[bytes]) -> list[bytes]:
+    """What texts with the same words have in common: 128 bits."""
+    return [hashlib.blake2b(b" ".join(t.translate(LOWER).split()), digest_size=16).digest() for t in texts]
+
+
 def sketch(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
     """``m`` registers for each of ``n`` weighted sets: the element that arrived first, 0 where a set is empty."""
     arrival = np.full(n * m, np.inf)
@@ -82,12 +87,12 @@ def sketch(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m:
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """node, digest of the words, n_shingles, one 64-bit value for each band, one byte of each register."""
+    """id, print (hash of the text), node (digest of the words), n_shingles, a value for each band, a byte of each register."""
     salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
+            texts = as_bytes(batch.column(2))
             for a, b in pieces(texts):
                 doc, h = shingle_sets(texts[a:b], size)
                 regs = sketch(doc, h, np.ones(len(h)), b - a, bands * rows).reshape(b - a, bands, rows)
@@ -95,28 +100,28 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int
                 for k in range(rows):
                     key = mixed(key + regs[:, :, k])
                 low = mixed(regs).astype(np.uint8).reshape(b - a, bands * rows)
-                digest = [hashlib.blake2b(b" ".join(t.translate(LOWER).split()), digest_size=16).digest() for t in texts[a:b]]
                 n = np.bincount(doc, minlength=b - a)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(key.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), keys, pa.array([x.tobytes() for x in low], pa.binary())], names=["node", "digest", "n_shingles", "bands", "registers"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(digests(texts[a:b]), pa.binary()), pa.array(n, pa.int32()), keys, pa.array([x.tobytes() for x in low], pa.binary())], names=["id", "print", "node", "n_shingles", "bands", "registers"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(f"`{id_col}`").alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return source.mapInArrow(tidied(run), f"node {id_type}, digest binary, n_shingles int, bands array<bigint>, registers binary")
+    text = F.col(f"`{text_col}`").cast("string")
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("print"), text.alias("text"))
+    return source.mapInArrow(tidied(run), f"id {id_type}, print bigint, node binary, n_shingles int, bands array<bigint>, registers binary")
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids' hashes: bits, 16 for each id but ``FILTER_BITS`` at most."""
+    """A Bloom filter of the ids' hashes, packed: 16 bits for each id but ``FILTER_BITS`` at most."""
     n = ids.count()
     bits = 1 << 10
     while bits < min(16 * n, FILTER_BITS):
         bits *= 2
-    h = ids.select(F.xxhash64("node").alias("h"))
+    h = ids.select(F.xxhash64("id").alias("h"))
     at = F.explode(F.array(*[F.pmod(x, F.lit(bits)) for x in _hashes(F.col("h"))])).alias("at")
     words = h.select(at).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("x")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint64)
 
 
 def _hashes(h):
@@ -124,6 +129,14 @@ def _hashes(h):
     return [h, h.bitwiseXOR(F.shiftright(h, 29)) if not isinstance(h, np.ndarray) else h ^ (h >> 29)]
 
 
+def _in_filter(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(h), bool)
+    for x in _hashes(h):
+        at = (x % (64 * len(filter_))).astype(np.uint64)
+        hit &= (filter_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+    return hit
+
+
 def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs whose registers agree often enough to be worth reading."""
     side = lambda x: sketches.select(F.col("node").alias(x), F.col("registers").alias(f"r{x}"))
@@ -139,28 +152,22 @@ def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Shingle sets (packed, sorted) of the wanted nodes.  Texts don't travel: workers filter the ids they read."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+    """Shingle sets (packed, sorted) of the wanted (node, id).  Texts don't travel: workers filter the ids they read."""
     spark = docs.sparkSession
-    member = spark.sparkContext.broadcast(_filter_of(wanted))
+    member = spark.sparkContext.broadcast(_filter_of(wanted.select("id")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(2).to_numpy()
-            hit = np.ones(len(h), bool)
-            for x in _hashes(h):
-                hit &= member.value[x % len(member.value)]
-            batch = batch.filter(pa.array(hit))
-            texts = as_bytes(batch.column(1))
+            batch = batch.filter(pa.array(_in_filter(member.value, batch.column(1).to_numpy())))
+            texts = as_bytes(batch.column(0))
             for a, b in pieces(texts):
                 doc, h = shingle_sets(texts[a:b], size)
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests(texts[a:b]), pa.binary()), pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "shingles"])
 
     node = F.col(f"`{id_col}`")
-    source = docs.where(node.isNotNull()).select(node.alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(node).alias("h"))
-    # rows that repeat an id are one document: any of its texts will do, as equal texts are what repeats
-    return source.mapInArrow(tidied(sets), f"node {id_type}, shingles binary").join(wanted.hint("shuffle_merge"), "node", "left_semi").dropDuplicates(["node"])
+    source = docs.where(node.isNotNull()).select(F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(node).alias("h"))
+    return source.mapInArrow(tidied(sets), "node binary, shingles binary").join(wanted.select("node").hint("shuffle_merge"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -217,30 +224,16 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
-    """The near-duplicate class of every document: ``id_col`` and ``class_id`` (the smallest id in the class).
-
-    Links are between texts whose sets of ``size``-word shingles have a Jaccard similarity of ``threshold`` or more.
-    With 24 bands of 4 registers a pair at 0.8 shares no band with a probability of about 3 in a million.
-
-    Scale: exact copies (equal words) are collapsed to their smallest id first, by a grouping with map-side
-    aggregation.  A band value's bucket never meets in one task: its leader and size come from such a grouping too,
-    the join back can be split, and neighbours are looked for among at most about ``WINDOW_ROWS`` members.  Pairs grow
-    with the number of documents times bands.  Members of buckets with more than ``SMALL_BUCKET + 1`` texts that the
-    first links leave in different components go through an exact prefix-filtered join, so no link is given up.  Texts
-    are read three times but never shuffled; only the shingle sets of candidates are.
-
-    A null text is an empty one; texts without words are copies of each other.  Rows with equal ids are one document.
-    Rows with a null id get the class of their copies, or null.  Extra columns are ignored; an empty table gives an
-    empty result.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """id, print, class_id and whether the row is the one that stays: one row for each row."""
     spark = docs.sparkSession
     bound_batches(spark)
     all_docs = stored(_sketched(docs, id_col, text_col, size, bands, rows))
-    leader = all_docs.groupBy("digest").agg(F.min("node").alias("rep"))
-    members = stored(all_docs.select("node", "digest").join(leader.hint("shuffle_merge"), "digest").select("node", "rep"))
-    leaders = members.where("node = rep").select("node").distinct()
-    alone = stored(all_docs.where("n_shingles > 0").drop("digest").join(leaders.hint("shuffle_merge"), "node", "left_semi").dropDuplicates(["node"]))
+    members = stored(all_docs.select("id", "print", "node"))
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "print"))).alias("first")
+    leaders = stored(members.groupBy("node").agg(first).select("node", F.col("first.id").alias("id"), F.col("first.print").alias("print")))
+    chosen = leaders.where("id IS NOT NULL")
+    alone = stored(all_docs.where("n_shingles > 0").join(chosen.hint("shuffle_merge"), ["node", "id", "print"], "left_semi").dropDuplicates(["node"]).drop("print"))
     discard(all_docs)
 
     entries = alone.select("node", "n_shingles", F.explode("bands").alias("key"))
@@ -256,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ends = lambda x: x.select(F.col("a").alias("node")).union(x.select(F.col("b").alias("node")))
     big = shared.where(F.col("n") > SMALL_BUCKET + 1).select("key", "node")
-    wanted = stored(ends(pairs).union(big.select("node")).distinct())
+    wanted = stored(ends(pairs).union(big.select("node")).distinct().join(chosen.select("node", "id").hint("shuffle_merge"), "node"))
     sets = stored(_sets(wanted, docs, id_col, text_col, size))
     links = stored(_linked(pairs, sets, threshold))
     labels = components(links)
@@ -271,20 +264,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined = components(more.where("a <> b"))
         grown = follow(labels, joined)
         labels = stored(grown.unionByName(joined.join(labels, "node", "left_anti")))
-    return members.join(labels, members.rep == labels.node, "left").select(members.node.alias(id_col), F.coalesce("label", "rep").alias("class_id"))
+    named = chosen.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    best = named.groupBy("label").agg(F.min(F.struct("id", "print")).alias("best"))
+    classes = named.join(best, "label").select("node", "best")
+    return members.join(classes.hint("shuffle_merge"), "node", "left").select("id", "print", F.col("best.id").alias("class_id"), F.coalesce((F.col("id") == F.col("best.id")) & (F.col("print") == F.col("best.print")), F.lit(False)).alias("stays"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each class the document with the smallest id stays.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
+    """The near-duplicate class of every document: ``id_col`` and ``class_id`` (the smallest id in the class).
 
-    Rows with a null id can't be told apart and all stay.  Of rows with equal ids one stays.
+    Links are between texts whose sets of ``size``-word shingles have a Jaccard similarity of ``threshold`` or more.
+    With 24 bands of 4 registers a pair at 0.8 shares no band with a probability of about 3 in a million.
+
+    Scale: exact copies (equal words) are collapsed to their smallest id first, by a grouping with map-side
+    aggregation.  A band value's bucket never meets in one task: its leader and size come from such a grouping too,
+    the join back can be split, and neighbours are looked for among at most about ``WINDOW_ROWS`` members.  Pairs grow
+    with the number of documents times bands.  Members of buckets with more than ``SMALL_BUCKET + 1`` texts that the
+    first links leave in different components go through an exact prefix-filtered join, so no link is given up.  Texts
+    are read twice but never shuffled; only the shingle sets of candidates are.
+
+    A null text is an empty one; texts without words are copies of each other.  Rows that repeat an id with different
+    texts are classed each by its own text.  Rows with a null id get the class of their copies, or null.  Extra columns
+    are ignored; an empty table gives an empty result.
     """
-    node = F.col(f"`{id_col}`")
-    classes = stored(near_duplicates(docs, id_col, text_col, **options))
-    stay = classes.where(node == F.col("class_id")).groupBy(node).count()
-    kept = docs.join(stay.select(node.alias("__id")).hint("shuffle_merge"), node == F.col("__id"), "left_semi")
+    return _classes(docs, id_col, text_col, size, threshold, bands, rows).select(F.col("id").alias(id_col), "class_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class of :func:`near_duplicates` one document stays.
+
+    It is the one with the smallest id (of rows that repeat it with different texts of the class, one of them).  Rows
+    with a null id can't be told apart and all stay.  Of rows with equal ids and texts one stays.  Columns keep their
+    names and values, whatever their names.
+    """
+    node, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    classes = stored(_classes(docs, id_col, text_col, size, threshold, bands, rows))
+    own_id, own_print = unused(docs, 2)
+    stay = stored(classes.where("stays").groupBy(F.col("id").alias(own_id), F.col("print").alias(own_print)).count())
+    kept = docs.join(stay.select(own_id, own_print).hint("shuffle_merge"), (node == F.col(own_id)) & (F.xxhash64(text) == F.col(own_print)), "left_semi")
     if stay.where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    if classes.where(node.isNull()).limit(1).count():
+        kept = kept.dropDuplicates([id_col, text_col])
+    if classes.where("id IS NULL").limit(1).count():
         kept = kept.unionByName(docs.where(node.isNull()))
     return kept

@@ -380,6 +380,21 @@ def test_near_duplicates_with_one_long_word(spark):
     assert all(got[10 * i + 1] == 10 * i for i in range(40))
 
 
+def test_near_duplicates_of_odd_tables(spark):
+    """Ids that repeat with different texts, null ids, clashing columns, very long texts, nothing at all."""
+    rnd = random.Random(12)
+    text = lambda n: " ".join(f"{rnd.randrange(10**6)}" for _ in range(n))
+    a, b, c, long = text(60), text(60), text(60), text(60_000)
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (None, a), (None, "other"), (4, None), (5, ""), (6, " \n"), (7, long), (8, long + " end"), (9, a + " more")]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, sw_0 string, node int")
+    got = Counter((r.doc_id, r.class_id) for r in probminhash.near_duplicates(df).collect())
+    assert got == Counter([(1, 1), (1, 1), (2, 1), (3, 3), (3, 3), (None, 1), (None, None), (4, 4), (5, 4), (6, 4), (7, 7), (8, 7), (9, 1)])
+    kept = probminhash.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (1, b), (3, c), (None, a), (None, "other"), (4, None), (7, long)])
+    assert probminhash.near_duplicates(df.limit(0)).count() == 0 and probminhash.keep_one_of_each(df.limit(0)).count() == 0
+
+
 def test_sketch_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     a, b = np.arange(0, 300), np.arange(100, 400)
