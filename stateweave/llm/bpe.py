@@ -32,6 +32,24 @@ CACHE_ENTRIES = 150_000
 #: How a byte-level vocabulary writes bytes as printable characters, and how it splits texts.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters and numbers that Unicode has got after version 16 (or hasn't assigned), which count as neither.
+LATER_LETTERS = (
+    "558, 58B-58C, 88F, C5C, CDC, 208F, 209D-209F, A7CE-A7CF, A7D2, A7D4, A7DD, A7E2, A7F1, AB6C-AB6D, 107BB-107BF, 10940-10959, "
+    "10EC5-10EC7, 10ED9-10EEE, 11B0A, 11DB0-11DDB, 11DF1, 16EA0-16EB8, 16EBB-16ED3, 16FF2-16FF3, 187F8-187FF, 18CD6-18CDA, "
+    "18D09-18D20, 18D80-18DF2, 18E00-19191, 191A0-191D2, 1B123-1B128, 1B168, 1D6A6, 1DF1F-1DF24, 1DF2B-1DF81, 1DF90-1DF96, "
+    "1DFCD-1DFFF, 1E6C0-1E6DE, 1E6E0-1E6E2, 1E6E4-1E6E5, 1E6E7-1E6ED, 1E6F0-1E6F4, 1E6FE-1E6FF, 2B73A-2B73F, 2B81E, 2CEA2-2CEAD, 323B0-33479, 3D000-3FC3F"
+)
+LATER_NUMBERS = "11DE0-11DE9, 1246F, 12475-1247F, 12550-12686, 16FF4-16FF6"
+#: Longest chunk of text that a worker's caches keep.
+CACHE_LENGTH = 256
+
+
+def split_pattern(later_letters: str = LATER_LETTERS, later_numbers: str = LATER_NUMBERS) -> str:
+    """``SPLIT`` with letters and numbers as they were before the later ones (regex syntax, version 1)."""
+    ranges = lambda text: "".join("-".join(f"\\U{int(x, 16):08X}" for x in part.split("-")) for part in text.split(", "))
+    old = {"L": rf"[\p{{L}}--[{ranges(later_letters)}]]", "N": rf"[\p{{N}}--[{ranges(later_numbers)}]]"}
+    other = rf"[[^\s\p{{L}}\p{{N}}]||[{ranges(later_letters)}{ranges(later_numbers)}]]"
+    return "(?V1)" + SPLIT.replace(r"[^\s\p{L}\p{N}]", other, 1).replace(r"?\p{L}+", f"?{old['L']}+").replace(r"?\p{N}+", f"?{old['N']}+")
 
 
 def byte_letters() -> list[str]:
@@ -41,13 +59,15 @@ def byte_letters() -> list[str]:
 
 
 class _Cache(dict):
-    """A dictionary that computes what it lacks and starts anew when it is full."""
+    """A dictionary that computes what it lacks and starts anew when it is full; long texts aren't kept."""
 
     def __init__(self, compute, limit: int = CACHE_ENTRIES):
         super().__init__()
         self.compute, self.limit = compute, limit
 
     def __missing__(self, key):
+        if isinstance(key, str) and len(key) > CACHE_LENGTH:
+            return self.compute(key)
         if len(self) >= self.limit:
             self.clear()
         self[key] = value = self.compute(key)
@@ -97,7 +117,7 @@ class Codec:
             self.merge[ids] = (rank, whole)
             if whole not in self.parts:
                 self.parts[whole], self.rank[whole] = ids, rank
-        self.split = regex.compile(SPLIT)
+        self.split, self.split_any = regex.compile(SPLIT), regex.compile(split_pattern())
         self.shorter = _Cache(self._shorter)
         self.compatible = _Cache(self._compatible)
         self.pre_token = _Cache(self._pre_token)
@@ -175,7 +195,7 @@ class Codec:
         return pack(f"<{len(out)}I", *out)
 
     def _run(self, chunk: str) -> bytes:
-        return b"".join(map(self.pre_token.__getitem__, self.split.findall(chunk)))
+        return b"".join(map(self.pre_token.__getitem__, (self.split if chunk.isascii() else self.split_any).findall(chunk)))
 
     #: A blank before other white space: only then do the splits on its two sides depend on each other.
     _TANGLED = re.compile(r" (?:[\s\x1c-\x1f\x85᠎​﻿]|$)")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters
+from .bpe import CACHE_LENGTH, byte_letters
 from .texts import as_bytes, bound_batches, tidied
 
 #: Pre-tokens whose counts a worker remembers; a full memory starts anew (results don't depend on it).
@@ -84,6 +84,8 @@ class Counter:
         for w in words:
             found = [self.known[x] for x in w]
             out.append((len(w), sum(n for n, _ in found), math.fsum(s for _, s in found)))
+        for x in {x for w in words for x in w if len(x) > CACHE_LENGTH}:
+            del self.known[x]
         return out
 
 

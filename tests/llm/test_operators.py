@@ -62,6 +62,40 @@ def test_bpe_equals_the_library(spark, rows):
     assert bpe.encode_documents(table(spark, []), BPE).count() == 0
 
 
+def test_bpe_splits_every_character_as_the_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    with open(BPE, "rb") as f:
+        c = bpe.Codec(f.read())
+    every = [chr(x) for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    for before in ("a", "1", "!", " "):  # each class of character beside each character
+        for k in range(0, len(every), 4000):
+            text = before + before.join(every[k : k + 4000])
+            assert c.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, hex(ord(every[k]))
+
+
+def test_very_long_texts_are_not_kept(spark):
+    long = "x" * 300_000 + " y" * 200_000 + " é" * 50_000
+    with open(BPE, "rb") as f:
+        c = bpe.Codec(f.read())
+    assert c.decode(c.encode(long)) == long and max(map(len, c.pre_token), default=0) <= bpe.CACHE_LENGTH
+    df = table(spark, [(1, long, "a"), (2, long, "b")])
+    assert [r.n_words for r in quality.judge_documents(df).collect()] == [250_001] * 2
+    assert {r.class_id for r in probminhash.near_duplicates(df).collect()} == {1}
+    assert sorted(r.n_removed for r in suffix_dedup.remove_repeats(df).collect()) == [0, len(long.encode())]
+    assert [r.n_tokens for r in hmm.score_documents(df, rounds=1).collect()] == [250_002] * 2
+    assert [r.n_words for r in licenses.scan_licenses(df).collect()] == [250_001] * 2
+    assert sum(r.taken for r in mixing.mix_documents(df).collect()) == 750_003
+
+
+def test_empty_tables(spark):
+    none = table(spark, [])
+    forest = secret_scan.train_forest(secret_scan.labelled_findings(200))
+    for got in (trie_tokens.count_tokens(none, BPE), secret_scan.scan_secrets(none, forest), secret_scan.mask_documents(none, forest), licenses.scan_licenses(none), quality.judge_documents(none)):
+        assert got.count() == 0
+
+
 def test_every_bpe_token_is_reachable():
     with open(BPE, "rb") as f:
         c = bpe.Codec(f.read())
@@ -117,6 +151,24 @@ def test_suffix_array():
         assert sorted(order.tolist()) == list(range(len(t))) and cut == sorted(cut)
 
 
+def test_common_prefixes():
+    rnd = random.Random(6)
+    t = "".join(rnd.choice("ab") for _ in range(400)) + "\0"
+    data = np.frombuffer(t.encode(), np.uint8)
+    order = suffix_dedup.suffix_array(data, 56)
+    got = suffix_dedup.common_prefixes(suffix_dedup._long_words(data, 64), order, 50)
+    pad = t + "\0" * 60
+    for k in range(1, len(order)):
+        a, b = pad[order[k - 1] : order[k - 1] + 50], pad[order[k] : order[k] + 50]
+        assert got[k] == next((i for i in range(50) if a[i] != b[i]), 50)
+    assert got[0] == 0
+
+
+def test_ids_have_to_be_integers(spark):
+    with pytest.raises(TypeError, match="integer"):
+        suffix_dedup.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_trie_counts(spark, rows):
     with open(BPE, "rb") as f:
         scores = trie_tokens.zipf_scores(f.read())
