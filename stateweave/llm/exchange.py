@@ -25,3 +25,22 @@ def messages(rows: list[tuple]) -> pa.Table:
 
 def bits(packed: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+
+
+class Deal:
+    """Entries dealt to the shards that they belong to; only shards that occur take part, however many there are."""
+
+    def __init__(self, home: np.ndarray):
+        self.order = np.argsort(home, kind="stable")
+        self.homes, first = np.unique(home[self.order], return_index=True)
+        self.edge = np.append(first, len(home))
+
+    def __iter__(self):
+        """Each shard that occurs, and its entries."""
+        for i, shard in enumerate(self.homes.tolist()):
+            yield shard, self.order[self.edge[i] : self.edge[i + 1]]
+
+    def of(self, shard: int) -> np.ndarray:
+        """The entries of a shard."""
+        i = int(np.searchsorted(self.homes, shard))
+        return self.order[self.edge[i] : self.edge[i + 1]] if i < len(self.homes) and self.homes[i] == shard else self.order[:0]
