@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import MESSAGE, blob, messages
+from .exchange import MESSAGE, Deal, blob, messages
 from .store import discard, stored
 from .texts import LOWER, Words, as_bytes, bound_batches, pieces, range_hash, shard_of, shards_for, text_bytes
 
@@ -147,9 +147,7 @@ class _Shard:
         self.hash, self.cls, self.counts = tokens_of(self.texts, n_classes)
         self.keys, first, self.which = np.unique(self.hash, return_index=True, return_inverse=True)
         self.key_class = self.cls[first]
-        home = (self.keys % np.uint64(n_shards)).astype(np.int64)
-        self.order = np.argsort(home, kind="stable")
-        self.cut = np.searchsorted(home[self.order], np.arange(n_shards + 1))
+        self.deal = Deal((self.keys % np.uint64(n_shards)).astype(np.int64))
 
 
 def tell_counts(table: pa.Table, model: Model, n_classes: int, n_shards: int) -> pa.Table:
@@ -166,14 +164,19 @@ def tell_counts(table: pa.Table, model: Model, n_classes: int, n_shards: int) ->
     edge = np.append(0, np.cumsum(lengths))
     for a, b in _passes(lengths):
         expected += expected_counts(by_token, which[edge[a] : edge[b]], lengths[a:b]).emit.T
-    expected = expected.astype(np.float32)
-    return messages([(k, source, 0, blob(s.keys[own := s.order[s.cut[k] : s.cut[k + 1]]]), blob(s.key_class[own]), blob(n[own]) + blob(expected[own])) for k in range(n_shards) if s.cut[k] < s.cut[k + 1]])
+    return messages([(k, source, 0, blob(s.keys[own]), blob(s.key_class[own]), _packed(n[own], expected[own])) for k, own in s.deal])
+
+
+def _packed(n: np.ndarray, expected: np.ndarray) -> bytes:
+    """Counts of tokens and their expected counts by state; those of the last state are what is left of the count."""
+    return blob(n) + blob(expected[:, :-1].astype(np.float32))
 
 
 def _both_counts(packed: bytes, states: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of tokens and their expected counts by state, from a message."""
-    k = len(packed) // (8 + 4 * states)
-    return np.frombuffer(packed, np.int64, k), np.frombuffer(packed, np.float32, k * states, 8 * k).reshape(k, states)
+    """What :func:`_packed` has packed."""
+    k = len(packed) // (4 + 4 * states)
+    n, e = np.frombuffer(packed, np.int64, k), np.frombuffer(packed, np.float32, k * (states - 1), 8 * k).reshape(k, states - 1)
+    return n, np.column_stack([e, np.maximum(0.0, n - e.sum(axis=1, dtype=np.float64))])
 
 
 def add_counts(table: pa.Table, states: int) -> pa.Table:
@@ -190,10 +193,10 @@ def add_counts(table: pa.Table, states: int) -> pa.Table:
         expected[own] += e
         start += len(k)
     start = 0
-    sums, expected = expected.sum(axis=0), expected.astype(np.float32)
+    sums = expected.sum(axis=0)
     for source, k in zip(table.column("source").to_pylist(), keys, strict=True):
         own = which[start : start + len(k)]
-        out.append((source, shard, 1, blob(total[own]) + blob(expected[own]), b"", b""))
+        out.append((source, shard, 1, _packed(total[own], expected[own]), b"", b""))
         start += len(k)
     classes = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table.column("b")])[first]
     mass, kinds = np.bincount(classes, total), np.bincount(classes, total > 0)
@@ -334,9 +337,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def score(t: pa.Table, inbox: pa.Table) -> pa.Table:
         s = _Shard(t, n_classes, n)
-        count, expected = np.zeros(len(s.keys), np.int64), np.zeros((len(s.keys), states), np.float32)
+        count, expected = np.zeros(len(s.keys), np.int64), np.zeros((len(s.keys), states))
         for home, a in zip(inbox.column("source").to_pylist(), inbox.column("a").to_pylist(), strict=True):
-            own = s.order[s.cut[home] : s.cut[home + 1]]
+            own = s.deal.of(home)
             count[own], expected[own] = _both_counts(a, states)
         c = count[s.which]
         doc = np.repeat(np.arange(len(s.texts)), s.counts)

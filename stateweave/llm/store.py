@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where none is set (as in tests), a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; only where none is set in local mode (as in tests), a temporary folder."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jvm_dir.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = jvm_dir.get() if jvm_dir.isDefined() else tempfile.mkdtemp(prefix="stateweave-")
         if not jvm_dir.isDefined():
             spark.sparkContext.setCheckpointDir(folder)
