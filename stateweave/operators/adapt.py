@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,9 +17,9 @@ BROADCAST_CATEGORIES = 100_000
 MISSING_KEY = "<missing>"
 
 
-def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+def medians(df: DataFrame, columns: list[str], weight: str | None = None) -> dict[str, float]:
     """Median of the finite values of each column; 0 where there are none."""
-    return {c: (q[0] if q else 0.0) for c, q in exact_quantiles(df, columns, [0.5]).items()}
+    return {c: (q[0] if q else 0.0) for c, q in exact_quantiles(df, columns, [0.5], weight).items()}
 
 
 def imputed(column: str, median: float) -> tuple[Column, Column]:
@@ -67,19 +69,21 @@ def out_of_fold_scores(df: DataFrame, column: str, target: Column, fold: str, sm
     w = weight if weight is not None else F.lit(1.0)
     rows = df.withColumn("__k", key)
     cells = rows.groupBy("__k", fold).agg(F.sum(target * w).alias("s"), F.sum(w).alias("n"))
-    by_key, by_fold, whole = Window.partitionBy("__k"), Window.partitionBy(fold), Window.partitionBy()
+    by_key, whole = Window.partitionBy("__k"), Window.partitionBy()
     rest_s, rest_n = F.sum("s").over(by_key) - F.col("s"), F.sum("n").over(by_key) - F.col("n")
-    mean = (F.sum("s").over(whole) - F.sum("s").over(by_fold)) / (F.sum("n").over(whole) - F.sum("n").over(by_fold))
-    # the mean outside a fold is the same for all of its cells, null keys included
-    table = cells.select("__k", fold, F.when(F.col("__k").isNull(), mean).otherwise((rest_s + smoothing * mean) / (rest_n + smoothing)).alias("score"))
+    folds = cells.groupBy(fold).agg(F.sum("s").alias("fs"), F.sum("n").alias("fn"))  # one row for each fold
+    folds = folds.select(fold, ((F.sum("fs").over(whole) - F.col("fs")) / (F.sum("fn").over(whole) - F.col("fn"))).alias("__m"))
+    mean = F.col("__m")  # outside a fold it is the same for all of its cells, null keys included
+    table = cells.join(F.broadcast(folds), fold).select("__k", fold, F.when(F.col("__k").isNull(), mean).otherwise((rest_s + smoothing * mean) / (rest_n + smoothing)).alias("score"))
     joined = rows.alias("r").join(table.alias("t"), F.col("r.__k").eqNullSafe(F.col("t.__k")) & (F.col(f"r.{fold}") == F.col(f"t.{fold}")))
     return joined.select("r.*", "t.score").drop("__k")
 
 
-def fitted_scores(df: DataFrame, column: str, target: Column, smoothing: float = 20.0) -> tuple[DataFrame, float]:
+def fitted_scores(df: DataFrame, column: str, target: Column, smoothing: float = 20.0, weight: Column | None = None) -> tuple[DataFrame, float]:
     """value, score over all rows, and the overall mean that unseen values get."""
-    mean = df.agg(F.avg(target)).first()[0]
-    rows = df.groupBy(F.col(quoted(column)).cast("string").alias("value")).agg(((F.sum(target) + smoothing * mean) / (F.count("*") + smoothing)).alias("score"))
+    w = weight if weight is not None else F.lit(1.0)
+    mean = df.agg(F.sum(target * w) / F.sum(w)).first()[0]
+    rows = df.groupBy(F.col(quoted(column)).cast("string").alias("value")).agg(((F.sum(target * w) + smoothing * mean) / (F.sum(w) + smoothing)).alias("score"))
     return rows.where("value IS NOT NULL"), mean
 
 
@@ -110,10 +114,10 @@ def embedding_scale(df: DataFrame, column: str) -> DataFrame:
     return long.groupBy("dim").agg(F.avg("x").alias("mean"), F.when(F.stddev_pop("x") < 1e-8, F.lit(1.0)).otherwise(F.stddev_pop("x")).alias("scale"))
 
 
-def class_centroids(df: DataFrame, column: str, target: str) -> DataFrame:
+def class_centroids(df: DataFrame, column: str, target: str, weight: Column | None = None) -> DataFrame:
     """class, dim, mean: the mean embedding of each class."""
-    long = df.select(F.col(target).alias("class"), F.posexplode(F.col(quoted(column))).alias("dim", "x"))
-    return long.groupBy("class", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    long = df.select(F.col(target).alias("class"), (weight if weight is not None else F.lit(1.0)).alias("w"), F.posexplode(F.col(quoted(column))).alias("dim", "x"))
+    return long.groupBy("class", "dim").agg((F.sum(F.col("x").cast("double") * F.col("w")) / F.sum("w")).alias("mean"))
 
 
 def centroid_direction(df: DataFrame, column: str, centroids: dict[int, list[float]]) -> Column:
@@ -123,26 +127,156 @@ def centroid_direction(df: DataFrame, column: str, centroids: dict[int, list[flo
     return far(centroids[0]) - far(centroids[1])
 
 
-def knn_probability(df: DataFrame, key: str, column: str, target: str, is_query: Column, k: int = 5, most_evaluations: int = 100_000_000) -> DataFrame:
-    """``key``, probability: distance-weighted share of class 1 among the ``k`` nearest other rows.
+def principal_directions(df: DataFrame, column: str, k: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, the ``k`` leading directions (rows; their largest entry is positive) and variances of an embedding column.
 
-    A stated set of queries against all rows.  Guarded by the number of distances, as it grows with the product.
+    One pass sums products; the driver holds a matrix of the embedding's length squared.
     """
-    from ..schema import ResourceLimitError
+    size = df.select(F.max(F.size(F.col(quoted(column))))).first()[0]
+
+    def work(batches):
+        total = np.zeros((size + 1, size + 1))
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, size)])
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["i", "x"])
+
+    sound = df.select(F.col(quoted(column)).cast("array<double>").alias("x")).where((F.size("x") == size) & F.forall("x", lambda v: v.isNotNull() & finite(v)))
+    rows = sound.mapInArrow(work, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    g = np.zeros((size + 1) ** 2)
+    g[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    g = g.reshape(size + 1, size + 1)
+    mean = g[0, 1:] / g[0, 0]
+    values, vectors = np.linalg.eigh(g[1:, 1:] / g[0, 0] - np.outer(mean, mean))
+    values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k].T
+    return mean, vectors * np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)])[:, None], values
+
+
+def projected(column: str, mean: np.ndarray, directions: np.ndarray) -> Column:
+    """The embedding in the coordinates of the directions, as an array."""
+    x = F.zip_with(F.col(quoted(column)), F.array(*map(F.lit, mean.tolist())), lambda a, m: a.cast("double") - m)
+    dot = lambda d: F.aggregate(F.zip_with(x, F.array(*map(F.lit, d.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return F.array(*[dot(d) for d in directions])
 
-    rows = df.select(F.col(key).alias("id"), F.col(quoted(column)).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"), is_query.alias("q"))
+
+def prototypes(df: DataFrame, column: str, target: str, per_class: int = 64, rounds: int = 10) -> dict[int, np.ndarray]:
+    """k-means centres of each class (0 and 1), started from the rows with the smallest hashes of their values.
+
+    Every round is one aggregation; the driver holds the centres.
+    """
+    rows = df.select(F.col(quoted(target)).cast("int").alias("y"), F.col(quoted(column)).cast("array<double>").alias("x")).where(F.col("x").isNotNull())
+    centres = {c: np.array([r[0] for r in rows.where(F.col("y") == c).select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(per_class).collect()]) for c in (0, 1)}
+    for _ in range(rounds):
+        fixed = {c: v for c, v in centres.items()}
+
+        def work(batches, fixed=fixed):
+            total = {c: np.zeros((len(v), v.shape[1] + 1)) for c, v in fixed.items() if len(v)}
+            for batch in batches:
+                y = batch.column(0).to_numpy()
+                for c, v in fixed.items():
+                    x = batch.column(1).filter(pa.array(y == c))
+                    if len(v) and len(x):
+                        x = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, v.shape[1])
+                        near = ((v**2).sum(axis=1) - 2 * x @ v.T).argmin(axis=1)
+                        np.add.at(total[c], near, np.column_stack([np.ones(len(x)), x]))
+            for c, t in total.items():
+                i, j = np.nonzero(t)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), c, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(t[i, j])], names=["c", "i", "j", "x"])
+
+        moved = {c: np.zeros((len(v), v.shape[1] + 1)) for c, v in centres.items() if len(v)}
+        for r in rows.mapInArrow(work, "c int, i int, j int, x double").groupBy("c", "i", "j").agg(F.sum("x").alias("x")).collect():
+            moved[r["c"]][r["i"], r["j"]] = r["x"]
+        for c, t in moved.items():
+            on = t[:, 0] > 0
+            centres[c] = np.where(on[:, None], t[:, 1:] / np.maximum(t[:, :1], 1), centres[c])
+    return centres
+
+
+def prototype_score(column: str, centres: dict[int, np.ndarray]) -> Column:
+    """Distance to the nearest prototype of class 0 less that to the nearest of class 1."""
+    x = F.col(quoted(column))
+    far = lambda p: F.aggregate(F.zip_with(x, F.array(*map(F.lit, p.tolist())), lambda a, b: (a.cast("double") - b) ** 2), F.lit(0.0), lambda s, d: s + d)
+    nearest = lambda c: F.sqrt(F.array_min(F.array(*[far(p) for p in centres[c]])))
+    return nearest(0) - nearest(1)
+
+
+def discriminant_direction(df: DataFrame, column: str, target: str, shrink: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and offset of the linear discriminant of two classes with a covariance shrunk to its mean variance."""
+    size = df.select(F.max(F.size(F.col(quoted(column))))).first()[0]
+
+    def work(batches):
+        total = np.zeros((2, size + 1, size + 1))
+        for batch in batches:
+            y, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
+            x = np.column_stack([np.ones(len(x)), x])
+            for c in (0, 1):
+                total[c] += x[y == c].T @ x[y == c]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["i", "x"])
+
+    sound = df.select(F.col(quoted(target)).cast("int").alias("y"), F.col(quoted(column)).cast("array<double>").alias("x")).where((F.size("x") == size) & F.col("y").isin(0, 1) & F.forall("x", lambda v: v.isNotNull() & finite(v)))
+    rows = sound.mapInArrow(work, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    g = np.zeros(2 * (size + 1) ** 2)
+    g[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    g = g.reshape(2, size + 1, size + 1)
+    n = g[:, 0, 0]
+    mean = g[:, 0, 1:] / n[:, None]
+    cov = sum(g[c, 1:, 1:] - n[c] * np.outer(mean[c], mean[c]) for c in (0, 1)) / n.sum()
+    cov = (1 - shrink) * cov + shrink * np.trace(cov) / size * np.eye(size)
+    w = np.linalg.solve(cov, mean[1] - mean[0])
+    return w, float(-w @ (mean[0] + mean[1]) / 2 + np.log(n[1] / n[0]))
+
+
+#: Distances that one block of queries computes in one pass.
+BLOCK_DISTANCES = 100_000_000
+
+
+def knn_probability(df: DataFrame, key: str, column: str, target: str, is_query: Column, k: int | list[int] = 5, fold: Column | None = None, block_distances: int = BLOCK_DISTANCES) -> DataFrame:
+    """``key``, probability: distance-weighted share of class 1 among the ``k`` nearest other rows (a list: an array).
+
+    ``fold``: neighbours are sought in other folds only.  A stated set of queries against all rows, in blocks: rows are
+    dealt to shards, queries to blocks, and every shard answers each block's queries with their ``k`` nearest.
+    """
+    ks = [k] if isinstance(k, int) else list(k)
+    rows = df.select(F.col(key).alias("id"), F.col(quoted(column)).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"), is_query.alias("q"), (fold if fold is not None else F.lit(-1)).cast("int").alias("fold")).where(F.col("x").isNotNull())
     n, asked = rows.agg(F.count("*"), F.count_if("q")).first()
-    if n * asked > most_evaluations:
-        raise ResourceLimitError(f"{n * asked} distances, {most_evaluations} allowed")
-    queries = F.broadcast(rows.where("q").select(F.col("id").alias("qid"), F.col("x").alias("qx")))  # at most most_evaluations / n rows
-    d2 = F.round(F.aggregate(F.zip_with("x", "qx", lambda a, b: (a - b) ** 2), F.lit(0.0), lambda s, v: s + v), 9)
-    near = rows.join(queries, F.col("id") != F.col("qid")).select("qid", "id", "y", d2.alias("d2"))
-    best = near.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "id", "y"))), 1, k).alias("b")) if n < 50_000 else _nearest(near, k)
-    w = F.transform("b", lambda e: 1.0 / (F.sqrt(e.d2) + 1e-9))
-    top = F.aggregate(F.zip_with(w, "b", lambda a, e: a * e.y), F.lit(0.0), lambda s, v: s + v)
-    return best.select(F.col("qid").alias(key), (top / F.aggregate(w, F.lit(0.0), lambda s, v: s + v)).alias("probability"))
-
-
-def _nearest(near: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy("d2", "id")
-    return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("d2", "id", "y"))).alias("b"))
+    root = max(1, int(block_distances**0.5))
+    shards, blocks = max(1, -(-n // root)), max(1, -(-asked // root))
+    deal = lambda count, by: F.pmod(F.xxhash64(by), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    points = rows.select(deal(shards, F.col("id")).alias("shard"), every(blocks).alias("block"), "id", "x", "y", "fold")
+    queries = rows.where("q").select(every(shards).alias("shard"), deal(blocks, F.concat(F.col("id").cast("string"), F.lit("q"))).alias("block"), "id", "x", "fold")
+    most, by_fold = max(ks), fold is not None
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def search(points: pa.Table, queries: pa.Table) -> pa.Table:
+        out = ([], [], [], [])
+        if points.num_rows and queries.num_rows:
+            order = points.column("id").to_numpy().argsort(kind="stable")
+            points = points.take(pa.array(order))
+            matrix = lambda t: t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            x, ids, folds, q, q_ids, q_folds = matrix(points), points.column("id").to_numpy(), points.column("fold").to_numpy(), matrix(queries), queries.column("id").to_numpy(), queries.column("fold").to_numpy()
+            for i in range(len(q)):
+                d = np.zeros(len(x))
+                for j in range(x.shape[1]):
+                    d += (x[:, j] - q[i, j]) ** 2
+                d = np.where((ids == q_ids[i]) | (by_fold & (folds == q_folds[i])), np.inf, np.round(d, 9))
+                best = np.argsort(d, kind="stable")[:most]  # ties: smaller ids first
+                best = best[np.isfinite(d[best])]
+                for o, v in zip(out, (np.full(len(best), q_ids[i]), d[best], ids[best], points.column("y").to_numpy()[best]), strict=True):
+                    o.append(v)
+        flat = [np.concatenate(o) if o else np.zeros(0) for o in out]
+        kind = queries.schema.field("id").type
+        return pa.table([pa.array(flat[0]).cast(kind), pa.array(flat[1], pa.float64()), pa.array(flat[2]).cast(kind), pa.array(flat[3], pa.float64())], names=["qid", "d2", "id", "y"])
+
+    near = points.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(search, f"qid {id_type}, d2 double, id {id_type}, y double")
+    nearest = Window.partitionBy("qid").orderBy("d2", "id")
+    best = near.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= most)
+    w = 1.0 / (F.sqrt("d2") + 1e-9)
+    share = [F.sum(F.when(F.col("r") <= j, w * F.col("y"))) / F.sum(F.when(F.col("r") <= j, w)) for j in ks]
+    return best.groupBy(F.col("qid").alias(key)).agg((share[0] if isinstance(k, int) else F.array(*share)).alias("probability"))
+
+
+def packed_states(df: DataFrame, cardinality: dict[str, int]) -> DataFrame:
+    """State columns in the smallest integer type that holds them."""
+    kind = lambda n: "tinyint" if n <= 128 else "smallint" if n <= 32_768 else "int"
+    return df.select(*[F.col(quoted(c)).cast(kind(cardinality[c])).alias(c) if c in cardinality else F.col(quoted(c)) for c in df.columns])

@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..schema import ValidationError, finite, quoted
 
@@ -15,58 +14,91 @@ BUFFER_ROWS = 20_000_000
 BINS = 4096
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float]]:
-    """Linear (type 7) quantiles of the finite values of each column; an empty list for a column without any."""
-    values = df.select(*[F.when(finite(F.col(quoted(c)).cast("double")), F.col(quoted(c)).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
-    if df.count() <= BUFFER_ROWS:
-        row = values.agg(*[F.percentile(f"v{i}", F.array(*map(F.lit, probabilities))).alias(f"q{i}") for i in range(len(columns))]).first()
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], weight: str | None = None) -> dict[str, list[float]]:
+    """Linear (type 7) quantiles of the finite values of each column; an empty list for a column without any.
+
+    ``weight``: whole numbers repeat their rows; others give the linear quantiles of the midpoint distribution.
+    """
+    w = F.col(quoted(weight)).cast("double") if weight else F.lit(1.0)
+    values = df.select(*[F.when(finite(F.col(quoted(c)).cast("double")), F.col(quoted(c)).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)], w.alias("w")).where("w > 0")
+    n, whole = values.agg(F.count("*"), F.coalesce(F.bool_and(F.col("w") == F.rint("w")), F.lit(True))).first()
+    if whole and n <= BUFFER_ROWS:
+        frequency = F.col("w").cast("bigint") if weight else F.lit(1)
+        row = values.agg(*[F.percentile(f"v{i}", F.array(*map(F.lit, probabilities)), frequency).alias(f"q{i}") for i in range(len(columns))]).first()
         return {c: list(row[i] or []) for i, c in enumerate(columns)}
-    return {c: _by_histograms(values.select(F.col(f"v{i}").alias("v")).where("v IS NOT NULL"), probabilities) for i, c in enumerate(columns)}
-
-
-def _by_histograms(values: DataFrame, probabilities: list[float]) -> list[float]:
-    """Finds the order statistics around each quantile by repeated histograms of ``BINS`` cells over shrinking ranges."""
-    lo, hi, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
-    if not n:
-        return []
-    at = [p * (n - 1) for p in probabilities]
-    found = {k: _order_statistic(values, k, lo, hi) for k in sorted({int(np.floor(x)) for x in at} | {int(np.ceil(x)) for x in at})}
-    return [found[int(np.floor(x))] + (x - np.floor(x)) * (found[int(np.ceil(x))] - found[int(np.floor(x))]) for x in at]
-
-
-def _order_statistic(values: DataFrame, k: int, lo: float, hi: float) -> float:
-    below = 0
-    while lo < hi:
-        width = (hi - lo) / BINS
-        inside = values.where((F.col("v") >= lo) & (F.col("v") <= hi))
-        cell = F.least(F.floor((F.col("v") - lo) / width), F.lit(BINS - 1)) if width else F.lit(0)
-        for r in sorted(inside.groupBy(cell.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()):
-            if below + r["n"] > k:
-                lo, hi = r["lo"], r["hi"]
-                break
-            below += r["n"]
-        if not width:
-            break
-    return lo
+    return _narrowed(values, columns, probabilities, not whole)
+
+
+def _narrowed(values: DataFrame, columns: list[str], probabilities: list[float], midpoints: bool) -> dict[str, list[float]]:
+    """The same by histograms of ``BINS`` cells over shrinking ranges: each pass narrows all targets of all columns."""
+    k = len(columns)
+    row = values.agg(*[f(f"v{i}") for i in range(k) for f in (F.min, F.max)], *[F.coalesce(F.sum(F.when(F.col(f"v{i}").isNotNull(), F.col("w"))), F.lit(0.0)) for i in range(k)]).first()
+    mass = [row[2 * k + i] for i in range(k)]
+    # a target: (column, how much weight has to lie at or below the value sought)
+    goal: dict[tuple[int, float], list[float]] = {}
+    for i in range(k):
+        if mass[i]:
+            for p in probabilities:
+                ranks = [p * mass[i]] if midpoints else [float(np.floor(p * (mass[i] - 1))) + 1, float(np.ceil(p * (mass[i] - 1))) + 1]
+                for r in ranks:
+                    goal[i, r] = [row[2 * i], row[2 * i + 1], 0.0]  # lowest, highest, weight below
+    targets = list(goal)
+    while open_ := [t for t in targets if goal[t][0] < goal[t][1]]:
+        entries, width = [], {t: (goal[t][1] - goal[t][0]) / BINS for t in open_}
+        for j, (i, _) in enumerate(open_):
+            lo, hi, _ = goal[open_[j]]
+            cell = F.least(F.floor((F.col(f"v{i}") - lo) / width[open_[j]]), F.lit(BINS - 1)) if width[open_[j]] else F.lit(0)
+            entries.append(F.when((F.col(f"v{i}") >= lo) & (F.col(f"v{i}") <= hi), F.struct(F.lit(j).alias("t"), cell.cast("int").alias("b"), F.col(f"v{i}").alias("v"))))
+        cells = values.select("w", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+        found: dict[int, list] = {}
+        for r in cells.groupBy("e.t", "e.b").agg(F.sum("w").alias("w"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi")).collect():
+            found.setdefault(r["t"], []).append((r["b"], r["w"], r["lo"], r["hi"]))
+        for j, t in enumerate(open_):
+            below, parts = goal[t][2], sorted(found[j])
+            for n, (_, w, lo, hi) in enumerate(parts):
+                if below + w >= t[1] * (1 - 1e-12) or n == len(parts) - 1:
+                    goal[t] = [lo, hi, below]
+                    break
+                below += w
+            if not width[t]:
+                goal[t][1] = goal[t][0]
+    at = {t: g[0] for t, g in goal.items()}
+    if not midpoints:
+        out = {}
+        for i, c in enumerate(columns):
+            x = [(p * (mass[i] - 1)) for p in probabilities] if mass[i] else []
+            out[c] = [at[i, float(np.floor(z)) + 1] + (z - np.floor(z)) * (at[i, float(np.ceil(z)) + 1] - at[i, float(np.floor(z)) + 1]) for z in x]
+        return out
+    return _between_midpoints(values, columns, probabilities, mass, {t: (g[0], g[2]) for t, g in goal.items()})
+
+
+def _between_midpoints(values: DataFrame, columns: list[str], probabilities: list[float], mass: list[float], at: dict[tuple[int, float], tuple[float, float]]) -> dict[str, list[float]]:
+    """Interpolates between the midpoints of the value where each target's weight is reached and of its neighbours."""
+    targets = list(at)
+    if not targets:
+        return {c: [] for c in columns}
+    near = []
+    for i, r in targets:
+        v, x = F.col(f"v{i}"), at[i, r][0]
+        near += [F.max(F.when(v < x, v)), F.sum(F.when(v == x, F.col("w"))), F.min(F.when(v > x, v)), F.sum(F.when(v < x, F.col("w")))]
+    row = values.agg(*near).first()
+    beside = values.agg(*[F.sum(F.when(F.col(f"v{i}") == F.lit(row[4 * j + side]), F.col("w"))) for j, (i, _) in enumerate(targets) for side in (0, 2)]).first()
+    out: dict[str, list[float]] = {c: [] for c in columns}
+    for i, c in enumerate(columns):
+        for p in probabilities if mass[i] else []:
+            j = targets.index((i, p * mass[i]))
+            low, w, high, below = row[4 * j : 4 * j + 4]
+            below, x = below or 0.0, at[targets[j]][0]
+            points = [((below - beside[2 * j] / 2), low)] if low is not None else []
+            points += [(below + w / 2, x)] + ([(below + w + beside[2 * j + 1] / 2, high)] if high is not None else [])
+            out[c].append(float(np.interp(p * mass[i], [m for m, _ in points], [v for _, v in points])))
+    return out
 
 
 def weighted_quantiles(df: DataFrame, column: str, weight: str, probabilities: list[float]) -> list[float]:
-    """Weights that are whole numbers repeat their row; others give the linear quantile of the midpoint distribution.
-
-    All-equal-one weights are the same as none; rows of weight 0 have no part.
-    """
+    """:func:`exact_quantiles` of one column with checked weights; all-equal-one weights are the same as none."""
     check_weights(df, weight)
-    v, w = F.col(quoted(column)).cast("double"), F.col(quoted(weight)).cast("double")
-    rows = df.select(v.alias("v"), w.alias("w")).where(finite(F.col("v")) & (F.col("w") > 0))
-    whole = rows.agg(F.coalesce(F.bool_and(F.col("w") == F.rint("w")), F.lit(True))).first()[0]
-    if whole:
-        row = rows.agg(F.percentile("v", F.array(*map(F.lit, probabilities)), F.col("w").cast("bigint"))).first()[0]
-        return list(row or [])
-    cells = rows.groupBy("v").agg(F.sum("w").alias("w"))
-    running = F.sum("w").over(Window.orderBy("v"))  # one row for each distinct value
-    table = np.array([tuple(r) for r in cells.select("v", "w", running.alias("c")).orderBy("v").collect()], float)
-    mid = (table[:, 2] - table[:, 1] / 2) / table[-1, 2]
-    return np.interp(probabilities, mid, table[:, 0]).tolist()
+    return exact_quantiles(df, [column], probabilities, weight)[column]
 
 
 def check_weights(df: DataFrame, weight: str) -> bool:
@@ -89,15 +121,16 @@ def few_values(df: DataFrame, columns: list[str], most: int) -> dict[str, list[f
     return {c: list(row[i]) for i, c in enumerate(likely) if len(row[i]) <= most}
 
 
-def nested_thresholds(df: DataFrame, columns: list[str], levels: tuple[int, ...] = (4, 8, 16), digits: int | None = None) -> dict[str, dict[int, list[float]]]:
+def nested_thresholds(df: DataFrame, columns: list[str], levels: tuple[int, ...] = (4, 8, 16), digits: int | None = None, weight: str | None = None) -> dict[str, dict[int, list[float]]]:
     """Thresholds for each column and level: midpoints where there are few values, else quantiles inside the range.
 
-    Two aggregates over the table at most, whatever the number of columns.
+    A fixed number of aggregates over the table, whatever the number of columns.  Rows of weight 0 have no part.
     """
+    if weight:
+        df = df.where(F.col(quoted(weight)) > 0)
     few = few_values(df, columns, max(levels))
     probabilities = sorted({i / b for b in levels for i in range(b + 1)})
-    many = [c for c in columns if c not in few]
-    quantile = exact_quantiles(df, many, probabilities) if many else {}
+    quantile = exact_quantiles(df, columns, probabilities, weight) if columns else {}
     out: dict[str, dict[int, list[float]]] = {}
     for c in columns:
         out[c] = {}
@@ -105,7 +138,7 @@ def nested_thresholds(df: DataFrame, columns: list[str], levels: tuple[int, ...]
             if c in few and len(few[c]) <= b:
                 cuts = [(x + y) / 2 for x, y in zip(few[c], few[c][1:], strict=False)]
             else:
-                q = dict(zip(probabilities, quantile[c], strict=True)) if c in quantile else dict(zip(probabilities, exact_quantiles(df, [c], probabilities)[c], strict=False))
+                q = dict(zip(probabilities, quantile[c], strict=False))
                 cuts = sorted({t for i in range(1, b) if (t := q.get(i / b)) is not None and q[0.0] < t < q[1.0]})
             out[c][b] = sorted({round(t, digits) for t in cuts}) if digits is not None else cuts
     return out

@@ -37,8 +37,9 @@ def top_pairs(pairs: DataFrame, features: list[str], score: str, k: int, second:
     i, j = position(features, F.col("f0")), position(features, F.col("f1"))
     tie = [F.desc("i0"), F.desc("i1")] if later_first else [F.asc("i0"), F.asc("i1")]
     out = out.withColumn("i0", i).withColumn("i1", j)
-    order = Window.orderBy(F.desc(score), *([F.desc(second)] if second else []), *tie)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("i0", "i1")
+    order = [F.desc(score), *([F.desc(second)] if second else []), *tie]
+    best = out.orderBy(*order).limit(k)  # every task keeps its own best k; the window sees k rows
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("i0", "i1")
 
 
 def round_robin(ranked: DataFrame, direction: str, rank: str, item: str, k: int) -> DataFrame:
@@ -55,10 +56,79 @@ def top_in_group(df: DataFrame, group: str, score: str, ties: list[str], k: int)
 
 
 def tie_safe_top(df: DataFrame, score: str, k: int) -> DataFrame:
-    """The ``k`` best rows and all that tie with the last of them."""
-    return df.withColumn("__r", F.rank().over(Window.orderBy(F.desc(score)))).where(F.col("__r") <= k).drop("__r")
+    """The ``k`` best rows and all that tie with the last of them (null scores never are; fewer rows: all of them)."""
+    last = df.where(F.col(score).isNotNull()).select(F.col(score).alias("__s")).orderBy(F.desc("__s")).limit(k).agg(F.min("__s").alias("__s"))
+    return df.join(F.broadcast(last), F.col(score) >= F.col("__s")).drop("__s")  # one row
 
 
 def two_stage(pairs: DataFrame, features: list[str], first: str, second: str, k: int, factor: int = 4) -> DataFrame:
     """The best ``factor * k`` by ``first``, of those the best ``k`` by ``second``."""
     return top_pairs(top_pairs(pairs, features, first, factor * k).drop("rank"), features, second, k)
+
+
+def label_pairs(scores: DataFrame, how: str = "mean") -> DataFrame:
+    """f0, f1, excess, mi from scores of pairs for each label: their mean, their max, or half of each (``mean_max``)."""
+    over = {"mean": F.avg, "max": F.max, "mean_max": lambda c: (F.avg(c) + F.max(c)) / 2}[how]
+    return scores.groupBy("f0", "f1").agg(over("excess").alias("excess"), over("mi").alias("mi"))
+
+
+def diversified(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
+    """f0, f1, rank: two thirds of ``k`` pairs from one ranking, then the rest from another, each once; gaps are refilled.
+
+    Both rankings (f0, f1, rank) are a few times ``k`` long.
+    """
+    quota = (2 * k + 2) // 3
+    one = first.select("f0", "f1", F.col("rank").alias("r1"))
+    both = one.join(second.select("f0", "f1", F.col("rank").alias("r2")), ["f0", "f1"], "full")
+    # the second ranking's turn: its first pairs that the first one's quota has not taken
+    taken = F.coalesce(F.col("r1") <= quota, F.lit(False))
+    turn = Window.partitionBy(taken).orderBy(F.col("r2").asc_nulls_last(), "f0", "f1")
+    later = both.withColumn("taken", taken).withColumn("turn", F.when(~F.col("taken") & F.col("r2").isNotNull(), F.row_number().over(turn)))
+    quick = F.coalesce(F.col("turn") <= k - quota, F.lit(False))
+    group = F.when(F.col("taken"), 0).when(quick, 1).when(F.col("r1").isNotNull(), 2).otherwise(3)
+    place = F.when(F.col("taken") | (group == 2), F.col("r1")).otherwise(F.col("r2"))
+    order = Window.orderBy("group", "place", "f0", "f1")
+    out = later.withColumn("group", group).withColumn("place", place)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("f0", "f1", "rank")
+
+
+def cost_adjusted(gains: DataFrame, rows: int, cardinality: Column, per_byte: float = 0.0, per_step: float = 0.0) -> DataFrame:
+    """Adds ``score`` to block gains (f0, f1, gate_state, gain): gain a row less the cost of bytes and steps, by table size.
+
+    Blocks whose gain doesn't cover a cost go.
+    """
+    size = 8.0 * cardinality + 16.0
+    net = F.col("gain") / max(rows, 1) - per_byte * size - 2 * per_step
+    out = gains.withColumn("score", net / F.sqrt(size))
+    return out.where(net > 0) if per_byte or per_step else out
+
+
+def top_blocks(blocks: DataFrame, features: list[str], score: str, k: int) -> DataFrame:
+    """The ``k`` best blocks (f0, gate_state, f1, gain) by ``score``, then gain, then later columns.  Adds ``rank``."""
+    out = blocks.withColumn(score, F.round(score, 12)).withColumn("gain", F.round("gain", DIGITS))
+    out = out.withColumn("i0", position(features, F.col("f0"))).withColumn("i1", position(features, F.col("f1")))
+    order = [F.desc(score), F.desc("gain"), F.desc("i0"), F.desc("gate_state"), F.desc("i1")]
+    return out.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("i0", "i1")
+
+
+def full_and_stable(halves: DataFrame, features: list[str], rows: int, cardinality: int, k: int, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame, bool]:
+    """Both rankings of blocks from one table of cells (f0, f1, s0, s1, half, n, g, h), and whether a boundary is a near tie.
+
+    A near tie (scores on both sides of rank ``k`` closer than ``tolerance`` of the best one) means that rounding could
+    decide; the caller may then want more blocks.
+    """
+    from .stats import block_gains, stable_score
+
+    whole = halves.groupBy("f0", "f1", "s0", "s1").agg(*[F.sum(c).alias(c) for c in ("n", "g", "h")])
+    full = cost_adjusted(block_gains(whole, rows), rows, F.lit(float(cardinality)))
+    each = block_gains(halves, rows // 2, least=10, by=["half"])
+    side = lambda v: F.max(F.when(F.col("half") == v, F.col("gain")))
+    split = each.groupBy("f0", "f1", "gate_state").agg(side(0).alias("a"), side(1).alias("b")).where("a > 0 AND b > 0")
+    stable = split.withColumn("score", stable_score(F.col("a"), F.col("b"), cardinality)).join(full.select("f0", "f1", "gate_state", "gain"), ["f0", "f1", "gate_state"])
+    near, out = False, []
+    for blocks in (full, stable):
+        top = top_blocks(blocks, features, "score", k + 1).persist()
+        scores = [r["score"] for r in top.orderBy("rank").collect()]  # k + 1 rows
+        near |= len(scores) > k and scores[k - 1] - scores[k] <= tolerance * max(abs(scores[0]), 1e-30)
+        out.append(top.where(F.col("rank") <= k))
+    return out[0], out[1], near

@@ -120,16 +120,25 @@ def mean_and_error(df: DataFrame, loss: Column) -> DataFrame:
     return df.agg(F.avg(loss).alias("loss"), (F.stddev_samp(loss) / F.sqrt(F.count(loss))).alias("standard_error"))
 
 
-def best_f1_threshold(df: DataFrame, score: str, target: str, shrink: float = 0.25) -> DataFrame:
+def best_f1_threshold(df: DataFrame, score: str, target: str, shrink: float = 0.25, weight: Column | None = None, buckets: int = 1024) -> DataFrame:
     """threshold, f1: the score at which F1 is largest, kept inside .05 to .95 and drawn to 0.5.
 
-    Works on one row for each different score.
+    Works on one row for each different score; running sums are taken over ``buckets`` ranges of scores first, then
+    inside each range.
     """
-    cells = df.groupBy(F.col(score).alias("t")).agg(F.count("*").alias("n"), F.sum(target).alias("p"))
-    down = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    w = weight if weight is not None else F.lit(1)
+    cells = df.groupBy(F.col(score).alias("t")).agg(F.sum(w).alias("n"), F.sum(w * F.col(target)).alias("p"))
+    edge = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
+    wide = (F.col("hi") - F.col("lo")) / buckets
+    cells = cells.join(F.broadcast(edge)).withColumn("b", F.when(wide > 0, F.floor((F.col("t") - F.col("lo")) / wide)).otherwise(0)).drop("lo", "hi")
+    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
-    f1 = 2 * F.sum("p").over(down) / (F.sum("n").over(down) + F.sum("p").over(every))
-    best = cells.select("t", f1.alias("f1")).orderBy(F.desc("f1"), F.desc("t")).limit(1)
+    ranges = cells.groupBy("b").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))  # at most buckets + 1 rows
+    ranges = ranges.select("b", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("an"), F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("ap"), F.sum("bp").over(every).alias("all"))
+    down = Window.partitionBy("b").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    p, n = F.col("ap") + F.sum("p").over(down), F.col("an") + F.sum("n").over(down)
+    f1 = 2 * p / (n + F.col("all"))
+    best = cells.join(F.broadcast(ranges), "b").select("t", f1.alias("f1")).orderBy(F.desc("f1"), F.desc("t")).limit(1)
     inside = F.greatest(F.least(F.col("t"), F.lit(0.95)), F.lit(0.05))
     return best.select((F.lit(shrink) * 0.5 + (1 - shrink) * inside).alias("threshold"), "f1")
 
@@ -140,3 +149,39 @@ def bernstein_bound(df: DataFrame, value: Column, bound: float, delta: float = 0
     n = F.count(value)
     lower = F.avg(value) - F.sqrt(2 * F.var_samp(value) * log / n) - 7 * bound * log / (3 * (n - 1))
     return df.agg(F.avg(value).alias("mean"), lower.alias("lower"))
+
+
+def class_gains(cells: DataFrame, by: list[str], l2: float = 10.0, least: int = 12) -> DataFrame:
+    """``by``, gain: half the sum over classes of G^2/(H + l2), over states with enough rows.
+
+    ``cells`` has a row for each state and class with the state's rows ``n`` and the class's sums ``g`` and ``h``.
+    """
+    return cells.where(F.col("n") >= least).groupBy(*by).agg((F.sum(F.col("g") ** 2 / (F.col("h") + l2)) / 2).alias("gain"))
+
+
+def class_cells(df: DataFrame, features: list[str], classes: list, code: str, probabilities: list[Column], weight: Column | None = None) -> DataFrame:
+    """feature, state, class, n, g, h: for every state, sums of residuals and Hessians of each class (one pass).
+
+    ``code``: the row's class as an index into ``classes``; ``probabilities``: one column for each.
+    """
+    w = weight if weight is not None else F.lit(1.0)
+    sums = {f"g{i}": w * ((F.col(code) == i).cast("double") - p) for i, p in enumerate(probabilities)} | {f"h{i}": w * p * (1 - p) for i, p in enumerate(probabilities)}
+    wide = state_cells(df, features, sums=sums, weight=w)
+    each = F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"g{i}").alias("g"), F.col(f"h{i}").alias("h")) for i, c in enumerate(classes)])
+    return wide.select("feature", "state", "n", F.explode(each).alias("e")).select("feature", "state", "n", "e.*")
+
+
+def class_descriptors(cells: DataFrame, features: list[str], l2: float = 10.0, least: int = 12, screened: int = 24, per_class: int = 3, most: int = 12) -> DataFrame:
+    """class, feature, state, score, rank: states whose class residuals call for a correction of their own.
+
+    From the ``screened`` best features by :func:`class_gains`; the ``per_class`` best states of each class, ``most`` in all.
+    """
+    from .rank import position, top_features
+
+    best = top_features(class_gains(cells, ["feature"], l2, least), features, "gain", screened).select("feature")
+    scored = cells.where(F.col("n") >= least).join(F.broadcast(best), "feature").withColumn("score", F.round(F.col("g") ** 2 / (F.col("h") + l2) / 2, 9))
+    scored = scored.withColumn("idx", position(features, F.col("feature")))
+    order = [F.desc("score"), "class", "idx", "state"]
+    own = scored.withColumn("k", F.row_number().over(Window.partitionBy("class").orderBy(*order))).where(F.col("k") <= per_class)
+    top = own.orderBy(*order).limit(most)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("class", "feature", "state", "score", "rank")

@@ -112,7 +112,16 @@ def test_weights_are_repetition(spark):
     df = spark.createDataFrame(rows, "v double, w int")
     p = np.linspace(0, 1, 23).tolist()
     assert quantiles.weighted_quantiles(df, "v", "w", p) == pytest.approx(np.quantile(np.repeat([r[0] for r in rows], [r[1] for r in rows]), p).tolist())
-    assert quantiles._by_histograms(df.select("v"), p) == pytest.approx(np.quantile([r[0] for r in rows], p).tolist())
+    values = df.select(F.col("v").alias("v0"), (F.col("v") * 2).alias("v1"), F.col("w").cast("double").alias("w"))
+    plain = quantiles._narrowed(values.withColumn("w", F.lit(1.0)), ["a", "b"], p, False)
+    assert plain["a"] == pytest.approx(np.quantile([r[0] for r in rows], p).tolist()) and plain["b"] == pytest.approx([2 * x for x in plain["a"]])
+    assert quantiles._narrowed(values.where("w > 0"), ["a", "b"], p, False)["a"] == pytest.approx(np.quantile(np.repeat([r[0] for r in rows], [r[1] for r in rows]), p).tolist())
+    real = df.withColumn("w", F.col("w") * 0.7)
+    order = sorted((v, 0.7 * w) for v, w in rows if w)
+    total = np.cumsum([w for _, w in order])
+    middle = np.interp(np.array(p) * total[-1], total - np.array([w for _, w in order]) / 2, [v for v, _ in order])
+    assert quantiles.weighted_quantiles(real, "v", "w", p) == pytest.approx(middle.tolist())
+    assert quantiles._narrowed(values.limit(0), ["a", "b"], p, False) == {"a": [], "b": []}
     with pytest.raises(ValidationError):
         quantiles.check_weights(df.withColumn("w", -F.col("w")), "w")
 
