@@ -73,6 +73,32 @@ def product_parent(left: list[int], right: list[int]) -> list[int]:
     return [a * width + b for a in left for b in right]
 
 
+def nested_codes(features: dict[str, tuple[str, int]], pairs: list[tuple[str, str]] = (), levels: tuple[int, ...] = (4, 8, 16), fine_pairs: bool = False) -> dict[str, Column]:
+    """Codes of nested levels: ``name_4`` is the coarse state, ``name_8`` the residual code of the next level, and so on.
+
+    ``features``: name to (column of the finest state, its number of states).  Pairs get joint codes (``a_x_b_4``) and
+    residual codes up to the level before the last, with ``fine_pairs`` up to the last.  A residual code is 0 for the
+    first child of each parent, so the codes of all levels together tell the finest state and none repeats another.
+    """
+    out: dict[str, Column] = {}
+    state_of = {(n, b): coarser(F.col(c), k, b) if k > b else F.col(c) for n, (c, k) in features.items() for b in levels}
+    size = {(n, b): min(b, k) for n, (_, k) in features.items() for b in levels}
+    parent = {(n, b): [next(coarse_map(k, a)[s] for s in range(k) if coarse_map(k, b)[s] == t) for t in range(min(b, k))] for n, (_, k) in features.items() for a, b in zip(levels, levels[1:], strict=False)}
+    for n in features:
+        out[f"{n}_{levels[0]}"] = state_of[n, levels[0]]
+        for b in levels[1:]:
+            out[f"{n}_{b}"] = lookup(state_of[n, b], residual_map(parent[n, b])).cast("int")
+    for x, y in pairs:
+        out[f"{x}_x_{y}_{levels[0]}"] = pair_code(state_of[x, levels[0]], state_of[y, levels[0]], size[y, levels[0]])
+        for a, b in zip(levels, levels[1:], strict=False):
+            if b == levels[-1] and not fine_pairs:
+                break
+            width = size[y, a]
+            joint = [p * width + q for p in parent[x, b] for q in parent[y, b]]
+            out[f"{x}_x_{y}_{b}"] = lookup(pair_code(state_of[x, b], state_of[y, b], size[y, b]), residual_map(joint)).cast("int")
+    return out
+
+
 def sigmoid(x: Column, limit: float = 50.0) -> Column:
     z = F.greatest(F.least(x, F.lit(limit)), F.lit(-limit))
     return 1.0 / (1.0 + F.exp(-z))

@@ -213,3 +213,11 @@ def constant_program(share: float, limit: float = 1e-6) -> Program:
 
     p = min(max(share, limit), 1 - limit)
     return Program({}, log(p / (1 - p)), link="logit")
+
+
+def max_error(a: Program, b: Program, df: DataFrame) -> DataFrame:
+    """what, largest_error, n: the largest differences of two programs' scores and probabilities on a table (one pass)."""
+    x, y = a.score(), b.score()
+    row = df.select(F.abs(x - y).alias("z"), F.abs(fn.sigmoid(x) - fn.sigmoid(y)).alias("p")).agg(F.max("z").alias("z"), F.max("p").alias("p"), F.count("*").alias("n"))
+    each = F.array(F.struct(F.lit("score").alias("what"), F.col("z").alias("largest_error"), "n"), F.struct(F.lit("probability").alias("what"), F.col("p").alias("largest_error"), "n"))
+    return row.select(F.explode(each).alias("e")).select("e.*")
