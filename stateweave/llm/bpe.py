@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .texts import bound_batches, tidied
 
-#: Entries that a worker's caches hold at most; a full cache starts anew (results don't depend on it).
-CACHE_ENTRIES = 150_000
+#: Entries that a worker's caches of chunks and of pre-tokens hold at most; a full cache starts anew (results don't
+#: depend on it).
+CACHE_ENTRIES, PRE_TOKENS = 100_000, 50_000
 
 #: How a byte-level vocabulary writes bytes as printable characters, and how it splits texts.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -120,7 +121,7 @@ class Codec:
         self.split, self.split_any = regex.compile(SPLIT), regex.compile(split_pattern())
         self.shorter = _Cache(self._shorter)
         self.compatible = _Cache(self._compatible)
-        self.pre_token = _Cache(self._pre_token)
+        self.pre_token = _Cache(self._pre_token, PRE_TOKENS)
         self.after_space = _Cache(lambda part: self._run(" " + part))
         self.at_start = _Cache(self._run, 20_000)
 

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from .exchange import MESSAGE, Deal, blob, messages
 from .store import discard, stored
-from .texts import LOWER, Words, as_bytes, bound_batches, pieces, range_hash, shard_of, shards_for, text_bytes
+from .texts import LOWER, Words, as_bytes, bound_batches, freed, pieces, range_hash, shard_of, shards_for, text_bytes, tidied
 
 #: Bytes of text in a shard of documents; there are as many shards of tokens.
 SHARD_BYTES = 8 << 20
 #: Tokens that one forward-backward pass looks at together (a longer text is a pass of its own).
-PASS_TOKENS = 1 << 20
+PASS_TOKENS = 1 << 19
 #: Bytes at a token's end that decide its class.
 SUFFIX = 3
 #: Stands for the end of a text among token hashes.
@@ -268,22 +268,35 @@ def _passes(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Sequences of several batches for one pass: long passes have fewer steps for each token."""
+    seqs: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            seqs.append(np.frombuffer(x, np.uint16))
+            size += len(seqs[-1])
+            if size >= PASS_TOKENS:
+                yield seqs
+                seqs, size = [], 0
+    if seqs:
+        yield seqs
+
+
 def _em_round(sequences: DataFrame, model: Model) -> Model:
     """Expected counts over all training texts."""
     states = len(model.first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(model.pack()))
-        for batch in batches:
-            seqs = [np.frombuffer(x, np.uint16) for x in batch.column(0).to_pylist()]
+        for seqs in _gathered(batches):
             lengths = np.array([len(x) for x in seqs], np.int64)
-            for a, b in _passes(lengths):
-                total += expected_counts(model, np.concatenate(seqs[a:b]), lengths[a:b]).pack()
+            total += expected_counts(model, np.concatenate(seqs), lengths).pack()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["i", "x"])
 
     flat = np.zeros(len(model.pack()))
-    for r in sequences.select("classes").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # the model's size
+    for r in sequences.select("classes").mapInArrow(tidied(run), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # the model's size
         flat[r["i"]] = r["x"]
     return Model.unpack(flat, states)
 
@@ -322,15 +335,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 _, cls, counts = tokens_of(texts[a:b], n_classes)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(cls, np.cumsum(counts)[:-1])], pa.binary())], names=["classes"])
 
-    sequences = stored(source.where(~F.col("held_out")).select("text").mapInArrow(sequences_of, "classes binary"))
+    sequences = stored(source.where(~F.col("held_out")).select("text").mapInArrow(tidied(sequences_of), "classes binary"))
     before = model = start_model(_class_counts(sequences, n_classes), states)
     for _ in range(rounds):
         before, model = model, maximised(_em_round(sequences, model))
     discard(sequences)
 
     # the last round's expected counts once more, token by token
-    told = dealt.groupBy("shard").applyInArrow(lambda t: tell_counts(t, before, n_classes, n), MESSAGE)
-    replies = stored(told.groupBy("shard").applyInArrow(lambda t: add_counts(t, states), MESSAGE))
+    told = dealt.groupBy("shard").applyInArrow(lambda t: freed(tell_counts)(t, before, n_classes, n), MESSAGE)
+    replies = stored(told.groupBy("shard").applyInArrow(lambda t: freed(add_counts)(t, states), MESSAGE))
     mass, kinds = _class_sums(replies, n_classes)
     state_sums = _state_sums(replies, states)
     total, distinct = int(mass.sum()), int(kinds.sum())
@@ -355,5 +368,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         columns = [t.column("id"), t.column("held_out"), pa.array(s.counts), pa.array(summed(c > 0).astype(np.int64)), pa.array(np.full(len(s.texts), total)), pa.array(summed(base)), pa.array(model_score)]
         return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    out = dealt.groupBy("shard").cogroup(replies.where("kind = 1").groupBy("shard")).applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = dealt.groupBy("shard").cogroup(replies.where("kind = 1").groupBy("shard")).applyInArrow(lambda t, m: freed(score)(t, m), f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

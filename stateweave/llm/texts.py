@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step looks at (a longer text is a step of its own).
 PIECE_BYTES = 1 << 20
 #: Rows and bytes that Spark puts into one Arrow batch for a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 #: The white space that ends a word, as in ``[^\x20\x09-\x0D]+``.
 IS_SPACE = np.zeros(256, bool)
@@ -70,8 +70,21 @@ def tidied(run: Callable) -> Callable:
     return wrapped
 
 
+def freed(work: Callable) -> Callable:
+    """The same for a function of one group of rows."""
+
+    def wrapped(*args) -> pa.Table:
+        try:
+            return work(*args)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def give_back() -> None:
-    """Returns free memory to the system."""
+    """Returns free memory to the system, tables of powers (which grow with the longest text) included."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)
