@@ -5,11 +5,12 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..keys import hashed_fold
+from ..keys import column_sample, hashed_fold
 from ..operators import adapt, quantiles
 from ..plans.program import Feature
 from ..schema import ParameterError, ResourceLimitError, ResourceWarning_, ValidationError, aligned, check_names, infer_roles, physical, quoted
@@ -21,8 +22,10 @@ class Adapter:
 
     Numeric columns are imputed by the median and cut at nested quantiles; a flag marks missing values ("observed": if
     there are any, "always", "none").  Categories with few values are states by sorted value (or binary digits of it),
-    others are ordered by smoothed target means, out of fold while fitting.  Embeddings become states of the
-    difference of their distances to two class centroids.
+    others are ordered by smoothed target means, out of fold while fitting.  Embeddings ("basic") become states of the
+    difference of their distances to two class centroids and of their leading principal directions, or ("prototype")
+    of the difference of their distances to the nearest of several centres of each class and of a linear discriminant.
+    Weights count in medians, thresholds, means and centroids; rows of weight 0 have to be left out before.
     """
 
     bins: int = 16
@@ -32,6 +35,11 @@ class Adapter:
     missing_policy: str = "observed"
     category_identity: str = "state"
     folds: int = 5
+    embedding: str = "basic"
+    components: int = 8
+    prototypes: int = 8
+    missing_as_key: bool = False
+    weight: str | None = None
     features: list[Feature] = field(default_factory=list)
     columns: list[str] = field(default_factory=list)
 
@@ -43,9 +51,9 @@ class Adapter:
         out = df
         numeric = roles["numeric"]
         if numeric:
-            middle = adapt.medians(df, numeric)
+            middle = adapt.medians(df, numeric, self.weight)
             flags = df.agg(*[F.count_if(F.coalesce(adapt.imputed(c, 0.0)[1] == 1, F.lit(True))).alias(f"m{i}") for i, c in enumerate(numeric)]).first()
-            cuts = quantiles.nested_thresholds(df, numeric, (self.bins,), digits=9)
+            cuts = quantiles.nested_thresholds(df, numeric, (self.bins,), digits=9, weight=self.weight)
             for i, c in enumerate(numeric):
                 self.features.append(Feature(f"num:{c}", "numeric", c, len(cuts[c][self.bins]) + 1, middle[c], cuts[c][self.bins]))
                 if self.missing_policy == "always" or (self.missing_policy == "observed" and flags[i]):
@@ -70,30 +78,67 @@ class Adapter:
     def _ordered(self, df: DataFrame, column: str, key: str, target: str) -> DataFrame:
         y = F.col(quoted(target)).cast("double")
         name = f"catq:{column}"
-        scored = adapt.out_of_fold_scores(df.withColumn("__fold", hashed_fold(F.col(quoted(key)), self.folds)), column, y, "__fold", self.smoothing)
-        cuts = quantiles.nested_thresholds(scored, ["score"], (self.category_bins,), digits=9)["score"][self.category_bins]
-        table, mean = adapt.fitted_scores(df, column, y, self.smoothing)
+        w = F.col(quoted(self.weight)).cast("double") if self.weight else None
+        folded = df.withColumn("__fold", hashed_fold(F.col(quoted(key)), self.folds))
+        if self.missing_as_key:
+            folded = folded.withColumn(column, F.coalesce(F.col(quoted(column)).cast("string"), F.lit(adapt.MISSING_KEY)))
+        scored = adapt.out_of_fold_scores(folded, column, y, "__fold", self.smoothing, weight=w)
+        cuts = quantiles.nested_thresholds(scored, ["score"], (self.category_bins,), digits=9, weight=self.weight)["score"][self.category_bins]
+        table, mean = adapt.fitted_scores(folded, column, y, self.smoothing, w)
         if table.limit(adapt.BROADCAST_CATEGORIES + 1).count() > adapt.BROADCAST_CATEGORIES:
             raise ResourceLimitError(f"{column!r} has over {adapt.BROADCAST_CATEGORIES} values; group rare ones first")
         rows = table.orderBy("value").collect()
-        f = Feature(name, "ordered", column, len(cuts) + 2, thresholds=cuts, values=[r[0] for r in rows], scores=[float(r[1]) for r in rows], default=float(mean))
+        f = Feature(name, "ordered", column, len(cuts) + 2, thresholds=cuts, values=[r[0] for r in rows], scores=[float(r[1]) for r in rows], default=float(mean), reserved=not self.missing_as_key)
         self.features.append(f)
-        s = F.when(F.col(quoted(column)).isNull(), 0).otherwise(fn.state(F.round("score", 9), cuts) + 1)
-        return scored.withColumn(f.state_column, s.cast("int")).drop("score", "__fold")
+        s = fn.state(F.round("score", 9), cuts) + 1
+        s = s if self.missing_as_key else F.when(F.col(quoted(column)).isNull(), 0).otherwise(s)
+        out = scored.withColumn(f.state_column, s.cast("int")).drop("score", "__fold")
+        return out.withColumn(column, F.nullif(F.col(quoted(column)), F.lit(adapt.MISSING_KEY))) if self.missing_as_key else out
 
     def _embedding(self, df: DataFrame, column: str, target: str) -> None:
-        middle = df.agg(F.percentile(F.col(quoted(target)).cast("double"), F.lit(0.5))).first()[0]
-        halves = df.withColumn("__c", (F.col(quoted(target)).cast("double") > middle).cast("int") if df.where(F.col(quoted(target)).cast("double") > middle).limit(1).count() else (F.col(quoted(target)).cast("double") >= middle).cast("int"))
-        centre: dict[int, dict[int, float]] = {0: {}, 1: {}}
-        for r in adapt.class_centroids(halves, column, "__c").collect():
-            centre[r["class"]][r["dim"]] = r["mean"]
-        if not centre[0] or not centre[1]:
+        y = F.col(quoted(target)).cast("double")
+        w = F.col(quoted(self.weight)).cast("double") if self.weight else None
+        middle = quantiles.exact_quantiles(df, [target], [0.5], self.weight)[target][0]
+        upper = y > middle if df.where(y > middle).limit(1).count() else y >= middle
+        halves = df.withColumn("__c", upper.cast("int"))
+        made: list[Feature] = []
+        if self.embedding == "prototype":
+            centres = adapt.prototypes(halves, column, "__c", self.prototypes)
+            if min(len(v) for v in centres.values()):
+                flat = np.concatenate([centres[0], centres[1]]).ravel().tolist()
+                made.append(Feature(f"embp:{column}", "prototype", column, 0, scores=flat, shape=[len(centres[0]), len(centres[1])]))
+                direction, _ = adapt.discriminant_direction(halves, column, "__c")
+                made.append(Feature(f"embl:{column}", "projection", column, 0, scores=[0.0] * len(direction) + direction.tolist()))
+        else:
+            centre: dict[int, dict[int, float]] = {0: {}, 1: {}}
+            for r in adapt.class_centroids(halves, column, "__c", w).collect():
+                centre[r["class"]][r["dim"]] = r["mean"]
+            if centre[0] and centre[1]:
+                made.append(Feature(f"embq:{column}", "embedding", column, 0, scores=[centre[c][i] for c in (0, 1) for i in range(len(centre[c]))]))
+            if self.components:
+                mean, directions, _ = adapt.principal_directions(df, column, self.components)
+                made += [Feature(f"embc:{column}:{i}", "projection", column, 0, scores=mean.tolist() + d.tolist()) for i, d in enumerate(directions)]
+        if not made:
             return
-        flat = [centre[c][i] for c in (0, 1) for i in range(len(centre[c]))]
-        half = len(flat) // 2
-        d = df.select(adapt.centroid_direction(df, column, {0: flat[:half], 1: flat[half:]}).alias("d"))
-        cuts = quantiles.nested_thresholds(d, ["d"], (self.category_bins,))["d"][self.category_bins]
-        self.features.append(Feature(f"embq:{column}", "embedding", column, len(cuts) + 1, thresholds=cuts, scores=flat))
+        half = {f.name: len(f.scores) // 2 for f in made}
+        value = {f.name: adapt.centroid_direction(None, column, {0: f.scores[: half[f.name]], 1: f.scores[half[f.name] :]}) if f.kind == "embedding" else f.direction() for f in made}
+        weights = [F.col(quoted(self.weight))] if self.weight else []
+        d = df.select(*[value[f.name].alias(f"d{i}") for i, f in enumerate(made)], *weights)
+        cuts = quantiles.nested_thresholds(d, [f"d{i}" for i in range(len(made))], (self.category_bins,), weight=self.weight)
+        for i, f in enumerate(made):
+            f.thresholds = cuts[f"d{i}"][self.category_bins]
+            f.cardinality = len(f.thresholds) + 1
+            if f.cardinality > 1:
+                self.features.append(f)
+
+    def transform(self, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """``df`` with the state columns of all fitted features, or of those named."""
+        wanted = [f for f in self.features if columns is None or f.name in columns]
+        return df.select("*", *[f.expression().alias(f.state_column) for f in wanted])
+
+    def size_bytes(self) -> int:
+        """Bytes of thresholds, dictionaries and centres."""
+        return sum(8 * (len(f.thresholds) + len(f.scores)) + sum(len(v.encode()) for v in f.values) for f in self.features)
 
     def by_name(self) -> dict[str, Feature]:
         return {f.name: f for f in self.features}
@@ -127,8 +172,7 @@ def resource_plan(rows: int, features: int, pair_features: int, bins: int, max_c
 class Estimator:
     """Parameters by name, fitted columns, and the checks around fit and predict."""
 
-    #: Names of the parameters, by use.
-    TUNABLE: tuple[str, ...] = ()
+    # Other names of parameters.
     ALIASES: dict[str, str] = {"feature_budget": "max_features", "interaction_budget": "max_pairs", "l2_regularization": "alpha", "state_detail": "bins"}
 
     def __init__(self, **params):
@@ -137,7 +181,7 @@ class Estimator:
 
     @classmethod
     def defaults(cls) -> dict:
-        return {"max_features": 64, "pair_features": 12, "max_pairs": 8, "bins": 16, "holdout": 0.22, "seed": 7, "near_tie": 0.0015, "resource_policy": "raise", "weight": None}
+        return {"max_features": 64, "pair_features": 12, "max_pairs": 8, "bins": 16, "holdout": 0.22, "seed": 7, "near_tie": 0.0015, "resource_policy": "raise", "weight": None, "embedding": "basic", "colsample": 1.0}
 
     def set_params(self, **params):
         given: dict = {}
@@ -181,7 +225,7 @@ class Estimator:
         n = df.count()
         if n < least:
             raise ValidationError(f"{n} rows; {least} are needed")
-        self.columns_, self.key_ = list(features), key
+        self.columns_, self.key_ = column_sample(list(features), self.colsample, self.seed) if self.colsample < 1 else list(features), key
         self.plan_ = resource_plan(n, len(features), self.pair_features, self.bins, policy=self.resource_policy)
         if self.weight:
             quantiles.check_weights(df, self.weight)
@@ -195,6 +239,38 @@ class Estimator:
         others = [c for c in df.columns if c not in self.columns_]
         return aligned(df, self.columns_, keep=others)
 
+    def _weight(self) -> Column | None:
+        return F.col(quoted(self.weight)).cast("double") if self.weight else None
+
+    def _adapter(self, **options) -> Adapter:
+        return Adapter(bins=self.bins, weight=self.weight, embedding=self.embedding, **options)
+
+    def to_config(self) -> dict:
+        """The class's name and its parameters, as plain values."""
+        return {"estimator": type(self).__name__, "params": dict(self.params)}
+
+    @classmethod
+    def from_config(cls, config: dict):
+        """The unfitted estimator of :meth:`to_config`."""
+        if config["estimator"] != cls.__name__:
+            raise ParameterError(f"a configuration of {config['estimator']}, not of {cls.__name__}")
+        return cls(**config["params"])
+
+    def save(self, path: str) -> None:
+        """Writes the fitted estimator to a folder; see :mod:`stateweave.sources.programs`."""
+        from ..sources.programs import save
+
+        save(self, path)
+
+    @classmethod
+    def load(cls, path: str):
+        from ..sources.programs import load
+
+        out = load(path)
+        if not isinstance(out, cls):
+            raise ValidationError(f"{path} holds a {type(out).__name__}, not a {cls.__name__}")
+        return out
+
     def names_out(self) -> list[str]:
         return [f.name for f in self.adapter_.features]
 

@@ -6,25 +6,76 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import functions as fn
+from ..keys import hashed_fold
 from ..operators import rank, solve, stats
+from ..operators.cache import HistogramCache
+from ..operators.deltas import fit_deltas, prefixes
 from ..plans.program import Bundle, Program, constant_program
 from ..plans.rewrite import optimised
-from ..schema import ValidationError, quoted
+from ..schema import ParameterError, ValidationError, quoted
 from .base import Adapter, Estimator, positive_weight
 
 
-def ranked_structure(states: DataFrame, adapter: Adapter, target: str, max_features: int, pair_features: int, max_pairs: int) -> tuple[list[str], list[tuple[str, str]]]:
-    """The best single features and pairs (by information), as feature names in order."""
+#: How pairs may be ranked.
+PAIR_RANKINGS = ("mi", "newton", "residual_newton", "newton_prefilter_mi", "diversified")
+
+
+def ranked_structure(states: DataFrame, adapter: Adapter, target: str, max_features: int, pair_features: int, max_pairs: int, how: str = "mi", key: str | None = None) -> tuple[list[str], list[tuple[str, str]]]:
+    """The best single features (by information) and pairs (see ``PAIR_RANKINGS``), as feature names in order.
+
+    "newton" ranks by gain on the residuals of a constant, "residual_newton" on those of main effects that were fitted
+    on other folds of the key; "newton_prefilter_mi" takes the best by "newton", then the best of these by information;
+    "diversified" takes two thirds by information and the rest by "residual_newton".
+    """
+    if how not in PAIR_RANKINGS:
+        raise ParameterError(f"pair ranking {how!r}; there are {PAIR_RANKINGS}")
     name = {f.state_column: f.name for f in adapter.features}
     columns = list(name)
-    one = stats.mutual_information(stats.state_cells(states, columns, [target]), ["feature"], ["state"], target)
+    weight = F.col(quoted(adapter.weight)).cast("double") if adapter.weight else None
+    one = stats.mutual_information(stats.state_cells(states, columns, [target], weight=weight), ["feature"], ["state"], target)
     best = [r["feature"] for r in rank.top_features(one, columns, "mi", max_features).orderBy("rank").collect()]
     chosen = best[:pair_features]
     if len(chosen) < 2 or max_pairs < 1:
         return [name[c] for c in best], []
-    two = stats.mutual_information(stats.tuple_cells(states, stats.pairs_of(chosen), [target]), ["f0", "f1"], ["s0", "s1"], target)
-    top = rank.top_pairs(rank.with_marginals(two, one, "mi"), columns, "excess", max_pairs, "mi").orderBy("rank").collect()
-    return [name[c] for c in best], [(name[r["f0"]], name[r["f1"]]) for r in top]
+    total = len(chosen) * (len(chosen) - 1) // 2
+
+    def by_information(k: int, pairs: DataFrame | None = None) -> DataFrame:
+        two = stats.mutual_information(stats.tuple_cells(states, stats.pairs_of(chosen), [target], weight=weight), ["f0", "f1"], ["s0", "s1"], target)
+        two = two.join(F.broadcast(pairs.select("f0", "f1")), ["f0", "f1"], "left_semi") if pairs is not None else two  # at most the pairs of the chosen
+        return rank.top_pairs(rank.with_marginals(two, one, "mi"), columns, "excess", k, "mi")
+
+    def by_gain(k: int, residual: bool) -> DataFrame:
+        data, p = (crossfitted(states, adapter, [name[c] for c in chosen], target, key), F.col("__p")) if residual else (states, None)
+        if p is None:
+            w = weight if weight is not None else F.lit(1.0)
+            p = F.lit(states.agg(F.sum(w * F.col(target)) / F.sum(w)).first()[0])
+        made = HistogramCache.newton(data, chosen, target, p, weight)
+        return rank.top_pairs(made.pair_gains([5.0]).drop("l2"), columns, "excess", k, "gain")
+
+    if how == "mi":
+        top = by_information(max_pairs)
+    elif how in ("newton", "residual_newton"):
+        top = by_gain(max_pairs, how != "newton")
+    elif how == "newton_prefilter_mi":
+        top = by_information(max_pairs, by_gain(min(total, 4 * max_pairs), False))
+    else:
+        pool = min(total, max(2 * max_pairs, max_pairs + 4))
+        top = rank.diversified(by_information(pool), by_gain(pool, True), max_pairs)
+    return [name[c] for c in best], [(name[r["f0"]], name[r["f1"]]) for r in top.orderBy("rank").collect()]
+
+
+def crossfitted(states: DataFrame, adapter: Adapter, mains: list[str], target: str, key: str, folds: int = 3, c: float = 0.2) -> DataFrame:
+    """``states`` with ``__p``: for each row the probability by main effects that were fitted on the other folds."""
+    design = design_of(adapter, mains, [])
+    data = states.withColumn("__cf", hashed_fold(F.col(quoted(key)), folds, 17))
+    rows = solve.Rows(data, design.columns, [target], adapter.weight, extra=["__cf"])
+    named = {f.name: F.col(f.state_column) for f in adapter.features if f.name in mains}
+    p = F.lit(None).cast("double")
+    for k in range(folds):
+        program = program_of(adapter, mains, [], solve.logistic_l2(_part(rows, k, "__cf", True), design, target, c), design, "logit")
+        p = F.when(F.col("__cf") == k, fn.sigmoid(program.score(named))).otherwise(p)
+    return data.withColumn("__p", p)
 
 
 def design_of(adapter: Adapter, mains: list[str], pairs: list[tuple[str, str]], linear: list[tuple[str, float, float]] = ()) -> solve.Design:
@@ -32,14 +83,23 @@ def design_of(adapter: Adapter, mains: list[str], pairs: list[tuple[str, str]],
     return solve.Design([(f[n].state_column, f[n].cardinality) for n in mains], [(f[a].state_column, f[a].cardinality, f[b].state_column, f[b].cardinality) for a, b in pairs], list(linear))
 
 
-def program_of(adapter: Adapter, mains: list[str], pairs: list[tuple[str, str]], w: np.ndarray, design: solve.Design, link: str, linear: list[tuple[str, float, float, float]] = ()) -> Program:
-    """Coefficients as tables; linear: (column, median, mean, scale) in the design's order."""
+def program_of(adapter: Adapter, mains: list[str], pairs: list[tuple[str, str]], w: np.ndarray, design: solve.Design, link: str, linear: list[tuple[str, float, float, float]] = (), blocks: list[tuple[str, int, str]] = ()) -> Program:
+    """Coefficients as tables; linear: (column, median, mean, scale), blocks: (gate, state, target), in the design's order.
+
+    A block is a table of its gate and target that is zero but for one row.
+    """
     f = adapter.by_name()
     parts = design.split(w)
     unary = [(n, [0.0, *map(float, p)]) for n, p in zip(mains, parts[1:], strict=False)]
     tables = [np.append(0.0, p).reshape(f[a].cardinality, f[b].cardinality).tolist() for (a, b), p in zip(pairs, parts[1 + len(mains) :], strict=False)]
     terms = [(c, md, m, s, float(p[0])) for (c, md, m, s), p in zip(linear, parts[1 + len(mains) + len(pairs) :], strict=False)]
-    return Program(f, float(parts[0][0]), unary, [(a, b, t) for (a, b), t in zip(pairs, tables, strict=True)], terms, link)
+    joint = [(a, b, t) for (a, b), t in zip(pairs, tables, strict=True)]
+    for (gate, s, target), own, p in zip(blocks, design.blocks, parts[1 + len(mains) + len(pairs) + len(linear) :], strict=False):
+        k, effect = f[target].cardinality, np.asarray(p) * np.asarray(own[4])
+        table = np.zeros((f[gate].cardinality, k))
+        table[s] = np.append(effect, np.zeros(k - len(effect))) - effect @ np.asarray(own[3])
+        joint.append((gate, target, table.tolist()))
+    return Program(f, float(parts[0][0]), unary, joint, terms, link)
 
 
 class StateClassifier(Estimator):
@@ -47,12 +107,13 @@ class StateClassifier(Estimator):
 
     Candidates (numbers of main effects and pairs, penalties) are compared on keys held out; of those within
     ``near_tie`` of the best log loss the smallest program wins, which is then refitted on all rows.  Multiclass: one
-    head against the rest for each class, normalised, or ``multiclass="softmax"``.
+    head against the rest for each class, coupled by the softmax of their scores, or ``multiclass="softmax"``: one fit of
+    all classes on shared structure, to which ``class_deltas`` corrections of single states may be added.
     """
 
     @classmethod
     def defaults(cls) -> dict:
-        return super().defaults() | {"c": (0.2, 1.0), "multiclass": "ovr", "calibration": "none"}
+        return super().defaults() | {"c": (0.2, 1.0), "multiclass": "ovr", "calibration": "none", "pair_ranking": "mi", "class_deltas": 0}
 
     def fit(self, df: DataFrame, features: list[str], target: str, key: str) -> StateClassifier:
         df = positive_weight(df, self.weight)
@@ -64,7 +125,7 @@ class StateClassifier(Estimator):
         code = F.array_position(F.array(*map(F.lit, self.classes_)), F.col(quoted(target))) - 1
         data = df.withColumn("__y", code.cast("int"))
         self.diagnostics_: list[dict] = []
-        self.adapter_ = Adapter(bins=self.bins)
+        self.adapter_ = self._adapter()
         if len(self.classes_) == 2:
             self.program_ = self._head(data, "__y", self.adapter_)
             self.bundle_ = None
@@ -73,9 +134,9 @@ class StateClassifier(Estimator):
         else:
             heads = []
             for i in range(len(self.classes_)):
-                adapter = self.adapter_ if i == 0 else Adapter(bins=self.bins)
+                adapter = self.adapter_ if i == 0 else self._adapter()
                 heads.append(self._head(data.withColumn("__h", (F.col("__y") == i).cast("int")), "__h", adapter))
-            self.bundle_ = Bundle(heads, "normalise", self.classes_)
+            self.bundle_ = Bundle(heads, "softmax", self.classes_)
         return self
 
     def _states(self, data: DataFrame, target: str, adapter: Adapter) -> DataFrame:
@@ -92,7 +153,7 @@ class StateClassifier(Estimator):
     def _head(self, data: DataFrame, target: str, adapter: Adapter) -> Program:
         states = self._states(data, target, adapter)
         try:
-            mains, pairs = ranked_structure(states, adapter, target, self.max_features, self.pair_features, self.max_pairs)
+            mains, pairs = ranked_structure(states, adapter, target, self.max_features, self.pair_features, self.max_pairs, self.pair_ranking, self.key_)
             widest = design_of(adapter, mains, pairs)
             rows = solve.Rows(states, widest.columns, [target], self.weight, extra=["__held"])
             tried = []
@@ -110,8 +171,8 @@ class StateClassifier(Estimator):
             if self.calibration != "none":
                 w = solve.logistic_l2(_part(rows, 0), design, target, c)
                 held = program_of(adapter, m, p, w, design, "logit")
-                scored = states.where("__held = 1").select(held.score({f.name: F.col(f.state_column) for f in adapter.features}).alias("z"), F.col(target).alias("t"))
-                a, b = solve.affine_calibration(solve.Rows(scored, ["z"], ["t"]), "z", "t", intercept_only=self.calibration == "intercept")
+                scored = states.where("__held = 1").select(held.score({f.name: F.col(f.state_column) for f in adapter.features}).alias("z"), F.col(target).alias("t"), *([F.col(quoted(self.weight)).alias("w")] if self.weight else []))
+                a, b = solve.affine_calibration(solve.Rows(scored, ["z"], ["t"], "w" if self.weight else None), "z", "t", intercept_only=self.calibration == "intercept")
                 self.diagnostics_[-1] |= {"calibration": (a, b)}
                 program = program.calibrated(a, b)
             return optimised(program)
@@ -119,19 +180,83 @@ class StateClassifier(Estimator):
             states.unpersist()
 
     def _softmax(self, data: DataFrame) -> Bundle:
-        adapter = self.adapter_
+        """Structures and corrections compared on held-out keys; the chosen ones are fitted again on all rows."""
+        adapter, n = self.adapter_, len(self.classes_)
         states = self._states(data, "__y", adapter)
         try:
             mains, pairs = ranked_structure(states, adapter, "__y", min(self.max_features, 8), self.pair_features, min(self.max_pairs, 2))
+            rows = solve.Rows(states, design_of(adapter, mains, pairs).columns, ["__y"], self.weight, extra=["__held"])
+            tried = []
+            for p in sorted({0, len(pairs)}):
+                for c in self.c if isinstance(self.c, (tuple, list)) else (self.c,):
+                    design = design_of(adapter, mains, pairs[:p])
+                    w = solve.softmax_regression(_part(rows, 0), design, "__y", n, c)
+                    tried.append((_softmax_loss(_part(rows, 1), design, "__y", w), design.width * n, p, c))
+            best = min(t[0] for t in tried)
+            loss, _, p, c = min((t for t in tried if t[0] <= best + self.near_tie), key=lambda t: (t[1], t[0]))
+            pairs = pairs[:p]
             design = design_of(adapter, mains, pairs)
-            rows = solve.Rows(states, design.columns, ["__y"], self.weight)
-            c = self.c[-1] if isinstance(self.c, (tuple, list)) else self.c
-            w = solve.softmax_regression(rows, design, "__y", len(self.classes_), c)
-            self.diagnostics_.append({"mains": mains, "pairs": pairs, "c": c})
-            return Bundle([optimised(program_of(adapter, mains, pairs, w[:, k], design, "logit")) for k in range(len(self.classes_))], "softmax", self.classes_)
+
+            def heads_of(w: np.ndarray) -> list[Program]:
+                return [program_of(adapter, mains, pairs, w[:, k], design, "logit") for k in range(n)]
+
+            heads, deltas = heads_of(solve.softmax_regression(rows, design, "__y", n, c)), []
+            if self.class_deltas:
+                deltas = self._class_deltas(states, heads_of(solve.softmax_regression(_part(rows, 0), design, "__y", n, c)), heads)
+            self.diagnostics_.append({"mains": mains, "pairs": pairs, "c": c, "held_out_loss": loss, "candidates": len(tried), "class_deltas": deltas})
+            return Bundle([optimised(h) for h in heads], "softmax", self.classes_)
         finally:
             states.unpersist()
 
+    def _class_deltas(self, states: DataFrame, trained: list[Program], heads: list[Program]) -> list[tuple[str, int, int, float]]:
+        """Corrections (feature, state, class, value), fitted beside ``trained`` on its rows and added to ``heads``.
+
+        Of the numbers of corrections tried the one with the smallest held-out loss is taken, if it gains 0.001 on none
+        and costs no more bytes than the heads have.
+        """
+        adapter, n = self.adapter_, len(heads)
+        named = {f.name: F.col(f.state_column) for f in adapter.features}
+        z = [h.score(named) for h in trained]
+        scored = states.select("*", *[x.alias(f"__z{k}") for k, x in enumerate(z)]).withColumn("__ps", fn.softmax(F.array(*[F.col(f"__z{k}") for k in range(n)])))
+        columns = {f.state_column: f.name for f in adapter.features}
+        cells = stats.class_cells(scored.where("__held = 0"), list(columns), list(range(n)), "__y", [F.col("__ps")[k] for k in range(n)], self._weight())
+        found = [(r["feature"], r["state"], r["class"]) for r in stats.class_descriptors(cells, list(columns), most=self.class_deltas).orderBy("rank").collect()]
+        if not found:
+            return []
+        names = [f"__z{k}" for k in range(n)]
+        rows = solve.Rows(scored, [*dict.fromkeys(c for c, *_ in found), *names], ["__y"], self.weight, extra=["__held"])
+        values = fit_deltas(_part(rows, 0), found, names, "__y")
+        tried = prefixes(len(found))
+
+        def work(data, size):
+            out, w = np.zeros(len(tried) + 1), data["__w"]
+            z = np.column_stack([data[x] for x in names]).astype(float)
+            done = 0
+            for i, m in enumerate(tried):
+                for (c, s, k), v in zip(found[done:m], values[done:m], strict=True):
+                    z[:, k] += v * (data[c] == s)
+                done = m
+                top = z - z.max(axis=1, keepdims=True)
+                out[i] = -w @ (top[np.arange(size), data["__y"].astype(int)] - np.log(np.exp(top).sum(axis=1)))
+            out[-1] = w.sum()
+            return out
+
+        loss = _part(rows, 1).sum(work, len(tried) + 1)
+        loss = loss[:-1] / max(loss[-1], 1e-12)
+        bytes_ = sum(h.size_bytes() for h in heads)
+        allowed = [i for i, m in enumerate(tried) if m * 24 <= bytes_]
+        i = min(allowed, key=lambda i: (loss[i], i))
+        if loss[0] - loss[i] < 0.001:
+            return []
+        out = []
+        for (c, s, k), v in zip(found[: tried[i]], values, strict=False):
+            feature = columns[c]
+            table = [0.0] * adapter.by_name()[feature].cardinality
+            table[s] = v
+            heads[k].unary.append((feature, table))
+            out.append((feature, s, k, v))
+        return out
+
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         """``df`` with ``probability`` (of the second class) or ``probabilities``, and the predicted class."""
         df = self._checked(df)
@@ -154,20 +279,30 @@ class SharedClassifier(StateClassifier):
         return super().defaults() | {"multiclass": "softmax"}
 
 
-def _part(rows: solve.Rows, held: int) -> solve.Rows:
-    """The rows on one side of the holdout."""
+def _part(rows: solve.Rows, value: int, column: str = "__held", without: bool = False) -> solve.Rows:
+    """The rows on one side of the holdout, or with (``without``: outside) another value of a column."""
     import copy
 
     out = copy.copy(rows)
     if rows.local is not None:
-        on = rows.local["__held"] == held
+        on = (rows.local[column] == value) != without
         out.local = {k: v[on] for k, v in rows.local.items()}
         out.n = int(on.sum())
     else:
-        out.df = rows.df.where(F.col("__held") == held)
+        out.df = rows.df.where((F.col(column) == value) != F.lit(without))
     return out
 
 
+def _softmax_loss(rows: solve.Rows, design: solve.Design, target: str, w: np.ndarray) -> float:
+    def work(data, n):
+        z = design.matrix(data, n) @ w
+        z -= z.max(axis=1, keepdims=True)
+        return np.array([-data["__w"] @ (z[np.arange(n), data[target].astype(int)] - np.log(np.exp(z).sum(axis=1))), data["__w"].sum()])
+
+    total, mass = rows.sum(work, 2)
+    return total / mass if mass else float("inf")
+
+
 def _mean_loss(rows: solve.Rows, design: solve.Design, target: str, w: np.ndarray) -> float:
     def work(data, n):
         value, _, _ = solve.logistic(design.matrix(data, n) @ w, data[target])
@@ -185,9 +320,11 @@ class MultiLabelClassifier(Estimator):
         return super().defaults() | {"c": (0.2, 1.0), "threshold": "auto"}
 
     def fit(self, df: DataFrame, features: list[str], targets: list[str], key: str) -> MultiLabelClassifier:
+        df = positive_weight(df, self.weight)
         self._start(df, features, key, 8)
-        share = df.agg(*[F.avg(F.col(quoted(t)).cast("double")).alias(f"s{i}") for i, t in enumerate(targets)]).first()
-        heads, cuts, self.labels_, self.adapter_ = [], [], list(targets), Adapter(bins=self.bins)
+        w = self._weight() if self.weight else F.lit(1.0)
+        share = df.agg(*[(F.sum(w * F.col(quoted(t))) / F.sum(F.when(F.col(quoted(t)).isNotNull(), w))).alias(f"s{i}") for i, t in enumerate(targets)]).first()
+        heads, cuts, self.labels_, self.adapter_ = [], [], list(targets), self._adapter()
         for i, t in enumerate(targets):
             if share[i] in (0.0, 1.0):
                 heads.append(constant_program(share[i]))
@@ -199,8 +336,8 @@ class MultiLabelClassifier(Estimator):
             heads.append(head.program_)
             cuts.append(0.5)
             if self.threshold == "auto":
-                held = head.predict(df.where(self._fold() == 1)).select(F.round("probability", 6).alias("p"), F.col(quoted(t)).alias("t"))
-                row = stats.best_f1_threshold(held, "p", "t").first()
+                held = head.predict(df.where(self._fold() == 1)).select(F.round("probability", 6).alias("p"), F.col(quoted(t)).alias("t"), w.alias("w"))
+                row = stats.best_f1_threshold(held, "p", "t", weight=F.col("w")).first()
                 cuts[-1] = float(row[0]) if row and row[0] is not None else 0.5
         self.bundle_ = Bundle(heads, "labels", self.labels_, cuts)
         return self

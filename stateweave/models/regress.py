@@ -19,13 +19,15 @@ def ranked_by_variance(states: DataFrame, adapter: Adapter, target: str, max_fea
     """The best single features and pairs by the variance of the target that they explain (earlier columns first)."""
     name = {f.state_column: f.name for f in adapter.features}
     columns, y = list(name), F.col(quoted(target)).cast("double")
-    sums = {"v": y, "vv": y * y}
-    one = stats.between_share(stats.state_cells(states, columns, sums=sums), ["feature"]).fillna(0.0)
+    weight = F.col(quoted(adapter.weight)).cast("double") if adapter.weight else None
+    w = weight if weight is not None else F.lit(1.0)
+    sums = {"v": w * y, "vv": w * y * y}
+    one = stats.between_share(stats.state_cells(states, columns, sums=sums, weight=weight), ["feature"]).fillna(0.0)
     best = [r["feature"] for r in rank.top_features(one, columns, "eta2", max_features).orderBy("rank").collect()]
     chosen = best[:pair_features]
     if len(chosen) < 2 or max_pairs < 1:
         return [name[c] for c in best], []
-    two = stats.between_share(stats.tuple_cells(states, stats.pairs_of(chosen), sums=sums), ["f0", "f1"]).fillna(0.0)
+    two = stats.between_share(stats.tuple_cells(states, stats.pairs_of(chosen), sums=sums, weight=weight), ["f0", "f1"]).fillna(0.0)
     top = rank.top_pairs(rank.with_marginals(two, one, "eta2", "sum"), columns, "excess", max_pairs, later_first=False).orderBy("rank").collect()
     return [name[c] for c in best], [(name[r["f0"]], name[r["f1"]]) for r in top]
 
@@ -37,7 +39,7 @@ class _Regressor(Estimator):
         y = F.col(quoted(target)).cast("double")
         if df.where(y.isNull() | F.isnan(y)).limit(1).count():
             raise ValidationError("the target has missing values")
-        self.adapter_ = Adapter(bins=self.bins)
+        self.adapter_ = self._adapter(missing_as_key=True)
         return self.adapter_.fit(df, features, key, target).withColumn("__held", self._fold()).withColumn("__t", y).persist()
 
     def _linear(self, states: DataFrame) -> list[tuple[str, float, float, float]]:
@@ -47,16 +49,21 @@ class _Regressor(Estimator):
             return []
         from ..operators.adapt import imputed
 
-        row = states.agg(*[F.avg(imputed(f.column, f.median)[0]) for f in numeric], *[F.stddev_pop(imputed(f.column, f.median)[0]) for f in numeric]).first()
-        k = len(numeric)
-        return [(f.column, f.median, row[i], row[k + i] if row[k + i] and row[k + i] > 1e-12 else 1.0) for i, f in enumerate(numeric)]
+        w, x = self._weight() if self.weight else F.lit(1.0), [imputed(f.column, f.median)[0] for f in numeric]
+        mean = [F.sum(w * v) / F.sum(w) for v in x]
+        centre = states.agg(*mean).first()
+        spread = states.agg(*[F.sqrt(F.sum(w * (v - F.lit(m)) ** 2) / F.sum(w)) for v, m in zip(x, centre, strict=True)]).first()
+        return [(f.column, f.median, m, s if s and s > 1e-12 else 1.0) for f, m, s in zip(numeric, centre, spread, strict=True)]
 
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         return self.program_.transform(self._checked(df), output)
 
     def score(self, df: DataFrame, target: str) -> float:
-        """R squared."""
+        """R squared; of several quantiles minus the mean pinball loss."""
         y = F.col(quoted(target)).cast("double")
+        if getattr(self, "programs_", None) and isinstance(self.programs_, list) and len(self.programs_) > 1:
+            losses = [stats.pinball(y, F.col("prediction")[i], q) for i, q in enumerate(self.quantiles)]
+            return -self.predict(df).agg(F.avg(fn.total(losses, 0.0) / len(losses))).first()[0]
         r = self.predict(df).agg(F.avg((F.col("prediction") - y) ** 2), F.var_pop(y)).first()
         return 1 - r[0] / r[1]
 
@@ -102,7 +109,14 @@ class StateRidgeRegressor(_Regressor):
                     w = solve.ridge_from_gram(train[0], train[1], alpha, use)
                     tried.append((float(solve.squared_error(*held, w)[0] / max(n_held, 1)), len(use), alpha, use))
         best = min(tried, key=lambda t: t[0])
-        error = best[0] * np.sqrt(2 / max(n_held, 2))  # of a mean of squares, as for normal residuals
+        w_best = solve.ridge_from_gram(train[0], train[1], best[2], best[3])[:, 0]
+
+        def work(data, n):  # squares and fourth powers of the held-out residuals
+            r = (design.matrix(data, n) @ w_best - data["__t"]) ** 2
+            return np.array([data["__w"] @ r, data["__w"] @ r**2])
+
+        squares, fourth = _part(rows, 1).sum(work, 2) / max(n_held, 1)
+        error = np.sqrt(max(0.0, fourth - squares**2) / max(n_held, 1))  # of the mean of squares
         mse, _, alpha, use = min((t for t in tried if t[0] <= best[0] + error), key=lambda t: (t[1], t[0], t[2]))
         w = solve.ridge_from_gram(train[0] + held[0], train[1] + held[1], alpha, use)[:, 0]
         program = optimised(program_of(self.adapter_, mains, pairs, w, design, "identity", linear))
@@ -112,14 +126,14 @@ class StateRidgeRegressor(_Regressor):
 class FusedRegressor(_Regressor):
     """A ridge baseline, corrected by the distribution of its residuals.
 
-    Logistic heads on the same states give the probability that the residual exceeds each of some thresholds; their
-    integral is a second estimate of the residual's mean.  A factor in [0, 1] is fitted on held-out keys and the
+    A logistic head on the same states, whose coefficients vary smoothly over thresholds (``head="separate"``: one head
+    each), gives the probability that the residual exceeds each of some thresholds; their integral is a second estimate of the residual's mean.  A factor in [0, 1] is fitted on held-out keys and the
     correction is kept if it lowers the held-out RMSE by ``least_gain``, else the baseline stands alone.
     """
 
     @classmethod
     def defaults(cls) -> dict:
-        return super().defaults() | {"alpha": (0.1, 1.0, 10.0), "thresholds": 10, "c": 0.05, "least_gain": 0.01, "max_features": 24, "max_pairs": 4}
+        return super().defaults() | {"alpha": (0.1, 1.0, 10.0), "thresholds": 10, "c": 0.05, "head": "spline", "least_gain": 0.01, "max_features": 24, "max_pairs": 4}
 
     def fit(self, df: DataFrame, features: list[str], target: str, key: str) -> FusedRegressor:
         states = self._prepare(df, features, target, key)
@@ -129,23 +143,31 @@ class FusedRegressor(_Regressor):
             self.baseline_, base = ridge._fit(states)
             named = {f.name: F.col(f.state_column) for f in self.adapter_.features}
             work = states.withColumn("__r", F.col("__t") - self.baseline_.score(named))
-            cuts = sorted(set(quantiles.exact_quantiles(work, ["__r"], [(i + 0.5) / self.thresholds for i in range(self.thresholds)])["__r"]))
+            cuts = sorted(set(quantiles.exact_quantiles(work, ["__r"], [(i + 0.5) / self.thresholds for i in range(self.thresholds)], self.weight)["__r"]))
             lower, upper = work.agg(F.min("__r"), F.max("__r")).first()
             mains, pairs = base["mains"][: self.max_features], base["pairs"][: self.max_pairs]
             design = design_of(self.adapter_, mains, pairs)
             labels = [f"__b{i}" for i in range(len(cuts))]
             marked = work.select("*", *[(F.col("__r") > F.lit(t)).cast("int").alias(b) for b, t in zip(labels, cuts, strict=True)])
             rows = solve.Rows(marked, design.columns, labels, self.weight, extra=["__held"])
-            self._heads = [program_of(self.adapter_, mains, pairs, solve.logistic_l2(_part(rows, 0), design, b, self.c), design, "logit") for b in labels]
+            basis = solve.spline_basis(cuts)
+
+            def heads_of(part: solve.Rows) -> list[Program]:
+                if self.head == "separate":
+                    return [program_of(self.adapter_, mains, pairs, solve.logistic_l2(part, design, b, self.c), design, "logit") for b in labels]
+                w = solve.threshold_head(part, design, labels, basis, 1 / self.c)
+                return [program_of(self.adapter_, mains, pairs, w[:, i], design, "logit") for i in range(len(labels))]
+
+            self._heads = heads_of(_part(rows, 0))
             self._curve = (float(lower), cuts, float(upper))
             shift = self._correction(self._heads, named)
-            held = work.where("__held = 1").select(F.col("__r").alias("r"), shift.alias("d"))
-            s = held.agg(F.sum(F.col("r") * F.col("d")), F.sum(F.col("d") ** 2), F.sum(F.col("r") ** 2)).first()
+            held = work.where("__held = 1").select(F.col("__r").alias("r"), shift.alias("d"), (self._weight() if self.weight else F.lit(1.0)).alias("w"))
+            s = held.agg(F.sum(F.col("w") * F.col("r") * F.col("d")), F.sum(F.col("w") * F.col("d") ** 2), F.sum(F.col("w") * F.col("r") ** 2)).first()
             self.gamma_ = float(np.clip(s[0] / s[1], 0, 1)) if s[1] else 0.0
             gain = 1 - np.sqrt(max(0.0, 1 - (2 * self.gamma_ * s[0] - self.gamma_**2 * s[1]) / s[2])) if s[2] else 0.0
             self.branch_ = "fused" if gain >= self.least_gain else "baseline"
             if self.branch_ == "fused":
-                self._heads = [optimised(program_of(self.adapter_, mains, pairs, solve.logistic_l2(rows, design, b, self.c), design, "logit")) for b in labels]
+                self._heads = [optimised(h) for h in heads_of(rows)]
             self.diagnostics_ = base | {"gamma": self.gamma_, "gain": float(gain), "branch": self.branch_}
         finally:
             states.unpersist()
@@ -206,12 +228,17 @@ class GeneralizedRegressor(_Regressor):
             design = design_of(self.adapter_, mains, pairs)
             rows = solve.Rows(states, design.columns, ["__t"], self.weight, extra=["__o"])
             start = np.zeros(design.width)
-            mean, spread = states.agg(F.avg("__t"), F.stddev_pop(F.col("__t"))).first()
+            w = self._weight() if self.weight else F.lit(1.0)
+            mean = states.agg(F.sum(w * F.col("__t")) / F.sum(w)).first()[0]
+            spread = states.agg(F.sqrt(F.sum(w * (F.col("__t") - F.lit(mean)) ** 2) / F.sum(w))).first()[0]
             start[0] = np.log(max(mean, 1e-9)) if self.loss in self.LOG else mean
             self.programs_ = []
             for q in self.quantiles if self.loss == "quantile" else (None,):
-                loss = {"squared": solve.squared, "huber": solve.huber(self.epsilon * (spread or 1.0) / 2), "poisson": solve.poisson, "gamma": solve.gamma, "tweedie": solve.tweedie(self.power)}.get(self.loss) or solve.pinball(q, 0.05 * (spread or 1.0))
-                w = solve.newton(rows, design, "__t", loss, self.alpha, False, offset="__o", start=start.copy())
+                loss = {"squared": solve.squared, "poisson": solve.poisson, "gamma": solve.gamma, "tweedie": solve.tweedie(self.power)}.get(self.loss) or solve.pinball(q, 0.05 * (spread or 1.0))
+                if self.loss == "huber":
+                    w, self.scale_ = solve.huber_regression(rows, design, "__t", self.epsilon, self.alpha, "__o", start.copy(), spread or 1.0)
+                else:
+                    w = solve.newton(rows, design, "__t", loss, self.alpha, False, offset="__o", start=start.copy())
                 self.programs_.append(optimised(program_of(self.adapter_, mains, pairs, w, design, "log" if self.loss in self.LOG else "identity")))
             self.program_ = self.programs_[0]
             self.diagnostics_ = {"mains": mains, "pairs": pairs, "width": design.width}
@@ -240,8 +267,9 @@ class MultiOutputRegressor(_Regressor):
         return super().defaults() | {"alpha": 1.0, "mode": "subspace", "max_features": 16, "max_pairs": 4}
 
     def fit(self, df: DataFrame, features: list[str], targets: list[str], key: str) -> MultiOutputRegressor:
-        n = df.count()
-        yy = np.array(stats.gram(df, targets))
+        df = positive_weight(df, self.weight)
+        yy = np.array(stats.gram(df, targets, self._weight()))
+        n = yy[0, 0]
         mean = yy[0, 1:] / n
         sd = np.sqrt(np.maximum(np.diag(yy)[1:] / n - mean**2, 1e-24))
         self.values_, vectors, self.rank_ = solve.output_spectrum(yy, n)

@@ -28,13 +28,13 @@ class Design:
 
     mains: (state column, cardinality), state 0 being the reference; pairs: (column, cardinality, column, cardinality),
     joint code 0 being the reference; linear: (column, mean, scale); blocks: (gate column, gate state, target column,
-    centres, scale).  A constant comes first.
+    centres, scales).  A constant comes first.
     """
 
     mains: list[tuple[str, int]] = field(default_factory=list)
     pairs: list[tuple[str, int, str, int]] = field(default_factory=list)
     linear: list[tuple[str, float, float]] = field(default_factory=list)
-    blocks: list[tuple[str, int, str, list[float], float]] = field(default_factory=list)
+    blocks: list[tuple[str, int, str, list[float], list[float]]] = field(default_factory=list)
 
     @property
     def columns(self) -> list[str]:
@@ -60,9 +60,9 @@ class Design:
         for c, mean, scale in self.linear:
             out[:, at] = (data[c] - mean) / scale
             at += 1
-        for gate, s, target, centres, scale in self.blocks:
+        for gate, s, target, centres, scales in self.blocks:
             on = data[gate] == s
-            for k, centre in enumerate(centres):
+            for k, (centre, scale) in enumerate(zip(centres, scales, strict=True)):
                 out[:, at] = on * ((data[target] == k) - centre) * scale
                 at += 1
         return out
@@ -195,32 +195,48 @@ def tweedie(power: float) -> Loss:
 
 
 def newton(rows: Rows, design: Design, target: str, loss: Loss, l2: float, penalise_constant: bool, offset: str | None = None, start: np.ndarray | None = None, rounds: int = 30, tolerance: float = 1e-8) -> np.ndarray:
-    """Minimises sum(w * loss) + l2/2 |coefficients|^2 by Newton steps, halved while the objective rises."""
+    """Minimises sum(w * loss) + l2/2 |coefficients|^2 by Newton steps, halved while the objective rises.
+
+    A step is tried in full with its derivatives, as it nearly always holds; halved ones by their value alone.  Of the
+    Hessian only one half travels.
+    """
     p = design.width
     penalty = np.full(p, l2)
     if not penalise_constant:
         penalty[0] = 1e-12
+    upper = np.triu_indices(p)
+
+    def value_at(w):
+        def work(data, n):
+            value, _, _ = loss(design.matrix(data, n) @ w + (data[offset] if offset else 0.0), data[target])
+            return np.array([data["__w"] @ value])
+
+        return rows.sum(work, 1)[0] + 0.5 * penalty @ w**2
 
     def at(w):
         def work(data, n):
             x = design.matrix(data, n)
             value, g, h = loss(x @ w + (data[offset] if offset else 0.0), data[target])
             weight = data["__w"]
-            return np.concatenate([[weight @ value], x.T @ (weight * g), (x.T @ (x * (weight * np.maximum(h, 1e-9))[:, None])).ravel()])
+            return np.concatenate([[weight @ value], x.T @ (weight * g), (x.T @ (x * (weight * np.maximum(h, 1e-9))[:, None]))[upper]])
 
-        s = rows.sum(work, 1 + p + p * p)
-        return s[0] + 0.5 * penalty @ w**2, s[1 : 1 + p] + penalty * w, s[1 + p :].reshape(p, p) + np.diag(penalty)
+        s = rows.sum(work, 1 + p + len(upper[0]))
+        h = np.zeros((p, p))
+        h[upper] = s[1 + p :]
+        h = h + h.T - np.diag(np.diag(h)) + np.diag(penalty)
+        return s[0] + 0.5 * penalty @ w**2, s[1 : 1 + p] + penalty * w, h
 
     w = np.zeros(p) if start is None else start
     value, g, h = at(w)
     for _ in range(rounds):
         step = np.linalg.solve(h + 1e-10 * np.trace(h) / p * np.eye(p), g)
-        for k in range(12):
+        enough = value + 1e-12 * abs(value)
+        trial, k = at(w - step), 0
+        if not trial[0] <= enough:
+            k = next((k for k in range(1, 12) if value_at(w - step * 0.5**k) <= enough), None)
+            if k is None:
+                return w
             trial = at(w - step * 0.5**k)
-            if trial[0] <= value + 1e-12 * abs(value):
-                break
-        else:
-            return w
         w = w - step * 0.5**k
         done = value - trial[0] <= tolerance * max(1.0, abs(value)) or np.abs(trial[1]).max() <= tolerance
         value, g, h = trial
@@ -273,6 +289,95 @@ def softmax_regression(rows: Rows, design: Design, target: str, classes: int, c:
     return w
 
 
+def huber_regression(rows: Rows, design: Design, target: str, epsilon: float = 1.35, alpha: float = 1.0, offset: str | None = None, start: np.ndarray | None = None, scale: float = 1.0, rounds: int = 20) -> tuple[np.ndarray, float]:
+    """Coefficients and residual scale that jointly minimise sum(scale + H(r / scale) scale) + alpha |w|^2.
+
+    H is a square up to ``epsilon`` and linear beyond.  Both are solved in turn: the coefficients by Newton steps at a
+    scale, the scale in closed form from one sum over the rows.
+    """
+    w = np.zeros(design.width) if start is None else start
+    for _ in range(rounds):
+        w = newton(rows, design, target, huber(epsilon * scale), alpha * scale, False, offset=offset, start=w)
+
+        def work(data, n, w=w, scale=scale):
+            r = np.abs(design.matrix(data, n) @ w + (data[offset] if offset else 0.0) - data[target])
+            inside = r <= epsilon * scale
+            return np.array([data["__w"] @ (inside * r**2), data["__w"] @ ~inside, data["__w"].sum()])
+
+        squares, outside, n = rows.sum(work, 3)
+        last, scale = scale, max(np.sqrt(squares / max(n - outside * epsilon**2, 0.05 * n)), 1e-9)
+        if abs(scale - last) <= 1e-4 * last:
+            break
+    return w, float(scale)
+
+
+def spline_basis(thresholds: list[float], knots: int = 4) -> np.ndarray:
+    """A quadratic truncated-power basis over thresholds, on a unit scale: constant, slope, square and up to ``knots`` bends."""
+    t = np.asarray(thresholds, float)
+    u = (t - t.min()) / (t.max() - t.min()) if len(t) > 1 and t.max() > t.min() else np.zeros(len(t))
+    inner = np.linspace(0, 1, min(knots, max(0, len(t) - 3)) + 2)[1:-1]
+    columns = [np.ones(len(t)), u, u**2, *[np.maximum(0, u - k) ** 2 for k in inner]][: max(1, len(t))]
+    return np.column_stack(columns)
+
+
+def threshold_head(rows: Rows, design: Design, labels: list[str], basis: np.ndarray, l2: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """One logistic head for all thresholds: coefficients (width, thresholds) that vary over thresholds along a basis.
+
+    The score at threshold t is the design times W times the basis at t, plus an intercept of its own for each threshold
+    (which is not penalised).  Newton's method on W and the intercepts; every step is one sum over the rows.
+    """
+    p, k, m = design.width, basis.shape[1], len(labels)
+    q = (p - 1) * k  # the constant's coefficients are the intercepts
+    size = q + m
+    upper = np.triu_indices(size)
+
+    def unpack(theta):
+        return theta[:q].reshape(p - 1, k) @ basis.T, theta[q:]
+
+    def at(theta, curvature=True):
+        slope, intercept = unpack(theta)
+
+        def work(data, n):
+            x, weight = design.matrix(data, n)[:, 1:], data["__w"]
+            value, g, h = 0.0, np.zeros(size), np.zeros((size, size)) if curvature else None
+            for t, label in enumerate(labels):
+                v, d, e = logistic(x @ slope[:, t] + intercept[t], data[label])
+                value += weight @ v
+                d, e = weight * d, weight * e
+                xd = x.T @ d
+                g[:q] += np.outer(xd, basis[t]).ravel()
+                g[q + t] += d.sum()
+                if curvature:
+                    h[:q, :q] += np.kron(x.T @ (x * e[:, None]), np.outer(basis[t], basis[t]))
+                    h[:q, q + t] += np.outer(x.T @ e, basis[t]).ravel()
+                    h[q + t, q + t] += e.sum()
+            return np.concatenate([[value], g, h[upper]]) if curvature else np.array([value])
+
+        s = rows.sum(work, 1 + size + len(upper[0]) if curvature else 1)
+        penalty = np.r_[np.full(q, l2), np.full(m, 1e-9)]
+        value = s[0] + 0.5 * penalty @ theta**2
+        if not curvature:
+            return value
+        h = np.zeros((size, size))
+        h[upper] = s[1 + size :]
+        return value, s[1 : 1 + size] + penalty * theta, h + h.T - np.diag(np.diag(h)) + np.diag(penalty)
+
+    theta = np.zeros(size)
+    value, g, h = at(theta)
+    for _ in range(rounds):
+        step = np.linalg.solve(h + 1e-9 * np.eye(size), g)
+        k_ = next((j for j in range(10) if at(theta - step * 0.5**j, False) <= value + 1e-12 * abs(value)), None)
+        if k_ is None:
+            break
+        theta = theta - step * 0.5**k_
+        last = value
+        value, g, h = at(theta)
+        if last - value <= 1e-8 * max(1.0, abs(value)):
+            break
+    slope, intercept = unpack(theta)
+    return np.vstack([intercept, slope])
+
+
 def affine_calibration(rows: Rows, score: str, target: str, l2: float = 1e-3, intercept_only: bool = False) -> tuple[float, float]:
     """Scale and offset of a score that minimise mean log loss + l2 (log(scale)^2 + offset^2), within bounds."""
     theta = np.zeros(2)

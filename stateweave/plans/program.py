@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +16,18 @@ from .. import functions as fn
 from ..schema import FeatureMeta, finite, physical, quoted
 
 
+#: What a missing category is called where it is a key of its own.
+MISSING_KEY = "<missing>"
+
+
 @dataclass
 class Feature:
     """How a raw column becomes a state.
 
     numeric: median and thresholds; missing: the flag; category: sorted values, the last state (if reserved) for the
     rest; category_bit: one binary digit of that state; ordered: scores of values, their default, and thresholds;
-    embedding: two centroids and thresholds on the difference of distances.
+    embedding: two centroids and thresholds on the difference of distances; projection: a mean and a direction;
+    prototype: centres of both classes (``shape``: how many of each) and thresholds on the difference of distances.
     """
 
     name: str
@@ -35,6 +41,7 @@ class Feature:
     default: float = 0.0
     bit: int = 0
     reserved: bool = True
+    shape: list[int] = field(default_factory=list)
 
     @property
     def state_column(self) -> str:
@@ -63,19 +70,33 @@ class Feature:
             return F.shiftright(self._code(x), self.bit).bitwiseAND(F.lit(1)).cast("int")
         if self.kind == "ordered":
             table = F.create_map(*[F.lit(v) for value, s in zip(self.values, self.scores, strict=True) for v in (value, s)]) if self.values else None
-            score = F.coalesce(F.element_at(table, x.cast("string")), F.lit(self.default)) if table is not None else F.lit(self.default)
-            return F.when(x.isNull(), F.lit(0)).otherwise(fn.state(score, self.thresholds) + 1)
+            key = x.cast("string") if self.reserved else F.coalesce(x.cast("string"), F.lit(MISSING_KEY))
+            score = F.coalesce(F.element_at(table, key), F.lit(self.default)) if table is not None else F.lit(self.default)
+            s = fn.state(F.round(score, 9), self.thresholds) + 1
+            return F.when(x.isNull(), F.lit(0)).otherwise(s) if self.reserved else s
         if self.kind == "embedding":
             half = len(self.scores) // 2
             from ..operators.adapt import centroid_direction
 
             return fn.state(centroid_direction(None, self.column, {0: self.scores[:half], 1: self.scores[half:]}), self.thresholds)
+        if self.kind in ("projection", "prototype"):
+            return fn.state(self.direction(), self.thresholds)
         raise ValueError(self.kind)
 
+    def direction(self) -> Column:
+        """The number whose quantiles a projection's or prototype's states are."""
+        from ..operators import adapt
+
+        if self.kind == "projection":
+            half = len(self.scores) // 2
+            return adapt.projected(self.column, np.array(self.scores[:half]), np.array([self.scores[half:]]))[0]
+        centres = np.array(self.scores).reshape(sum(self.shape), -1)
+        return adapt.prototype_score(self.column, {0: centres[: self.shape[0]], 1: centres[self.shape[0] :]})
+
 
 @dataclass
 class Program:
-    """score = intercept + tables of single states + tables of pairs + linear terms; then the link."""
+    """score = intercept + tables of single states, pairs and triples + linear terms; then the link."""
 
     features: dict[str, Feature]
     intercept: float = 0.0
@@ -85,11 +106,17 @@ class Program:
     link: str = "identity"
     scale: float = 1.0
     bits: int | None = None
+    cubes: list[tuple[str, str, str, list[float]]] = field(default_factory=list)  # by joint state, the last feature counting fastest
+
+    @property
+    def used(self) -> set[str]:
+        """Names of the features that some table reads."""
+        return {f for f, _ in self.unary} | {f for a, b, _ in self.pairs for f in (a, b)} | {f for *c, _ in self.cubes for f in c}
 
     @property
     def inputs(self) -> list[str]:
         """Raw columns that the program reads."""
-        used = {f for f, _ in self.unary} | {f for a, b, _ in self.pairs for f in (a, b)}
+        used = self.used
         return list(dict.fromkeys([*(self.features[f].column for f in self.features if f in used), *(c for c, *_ in self.linear)]))
 
     def score(self, states: dict[str, Column] | None = None) -> Column:
@@ -99,6 +126,9 @@ class Program:
             width = self.features[b].cardinality
             inside = (s[a] >= 0) & (s[a] < len(t)) & (s[b] >= 0) & (s[b] < width)
             terms.append(F.when(inside, self._table(fn.pair_code(s[a], s[b], width), [v for row in t for v in row])).otherwise(F.lit(0.0)))
+        for a, b, c, t in self.cubes:
+            kb, kc = self.features[b].cardinality, self.features[c].cardinality
+            terms.append(self._table((s[a] * kb + s[b]) * kc + s[c], t))
         for c, median, mean, scale, w in self.linear:
             x = F.col(quoted(c)).cast("double")
             terms.append((F.when(finite(x), x).otherwise(F.lit(median)) - mean) / scale * w)
@@ -107,6 +137,8 @@ class Program:
     def _table(self, index: Column, table: list[float]) -> Column:
         if self.bits is None:
             return fn.lookup(index, table)
+        if self.bits == 32:
+            return fn.lookup(index, np.float32(table).astype(float).tolist())
         q, scale, _ = fn.quantise(table, self.bits)
         return fn.lookup(index, [float(v) for v in q]) * F.lit(scale)
 
@@ -123,7 +155,7 @@ class Program:
 
     def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         """``df`` with the linked value; states are computed once, in a projection below."""
-        used = [f for f in self.features if any(f == u for u, _ in self.unary) or any(f in (a, b) for a, b, _ in self.pairs)]
+        used = [f for f in self.features if f in self.used]
         tag = {f: f"__{i}_{self.features[f].state_column}" for i, f in enumerate(used)}
         below = df.select("*", *[self.features[f].expression().alias(tag[f]) for f in used])
         return below.withColumn(output, self.value(self.score({f: F.col(tag[f]) for f in used}))).drop(*tag.values())
@@ -132,15 +164,19 @@ class Program:
         """Largest error of the score that quantised tables can cause (a probability's is a quarter of it)."""
         if self.bits is None:
             return 0.0
-        return sum(fn.quantise(t, self.bits)[2] for _, t in self.unary) + sum(fn.quantise([v for r in t for v in r], self.bits)[2] for *_, t in self.pairs)
+        if self.bits == 32:
+            every = [t for _, t in self.unary] + [[v for r in t for v in r] for *_, t in self.pairs] + [t for *_, t in self.cubes]
+            return sum(float(np.abs(np.float32(t).astype(float) - np.array(t)).max(initial=0)) for t in every)
+        return sum(fn.quantise(t, self.bits)[2] for _, t in self.unary) + sum(fn.quantise([v for r in t for v in r], self.bits)[2] for *_, t in self.pairs) + sum(fn.quantise(t, self.bits)[2] for *_, t in self.cubes)
 
     def size_bytes(self) -> int:
         """Bytes of tables and thresholds, and of the bookkeeping of features and pairs."""
         cell = 8 if self.bits is None else self.bits // 8
-        tables = sum(len(t) for _, t in self.unary) + sum(len(t) * len(t[0]) for *_, t in self.pairs)
+        tables = sum(len(t) for _, t in self.unary) + sum(len(t) * len(t[0]) for *_, t in self.pairs) + sum(len(t) for *_, t in self.cubes)
         return cell * tables + sum(8 * len(f.thresholds) for f in self.features.values()) + 2 * len(self.features) + 4 * len(self.pairs)
 
     def quantised(self, bits: int = 16) -> Program:
+        """Tables in fixed point of 8 or 16 bits, or in single precision (32)."""
         return replace(self, bits=bits)
 
     def calibrated(self, scale: float, offset: float) -> Program:
@@ -151,6 +187,7 @@ class Program:
             unary=[(f, [v * scale for v in t]) for f, t in self.unary],
             pairs=[(a, b, [[v * scale for v in r] for r in t]) for a, b, t in self.pairs],
             linear=[(c, md, m, s, w * scale) for c, md, m, s, w in self.linear],
+            cubes=[(a, b, c, [v * scale for v in t]) for a, b, c, t in self.cubes],
         )
 
     def to_json(self) -> dict:
@@ -160,8 +197,8 @@ class Program:
     def from_json(d: dict) -> Program:
         d = dict(d)
         d["features"] = {k: Feature(**v) for k, v in d["features"].items()}
-        for k in ("unary", "pairs", "linear"):
-            d[k] = [tuple(x) for x in d[k]]
+        for k in ("unary", "pairs", "linear", "cubes"):
+            d[k] = [tuple(x) for x in d.get(k, [])]
         return Program(**d)
 
 

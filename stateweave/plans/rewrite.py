@@ -47,7 +47,7 @@ def optimised(program: Program) -> Program:
         t = t - t[0]
         if np.abs(t).max(initial=0) > ZERO:
             unary.append((f, t.tolist()))
-    used = {f for f, _ in unary} | {f for a, b, _ in pairs for f in (a, b)}
+    used = {f for f, _ in unary} | {f for a, b, _ in pairs for f in (a, b)} | {f for *c, _ in program.cubes for f in c}
     linear = [x for x in program.linear if abs(x[4]) > 0]
     return replace(program, intercept=float(intercept), unary=unary, pairs=pairs, linear=linear, features={f: x for f, x in program.features.items() if f in used})
 
