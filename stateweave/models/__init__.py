@@ -1,7 +1,8 @@
 """Estimators on DataFrames: fit by aggregation, predict by one projection."""
 
+from .block import BlockClassifier, Refinement
 from .classify import MultiLabelClassifier, SharedClassifier, StateClassifier
 from .regress import FusedRegressor, GeneralizedRegressor, MultiOutputRegressor, StateRidgeRegressor
 from .search import GridSearch
 
-__all__ = ["FusedRegressor", "GeneralizedRegressor", "GridSearch", "MultiLabelClassifier", "MultiOutputRegressor", "SharedClassifier", "StateClassifier", "StateRidgeRegressor"]
+__all__ = ["BlockClassifier", "FusedRegressor", "GeneralizedRegressor", "GridSearch", "MultiLabelClassifier", "MultiOutputRegressor", "Refinement", "SharedClassifier", "StateClassifier", "StateRidgeRegressor"]
