@@ -28,7 +28,7 @@ from .texts import bound_batches, tidied
 
 #: Entries that a worker's caches of chunks and of pre-tokens hold at most; a full cache starts anew (results don't
 #: depend on it).
-CACHE_ENTRIES, PRE_TOKENS = 100_000, 50_000
+CACHE_ENTRIES, PRE_TOKENS = 150_000, 80_000
 
 #: How a byte-level vocabulary writes bytes as printable characters, and how it splits texts.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -45,11 +45,16 @@ LATER_NUMBERS = "11DE0-11DE9, 1246F, 12475-1247F, 12550-12686, 16FF4-16FF6"
 CACHE_LENGTH = 256
 
 
+def later_class(ranges: str = f"{LATER_LETTERS}, {LATER_NUMBERS}") -> str:
+    """A class of characters (regex syntax) from a list of hexadecimal ranges."""
+    return "[" + "".join("-".join(f"\\U{int(x, 16):08X}" for x in part.split("-")) for part in ranges.split(", ")) + "]"
+
+
 def split_pattern(later_letters: str = LATER_LETTERS, later_numbers: str = LATER_NUMBERS) -> str:
     """``SPLIT`` with letters and numbers as they were before the later ones (regex syntax, version 1)."""
-    ranges = lambda text: "".join("-".join(f"\\U{int(x, 16):08X}" for x in part.split("-")) for part in text.split(", "))
-    old = {"L": rf"[\p{{L}}--[{ranges(later_letters)}]]", "N": rf"[\p{{N}}--[{ranges(later_numbers)}]]"}
-    other = rf"[[^\s\p{{L}}\p{{N}}]||[{ranges(later_letters)}{ranges(later_numbers)}]]"
+    letters, numbers = later_class(later_letters), later_class(later_numbers)
+    old = {"L": rf"[\p{{L}}--{letters}]", "N": rf"[\p{{N}}--{numbers}]"}
+    other = rf"[[^\s\p{{L}}\p{{N}}]||{letters}||{numbers}]"
     return "(?V1)" + SPLIT.replace(r"[^\s\p{L}\p{N}]", other, 1).replace(r"?\p{L}+", f"?{old['L']}+").replace(r"?\p{N}+", f"?{old['N']}+")
 
 
@@ -119,6 +124,7 @@ class Codec:
             if whole not in self.parts:
                 self.parts[whole], self.rank[whole] = ids, rank
         self.split, self.split_any = regex.compile(SPLIT), regex.compile(split_pattern())
+        self.later = regex.compile(later_class())
         self.shorter = _Cache(self._shorter)
         self.compatible = _Cache(self._compatible)
         self.pre_token = _Cache(self._pre_token, PRE_TOKENS)
@@ -196,14 +202,26 @@ class Codec:
         return pack(f"<{len(out)}I", *out)
 
     def _run(self, chunk: str) -> bytes:
-        return b"".join(map(self.pre_token.__getitem__, (self.split if chunk.isascii() else self.split_any).findall(chunk)))
+        return b"".join(map(self.pre_token.__getitem__, self.split.findall(chunk)))
 
     #: A blank before other white space: only then do the splits on its two sides depend on each other.
     _TANGLED = re.compile(r" (?:[\s\x1c-\x1f\x85᠎​﻿]|$)")
 
+    def _has_later(self, text: str) -> bool:
+        """Whether the common pattern, which is faster, would split the text wrongly."""
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.later.search(text) is not None
+        return False
+
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
+        if self._has_later(text):
+            return b"".join(map(self.pre_token.__getitem__, self.split_any.findall(text)))
         if self._TANGLED.search(text):
             return self._run(text)
         head, *rest = text.split(" ")
