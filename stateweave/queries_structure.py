@@ -306,3 +306,24 @@ def class_delta_scores(spark, sf_dir):
     p = fn.softmax(scores)
     return order_states(spark, sf_dir).select("o_orderkey", F.round(p[0], 9).alias("p0"), F.round(p[1], 9).alias("p1"))
 
+
+
+@query()
+def fit_blocks(spark, sf_dir):
+    """A binary classifier of finished orders with conditional blocks: key, probability, class."""
+    from .models import BlockClassifier
+
+    df = order_features(spark, sf_dir)
+    columns = ["price", "balance", "day", "month", "segment"]
+    model = BlockClassifier(bins=4, max_features=5, pair_features=4, max_pairs=1, max_blocks=4, c=0.5).fit(df, columns, "y", "o_orderkey")
+    return model.predict(df.select("o_orderkey", *columns)).select("o_orderkey", "probability", "prediction")
+
+
+@query()
+def fit_refinement(spark, sf_dir):
+    """A fixed program refined on finished orders: key and probability."""
+    from .models import Refinement
+
+    df = order_features(spark, sf_dir)
+    model = Refinement(["price", "balance"], triad_features=0).fit(df, frozen_program(), "y", "o_orderkey")
+    return model.program_.transform(df).select("o_orderkey", F.col("prediction").alias("probability"))
