@@ -244,6 +244,62 @@ class Bundle:
         return Bundle([Program.from_json(h) for h in d["heads"]], d["coupling"], d["classes"], d["thresholds"])
 
 
+@dataclass
+class SharedProgram:
+    """Several outputs on one set of features: every table holds a row of all outputs' values for each state.
+
+    A state is looked up once for all outputs; the rows are added up.  ``link``: "softmax", "logit" or "identity".
+    """
+
+    features: dict[str, Feature]
+    intercept: list[float]
+    unary: list[tuple[str, list[list[float]]]] = field(default_factory=list)
+    pairs: list[tuple[str, str, list[list[float]]]] = field(default_factory=list)  # by joint state, the second counting fastest
+    link: str = "softmax"
+    outputs: list = field(default_factory=list)
+
+    @staticmethod
+    def of(bundle: Bundle) -> SharedProgram:
+        """The heads of a bundle, which must read their features alike and have no other terms, as one program."""
+        features: dict[str, Feature] = {}
+        for h in bundle.heads:
+            if h.linear or h.cubes or h.bits or any(features.get(n, f) != f for n, f in h.features.items()):
+                raise ValueError("heads with features of their own or with other terms can't share tables")
+            features |= h.features
+        size = len(bundle.heads)
+        single: dict[str, np.ndarray] = {}
+        joint: dict[tuple[str, str], np.ndarray] = {}
+        for k, h in enumerate(bundle.heads):
+            for f, t in h.unary:
+                single.setdefault(f, np.zeros((features[f].cardinality, size)))[: len(t), k] += t
+            for a, b, t in h.pairs:
+                table = joint.setdefault((a, b), np.zeros((features[a].cardinality, features[b].cardinality, size)))
+                table[: len(t), : len(t[0]), k] += np.array(t)
+        link = "softmax" if bundle.coupling == "softmax" else "logit"
+        return SharedProgram(features, [h.intercept for h in bundle.heads], [(f, t.tolist()) for f, t in single.items()], [(a, b, t.reshape(-1, size).tolist()) for (a, b), t in joint.items()], link, list(bundle.classes))
+
+    def scores(self) -> Column:
+        """An array with each output's score."""
+        s = {n: f.expression() for n, f in self.features.items()}
+        add = lambda total, index, table: F.zip_with(total, F.element_at(F.array(*[F.array(*map(F.lit, row)) for row in table]), index.cast("int") + 1), lambda a, b: a + b)
+        total = F.array(*[F.lit(float(v)) for v in self.intercept])
+        for f, t in self.unary:
+            total = add(total, s[f], t)
+        for a, b, t in self.pairs:
+            total = add(total, fn.pair_code(s[a], s[b], self.features[b].cardinality), t)
+        return total
+
+    def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
+        """``df`` with an array of linked values."""
+        z = self.scores()
+        value = fn.softmax(F.col("__z")) if self.link == "softmax" else F.transform("__z", fn.sigmoid) if self.link == "logit" else F.col("__z")
+        return df.withColumn("__z", z).withColumn(output, value).drop("__z")
+
+    def size_bytes(self) -> int:
+        """Bytes of tables and thresholds."""
+        return 8 * sum(len(t) * len(self.intercept) for *_, t in [*self.unary, *self.pairs]) + sum(8 * len(f.thresholds) for f in self.features.values())
+
+
 def constant_program(share: float, limit: float = 1e-6) -> Program:
     """A head for a label that never changes: its clipped log odds."""
     from math import log

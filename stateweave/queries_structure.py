@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from . import functions as fn
 from .keys import scramble
 from .operators import adapt, cache, quantiles, rank, refine, stats
-from .plans.program import max_error
+from .plans.program import Bundle, Program, SharedProgram, max_error
 from .plans.rewrite import optimised
-from .queries import _CELLS, _DGH, _DIRECTED, _GH, _MI1, _MI2, _POS, LONG, LONG_PAIRS, PAIRS, STATES, frozen_program, mi_sql, order_states, order_states_sql, query, rounded
+from .queries import _CELLS, _DGH, _DIRECTED, _GH, _MI1, _MI2, _POS, LONG, LONG_PAIRS, ORACLES, PAIRS, STATES, frozen_program, mi_sql, order_states, order_states_sql, query, rounded
 from .sources import order_features, table
 
 _STATUS = ["F", "O", "P"]
@@ -308,6 +309,18 @@ def class_delta_scores(spark, sf_dir):
 
 
 
+@query(ORACLES["ovr_softmax_scores"])
+def shared_program_scores(spark, sf_dir):
+    """Three classes from one program whose tables hold a row for all of them."""
+    p = frozen_program("identity")
+    bundle = Bundle([replace(q, linear=[]) for q in (p, p.calibrated(2.0, -1.0), Program({}))], "softmax", ["x", "y", "z"])
+    month = (F.col("month") - 6.5) / 3.5 * 0.2  # the one term that tables can't hold
+    z = F.zip_with(SharedProgram.of(bundle).scores(), F.array(month, 2 * month, F.lit(0.0)), lambda a, b: a + b)
+    out = order_features(spark, sf_dir).withColumn("p", fn.softmax(z))
+    classes = F.array(*map(F.lit, bundle.classes))
+    return out.select("o_orderkey", *[F.round(F.col("p")[i], 9).alias(f"p{i}") for i in range(3)], F.element_at(classes, fn.argmax(F.col("p")) + 1).alias("prediction"))
+
+
 @query()
 def fit_blocks(spark, sf_dir):
     """A binary classifier of finished orders with conditional blocks: key, probability, class."""

@@ -65,7 +65,7 @@ def _kinds() -> dict[str, type]:
     from ..models import base
     from ..plans import program
 
-    return {c.__name__: c for c in (program.Program, program.Bundle, program.Feature, base.Adapter, base.ResourcePlan)} | {n: getattr(models, n) for n in models.__all__}
+    return {c.__name__: c for c in (program.Program, program.Bundle, program.SharedProgram, program.Feature, base.Adapter, base.ResourcePlan)} | {n: getattr(models, n) for n in models.__all__}
 
 
 def encode(x):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stateweave import functions as fn
-from stateweave.models import BlockClassifier, FusedRegressor, GeneralizedRegressor, MultiLabelClassifier, MultiOutputRegressor, Refinement, SharedClassifier, StateClassifier, StateRidgeRegressor
+from stateweave.models import BlockClassifier, FusedRegressor, GeneralizedRegressor, MultiLabelClassifier, MultiOutputRegressor, Refinement, ResolutionRegressor, SharedClassifier, StateClassifier, StateRidgeRegressor
 from stateweave.models.base import Adapter
 from stateweave.operators import adapt, cache, deltas, refine, solve
 from stateweave.plans.program import Program
@@ -127,8 +127,10 @@ def test_weight_two_is_two_rows(spark, planted):
         (FusedRegressor, {"thresholds": 3}, "real", "prediction"),
         (GeneralizedRegressor, {"loss": "huber"}, "real", "prediction"),
         (MultiOutputRegressor, {}, ["real", "u2"], "prediction_real"),
+        (ResolutionRegressor, {"levels": (4, 8)}, "real", "prediction"),
     ]
     for cls, options, target, output in cases:
+        x = [c for c in x if c != "cat"] if cls is ResolutionRegressor else x
         a = cls(weight="w", **small, **options).fit(labels(weighted), x, target, "key")
         b = cls(**small, **options).fit(labels(repeated), x, target, "key")
         one, two = (m.predict(planted.select("key", *x)).orderBy("key").select(output).toPandas()[output].tolist() for m in (a, b))
@@ -257,6 +259,11 @@ def test_nested_codes_tell_the_finest_state(spark):
     assert df.select(codes["a_8"].alias("r")).where("r = 0").count() == 128  # the first child of each parent
 
 
+def test_resolutions_together(planted):
+    model = ResolutionRegressor(levels=(4, 8), max_pairs=1).fit(planted.withColumn("z", 4 * F.col("u0") + (F.col("u1") > 0.3).cast("int")), ["u0", "u1", "u2"], "z", "key")
+    assert model.score(planted.withColumn("z", 4 * F.col("u0") + (F.col("u1") > 0.3).cast("int")), "z") > 0.95
+
+
 def test_cache_is_stored(spark, planted, tmp_path):
     states = planted.select("gated", *[F.floor(F.col(c) * 4).cast("int").alias(c) for c in ("u0", "u1", "u2")])
     made = cache.HistogramCache.newton(states, ["u0", "u1", "u2"], "gated", F.lit(0.5))
