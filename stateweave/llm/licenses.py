@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import LOWER, as_bytes, bound_batches
+from .texts import LOWER, as_bytes, bound_batches, tidied
 
 # Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -44,6 +44,57 @@ TEMPLATES = {
         above copyright notice this list of conditions and the following disclaimer in the documentation and or other
         materials provided with the distribution""",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mit-full": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+        documentation files {{0,3}} to deal in {{1,2}} without restriction including without limitation the rights to use
+        copy modify merge publish distribute sublicense and or sell copies of {{1,2}} and to permit persons to whom {{1,2}}
+        is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+        <<including the next paragraph>> shall be included in all copies or substantial portions of {{1,2}}
+        the software is provided as is without warranty of any kind express or implied including but not limited to the
+        warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the {{2,6}}
+        be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from
+        out of or in connection with the software or the use or other dealings in the software""",
+    "bsd-2-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that
+        the following conditions are met {{0,1}} redistributions of source code must retain the above copyright notice
+        this list of conditions and the following disclaimer {{0,1}} redistributions in binary form must reproduce the
+        above copyright notice this list of conditions and the following disclaimer in the documentation and or other
+        materials provided with the distribution this software is provided by {{2,8}} as is and any express or implied
+        warranties including but not limited to the implied warranties of merchantability and fitness for a particular
+        purpose are disclaimed in no event shall {{2,8}} be liable for any direct indirect incidental special exemplary or
+        consequential damages including but not limited to procurement of substitute goods or services loss of use data or
+        profits or business interruption however caused and on any theory of liability whether in contract strict liability
+        or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the
+        possibility of such damage""",
+    "bsd-3-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that
+        the following conditions are met {{0,1}} redistributions of source code must retain the above copyright notice
+        this list of conditions and the following disclaimer {{0,1}} redistributions in binary form must reproduce the
+        above copyright notice this list of conditions and the following disclaimer in the documentation and or other
+        materials provided with the distribution {{0,1}} neither the name of {{1,10}} nor the names of {{1,4}} may be used
+        to endorse or promote products derived from this software without specific prior written permission this software
+        is provided by {{2,8}} as is and any express or implied warranties including but not limited to the implied
+        warranties of merchantability and fitness for a particular purpose are disclaimed""",
+    "isc-full": """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby
+        granted provided that the above copyright notice and this permission notice appear in all copies the software is
+        provided as is and {{1,4}} disclaims all warranties with regard to this software including all implied warranties
+        of merchantability and fitness in no event shall {{1,4}} be liable for any special direct indirect or consequential
+        damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract
+        negligence or other tortious action arising out of or in connection with the use or performance of this software""",
+    "apache-2.0-notice": """licensed under the apache license version 2.0 the license you may not use this file except in
+        compliance with the license you may obtain a copy of the license at {{4,10}} unless required by applicable law or
+        agreed to in writing software distributed under the license is distributed on an as is basis without warranties or
+        conditions of any kind either express or implied see the license for the specific language governing permissions
+        and limitations under the license""",
+    "gpl-notice": """is free software you can redistribute it and or modify it under the terms of the gnu general public
+        license as published by the free software foundation either version {{1,1}} of the license or {{0,3}} any later
+        version {{1,4}} is distributed in the hope that it will be useful but without any warranty without even the implied
+        warranty of merchantability or fitness for a particular purpose see the gnu general public license for more
+        details""",
+    "zlib": """this software is provided as is without any express or implied warranty in no event will the authors be held
+        liable for any damages arising from the use of this software permission is granted to anyone to use this software
+        for any purpose including commercial applications and to alter it and redistribute it freely subject to the
+        following restrictions""",
+    "unlicense": """this is free and unencumbered software released into the public domain anyone is free to copy modify publish
+        use compile sell or distribute this software either in source code form or as a compiled binary for any purpose
+        commercial or non commercial and by any means""",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license <<,>> v 2.0",
 }
 
@@ -65,7 +116,7 @@ class Automaton:
     gap: list[list[int]]
     skip: list[list[int]]
     final: int
-    mandatory: int
+    must: list[bytes]
     first: frozenset[bytes] = frozenset()
 
     def closure(self, states: set[int]) -> set[int]:
@@ -83,7 +134,7 @@ def compile_template(label: str, wording: str) -> Automaton:
     step: list[dict[bytes, list[int]]] = [{}]
     gap: list[list[int]] = [[]]
     skip: list[list[int]] = [[]]
-    mandatory = 0
+    must: list[bytes] = []
     opened: list[int] = []
 
     def new() -> int:
@@ -116,11 +167,11 @@ def compile_template(label: str, wording: str) -> Automaton:
                 nxt = new()
                 step[at].setdefault(word, []).append(nxt)
                 at = nxt
-                mandatory += not opened
-    a = Automaton(label, step, gap, skip, at, mandatory)
+                must += [word] * (not opened)
+    a = Automaton(label, step, gap, skip, at, must)
     start = a.closure({0})
-    if any(gap[s] for s in start) or a.final in start:
-        raise ValueError(f"{label}: a template has to begin with wording")
+    if any(gap[s] for s in start) or a.final in start or not must:
+        raise ValueError(f"{label}: a template has to begin with wording, and some of it has to be mandatory")
     a.first = frozenset(w for s in start for w in step[s])
     return a
 
@@ -148,26 +199,10 @@ class Scanner:
             for w in a.first:
                 self.starts.setdefault(w, []).append(a)
         # a text without any of these words can match nothing
-        self.cue_of = {a.label: self._cue(a) for a in self.automata}
+        self.cue_of = {a.label: max(a.must, key=lambda w: (len(w), w)) for a in self.automata}
         cues = {max(p, key=len) for p, _ in self.phrases} | set(self.cue_of.values())
         self.cue = re.compile(b"|".join(sorted(map(re.escape, cues), key=len, reverse=True)))
 
-    @staticmethod
-    def _cue(a: Automaton) -> bytes:
-        """The longest word that every accepted stretch has."""
-        must: list[bytes] = []
-        for word in {w for d in a.step for w in d}:
-            barred = Automaton(a.label, [{k: v for k, v in d.items() if k != word} for d in a.step], a.gap, a.skip, a.final, 0)
-            seen = barred.closure({0})
-            while True:
-                more = barred.closure(seen | {t for s in seen for v in barred.step[s].values() for t in v} | {t for s in seen for t in barred.gap[s]})
-                if more == seen:
-                    break
-                seen = more
-            if a.final not in seen:
-                must.append(word)
-        return max(must, key=lambda w: (len(w), w))
-
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int, str, bool]]]:
         """Number of words; what was found: first word, word after the last, label, whether a template says so."""
         low = text.translate(_WORD)
@@ -244,4 +279,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = f"`{id_col}` {id_type}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double" + ", spans array<struct<begin:bigint,end:bigint,label:string>>" * with_spans
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(tidied(run), schema)

@@ -368,6 +368,38 @@ def test_templates():
     assert says("granted to hereby") == [] and says("granted to a b c hereby") == [] and says("granted to a free charge hereby") == []
 
 
+def test_full_license_texts():
+    scan = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES).scan
+    found = lambda t: {f[2] for f in scan(t.encode())[1] if f[3]}
+    mit = """Copyright (c) 2020 Jane Doe. Permission is hereby granted, free of charge, to any person obtaining a copy of this
+    software and associated documentation files (the "Software"), to deal in the Software without restriction, including
+    without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+    Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+    copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+    THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+    WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+    COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+    OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+    assert found(mit) == {"mit-text", "mit-full"} and found(mit.replace("shall be included in all copies", "(including the next paragraph) shall be included in all copies")) == {"mit-text", "mit-full"}
+    assert found(mit.replace("AUTHORS OR\n    COPYRIGHT HOLDERS", "X CONSORTIUM")) == {"mit-text", "mit-full"}
+    assert found(mit.replace("ANY CLAIM", "A CLAIM")) == {"mit-text"} and found(mit.replace("free of charge", "for a fee")) == set()
+    apache = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+    the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable
+    law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+    CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+    limitations under the License."""
+    assert found(apache) == {"apache-2.0", "apache-2.0-notice"} and found(apache[:60]) == {"apache-2.0"}
+    gpl = """frob is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+    published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. frob is
+    distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+    assert found(gpl) == {"gpl-3.0-or-later", "gpl-notice"}
+    every = " ".join(re.sub(r"<<.*?>>", "", re.sub(r"\{\{(\d+),\d+\}\}", lambda m: "x " * max(1, int(m[1])) if m[1] != "0" else "", t)) for t in licenses.TEMPLATES.values())
+    assert found(every) == set(licenses.TEMPLATES)  # each template accepts its own wording
+    with pytest.raises(ValueError, match="mandatory"):
+        licenses.compile_template("t", "<<only optional>>")
+
+
 def links_by_hand(rows, size=5):
     sets = {}
     for i, t, _ in rows:
