@@ -119,15 +119,15 @@ def test_weight_two_is_two_rows(spark, planted):
     x, small = ["u0", "u1", "cat"], {"bins": 4, "max_pairs": 1, "pair_features": 3}
     labels = lambda d: d.withColumn("one", F.col("gated")).withColumn("two", F.col("bumpy"))
     cases = [
-        (StateClassifier, {"calibration": "affine"}, "gated", "probability"),
-        (BlockClassifier, {}, "gated", "probability"),
-        (SharedClassifier, {"class_deltas": 3}, "three", "probabilities"),
-        (MultiLabelClassifier, {}, ["one", "two"], "probabilities"),
-        (StateRidgeRegressor, {}, "real", "prediction"),
-        (FusedRegressor, {"thresholds": 3}, "real", "prediction"),
+        (StateClassifier, {"calibration": "affine", "c": 0.5}, "gated", "probability"),
+        (BlockClassifier, {"c": 0.5, "max_blocks": 2}, "gated", "probability"),
+        (SharedClassifier, {"class_deltas": 3, "c": 0.5}, "three", "probabilities"),
+        (MultiLabelClassifier, {"c": 0.5}, ["one", "two"], "probabilities"),
+        (StateRidgeRegressor, {"alpha": 1.0}, "real", "prediction"),
+        (FusedRegressor, {"thresholds": 3, "alpha": 1.0}, "real", "prediction"),
         (GeneralizedRegressor, {"loss": "huber"}, "real", "prediction"),
         (MultiOutputRegressor, {}, ["real", "u2"], "prediction_real"),
-        (ResolutionRegressor, {"levels": (4, 8)}, "real", "prediction"),
+        (ResolutionRegressor, {"levels": (4, 8), "alpha": (1.0,)}, "real", "prediction"),
     ]
     for cls, options, target, output in cases:
         x = [c for c in x if c != "cat"] if cls is ResolutionRegressor else x
