@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import discard, stored
 from .texts import as_bytes, bound_batches, tidied
 
 # Names that announce a credential, prefixes of known kinds, and names that announce something harmless.
@@ -72,10 +73,20 @@ class Dictionary:
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS) -> list[str]:
     """The ``most`` commonest runs of 4 to 20 letters a-z in all texts (counted over all documents, ties by the word).
 
-    ``most`` is the size of the dictionary, so what reaches the driver is bounded.  Counts are summed before shuffling.
+    ``most`` is the size of the dictionary.  Counts are summed before shuffling; a histogram of them (some hundred rows)
+    tells how common a word has to be, so that little more than the dictionary reaches the driver.
     """
     found = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`").cast("string")), F.lit("(?<![a-z])[a-z]{4,20}(?![a-z])"), F.lit(0))).alias("word"))
-    return [r["word"] for r in found.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()]
+    counts = stored(found.groupBy("word").count().withColumn("scale", F.floor(F.log2("count") * 16)))
+    cut = have = 0
+    for cut, n in sorted(counts.groupBy("scale").count().collect(), reverse=True):
+        have += n
+        if have >= most:
+            break
+    top = counts.where(F.col("scale") >= cut).orderBy(F.desc("count"), "word").limit(most)
+    words = [r["word"] for r in top.collect()]
+    discard(counts)
+    return words
 
 
 def features(value: str, before: str, after: str, dictionary: Dictionary) -> list[float]:
