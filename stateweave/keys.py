@@ -19,22 +19,35 @@ def hashed_fold(key: Column, folds: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int")
 
 
-def stratified_folds(df: DataFrame, key: str, target: str, folds: int, seed: int = 0) -> DataFrame:
-    """Column ``fold``: inside each target value, keys in scrambled order are dealt in turn (sizes differ by one at most).
+def _placed(df: DataFrame, key: str, target: str, seed: int) -> tuple[DataFrame, list[str]]:
+    """``df`` with each row's place among its target value in scrambled order and the number of such rows.
 
-    A window over each target value sorts it in one task; for tables where a class doesn't fit there, use
-    :func:`hashed_fold`.
+    Scrambled keys fall into 1,024 equal ranges; a window sorts one range of one target value, and ranges go on from the
+    counts of those before (one row for each target value and range), so a frequent value is never sorted in one task.
     """
-    order = Window.partitionBy(target).orderBy(scramble(F.col(key), seed), F.col(key))
-    return df.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(folds)).cast("int"))
+    near, local, ahead, n = (f"__{x}_{len(df.columns)}" for x in ("range", "local", "ahead", "n"))
+    at = F.floor(scramble(F.col(key), seed) * 1024 / 1_000_003).cast("int")
+    rows = df.withColumn(near, F.coalesce(at, F.lit(-1)))
+    counts = rows.groupBy(target, near).agg(F.count("*").alias(local))
+    whole = Window.partitionBy(target)
+    before = F.coalesce(F.sum(local).over(whole.orderBy(near).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(target).alias("__t"), F.col(near).alias("__r"), before.alias(ahead), F.sum(local).over(whole).alias(n))
+    inside = Window.partitionBy(target, near).orderBy(scramble(F.col(key), seed), F.col(key))
+    rows = rows.withColumn(local, F.row_number().over(inside))
+    joined = rows.join(counts, F.col(target).eqNullSafe(F.col("__t")) & (F.col(near) == F.col("__r")))
+    return joined.withColumn(local, F.col(local) + F.col(ahead)).drop("__t", "__r", near, ahead), [local, n]
+
+
+def stratified_folds(df: DataFrame, key: str, target: str, folds: int, seed: int = 0) -> DataFrame:
+    """Column ``fold``: inside each target value, keys in scrambled order are dealt in turn (sizes differ by one at most)."""
+    placed, (place, n) = _placed(df, key, target, seed)
+    return placed.withColumn("fold", F.pmod(F.col(place) - 1, F.lit(folds)).cast("int")).drop(place, n)
 
 
 def stratified_subsample(df: DataFrame, key: str, target: str, fraction: float, least: int = 8, seed: int = 0) -> DataFrame:
     """Of each target value ``max(least, ceil(fraction * n))`` rows, the first in scrambled order."""
-    group = Window.partitionBy(target)
-    rank = F.row_number().over(group.orderBy(scramble(F.col(key), seed), F.col(key)))
-    wanted = F.greatest(F.lit(least), F.ceil(F.count("*").over(group) * F.lit(fraction)))
-    return df.withColumn("__rank", rank).withColumn("__wanted", wanted).where("__rank <= __wanted").drop("__rank", "__wanted")
+    placed, (place, n) = _placed(df, key, target, seed)
+    return placed.where(F.col(place) <= F.greatest(F.lit(least), F.ceil(F.col(n) * F.lit(fraction)))).drop(place, n)
 
 
 def column_sample(columns: list[str], fraction: float, seed: int) -> list[str]:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import state
 from ..schema import finite, quoted
+from .numbering import numbered
 from .quantiles import exact_quantiles, nested_thresholds
 
 #: Up to so many categories a dictionary is broadcast or written into the plan.
@@ -30,9 +31,15 @@ def imputed(column: str, median: float) -> tuple[Column, Column]:
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
-    """value, state: distinct values in ascending order, counted from 0 (one row for each category)."""
+    """value, state: distinct values in ascending order, counted from 0 (one row for each category).
+
+    Up to ``BROADCAST_CATEGORIES`` values are numbered by one window; beyond, ranges of them are (as int still: more
+    than 2**31 categories are an error).
+    """
     values = df.select(F.col(quoted(column)).alias("value")).where("value IS NOT NULL").distinct()
-    return values.withColumn("state", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
+    if values.limit(BROADCAST_CATEGORIES + 1).count() <= BROADCAST_CATEGORIES:
+        return values.withColumn("state", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
+    return numbered(values, [F.col("value")], "state").withColumn("state", F.col("state").cast("int"))
 
 
 def with_dictionary(df: DataFrame, column: str, table: DataFrame, value: str, default: Column, output: str) -> DataFrame:
