@@ -89,6 +89,15 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of every document in the Merkle tree of its language, checked against a tampered leaf."""
+    from .merkle import manifest
+
+    docs = table(spark, sf_dir, "documents")
+    out = manifest(docs, tampered={"n_chars": F.col("n_chars") + 1}, when=F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline``."""
     import corpus_pipeline
@@ -122,7 +131,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_nearest": op5_nearest, "op6_licenses": op6_licenses,
-    "op7_near_duplicates": op7_near_duplicates, "op8_hmm": op8_hmm, "op9_mixing": op9_mixing, "op10_quality": op10_quality, "pipeline": pipeline,
+    "op7_near_duplicates": op7_near_duplicates, "op8_hmm": op8_hmm, "op9_mixing": op9_mixing, "op10_quality": op10_quality, "op13_manifest": op13_manifest, "pipeline": pipeline,
     "licenses_base": licenses_base, "hmm_base": hmm_base, "mixing_targets": mixing_targets, "quality_base": quality_base,
 }
 
@@ -130,6 +139,13 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CRC32 = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
   lambda crc, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, b)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+def _leaf(n_chars: str) -> str:
+    """SQL for the digest of a document whose ``n_chars`` is the given expression."""
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
 #: Where SQL can express a query.
 ORACLES: dict[str, str] = {
     "op5_nearest": """
@@ -139,6 +155,19 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c
   FROM ok q JOIN ok c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op13_manifest": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, {_leaf("n_chars")} AS leaf, {_leaf(f"(n_chars + CASE WHEN coalesce({_CRC32} % 7 = 0, false) THEN 1 ELSE 0 END)")} AS other FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+v AS (SELECT 0 AS k, g, i, n, leaf AS h FROM l UNION ALL SELECT k + 1, g, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM v WHERE n > 1 GROUP BY k, g, i // 2),
+p AS (SELECT g, h AS subroot, k AS height, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM v WHERE n = 1),
+w AS (SELECT 0 AS k, i, n, subroot AS h FROM p UNION ALL SELECT k + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM w WHERE n > 1 GROUP BY k, i // 2),
+s AS (SELECT l.g, l.i, v.k, CASE WHEN l.i >> v.k & 1 = 1 THEN 'l' ELSE 'r' END || coalesce(o.h, '') AS x FROM l JOIN v ON v.g = l.g AND v.i = l.i >> v.k AND v.n > 1 LEFT JOIN v o ON o.g = v.g AND o.k = v.k AND o.i = xor(v.i, 1)),
+u AS (SELECT p.g, w.k, CASE WHEN p.i >> w.k & 1 = 1 THEN 'l' ELSE 'r' END || coalesce(o.h, '') AS x FROM p JOIN w ON w.i = p.i >> w.k AND w.n > 1 LEFT JOIN w o ON o.k = w.k AND o.i = xor(w.i, 1)),
+a AS (SELECT g, i, list(x ORDER BY k) AS x FROM s GROUP BY 1, 2), b AS (SELECT g, list(x ORDER BY k) AS x FROM u GROUP BY 1),
+r AS (SELECT l.*, p.subroot, (SELECT h FROM w WHERE n = 1) AS root, list_concat(coalesce(a.x, []), coalesce(b.x, [])) AS path FROM l JOIN p USING (g) LEFT JOIN a ON a.g = l.g AND a.i = l.i LEFT JOIN b ON b.g = l.g),
+z AS (SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x[2:]), ''), '')) AS proof_sha256,
+  list_reduce(path, lambda h, x: sha256(CASE WHEN x[1] = 'l' THEN x[2:] || h ELSE h || x[2:] END), coalesce(other, leaf)) AS folded_root FROM r)
+SELECT *, folded_root = root AS verified FROM z""",
     "op7_near_duplicates": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
 m AS (SELECT doc_id, words, min(doc_id) OVER (PARTITION BY words) AS rep FROM w),

@@ -1,43 +1,5 @@
 """Intermediate tables in the folder that the cluster shares."""
 
-from __future__ import annotations
+from ..sources.interim import discard, shared_folder, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where none is set in local mode (as in tests), a temporary folder."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder is None:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not jvm_dir.isDefined() and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        folder = jvm_dir.get() if jvm_dir.isDefined() else tempfile.mkdtemp(prefix="stateweave-")
-        if not jvm_dir.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again, so that later steps don't compute it anew.
-
-    A lost executor can't take the table with it.  The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stateweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that :func:`stored` returned, when nothing will read it again."""
-    spark = df.sparkSession
-    for name in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        if "stateweave-" in path.getName():
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "shared_folder", "stored"]
