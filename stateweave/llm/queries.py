@@ -89,6 +89,14 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all conversations, each with the opening of the first of its five."""
+    from .conversation_trie import conversation_trie
+
+    conv = F.col("conv")
+    return conversation_trie(table(spark, sf_dir, "conversations"), base=conv - conv % 5, opening=F.crc32(conv.cast("string")) % 9, most=8)
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and root of every document in the Merkle tree of its language, checked against a tampered leaf."""
     from .merkle import manifest
@@ -131,7 +139,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_nearest": op5_nearest, "op6_licenses": op6_licenses,
-    "op7_near_duplicates": op7_near_duplicates, "op8_hmm": op8_hmm, "op9_mixing": op9_mixing, "op10_quality": op10_quality, "op13_manifest": op13_manifest, "pipeline": pipeline,
+    "op7_near_duplicates": op7_near_duplicates, "op8_hmm": op8_hmm, "op9_mixing": op9_mixing, "op10_quality": op10_quality, "op11_prefix_trie": op11_prefix_trie, "op13_manifest": op13_manifest, "pipeline": pipeline,
     "licenses_base": licenses_base, "hmm_base": hmm_base, "mixing_targets": mixing_targets, "quality_base": quality_base,
 }
 
@@ -155,6 +163,16 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c
   FROM ok q JOIN ok c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_prefix_trie": rf"""
+WITH t AS (SELECT conv_id, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32.replace("doc_id", "conv_id")} % 9 AS h, list(turn ORDER BY i) AS turns FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, list_concat(coalesce(list_slice(o.turns, 1, c.h), []), list_slice(c.turns, c.h + 1, len(c.turns))) AS turns FROM c LEFT JOIN c o ON o.conv_id = c.base),
+x AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM r),
+g AS (SELECT list_slice(turns, 1, depth) AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '') AS ends FROM x GROUP BY 1, 2),
+k AS (SELECT g.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM g c WHERE c.depth = g.depth + 1 AND list_slice(c.path, 1, g.depth) = g.path) AS n_children FROM g LEFT JOIN g p ON p.depth = g.depth - 1 AND p.path = list_slice(g.path, 1, g.depth - 1))
+SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves,
+  CAST(coalesce(sum((b.n_convs - 1) * strlen(b.path[b.depth].t)), 0) AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM k a JOIN k b ON b.depth >= a.depth AND list_slice(b.path, 1, a.depth) = a.path GROUP BY ALL""",
     "op13_manifest": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, {_leaf("n_chars")} AS leaf, {_leaf(f"(n_chars + CASE WHEN coalesce({_CRC32} % 7 = 0, false) THEN 1 ELSE 0 END)")} AS other FROM documents),
 l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
