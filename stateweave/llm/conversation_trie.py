@@ -83,25 +83,26 @@ def _ends(rows: DataFrame) -> DataFrame:
     """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, ids, size = None, [], 0
-
-        def out():
-            return pa.RecordBatch.from_pylist([dict(zip(NODE, node, strict=True), first=ids[0], ids=",".join(map(str, ids)))], schema=JOINED)
-
+        node, ids, size, out, waiting = None, [], 0, [], 0
         for batch in batches:
             for *key, conv in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if node is not None and (key != node or size >= ENDS_BYTES):
-                    yield out()
+                    out.append((*node, ids[0], ",".join(map(str, ids))))
+                    waiting += size
                     ids, size = [], 0
                 node = key
                 ids.append(conv)
                 size += 8
+            if waiting >= ENDS_BYTES:
+                yield rows_of(out, JOINED)
+                out, waiting = [], 0
         if node is not None:
-            yield out()
+            yield rows_of([*out, (*node, ids[0], ",".join(map(str, ids)))], JOINED)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, sha, done = None, None, []
+        node, sha = None, None
         for batch in batches:
+            done = []
             for *key, _, ids in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if key == node:
                     sha.update(b"," + ids.encode())
@@ -109,16 +110,20 @@ def _ends(rows: DataFrame) -> DataFrame:
                     if node is not None:
                         done.append((*node, sha.hexdigest()))
                     node, sha = key, hashlib.sha256(ids.encode())
-            yield pa.RecordBatch.from_pylist([dict(zip([*NODE, "ends_sha256"], x, strict=True)) for x in done], schema=DIGESTED)
-            done = []
+            yield rows_of(done, DIGESTED)
         if node is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip([*NODE, "ends_sha256"], (*node, sha.hexdigest()), strict=True))], schema=DIGESTED)
+            yield rows_of([(*node, sha.hexdigest())], DIGESTED)
 
     sorted_ = rows.select(*NODE, "conv").repartitionByRange(*NODE, "conv").sortWithinPartitions(*NODE, "conv")
     texts = sorted_.mapInArrow(join, "depth bigint, p bigint, q bigint, first bigint, ids string")
     return texts.repartition(*NODE).sortWithinPartitions(*NODE, "first").mapInArrow(digest, "depth bigint, p bigint, q bigint, ends_sha256 string")
 
 
+def rows_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 _KEY = [(c, pa.int64()) for c in NODE]
 JOINED = pa.schema([*_KEY, ("first", pa.int64()), ("ids", pa.string())])
 DIGESTED = pa.schema([*_KEY, ("ends_sha256", pa.string())])
