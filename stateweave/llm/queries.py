@@ -97,6 +97,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"), base=conv - conv % 5, opening=F.crc32(conv.cast("string")) % 9, most=8)
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links between 4-word shingle sets."""
+    from .token_groups import similar_sets
+
+    return similar_sets(table(spark, sf_dir, "documents"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and root of every document in the Merkle tree of its language, checked against a tampered leaf."""
     from .merkle import manifest
@@ -139,7 +146,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_nearest": op5_nearest, "op6_licenses": op6_licenses,
-    "op7_near_duplicates": op7_near_duplicates, "op8_hmm": op8_hmm, "op9_mixing": op9_mixing, "op10_quality": op10_quality, "op11_prefix_trie": op11_prefix_trie, "op13_manifest": op13_manifest, "pipeline": pipeline,
+    "op7_near_duplicates": op7_near_duplicates, "op8_hmm": op8_hmm, "op9_mixing": op9_mixing, "op10_quality": op10_quality, "op11_prefix_trie": op11_prefix_trie, "op12_ngram_join": op12_ngram_join, "op13_manifest": op13_manifest, "pipeline": pipeline,
     "licenses_base": licenses_base, "hmm_base": hmm_base, "mixing_targets": mixing_targets, "quality_base": quality_base,
 }
 
@@ -173,6 +180,18 @@ k AS (SELECT g.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM g c WHERE c
 SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves,
   CAST(coalesce(sum((b.n_convs - 1) * strlen(b.path[b.depth].t)), 0) AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
 FROM k a JOIN k b ON b.depth >= a.depth AND list_slice(b.path, 1, a.depth) = a.path GROUP BY ALL""",
+    "op12_ngram_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+m AS (SELECT doc_id, words, min(doc_id) OVER (PARTITION BY words) AS rep FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 4 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingle
+  FROM m WHERE doc_id = rep AND len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= 85 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT DISTINCT rep AS node, rep AS other FROM m UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT node, min(other) AS component_id FROM r GROUP BY 1)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN m.doc_id ELSE component_id END AS component_id FROM m JOIN c ON rep = node LEFT JOIN n ON n.doc_id = rep""",
     "op13_manifest": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, {_leaf("n_chars")} AS leaf, {_leaf(f"(n_chars + CASE WHEN coalesce({_CRC32} % 7 = 0, false) THEN 1 ELSE 0 END)")} AS other FROM documents),
 l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
