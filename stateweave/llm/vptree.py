@@ -277,10 +277,12 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         return copies.groupBy(*key, "block").cogroup(asked.groupBy(*key, "block")).applyInArrow(search, "query_id bigint, tag bigint, score double, id bigint, looked bigint")
 
     schema = "dim int, cell int, id bigint, v array<double>, tag bigint, least double"
-    home = queries.mapInArrow(route(False), schema).join(named, ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int")).drop("subs")
-    first = stored(answers(home).where("id IS NOT NULL").groupBy("query_id", "tag").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k))
-    known = queries.join(first, (F.col("id") == F.col("query_id")) & (queries.tag == first.tag), "left").select("id", "v", queries.tag, F.coalesce("low", "least").alias("least"))
-    routed = stored(known).mapInArrow(route(True), schema).join(named, ["dim", "cell"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs")
+    known = queries
+    if cells.pivots:  # else a length's vectors are one cell, and the nearest shard is no better than any
+        home = queries.mapInArrow(route(False), schema).join(named, ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int")).drop("subs")
+        first = stored(answers(home).where("id IS NOT NULL").groupBy("query_id", "tag").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k))
+        known = stored(queries.join(first, (F.col("id") == F.col("query_id")) & (queries.tag == first.tag), "left").select("id", "v", queries.tag, F.coalesce("low", "least").alias("least")))
+    routed = known.mapInArrow(route(True), schema).join(named, ["dim", "cell"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs")
     got = answers(routed)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = got.where("id IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
