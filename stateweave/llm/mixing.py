@@ -90,7 +90,7 @@ def shard_quota(blocks: np.ndarray, shards: int, shard: int, seed: int) -> tuple
 class Mix:
     """The sized documents, the targets of their sources, and the copies that the mix takes, dealt to shards."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = 4096, shard_words: int = 4_000_000, seed: int = 9):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = 4096, shard_words: int = 32_768, seed: int = 9):
         """``most``: at most 2 (a document is never repeated more often than that).
 
         One row for each source reaches the driver: its name and size.  Sizes are whole-text word counts (null: 0);
@@ -144,9 +144,10 @@ class Mix:
             for batch in batches:
                 for shard in batch.column(0).to_pylist():
                     start, quota = shard_quota(blocks, shards, shard, seed)
-                    for src in np.flatnonzero(quota).tolist():
-                        block = permuted(start[src] + np.arange(quota[src]), int(blocks[src]), seed + src)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), src, np.int32)), pa.array(block), pa.array(np.full(len(block), shard, np.int64))], names=["src", "block", "shard"])
+                    drawn = [permuted(start[src] + np.arange(quota[src]), int(blocks[src]), seed + src) for src in np.flatnonzero(quota).tolist()]
+                    if drawn:
+                        src, block = np.repeat(np.arange(len(quota)), quota).astype(np.int32), np.concatenate(drawn)
+                        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(block), pa.array(np.full(len(block), shard, np.int64))], names=["src", "block", "shard"])
 
         return self.placed.sparkSession.range(shards).mapInArrow(draw, "src int, block bigint, shard bigint")
 
