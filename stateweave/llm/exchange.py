@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def blob(x: np.ndarray) -> bytes:
@@ -27,6 +28,15 @@ def bits(packed: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
 
 
+#: Most tasks of one exchange; beyond, a task has several shards, one after the other.
+MOST_TASKS = 8192
+
+
+def by_shard(df: DataFrame, shards: int) -> DataFrame:
+    """``df`` partitioned by ``shard`` into as many tasks as there are shards, so that a task reads about a shard."""
+    return df.repartition(min(shards, MOST_TASKS), "shard")
+
+
 class Deal:
     """Entries dealt to the shards that they belong to; only shards that occur take part, however many there are."""
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import MESSAGE, Deal, blob, messages
+from .exchange import MESSAGE, Deal, blob, by_shard, messages
 from .store import discard, stored
 from .texts import LOWER, Words, as_bytes, bound_batches, freed, pieces, range_hash, shard_of, shards_for, text_bytes, tidied
 
@@ -326,7 +326,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = docs.schema[id_col].dataType.simpleString()
     held_out = default_held_out(id_col) if held_out is None else held_out
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), held_out.alias("held_out"))
-    dealt = source.select(shard_of(F.col("id"), n).alias("shard"), "id", "text", "held_out")
+    dealt = by_shard(source.select(shard_of(F.col("id"), n).alias("shard"), "id", "text", "held_out"), n)
 
     def sequences_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,7 +343,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the last round's expected counts once more, token by token
     told = dealt.groupBy("shard").applyInArrow(lambda t: freed(tell_counts)(t, before, n_classes, n), MESSAGE)
-    replies = stored(told.groupBy("shard").applyInArrow(lambda t: freed(add_counts)(t, states), MESSAGE))
+    replies = stored(by_shard(told, n).groupBy("shard").applyInArrow(lambda t: freed(add_counts)(t, states), MESSAGE))
     mass, kinds = _class_sums(replies, n_classes)
     state_sums = _state_sums(replies, states)
     total, distinct = int(mass.sum()), int(kinds.sum())
@@ -368,5 +368,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         columns = [t.column("id"), t.column("held_out"), pa.array(s.counts), pa.array(summed(c > 0).astype(np.int64)), pa.array(np.full(len(s.texts), total)), pa.array(summed(base)), pa.array(model_score)]
         return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    out = dealt.groupBy("shard").cogroup(replies.where("kind = 1").groupBy("shard")).applyInArrow(lambda t, m: freed(score)(t, m), f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = dealt.groupBy("shard").cogroup(by_shard(replies.where("kind = 1"), n).groupBy("shard")).applyInArrow(lambda t, m: freed(score)(t, m), f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
