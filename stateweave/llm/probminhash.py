@@ -23,14 +23,13 @@ from pyspark.sql.window import Window
 from .graph import components, follow
 from .store import discard, stored
 from .texts import LOWER, Words, as_bytes, bound_batches, mixed, pieces, tidied, unused
+from .wanted import Wanted
 
 #: Members of a bucket of band values that are paired with each other; members of larger buckets are paired with a
 #: leader and two neighbours first, and what that leaves apart is compared by an exact join afterwards.
 SMALL_BUCKET = 8
 #: Members of a bucket whose neighbours are looked for together.
 WINDOW_ROWS = 4096
-#: Most bits of the filter that is sent to all workers (8 MB).
-FILTER_BITS = 1 << 26
 #: Candidates whose registers agree less than this are dropped unread: a pair at 0.8 does so with a probability of
 #: 1 * 10**-8 (at most 52 of 96 independent registers of probability 0.8).
 SKETCH_FLOOR = 0.55
@@ -110,33 +109,6 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int
     return source.mapInArrow(tidied(run), f"id {id_type}, print bigint, node binary, n_shingles int, bands array<bigint>, registers binary")
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids' hashes, packed: 16 bits for each id but ``FILTER_BITS`` at most."""
-    n = ids.count()
-    bits = 1 << 10
-    while bits < min(16 * n, FILTER_BITS):
-        bits *= 2
-    h = ids.select(F.xxhash64("id").alias("h"))
-    at = F.explode(F.array(*[F.pmod(x, F.lit(bits)) for x in _hashes(F.col("h"))])).alias("at")
-    words = h.select(at).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("x")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    return out.view(np.uint64)
-
-
-def _hashes(h):
-    """The places of a hash in the filter, before the remainder."""
-    return [h, h.bitwiseXOR(F.shiftright(h, 29)) if not isinstance(h, np.ndarray) else h ^ (h >> 29)]
-
-
-def _in_filter(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    hit = np.ones(len(h), bool)
-    for x in _hashes(h):
-        at = (x % (64 * len(filter_))).astype(np.uint64)
-        hit &= (filter_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-    return hit
-
-
 def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs whose registers agree often enough to be worth reading."""
     side = lambda x: sketches.select(F.col("node").alias(x), F.col("registers").alias(f"r{x}"))
@@ -152,22 +124,20 @@ def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Shingle sets (packed, sorted) of the wanted (node, id).  Texts don't travel: workers filter the ids they read."""
-    spark = docs.sparkSession
-    member = spark.sparkContext.broadcast(_filter_of(wanted.select("id")))
+    """Shingle sets (packed, sorted) of the wanted (node, id).  Texts don't travel while the wanted ones are few."""
+    node = F.col(f"`{id_col}`")
+    source = docs.where(node.isNotNull()).select(F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(node).alias("h"))
+    member = Wanted(source, "h", wanted.select(F.xxhash64("id")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(_in_filter(member.value, batch.column(1).to_numpy())))
-            texts = as_bytes(batch.column(0))
+            texts = as_bytes(member.keep(batch).column("text"))
             for a, b in pieces(texts):
                 doc, h = shingle_sets(texts[a:b], size)
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(digests(texts[a:b]), pa.binary()), pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "shingles"])
 
-    node = F.col(f"`{id_col}`")
-    source = docs.where(node.isNotNull()).select(F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(node).alias("h"))
-    return source.mapInArrow(tidied(sets), "node binary, shingles binary").join(wanted.select("node").hint("shuffle_merge"), "node", "left_semi").dropDuplicates(["node"])
+    return member.rows.mapInArrow(tidied(sets), "node binary, shingles binary").join(wanted.select("node").hint("shuffle_merge"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
