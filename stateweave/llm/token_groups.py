@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 from .exchange import blob
 from .graph import components, follow
 from .probminhash import shingle_sets
-from .store import stored
+from .store import discard, free_shuffles, stored
 from .texts import as_bytes, bound_batches, freed, mixed, pieces, tidied
-from .wanted import Wanted
+from .wanted import Wanted, in_filter
 
 #: Sets and tokens of a group (on average; a longer set is a group's only long one, more or less).
 GROUP_SETS, GROUP_TOKENS = 64, 1 << 16
 #: Levels on which groups of components are opened before the matrix is made for what is left.
 LEVELS = 4
+#: Ranges of keys that are looked at one after the other.
+KEY_PARTS = 4
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -114,10 +116,12 @@ def _read(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
     return source.mapInArrow(tidied(run), f"id {id_type}, print bigint, node binary, n bigint, keys array<bigint>").withColumn("row", F.monotonically_increasing_id())
 
 
-def _sets(docs: DataFrame, text_col: str, size: int, chosen: DataFrame) -> DataFrame:
-    """row, tokens (packed, sorted) of the chosen (row, node, print): their texts are read again."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, chosen: DataFrame) -> DataFrame:
+    """row, g, tokens (packed, sorted) of the chosen (row, node, id, print, g): their texts are read again."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    wanted = Wanted(docs.select(text.alias("text"), F.xxhash64(text).alias("print")), "print", chosen.select("print"))
+    one = lambda id_, print_: F.xxhash64(F.coalesce(id_.cast("string"), F.lit("")), print_)
+    source = docs.select(text.alias("text"), one(F.col(f"`{id_col}`"), F.xxhash64(text)).alias("h"))
+    wanted = Wanted(source, "h", chosen.select(one(F.col("id"), F.col("print"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +132,7 @@ def _sets(docs: DataFrame, text_col: str, size: int, chosen: DataFrame) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(set_digests(doc, h, b - a), pa.binary()), pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "tokens"])
 
     read = wanted.rows.mapInArrow(tidied(run), "node binary, tokens binary")
-    return read.join(chosen.select("row", "node").hint("shuffle_merge"), "node").dropDuplicates(["row"]).select("row", "tokens")
+    return read.join(chosen.select("row", "node", "g").hint("shuffle_merge"), "node").dropDuplicates(["node"]).select("row", "g", "tokens")
 
 
 class Group:
@@ -172,33 +176,70 @@ def find(joined: dict, x: int) -> int:
 
 
 def _dealt(members: DataFrame, salt: int) -> DataFrame:
-    """``members`` (row, label, n, lead) of leads with two labels or more, with the group (``g``) that each is dealt to."""
-    sums = members.groupBy("lead").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    """``members`` (row, n, lead, ...) with the group (``g``) that each is dealt to: as many groups for a lead as it needs."""
+    sums = members.groupBy("lead").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     chunks = F.greatest(F.ceil(F.col("m") / GROUP_SETS), F.ceil(F.col("s") / GROUP_TOKENS))
-    g = F.xxhash64("lead", F.pmod(F.xxhash64("row", F.lit(salt)), chunks))
-    return members.join(sums.select("lead", "m", "s"), "lead").select("row", "label", "n", "lead", g.alias("g"))
+    return members.join(sums, "lead").withColumn("g", F.xxhash64("lead", F.pmod(F.xxhash64("row", F.lit(salt)), chunks))).drop("m", "s")
+
+
+_PACK = "g bigint, rows binary, sizes binary, tokens binary"
+
+
+def _packs(sets: DataFrame, percent: int) -> DataFrame:
+    """One row for each group of sets (row, g, tokens): g, rows, sizes, tokens (packed), and links between its rows."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        rows, tokens = t.column("row").to_numpy(), t.column("tokens").to_pylist()
+        group = Group(rows, [np.frombuffer(x, np.uint64) for x in tokens])
+        links = [*group.links(group, percent, {})]
+        row = {"g": t.column("g")[0].as_py(), "rows": blob(rows), "sizes": blob(group.size), "tokens": b"".join(tokens), "links": [{"a": x, "b": y} for x, y in links]}
+        return pa.Table.from_pylist([row], schema=pa.schema([("g", pa.int64()), ("rows", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("links", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))]))
+
+    return sets.groupBy("g").applyInArrow(lambda t: freed(pack)(t), f"{_PACK}, links array<struct<a: bigint, b: bigint>>")
+
+
+def _from_packs(packs: DataFrame, rows: DataFrame) -> DataFrame:
+    """row, tokens of the given rows (``row``) and perhaps a few others."""
+    wanted = Wanted(rows.select("row"), "row", rows.select("row"))
+    member = wanted.filter
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, sizes, tokens in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own, edge = np.frombuffer(own, np.int64), np.append(0, np.cumsum(np.frombuffer(sizes, np.int64))) * 8
+                keep = np.flatnonzero(in_filter(member.value, own)) if member is not None else np.arange(len(own))
+                for part in np.array_split(keep, -(-len(keep) // 64)) if len(keep) else ():
+                    yield pa.RecordBatch.from_arrays([pa.array(own[part]), pa.array([tokens[edge[i] : edge[i + 1]] for i in part.tolist()], pa.binary())], names=["row", "tokens"])
+
+    return packs.select("rows", "sizes", "tokens").mapInArrow(tidied(run), "row bigint, tokens binary")
 
 
-def _opened(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b between labels of members of the same group."""
+def _opened(members: DataFrame, packs: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between labels of members (row, label, g) of the same group."""
 
     def open_(rows: pa.Table) -> pa.Table:
         group = Group(rows.column("label").to_numpy(), [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()])
         return pa.Table.from_pylist([{"a": x, "b": y} for x, y in group.links(group, percent, {})], schema=_LINKS)
 
-    return members.join(sets.hint("shuffle_merge"), "row").select("g", "label", "tokens").groupBy("g").applyInArrow(lambda t: freed(open_)(t), "a bigint, b bigint")
+    return _from_packs(packs, members).join(members.hint("shuffle_merge"), "row").select("g", "label", "tokens").groupBy("g").applyInArrow(lambda t: freed(open_)(t), "a bigint, b bigint")
 
 
-def _packed(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """One row for each group: g, lo and hi (labels), labels, sizes, tokens (packed)."""
+def _labelled(members: DataFrame, packs: DataFrame) -> DataFrame:
+    """The packs of the groups that have members (row, label, g), with these alone: g, lo and hi (labels), labels, sizes, tokens."""
 
-    def pack(rows: pa.Table) -> pa.Table:
-        tokens = rows.column("tokens").to_pylist()
-        labels = rows.column("label").to_numpy()
-        row = {"g": rows.column("g")[0].as_py(), "lo": int(labels.min()), "hi": int(labels.max()), "labels": blob(labels), "sizes": blob(np.array([len(t) // 8 for t in tokens], np.int64)), "tokens": b"".join(tokens)}
-        return pa.Table.from_pylist([row], schema=pa.schema([("g", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("labels", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())]))
+    def cut(packed: pa.Table, rows: pa.Table) -> pa.Table:
+        out = []
+        if packed.num_rows and rows.num_rows:
+            p = packed.to_pylist()[0]
+            own, edge = np.frombuffer(p["rows"], np.int64), np.append(0, np.cumsum(np.frombuffer(p["sizes"], np.int64))) * 8
+            label = dict(zip(rows.column("row").to_pylist(), rows.column("label").to_pylist(), strict=True))
+            kept = [i for i, r in enumerate(own.tolist()) if r in label]
+            labels = np.array([label[int(own[i])] for i in kept], np.int64)
+            out = [{"g": p["g"], "lo": int(labels.min()), "hi": int(labels.max()), "labels": blob(labels), "sizes": blob(np.diff(edge)[kept] // 8), "tokens": b"".join(p["tokens"][edge[i] : edge[i + 1]] for i in kept)}]
+        return pa.Table.from_pylist(out, schema=pa.schema([("g", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("labels", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())]))
 
-    return members.join(sets.hint("shuffle_merge"), "row").select("g", "label", "tokens").groupBy("g").applyInArrow(lambda t: freed(pack)(t), "g bigint, lo bigint, hi bigint, labels binary, sizes binary, tokens binary")
+    some = packs.select("g", "rows", "sizes", "tokens").join(members.select("g").distinct(), "g", "left_semi")
+    return some.groupBy("g").cogroup(members.select("g", "row", "label").groupBy("g")).applyInArrow(lambda p, r: freed(cut)(p, r), "g bigint, lo bigint, hi bigint, labels binary, sizes binary, tokens binary")
 
 
 def unpacked(labels: bytes, sizes: bytes, tokens: bytes) -> Group:
@@ -224,9 +265,8 @@ def first_tokens(group: Group, shared: np.ndarray, groups: np.ndarray, percent:
     return asks[held(asks, shared)], found[held(found, shared)]
 
 
-def _matrix_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between all labels of ``members`` (row, label, n, g) that sets of the same or of different groups give."""
-    packs = stored(_packed(members, sets))
+def _matrix_links(packs: DataFrame, percent: int) -> DataFrame:
+    """Links between all labels of the packs (see :func:`_labelled`) that sets of the same or of different groups give."""
 
     def unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,42 +330,57 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null one.  Rows that repeat an id with different texts are linked each by its own text.  Repeated rows stay.  An
     empty table gives an empty result.  Other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     read = stored(_read(docs, id_col, text_col, size, percent))
-    nodes = stored(read.groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("row", "print", "n")).alias("first")).select("node", "id", "first.*"))
-    entries = read.select("row", "keys").join(nodes.select("row").where("n > 0").hint("shuffle_merge"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
-    buckets = entries.groupBy("key").agg(F.count("*").alias("m"), F.min("row").alias("lead")).where("m > 1").drop("m")
-    shared = stored(entries.join(buckets.hint("shuffle_merge"), "key"))
-
-    # the lead that a node shares most parts with
+    members = stored(read.select("row", "id", "print", "node", "n"))
+    nodes = stored(members.groupBy("node").agg(F.min("id").alias("smallest"), F.min(F.struct("row", "id", "print", "n")).alias("first")).select("node", "smallest", "first.*"))
+
+    # sets that have a part in common with another one, a few ranges of keys after the other: disk holds one of them
+    shared = []
+    for part in range(KEY_PARTS):
+        own = F.filter("keys", lambda k: F.pmod(k, F.lit(KEY_PARTS)) == part)  # noqa: B023
+        entries = read.select("row", own.alias("keys")).join(nodes.where("n > 0").select("row").hint("shuffle_merge"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
+        buckets = entries.groupBy("key").agg(F.min("row").alias("lead"), F.max("row").alias("last")).where("lead < last").drop("last")
+        shared.append(stored(entries.join(buckets.hint("shuffle_merge"), "key")))
+        free_shuffles(spark)
+    discard(read)
+    shared = reduce(DataFrame.unionByName, shared)
+
+    # groups of the sets that share most of their parts with the same lead, and what is linked inside them
     leads = shared.groupBy("row", "lead").agg(F.count("*").alias("parts")).groupBy("row").agg(F.max_by("lead", F.struct("parts", -F.col("lead"))).alias("lead"))
-    chosen = stored(leads.join(nodes.hint("shuffle_merge"), "row").select("row", "lead", "node", "print", "n"))
-    sets = stored(_sets(docs, text_col, size, chosen))
+    chosen = stored(_dealt(leads.join(nodes.hint("shuffle_merge"), "row"), 0).select("row", "lead", "node", "id", "print", "n", "g"))
+    packs = stored(_packs(_sets(docs, id_col, text_col, size, chosen), percent))
+    free_shuffles(spark)
     labels = chosen.select("row", F.col("row").alias("label"))
-    for level in range(LEVELS):
-        rows = chosen.select("row", "lead", "n").join(labels.hint("shuffle_merge"), "row")
-        one = rows.groupBy("lead", "label").agg(F.min(F.struct(F.xxhash64("row", F.lit(level)), "row", "n")).alias("x")).select("x.row", "label", "x.n", "lead")
-        links = stored(_opened(_dealt(one, level), sets, percent))
+    links = packs.select(F.explode("links").alias("l")).select("l.*")
+    for level in range(1, LEVELS + 1):
         if not links.limit(1).count():
             break
         labels = _merged(labels, links)
-    rows = stored(chosen.select("row", "lead", "n").join(labels.hint("shuffle_merge"), "row"))
-    open_keys = shared.join(labels.hint("shuffle_merge"), "row").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    apart = shared.join(open_keys, "key", "left_semi").select("row").distinct()
-    rest = stored(_grouped(rows.join(apart, "row", "left_semi")))
-    if rest.limit(1).count():
-        links = stored(_matrix_links(rest, sets, percent))
+        rows = chosen.select("row", "lead", "n").join(labels.hint("shuffle_merge"), "row")
+        one = rows.groupBy("lead", "label").agg(F.min(F.struct(F.xxhash64("row", F.lit(level)), "row", "n")).alias("x")).select("x.row", "label", "x.n", "lead")
+        several = one.groupBy("lead").agg(F.count("*").alias("m")).where("m > 1").select("lead")
+        one = stored(_dealt(one.join(several, "lead", "left_semi"), level).select("row", "label", "g"))
+        links = stored(_opened(one, packs, percent))
+        free_shuffles(spark)
+    else:
         if links.limit(1).count():
             labels = _merged(labels, links)
-    named = nodes.select("row", "node", "id", "n").join(labels.hint("shuffle_merge"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
+
+    # what is left apart although it has parts in common
+    rows = stored(chosen.select("row", "g").join(labels.hint("shuffle_merge"), "row"))
+    keyed = shared.select("row", "key").join(rows.select("row", "label").hint("shuffle_merge"), "row")
+    open_keys = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    apart = stored(keyed.join(open_keys, "key", "left_semi").select("row").distinct())
+    if apart.limit(1).count():
+        rest = stored(_labelled(rows.join(apart, "row", "left_semi"), packs))
+        links = stored(_matrix_links(rest, percent))
+        if links.limit(1).count():
+            labels = _merged(labels, links)
+    free_shuffles(spark)
+    named = nodes.select("row", "node", "smallest").join(labels.hint("shuffle_merge"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+    smallest = named.groupBy("label").agg(F.min("smallest").alias("component_id"))
     components_ = named.join(smallest, "label").select("node", "component_id")
-    out = read.select("id", "node", "n").join(components_.hint("shuffle_merge"), "node")
+    out = members.select("id", "node", "n").join(components_.hint("shuffle_merge"), "node")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-
-
-def _grouped(members: DataFrame) -> DataFrame:
-    """``members`` (row, lead, n, label), all of them, dealt to groups."""
-    sums = members.groupBy("lead").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    chunks = F.greatest(F.ceil(F.col("m") / GROUP_SETS), F.ceil(F.col("s") / GROUP_TOKENS))
-    return members.join(sums, "lead").select("row", "label", "n", F.xxhash64("lead", F.pmod(F.xxhash64("row"), chunks)).alias("g"))
