@@ -30,8 +30,8 @@ from .wanted import Wanted, in_filter
 
 #: Sets and tokens of a group (on average; a longer set is a group's only long one, more or less).
 GROUP_SETS, GROUP_TOKENS = 64, 1 << 16
-#: Levels on which groups of components are opened before the matrix is made for what is left.
-LEVELS = 4
+#: Most levels on which groups of components are opened before the matrix is made for what is left.
+LEVELS = 8
 #: Ranges of keys that are looked at one after the other.
 KEY_PARTS = 4
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -336,43 +336,47 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = stored(read.select("row", "id", "print", "node", "n"))
     nodes = stored(members.groupBy("node").agg(F.min("id").alias("smallest"), F.min(F.struct("row", "id", "print", "n")).alias("first")).select("node", "smallest", "first.*"))
 
-    # sets that have a part in common with another one, a few ranges of keys after the other: disk holds one of them
-    shared = []
+    # sets that have a part in common with another one, and the smallest set that has it (its lead); a few ranges of keys
+    # after the other, so that disk holds one of them
+    parts = []
     for part in range(KEY_PARTS):
         own = F.filter("keys", lambda k: F.pmod(k, F.lit(KEY_PARTS)) == part)  # noqa: B023
         entries = read.select("row", own.alias("keys")).join(nodes.where("n > 0").select("row").hint("shuffle_merge"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
         buckets = entries.groupBy("key").agg(F.min("row").alias("lead"), F.max("row").alias("last")).where("lead < last").drop("last")
-        shared.append(stored(entries.join(buckets.hint("shuffle_merge"), "key")))
+        parts.append(stored(entries.join(buckets.hint("shuffle_merge"), "key").groupBy("row", "lead").agg(F.count("*").alias("parts"))))
         free_shuffles(spark)
     discard(read)
-    shared = reduce(DataFrame.unionByName, shared)
+    shared = reduce(DataFrame.unionByName, parts).groupBy("row", "lead").agg(F.sum("parts").alias("parts"))
+    shared = stored(shared)
 
     # groups of the sets that share most of their parts with the same lead, and what is linked inside them
-    leads = shared.groupBy("row", "lead").agg(F.count("*").alias("parts")).groupBy("row").agg(F.max_by("lead", F.struct("parts", -F.col("lead"))).alias("lead"))
+    leads = shared.groupBy("row").agg(F.max_by("lead", F.struct("parts", -F.col("lead"))).alias("lead"))
     chosen = stored(_dealt(leads.join(nodes.hint("shuffle_merge"), "row"), 0).select("row", "lead", "node", "id", "print", "n", "g"))
     packs = stored(_packs(_sets(docs, id_col, text_col, size, chosen), percent))
     free_shuffles(spark)
     labels = chosen.select("row", F.col("row").alias("label"))
     links = packs.select(F.explode("links").alias("l")).select("l.*")
+    large = (F.col("m") > GROUP_SETS) | (F.col("s") > GROUP_TOKENS)
+    wide = stored(chosen.groupBy("lead").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where(large).select("lead"))  # in several groups
     for level in range(1, LEVELS + 1):
         if not links.limit(1).count():
             break
         labels = _merged(labels, links)
-        rows = chosen.select("row", "lead", "n").join(labels.hint("shuffle_merge"), "row")
-        one = rows.groupBy("lead", "label").agg(F.min(F.struct(F.xxhash64("row", F.lit(level)), "row", "n")).alias("x")).select("x.row", "label", "x.n", "lead")
-        several = one.groupBy("lead").agg(F.count("*").alias("m")).where("m > 1").select("lead")
-        one = stored(_dealt(one.join(several, "lead", "left_semi"), level).select("row", "label", "g"))
-        links = stored(_opened(one, packs, percent))
+        rows = chosen.select("row", "lead", "n").join(wide, "lead", "left_semi").join(labels.hint("shuffle_merge"), "row")
+        one = stored(rows.groupBy("lead", "label").agg(F.min(F.struct(F.xxhash64("row", F.lit(level)), "row", "n")).alias("x")).select("x.row", "label", "x.n", "lead"))
+        several = stored(one.groupBy("lead").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1"))
+        wide = several.where(large).select("lead")
+        links = stored(_opened(stored(_dealt(one.join(several.select("lead"), "lead", "left_semi"), level).select("row", "label", "g")), packs, percent))
         free_shuffles(spark)
     else:
-        if links.limit(1).count():
-            labels = _merged(labels, links)
+        labels = _merged(labels, links)
 
-    # what is left apart although it has parts in common
+    # what is left apart although it has parts in common: all sets around a lead that some of them are apart from
     rows = stored(chosen.select("row", "g").join(labels.hint("shuffle_merge"), "row"))
-    keyed = shared.select("row", "key").join(rows.select("row", "label").hint("shuffle_merge"), "row")
-    open_keys = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    apart = stored(keyed.join(open_keys, "key", "left_semi").select("row").distinct())
+    names = rows.select("row", "label").hint("shuffle_merge")
+    around = shared.select("row", "lead").join(names, "row").join(names.toDF("lead", "other"), "lead")
+    around = stored(around.select("row", "lead", (F.col("label") != F.col("other")).alias("apart")))
+    apart = stored(around.join(around.where("apart").select("lead").distinct(), "lead", "left_semi").select("row").distinct())
     if apart.limit(1).count():
         rest = stored(_labelled(rows.join(apart, "row", "left_semi"), packs))
         links = stored(_matrix_links(rest, percent))
