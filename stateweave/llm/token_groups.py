@@ -225,21 +225,16 @@ def _opened(members: DataFrame, packs: DataFrame, percent: int) -> DataFrame:
 
 
 def _labelled(members: DataFrame, packs: DataFrame) -> DataFrame:
-    """The packs of the groups that have members (row, label, g), with these alone: g, lo and hi (labels), labels, sizes, tokens."""
+    """The groups of the members (row, label, g), with these alone: g, lo and hi (labels), labels, sizes, tokens (packed)."""
 
-    def cut(packed: pa.Table, rows: pa.Table) -> pa.Table:
-        out = []
-        if packed.num_rows and rows.num_rows:
-            p = packed.to_pylist()[0]
-            own, edge = np.frombuffer(p["rows"], np.int64), np.append(0, np.cumsum(np.frombuffer(p["sizes"], np.int64))) * 8
-            label = dict(zip(rows.column("row").to_pylist(), rows.column("label").to_pylist(), strict=True))
-            kept = [i for i, r in enumerate(own.tolist()) if r in label]
-            labels = np.array([label[int(own[i])] for i in kept], np.int64)
-            out = [{"g": p["g"], "lo": int(labels.min()), "hi": int(labels.max()), "labels": blob(labels), "sizes": blob(np.diff(edge)[kept] // 8), "tokens": b"".join(p["tokens"][edge[i] : edge[i + 1]] for i in kept)}]
-        return pa.Table.from_pylist(out, schema=pa.schema([("g", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("labels", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())]))
+    def pack(t: pa.Table) -> pa.Table:
+        tokens, labels = t.column("tokens"), t.column("label").to_numpy()
+        sizes = np.array([len(x) // 8 for x in tokens.to_pylist()], np.int64)
+        row = {"g": t.column("g")[0].as_py(), "lo": int(labels.min()), "hi": int(labels.max()), "labels": blob(labels), "sizes": blob(sizes), "tokens": b"".join(tokens.to_pylist())}
+        return pa.Table.from_pylist([row], schema=pa.schema([("g", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("labels", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())]))
 
-    some = packs.select("g", "rows", "sizes", "tokens").join(members.select("g").distinct(), "g", "left_semi")
-    return some.groupBy("g").cogroup(members.select("g", "row", "label").groupBy("g")).applyInArrow(lambda p, r: freed(cut)(p, r), "g bigint, lo bigint, hi bigint, labels binary, sizes binary, tokens binary")
+    named = _from_packs(packs, members).join(members.hint("shuffle_merge"), "row").select("g", "label", "tokens")
+    return named.groupBy("g").applyInArrow(lambda t: freed(pack)(t), "g bigint, lo bigint, hi bigint, labels binary, sizes binary, tokens binary")
 
 
 def unpacked(labels: bytes, sizes: bytes, tokens: bytes) -> Group:
@@ -277,19 +272,21 @@ def _matrix_links(packs: DataFrame, percent: int) -> DataFrame:
     matrix = stored(packs.select("g", "tokens").mapInArrow(tidied(unions), "g bigint, token bigint"))
     often = matrix.groupBy("token").agg(F.count("*").cast("int").alias("groups")).where("groups > 1")
 
-    def choose(pack: pa.Table, rows: pa.Table) -> pa.Table:
-        out = []
-        if pack.num_rows:
-            p = pack.to_pylist()[0]
-            shared, groups = rows.column("token").to_numpy().view(np.uint64), rows.column("groups").to_numpy()
-            order = np.argsort(shared)
-            for asks, tokens in zip((True, False), first_tokens(unpacked(p["labels"], p["sizes"], p["tokens"]), shared[order], groups[order], percent), strict=True):
-                n = len(tokens)
-                out.append(pa.table({"g": pa.array([p["g"]] * n, pa.int64()), "lo": pa.array([p["lo"]] * n, pa.int64()), "hi": pa.array([p["hi"]] * n, pa.int64()), "token": pa.array(tokens.view(np.int64)), "asks": pa.array([asks] * n, pa.bool_())}))
-        return pa.concat_tables(out) if out else pa.schema([("g", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("token", pa.int64()), ("asks", pa.bool_())]).empty_table()
-
-    known = matrix.join(often, "token").select("g", "token", "groups")
-    first = stored(packs.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(lambda p, t: freed(choose)(p, t), "g bigint, lo bigint, hi bigint, token bigint, asks boolean"))
+    def gather(t: pa.Table) -> pa.Table:
+        token, n = t.column("token").to_numpy().view(np.uint64), t.column("groups").to_numpy()
+        order = np.argsort(token)
+        return pa.Table.from_pylist([{"g": t.column("g")[0].as_py(), "shared": blob(token[order]), "often": blob(n[order].astype(np.int32))}], schema=pa.schema([("g", pa.int64()), ("shared", pa.binary()), ("often", pa.binary())]))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                found = first_tokens(unpacked(r["labels"], r["sizes"], r["tokens"]), np.frombuffer(r["shared"], np.uint64), np.frombuffer(r["often"], np.int32), percent)
+                for asks, tokens in zip((True, False), found, strict=True):
+                    n = len(tokens)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["g"])), pa.array(np.full(n, r["lo"])), pa.array(np.full(n, r["hi"])), pa.array(tokens.view(np.int64)), pa.array(np.full(n, asks))], names=["g", "lo", "hi", "token", "asks"])
+
+    known = matrix.join(often, "token").select("g", "token", "groups").groupBy("g").applyInArrow(lambda t: freed(gather)(t), "g bigint, shared binary, often binary")
+    first = stored(packs.join(known.hint("shuffle_merge"), "g").mapInArrow(tidied(choose), "g bigint, lo bigint, hi bigint, token bigint, asks boolean"))
     asking, asked = first.where("asks").drop("asks"), first.where("NOT asks").select("token", *[F.col(c).alias(f"{c}2") for c in ("g", "lo", "hi")])
     meets = asking.join(asked, "token").where("g <> g2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select(F.least("g", "g2").alias("g"), F.greatest("g", "g2").alias("g2")).distinct()
     meets = meets.unionByName(packs.where("lo <> hi").select("g", F.col("g").alias("g2")))
