@@ -26,7 +26,7 @@ from .texts import LOWER, Words, as_bytes, bound_batches, mixed, pieces, tidied,
 from .wanted import Wanted
 
 #: Members of a bucket of band values that are paired with each other; members of larger buckets are paired with a
-#: leader and two neighbours first, and what that leaves apart is compared by an exact join afterwards.
+#: leader and a neighbour first, and what that leaves apart is compared by an exact join afterwards.
 SMALL_BUCKET = 8
 #: Members of a bucket whose neighbours are looked for together.
 WINDOW_ROWS = 4096
@@ -213,7 +213,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
     fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold  # noqa: E731  else the sets' sizes alone rule a link out
     stars = shared.where((F.col("node") != F.col("lead.node")) & fits("n_shingles", "lead.n_shingles")).select(*_pair("node", "lead.node"))
     near = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / WINDOW_ROWS))).orderBy(F.xxhash64("key", "node"), "node")
-    before = F.array(*[F.when((F.lit(k) <= 2) | (F.col("n") <= SMALL_BUCKET + 1), F.lag(F.struct(F.col("node").alias("other"), F.col("n_shingles").alias("m")), k).over(near)) for k in range(1, SMALL_BUCKET + 1)])
+    before = F.array(*[F.when((F.lit(k) <= 1) | (F.col("n") <= SMALL_BUCKET + 1), F.lag(F.struct(F.col("node").alias("other"), F.col("n_shingles").alias("m")), k).over(near)) for k in range(1, SMALL_BUCKET + 1)])
     paths = shared.select("node", "n_shingles", before.alias("before")).select("node", "n_shingles", F.explode("before").alias("p")).where(F.col("p").isNotNull() & fits("n_shingles", "p.m")).select(*_pair("node", "p.other"))
     pairs = stored(_alike(stars.unionByName(paths).distinct(), alone))
 
