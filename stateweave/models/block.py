@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from itertools import zip_longest
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from ..plans.program import Feature, Program
 from ..plans.rewrite import optimised
 from ..schema import ParameterError, ValidationError, quoted
 from .base import Adapter
-from .classify import StateClassifier, _mean_loss, _part, design_of, program_of, ranked_structure
+from .classify import StateClassifier, program_of, ranked_structure
 
 #: Kinds of block rankings.
 BLOCKS = ("none", "full", "stable", "hybrid")
@@ -25,8 +26,8 @@ def block_columns(hessian: np.ndarray, shrink: float) -> tuple[list[float], list
     """Centres and scales of a block's columns from the Hessian of each target state inside the gate (last state left out)."""
     total = hessian.sum()
     share = hessian / total if total else hessian
-    spread = total * share * (1 - share)
-    return share[:-1].tolist(), np.sqrt(spread / (spread + shrink))[:-1].tolist()
+    spread = total * share * (1 - share)  # 0: a state that no row of the gate has, or all: its column stays 0
+    return share[:-1].tolist(), np.sqrt(np.divide(spread, spread + shrink, out=np.zeros(len(spread)), where=spread > 0))[:-1].tolist()
 
 
 def ranked_blocks(states: DataFrame, adapter: Adapter, features: list[str], target: str, probability, key: str, kind: str, most: int, near_ties: list | None = None) -> list[tuple[str, int, str]]:
@@ -59,7 +60,12 @@ def ranked_blocks(states: DataFrame, adapter: Adapter, features: list[str], targ
         return one
     if kind == "stable":
         return two
-    return list(dict.fromkeys(x for pair in zip(one, two, strict=False) for x in pair))[:most] if two else one
+    return in_turn(one, two)[:most]
+
+
+def in_turn(one: list, two: list) -> list:
+    """Items of two rankings in turn, each once; when the shorter one has ended, the rest of the longer."""
+    return list(dict.fromkeys(x for pair in zip_longest(one, two) for x in pair if x is not None))
 
 
 class BlockClassifier(StateClassifier):
@@ -92,39 +98,40 @@ class BlockClassifier(StateClassifier):
             mains, pairs = ranked_structure(states, adapter, target, self.max_features, self.pair_features, self.max_pairs, self.pair_ranking, self.key_)
             f = adapter.by_name()
             named = {x.name: F.col(x.state_column) for x in adapter.features}
-            wide = design_of(adapter, mains, pairs)
             near = mains[: self.pair_features]
+            wide = self._design(adapter, mains, pairs)
             rows = solve.Rows(states, list(dict.fromkeys([*wide.columns, *(f[n].state_column for n in near)])), [target], self.weight, extra=["__held"])
-            train = _part(rows, 0) if self.selection == "holdout" else rows
-            cs = self.c if isinstance(self.c, (tuple, list)) else (self.c,)
+            train = rows.part("__held", 0) if self.selection == "holdout" else rows
 
             # the best design without blocks, and the blocks that its residuals call for
-            tried = [(self._loss(rows, design_of(adapter, m, p), target, c), m, p, c) for m, p, c in self._candidates(mains, pairs)]
-            _, m, p, c = min(tried, key=lambda t: (t[0], len(t[1]), len(t[2]), t[3]))
-            base = design_of(adapter, m, p)
-            backbone = program_of(adapter, m, p, solve.logistic_l2(train, base, target, c), base, "logit")
+            structures = self._structures(mains, pairs)
+            losses, fits = self._losses(rows, [self._design(adapter, m, p) for m, p in structures], target)
+            i, c = min(losses, key=lambda t: (losses[t], len(structures[t[0]][0]), len(structures[t[0]][1]), t[1]))
+            m, p = structures[i]
+            base = self._design(adapter, m, p)
+            backbone = program_of(adapter, m, p, fits[i, c] if self.selection == "holdout" else solve.logistic_l2(train, base, target, c), base, "logit")
             self.near_ties_: list = []
             seen = states.where("__held = 0") if self.selection == "holdout" else states
             blocks = ranked_blocks(seen, adapter, near, target, fn.sigmoid(backbone.score(named)), self.key_, self.blocks, self.max_blocks, self.near_ties_) if self.blocks != "none" else []
             columns = self._columns(seen, adapter, blocks, fn.sigmoid(backbone.score(named)))
 
-            def design(k: int) -> solve.Design:
-                return replace(base, blocks=columns[:k])
-
-            def program(k: int, part: solve.Rows, c: float) -> Program:
-                return program_of(adapter, m, p, solve.logistic_l2(part, design(k), target, c), design(k), "logit", blocks=blocks[:k])
-
             numbers = sorted({0, *[k for k in (2, 4, 8, 16) if k < len(blocks)], len(blocks)})
-            compared = [(self._loss(rows, design(k), target, c), program(k, train, c).size_bytes(), k, c) for k in numbers for c in cs]
+            designs = [replace(base, blocks=columns[:k]) for k in numbers]
+            losses, fits = self._losses(rows, designs, target)
+            bytes_ = {(i, c): program_of(adapter, m, p, w, designs[i], "logit", blocks=blocks[: numbers[i]]).size_bytes() for (i, c), w in fits.items()}
+            compared = [(losses[t], bytes_[t], numbers[t[0]], t[1]) for t in losses]
             best = min(t[0] for t in compared)
             loss, size, k, c = min((t for t in compared if t[0] <= best + self.near_tie), key=lambda t: (t[1], t[0]))
             none = min((t for t in compared if t[2] == 0), key=lambda t: t[0])
             if k:
-                confirmed = self._confirmed(rows, design(k), c, design(0), none[3], target) if self.selection == "holdout" else none[0] - loss
+                i = numbers.index(k)
+                confirmed = self._confirmed(rows, (designs[i], fits[i, c]), (designs[0], fits[0, none[3]]), target) if self.selection == "holdout" else none[0] - loss
                 if confirmed < (self.least_gain if self.selection == "holdout" else 0.001):
                     loss, size, k, c = none
+            i = numbers.index(k)
+            w = solve.logistic_l2(rows, designs[i], target, c, start=fits[i, c])
             self.diagnostics_.append({"held_out_loss": loss, "best_loss": best, "bytes": size, "mains": m, "pairs": p, "blocks": blocks[:k], "c": c, "candidates": len(compared)})
-            return optimised(program(k, rows, c))
+            return optimised(program_of(adapter, m, p, w, designs[i], "logit", blocks=blocks[:k]))
         finally:
             states.unpersist()
 
@@ -141,16 +148,29 @@ class BlockClassifier(StateClassifier):
             hessian[r["i"]][r["s"]] = r["h"]
         return [(f[g].state_column, s, f[t].state_column, *block_columns(h, self.shrink)) for (g, s, t), h in zip(blocks, hessian, strict=True)]
 
-    def _loss(self, rows: solve.Rows, design: solve.Design, target: str, c: float) -> float:
-        """Held-out loss: on the first half of the held-out keys, or the mean over three folds."""
-        if self.selection == "holdout":
-            return _mean_loss(_part(rows, 1), design, target, solve.logistic_l2(_part(rows, 0), design, target, c))
-        return float(np.mean([_mean_loss(_part(rows, k), design, target, solve.logistic_l2(_part(rows, k, without=True), design, target, c)) for k in range(3)]))
+    def _losses(self, rows: solve.Rows, designs: list[solve.Design], target: str) -> tuple[dict[tuple[int, float], float], dict[tuple[int, float], np.ndarray]]:
+        """Loss of each design (by index) at each penalty, on the first half of the held-out keys or as the mean of three folds, and a fit of each.
 
-    def _confirmed(self, rows: solve.Rows, design: solve.Design, c: float, other: solve.Design, other_c: float, target: str) -> float:
-        """By how much one design beats another on the second half of the held-out keys."""
-        on = lambda d, x: _mean_loss(_part(rows, 2), d, target, solve.logistic_l2(_part(rows, 0), d, target, x))
-        return on(other, other_c) - on(design, c)
+        All designs, folds and penalties share their passes over the rows.
+        """
+        if self.selection == "holdout":
+            fits = solve.logistic_path(rows, designs, target, self._penalties, ("__held", 0, False))
+            found = solve.mean_losses(rows, [(designs[i], w) for (i, _), w in fits.items()], target, solve.logistic, [("__held", 1, False)] * len(fits))
+            return dict(zip(fits, map(float, found), strict=True)), fits
+        start: list = [None] * (3 * len(designs))
+        out: dict = {}
+        fits = {}
+        for c in sorted(set(self._penalties)):
+            start = solve.newton_many(rows, [solve.Problem(d, 1.0 / c, True, start[3 * i + k], ("__held", k, True)) for i, d in enumerate(designs) for k in range(3)], target, solve.logistic)
+            each = solve.mean_losses(rows, [(d, start[3 * i + k]) for i, d in enumerate(designs) for k in range(3)], target, solve.logistic, [("__held", k, False) for _ in designs for k in range(3)])
+            for i in range(len(designs)):
+                out[i, c], fits[i, c] = float(np.mean(each[3 * i : 3 * i + 3])), start[3 * i]
+        return out, fits
+
+    def _confirmed(self, rows: solve.Rows, one: tuple[solve.Design, np.ndarray], other: tuple[solve.Design, np.ndarray], target: str) -> float:
+        """By how much one fit beats another on the second half of the held-out keys."""
+        mine, theirs = solve.mean_losses(rows, [one, other], target, solve.logistic, [("__held", 2, False)] * 2)
+        return float(theirs - mine)
 
 
 class Refinement:
@@ -180,11 +200,9 @@ class Refinement:
             bases = refine.resolution_candidates(train, [(features[c, self.fine].state_column, self.fine) for c in full], self.coarse, g, h, self.alpha)
             triad = refine.best_triad(train, [features[c, self.coarse].state_column for c in full][: self.triad_features], g, h, self.coarse, self.alpha)
             bases += [triad] if triad is not None else []
-            k, t = refine.cross_gram(train, bases, h)
-            chosen = refine.greedy_selection(bases, k, t, self.budget, self.alpha)
-            picked = [bases[i] for i in chosen]
-            k, t = refine.cross_gram(train, picked, h)
-            tables = refine.joint_lookups(picked, k, t, self.l2, self.rate)
+            model = refine.JointModel.of(train, bases, h)
+            model = model.part(model.select(self.budget, self.alpha))
+            picked, tables = model.bases, model.tables(self.l2, self.rate)
             self.bases_, self.accepted_, self.program_, self.lower_ = [b.name for b in picked], False, program, None
             if not picked:
                 return self

@@ -12,7 +12,7 @@ from ..plans.program import Feature, Program
 from ..plans.rewrite import optimised
 from ..schema import ParameterError, ValidationError, quoted
 from .base import Adapter, Estimator, positive_weight
-from .classify import _part, design_of, program_of
+from .classify import design_of, program_of
 
 
 def ranked_by_variance(states: DataFrame, adapter: Adapter, target: str, max_features: int, pair_features: int, max_pairs: int) -> tuple[list[str], list[tuple[str, str]]]:
@@ -96,7 +96,7 @@ class StateRidgeRegressor(_Regressor):
         wide = states.select("*", *[imputed(c, md)[0].alias(f"__x_{i}") for i, (c, md, _, _) in enumerate(linear)])
         design = design_of(self.adapter_, mains, pairs, [(f"__x_{i}", m, s) for i, (_, _, m, s) in enumerate(linear)])
         rows = solve.Rows(wide, design.columns, ["__t"], self.weight, extra=["__held"])
-        train, held = (solve.gram(_part(rows, k), design, ["__t"]) for k in (0, 1))
+        train, held = solve.grams(rows, design, ["__t"], "__held", (0, 1))
         n_held = held[0][0, 0]
         edges = np.cumsum([0, *design.widths])
         block = [np.arange(a, b) for a, b in zip(edges, edges[1:], strict=False)]
@@ -111,11 +111,13 @@ class StateRidgeRegressor(_Regressor):
         best = min(tried, key=lambda t: t[0])
         w_best = solve.ridge_from_gram(train[0], train[1], best[2], best[3])[:, 0]
 
-        def work(data, n):  # squares and fourth powers of the held-out residuals
-            r = (design.matrix(data, n) @ w_best - data["__t"]) ** 2
-            return np.array([data["__w"] @ r, data["__w"] @ r**2])
+        cells = solve.Cells(design)
 
-        squares, fourth = _part(rows, 1).sum(work, 2) / max(n_held, 1)
+        def work(b: solve.Batch) -> np.ndarray:  # squares and fourth powers of the held-out residuals
+            r, w = (cells.score(b, w_best) - b["__t"]) ** 2, b["__w"] * (b["__held"] == 1)
+            return np.array([w @ r, w @ r**2])
+
+        squares, fourth = solve.Bank(rows, [design]).sum(work, 2) / max(n_held, 1)
         error = np.sqrt(max(0.0, fourth - squares**2) / max(n_held, 1))  # of the mean of squares
         mse, _, alpha, use = min((t for t in tried if t[0] <= best[0] + error), key=lambda t: (t[1], t[0], t[2]))
         w = solve.ridge_from_gram(train[0] + held[0], train[1] + held[1], alpha, use)[:, 0]
@@ -158,7 +160,7 @@ class FusedRegressor(_Regressor):
                 w = solve.threshold_head(part, design, labels, basis, 1 / self.c)
                 return [program_of(self.adapter_, mains, pairs, w[:, i], design, "logit") for i in range(len(labels))]
 
-            self._heads = heads_of(_part(rows, 0))
+            self._heads = heads_of(rows.part("__held", 0))
             self._curve = (float(lower), cuts, float(upper))
             shift = self._correction(self._heads, named)
             held = work.where("__held = 1").select(F.col("__r").alias("r"), shift.alias("d"), (self._weight() if self.weight else F.lit(1.0)).alias("w"))
@@ -232,7 +234,7 @@ class ResolutionRegressor(_Regressor):
             sizes = [f[n].cardinality for n in mains] + [f[a].cardinality * f[b].cardinality for a, b in pairs]
             design = solve.Design([(c, k + 1) for c, k in zip([*map(one, mains), *[f"__pair{i}" for i in range(len(pairs))]], sizes, strict=True)])
             rows = solve.Rows(coded, design.columns, ["__t"], self.weight, extra=["__held"])
-            train, held = (solve.gram(_part(rows, k), design, ["__t"]) for k in (0, 1))
+            train, held = solve.grams(rows, design, ["__t"], "__held", (0, 1))
             tried = [(float(solve.squared_error(*held, solve.ridge_from_gram(train[0], train[1], a))[0] / max(held[0][0, 0], 1)), a) for a in self.alpha]
             mse, alpha = min(tried, key=lambda t: (t[0], -t[1]))
             parts = design.split(solve.ridge_from_gram(train[0] + held[0], train[1] + held[1], alpha)[:, 0])

@@ -1,129 +1,44 @@
 """Solvers whose passes over the data are sums: a Gram matrix, or gradient and Hessian of a one-dimensional loss.
 
-A design turns a row's states and numbers into columns.  Rows are first grouped by what the design reads: finite states
-repeat, so the grouped table is often small enough (its size is checked) to be solved on the driver; otherwise every
-Newton step is one distributed sum.  Either way the driver holds matrices of the design's width only.
+Sums are taken by state (see :mod:`.design`).  Rows that are few, or few when grouped, are solved on the driver; otherwise
+every Newton step is one distributed sum.  Either way the driver holds matrices of the design's width only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..schema import quoted
+from .design import Bank, Batch, Cells, Design, Rows
 
-#: Grouped rows that the driver takes over.
-DRIVER_ROWS = 200_000
 Loss = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-@dataclass
-class Design:
-    """Columns of a linear model.
-
-    mains: (state column, cardinality), state 0 being the reference; pairs: (column, cardinality, column, cardinality),
-    joint code 0 being the reference; linear: (column, mean, scale); blocks: (gate column, gate state, target column,
-    centres, scales).  A constant comes first.
-    """
-
-    mains: list[tuple[str, int]] = field(default_factory=list)
-    pairs: list[tuple[str, int, str, int]] = field(default_factory=list)
-    linear: list[tuple[str, float, float]] = field(default_factory=list)
-    blocks: list[tuple[str, int, str, list[float], list[float]]] = field(default_factory=list)
-
-    @property
-    def columns(self) -> list[str]:
-        names = [c for c, _ in self.mains] + [c for p in self.pairs for c in (p[0], p[2])] + [c for c, *_ in self.linear] + [c for b in self.blocks for c in (b[0], b[2])]
-        return list(dict.fromkeys(names))
-
-    @property
-    def widths(self) -> list[int]:
-        return [1, *(k - 1 for _, k in self.mains), *(a * b - 1 for _, a, _, b in self.pairs), *(1 for _ in self.linear), *(len(b[3]) for b in self.blocks)]
-
-    @property
-    def width(self) -> int:
-        return sum(self.widths)
-
-    def matrix(self, data: dict[str, np.ndarray], n: int) -> np.ndarray:
-        out = np.zeros((n, self.width))
-        out[:, 0] = 1
-        at, rows = 1, np.arange(n)
-        for code, size in [(data[c].astype(int), k) for c, k in self.mains] + [(data[a].astype(int) * kb + data[b].astype(int), ka * kb) for a, ka, b, kb in self.pairs]:
-            used = (code > 0) & (code < size)
-            out[rows[used], at + code[used] - 1] = 1
-            at += size - 1
-        for c, mean, scale in self.linear:
-            out[:, at] = (data[c] - mean) / scale
-            at += 1
-        for gate, s, target, centres, scales in self.blocks:
-            on = data[gate] == s
-            for k, (centre, scale) in enumerate(zip(centres, scales, strict=True)):
-                out[:, at] = on * ((data[target] == k) - centre) * scale
-                at += 1
-        return out
-
-    def split(self, w: np.ndarray) -> list[np.ndarray]:
-        """Coefficients term by term."""
-        return np.split(w, np.cumsum(self.widths)[:-1])
-
-
-def distributed_sum(df: DataFrame, columns: list[str], work: Callable[[dict[str, np.ndarray], int], np.ndarray], size: int) -> np.ndarray:
-    """Sums ``work`` (an array of ``size``) over all batches of ``df``: one entry of each partition is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(size)
-        for batch in batches:
-            if batch.num_rows:
-                out += work({c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(columns)}, batch.num_rows)
-        used = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(out[used])], names=["i", "x"])
-
-    out = np.zeros(size)
-    for i, x in df.select(*map(quoted, columns)).mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x")).collect():
-        out[i] = x
-    return out
-
-
-class Rows:
-    """What a fit reads: the design's columns, targets and weights, grouped where that makes them few."""
-
-    def __init__(self, df: DataFrame, columns: list[str], targets: list[str], weight: str | None = None, driver_rows: int = DRIVER_ROWS, extra: list[str] = ()):
-        w = F.col(quoted(weight)).cast("double") if weight else F.lit(1.0)
-        keys = [*columns, *targets, *extra]
-        self.columns = [*keys, "__w"]
-        grouped = df.groupBy(*map(quoted, keys)).agg(F.sum(w).alias("__w")).where("__w > 0")
-        taken = grouped.limit(driver_rows + 1).toArrow() if keys else None
-        self.local = None
-        self.df = df.select(*map(quoted, keys), w.alias("__w")).where("__w > 0")
-        if taken is not None and taken.num_rows <= driver_rows:
-            self.local = {c: taken.column(i).to_numpy(zero_copy_only=False).astype(float) for i, c in enumerate(self.columns)}
-            self.n = taken.num_rows
-
-    def sum(self, work: Callable[[dict[str, np.ndarray], int], np.ndarray], size: int) -> np.ndarray:
-        if self.local is None:
-            return distributed_sum(self.df, self.columns, work, size)
-        out = np.zeros(size)
-        for a in range(0, self.n, 20_000):
-            part = {c: v[a : a + 20_000] for c, v in self.local.items()}
-            out += work(part, len(part["__w"]))
-        return out
-
-
 def gram(rows: Rows, design: Design, targets: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """X'WX, X'WY and Y'WY in one pass."""
-    p, k = design.width, len(targets)
+    return grams(rows, design, targets)[0]
+
+
+def grams(rows: Rows, design: Design, targets: list[str], column: str | None = None, values: tuple[int, ...] = (0,)) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`gram` of the rows with each of some values of a column, all in one pass."""
+    cells, k = Cells(design), len(targets)
+    size = cells.square_size + k * cells.size + k * k
 
-    def work(data, n):
-        z = np.column_stack([design.matrix(data, n), *(data[t] for t in targets)])
-        return ((z * data["__w"][:, None]).T @ z).ravel()
+    def work(b: Batch) -> np.ndarray:
+        out = []
+        for v in values:
+            w = b["__w"] * (b[column] == v) if column else b["__w"]
+            y = np.stack([b[t] for t in targets]).astype(float) if k else np.zeros((0, b.n))
+            out += [cells.raw_square(b, w), *[cells.raw_sums(b, w * x) for x in y], ((y * w) @ y.T).ravel()]
+        return np.concatenate(out)
 
-    g = rows.sum(work, (p + k) ** 2).reshape(p + k, p + k)
-    return g[:p, :p], g[:p, p:], g[p:, p:]
+    found = []
+    for part in np.split(Bank(rows, [design]).sum(work, size * len(values)), len(values)):
+        xx, xy, yy = np.split(part, [cells.square_size, cells.square_size + k * cells.size])
+        found.append((cells.square(xx), np.stack([cells.sums(x) for x in np.split(xy, k)], axis=1) if k else np.zeros((cells.p, 0)), yy.reshape(k, k)))
+    return found
 
 
 def ridge_from_gram(xx: np.ndarray, xy: np.ndarray, alpha: float, columns: np.ndarray | None = None) -> np.ndarray:
@@ -194,55 +109,78 @@ def tweedie(power: float) -> Loss:
     return loss
 
 
-def newton(rows: Rows, design: Design, target: str, loss: Loss, l2: float, penalise_constant: bool, offset: str | None = None, start: np.ndarray | None = None, rounds: int = 30, tolerance: float = 1e-8) -> np.ndarray:
-    """Minimises sum(w * loss) + l2/2 |coefficients|^2 by Newton steps, halved while the objective rises.
+@dataclass
+class Problem:
+    """One of several fits on the same rows: min sum(w * loss) + l2/2 |coefficients|^2.
 
-    A step is tried in full with its derivatives, as it nearly always holds; halved ones by their value alone.  Of the
-    Hessian only one half travels.
+    ``part``: (column, value, without) takes the rows that have (or don't have) a value.
     """
-    p = design.width
-    penalty = np.full(p, l2)
-    if not penalise_constant:
-        penalty[0] = 1e-12
-    upper = np.triu_indices(p)
-
-    def value_at(w):
-        def work(data, n):
-            value, _, _ = loss(design.matrix(data, n) @ w + (data[offset] if offset else 0.0), data[target])
-            return np.array([data["__w"] @ value])
-
-        return rows.sum(work, 1)[0] + 0.5 * penalty @ w**2
-
-    def at(w):
-        def work(data, n):
-            x = design.matrix(data, n)
-            value, g, h = loss(x @ w + (data[offset] if offset else 0.0), data[target])
-            weight = data["__w"]
-            return np.concatenate([[weight @ value], x.T @ (weight * g), (x.T @ (x * (weight * np.maximum(h, 1e-9))[:, None]))[upper]])
-
-        s = rows.sum(work, 1 + p + len(upper[0]))
-        h = np.zeros((p, p))
-        h[upper] = s[1 + p :]
-        h = h + h.T - np.diag(np.diag(h)) + np.diag(penalty)
-        return s[0] + 0.5 * penalty @ w**2, s[1 : 1 + p] + penalty * w, h
-
-    w = np.zeros(p) if start is None else start
-    value, g, h = at(w)
+
+    design: Design
+    l2: float
+    penalise_constant: bool = True
+    start: np.ndarray | None = None
+    part: tuple[str, int, bool] | None = None
+
+    def weight(self, b: Batch) -> np.ndarray:
+        if self.part is None:
+            return b["__w"]
+        column, value, without = self.part
+        return b["__w"] * ((b[column] == value) != without)
+
+
+def newton_many(rows: Rows, problems: list[Problem], target: str, loss: Loss, offset: str | None = None, rounds: int = 40, tolerance: float = 1e-10) -> list[np.ndarray]:
+    """Solves all problems by Newton steps, halved while the objective rises.
+
+    Every pass over the rows serves all problems that aren't done yet; the codes of their designs are read once.
+    """
+    cells = [Cells(p.design) for p in problems]
+    bank = Bank(rows, [p.design for p in problems])
+    penalty = [np.where((np.arange(c.p) > 0) | p.penalise_constant, p.l2, 1e-12) for c, p in zip(cells, problems, strict=True)]
+    best = [np.zeros(c.p) if p.start is None else np.array(p.start, float) for c, p in zip(cells, problems, strict=True)]
+    trial, step, halved = [b.copy() for b in best], [None] * len(problems), [0] * len(problems)
+    value = [np.inf] * len(problems)
+    open_ = list(range(len(problems)))
     for _ in range(rounds):
-        step = np.linalg.solve(h + 1e-10 * np.trace(h) / p * np.eye(p), g)
-        enough = value + 1e-12 * abs(value)
-        trial, k = at(w - step), 0
-        if not trial[0] <= enough:
-            k = next((k for k in range(1, 12) if value_at(w - step * 0.5**k) <= enough), None)
-            if k is None:
-                return w
-            trial = at(w - step * 0.5**k)
-        w = w - step * 0.5**k
-        done = value - trial[0] <= tolerance * max(1.0, abs(value)) or np.abs(trial[1]).max() <= tolerance
-        value, g, h = trial
-        if done:
+        sizes = [1 + cells[i].size + cells[i].square_size for i in open_]
+
+        def work(b: Batch, now=tuple(open_), at=tuple(trial)) -> np.ndarray:
+            out = []
+            for i in now:
+                w = problems[i].weight(b)
+                v, g, h = loss(cells[i].score(b, at[i]) + (b[offset] if offset else 0.0), b[target])
+                out += [[w @ v], cells[i].raw_sums(b, w * g), cells[i].raw_square(b, w * np.maximum(h, 1e-9))]
+            return np.concatenate(out)
+
+        sums = np.split(bank.sum(work, sum(sizes)), np.cumsum(sizes)[:-1])
+        still = []
+        for i, s in zip(open_, sums, strict=True):
+            c, x = cells[i], trial[i]
+            new = s[0] + 0.5 * penalty[i] @ x**2
+            if not new <= value[i] + 1e-12 * abs(value[i]):
+                halved[i] += 1
+                if halved[i] < 12:
+                    trial[i] = best[i] - step[i] * 0.5 ** halved[i]
+                    still.append(i)
+                continue
+            g, h = c.sums(s[1 : 1 + c.size]) + penalty[i] * x, c.square(s[1 + c.size :]) + np.diag(penalty[i])
+            better = value[i] - new
+            best[i], value[i], halved[i] = x, new, 0
+            step[i] = np.linalg.solve(h + 1e-12 * np.trace(h) / c.p * np.eye(c.p), g)
+            if better > tolerance * max(1.0, abs(new)) and np.abs(g).max() > 1e-9:
+                trial[i] = x - step[i]
+                still.append(i)
+            else:
+                best[i] = x - step[i] if np.abs(g).max() < 1e-3 else x  # so near the optimum a last step needs no check
+        open_ = still
+        if not open_:
             break
-    return w
+    return best
+
+
+def newton(rows: Rows, design: Design, target: str, loss: Loss, l2: float, penalise_constant: bool, offset: str | None = None, start: np.ndarray | None = None, rounds: int = 40) -> np.ndarray:
+    """:func:`newton_many` of one problem."""
+    return newton_many(rows, [Problem(design, l2, penalise_constant, start)], target, loss, offset, rounds)[0]
 
 
 def logistic_l2(rows: Rows, design: Design, target: str, c: float = 1.0, start: np.ndarray | None = None) -> np.ndarray:
@@ -250,39 +188,83 @@ def logistic_l2(rows: Rows, design: Design, target: str, c: float = 1.0, start:
     return newton(rows, design, target, logistic, 1.0 / c, True, start=start)
 
 
-def softmax_regression(rows: Rows, design: Design, target: str, classes: int, c: float = 1.0, rounds: int = 15) -> np.ndarray:
-    """Multinomial coefficients (width, classes) with an L2 penalty; Newton on the full Hessian."""
-    p = design.width
-    w = np.zeros((p, classes))
+def logistic_path(rows: Rows, designs: list[Design], target: str, cs: list[float], part: tuple[str, int, bool] | None = None) -> dict[tuple[int, float], np.ndarray]:
+    """:func:`logistic_l2` of every design (by its index) at every penalty: all designs in the same passes.
+
+    Penalties go from strong to weak, each starting from the solutions of the one before.
+    """
+    out: dict[tuple[int, float], np.ndarray] = {}
+    start: list = [None] * len(designs)
+    for c in sorted(set(cs)):
+        start = newton_many(rows, [Problem(d, 1.0 / c, True, s, part) for d, s in zip(designs, start, strict=True)], target, logistic)
+        out |= {(i, c): w for i, w in enumerate(start)}
+    return out
+
+
+def mean_losses(rows: Rows, fits: list[tuple[Design, np.ndarray]], target: str, loss: Loss, parts: list[tuple[str, int, bool] | None]) -> np.ndarray:
+    """Mean loss of each fit on its part of the rows (infinite where there are none): one pass."""
+    cells = [Cells(d) for d, _ in fits]
+
+    def work(b: Batch) -> np.ndarray:
+        out = []
+        for c, (d, w), part in zip(cells, fits, parts, strict=True):
+            own = Problem(d, 0.0, part=part).weight(b)
+            out += [own @ loss(c.score(b, w), b[target])[0], own.sum()]
+        return np.array(out)
+
+    total = Bank(rows, [d for d, _ in fits]).sum(work, 2 * len(fits)).reshape(-1, 2)
+    return np.where(total[:, 1] > 0, total[:, 0] / np.maximum(total[:, 1], 1e-300), np.inf)
+
 
-    def at(w):
-        def work(data, n):
-            x, weight = design.matrix(data, n), data["__w"]
-            z = x @ w
-            z -= z.max(axis=1, keepdims=True)
+def softmax_regression(rows: Rows, design: Design, target: str, classes: int, c: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Multinomial coefficients (width, classes) with an L2 penalty; Newton on the full Hessian.
+
+    A full step is tried with its derivatives, halved ones by their value alone; of the Hessian one half travels.
+    """
+    cells, bank = Cells(design), Bank(rows, [design])
+    p, pairs = cells.p, [(a, b) for a in range(classes) for b in range(a, classes)]
+
+    def at(w: np.ndarray, derivatives: bool = True):
+        def work(b: Batch) -> np.ndarray:
+            z = np.stack([cells.score(b, w[:, k]) for k in range(classes)])
+            z -= z.max(axis=0)
+            y, weight = b[target].astype(int), b["__w"]
+            lead = z[y, np.arange(b.n)]
             q = np.exp(z)
-            q /= q.sum(axis=1, keepdims=True)
-            y = np.eye(classes)[data[target].astype(int)]
-            value = -weight @ np.log(np.maximum((q * y).sum(axis=1), 1e-300))
-            h = np.zeros((classes, p, classes, p))
-            for a in range(classes):
-                for b in range(a, classes):
-                    h[a, :, b, :] = x.T @ (x * (weight * q[:, a] * ((a == b) - q[:, b]))[:, None])
-                    h[b, :, a, :] = h[a, :, b, :].T
-            return np.concatenate([[value], (x.T @ ((q - y) * weight[:, None])).T.ravel(), h.ravel()])
-
-        s = rows.sum(work, 1 + p * classes + (p * classes) ** 2)
-        flat = w.T.ravel() / c
-        return s[0] + 0.5 * (w**2).sum() / c, s[1 : 1 + p * classes] + flat, s[1 + p * classes :].reshape(p * classes, -1) + np.eye(p * classes) / c
+            total = q.sum(axis=0)
+            value = -weight @ (lead - np.log(total))
+            if not derivatives:
+                return np.array([value])
+            q /= total
+            g = [cells.raw_sums(b, weight * (q[k] - (y == k))) for k in range(classes)]
+            h = [cells.raw_square(b, weight * q[j] * ((j == k) - q[k])) for j, k in pairs]
+            return np.concatenate([[value], *g, *h])
+
+        s = bank.sum(work, 1 + classes * cells.size + len(pairs) * cells.square_size if derivatives else 1)
+        value = s[0] + 0.5 * (w**2).sum() / c
+        if not derivatives:
+            return value
+        g = np.concatenate([cells.sums(x) for x in np.split(s[1 : 1 + classes * cells.size], classes)]) + w.T.ravel() / c
+        h = np.eye(p * classes) / c
+        for (j, k), raw in zip(pairs, np.split(s[1 + classes * cells.size :], len(pairs)), strict=True):
+            x = cells.square(raw)
+            h[j * p : (j + 1) * p, k * p : (k + 1) * p] += x
+            if j != k:
+                h[k * p : (k + 1) * p, j * p : (j + 1) * p] += x
+        return value, g, h
 
+    w = np.zeros((p, classes))
     value, g, h = at(w)
     for _ in range(rounds):
         step = np.linalg.solve(h, g).reshape(classes, p).T
-        k = 0
-        while (trial := at(w - step * 0.5**k))[0] > value + 1e-9 * abs(value) and k < 6:
-            k += 1
+        trial, k = at(w - step), 0
+        if trial[0] > value + 1e-12 * abs(value):
+            k = next((k for k in range(1, 12) if at(w - step * 0.5**k, False) <= value + 1e-12 * abs(value)), None)
+            if k is None:
+                break
+            trial = at(w - step * 0.5**k)
         w = w - step * 0.5**k
-        done = value - trial[0] < 1e-7 * max(1.0, abs(value))
+        done = value - trial[0] <= 1e-10 * max(1.0, abs(value))
         value, g, h = trial
         if done:
             break
@@ -296,15 +278,16 @@ def huber_regression(rows: Rows, design: Design, target: str, epsilon: float = 1
     scale, the scale in closed form from one sum over the rows.
     """
     w = np.zeros(design.width) if start is None else start
+    cells, bank = Cells(design), Bank(rows, [design])
     for _ in range(rounds):
         w = newton(rows, design, target, huber(epsilon * scale), alpha * scale, False, offset=offset, start=w)
 
-        def work(data, n, w=w, scale=scale):
-            r = np.abs(design.matrix(data, n) @ w + (data[offset] if offset else 0.0) - data[target])
+        def work(b: Batch, w=w, scale=scale) -> np.ndarray:
+            r = np.abs(cells.score(b, w) + (b[offset] if offset else 0.0) - b[target])
             inside = r <= epsilon * scale
-            return np.array([data["__w"] @ (inside * r**2), data["__w"] @ ~inside, data["__w"].sum()])
+            return np.array([b["__w"] @ (inside * r**2), b["__w"] @ ~inside, b["__w"].sum()])
 
-        squares, outside, n = rows.sum(work, 3)
+        squares, outside, n = bank.sum(work, 3)
         last, scale = scale, max(np.sqrt(squares / max(n - outside * epsilon**2, 0.05 * n)), 1e-9)
         if abs(scale - last) <= 1e-4 * last:
             break
@@ -326,10 +309,10 @@ def threshold_head(rows: Rows, design: Design, labels: list[str], basis: np.ndar
     The score at threshold t is the design times W times the basis at t, plus an intercept of its own for each threshold
     (which is not penalised).  Newton's method on W and the intercepts; every step is one sum over the rows.
     """
+    cells, bank = Cells(design), Bank(rows, [design])
     p, k, m = design.width, basis.shape[1], len(labels)
     q = (p - 1) * k  # the constant's coefficients are the intercepts
     size = q + m
-    upper = np.triu_indices(size)
 
     def unpack(theta):
         return theta[:q].reshape(p - 1, k) @ basis.T, theta[q:]
@@ -337,30 +320,28 @@ def threshold_head(rows: Rows, design: Design, labels: list[str], basis: np.ndar
     def at(theta, curvature=True):
         slope, intercept = unpack(theta)
 
-        def work(data, n):
-            x, weight = design.matrix(data, n)[:, 1:], data["__w"]
-            value, g, h = 0.0, np.zeros(size), np.zeros((size, size)) if curvature else None
+        def work(b: Batch) -> np.ndarray:
+            out = []
             for t, label in enumerate(labels):
-                v, d, e = logistic(x @ slope[:, t] + intercept[t], data[label])
-                value += weight @ v
-                d, e = weight * d, weight * e
-                xd = x.T @ d
-                g[:q] += np.outer(xd, basis[t]).ravel()
-                g[q + t] += d.sum()
-                if curvature:
-                    h[:q, :q] += np.kron(x.T @ (x * e[:, None]), np.outer(basis[t], basis[t]))
-                    h[:q, q + t] += np.outer(x.T @ e, basis[t]).ravel()
-                    h[q + t, q + t] += e.sum()
-            return np.concatenate([[value], g, h[upper]]) if curvature else np.array([value])
-
-        s = rows.sum(work, 1 + size + len(upper[0]) if curvature else 1)
+                v, g, h = logistic(cells.score(b, np.append(intercept[t], slope[:, t])), b[label])
+                out += [[b["__w"] @ v], *([cells.raw_sums(b, b["__w"] * g), cells.raw_square(b, b["__w"] * h)] if curvature else [])]
+            return np.concatenate(out)
+
+        each = 1 + cells.size + cells.square_size if curvature else 1
         penalty = np.r_[np.full(q, l2), np.full(m, 1e-9)]
-        value = s[0] + 0.5 * penalty @ theta**2
+        sums = bank.sum(work, each * m).reshape(m, each)
+        value = sums[:, 0].sum() + 0.5 * penalty @ theta**2
         if not curvature:
             return value
-        h = np.zeros((size, size))
-        h[upper] = s[1 + size :]
-        return value, s[1 : 1 + size] + penalty * theta, h + h.T - np.diag(np.diag(h)) + np.diag(penalty)
+        g, h = np.zeros(size), np.zeros((size, size))
+        for t, s in enumerate(sums):
+            x, square = cells.sums(s[1 : 1 + cells.size]), cells.square(s[1 + cells.size :])
+            g[:q] += np.outer(x[1:], basis[t]).ravel()
+            g[q + t] = x[0]
+            h[:q, :q] += np.kron(square[1:, 1:], np.outer(basis[t], basis[t]))
+            h[:q, q + t] = h[q + t, :q] = np.outer(square[1:, 0], basis[t]).ravel()
+            h[q + t, q + t] = square[0, 0]
+        return value, g + penalty * theta, h + np.diag(penalty)
 
     theta = np.zeros(size)
     value, g, h = at(theta)
@@ -380,25 +361,71 @@ def threshold_head(rows: Rows, design: Design, labels: list[str], basis: np.ndar
 
 def affine_calibration(rows: Rows, score: str, target: str, l2: float = 1e-3, intercept_only: bool = False) -> tuple[float, float]:
     """Scale and offset of a score that minimise mean log loss + l2 (log(scale)^2 + offset^2), within bounds."""
+    return _affine(Bank(rows, []), lambda b: b[score], target, l2, intercept_only)
+
+
+def _affine(bank: Bank, score: Callable[[Batch], np.ndarray], target: str, l2: float, intercept_only: bool) -> tuple[float, float]:
     theta = np.zeros(2)
     free = np.array([not intercept_only, True])
     for _ in range(50):
-        def work(data, n, theta=theta):
-            s, w = np.exp(theta[0]), data["__w"]
-            _, g, h = logistic(s * data[score] + theta[1], data[target])
-            j = np.column_stack([s * data[score], np.ones(n)])
-            return np.concatenate([[w.sum()], j.T @ (w * g), (j.T @ (j * (w * h)[:, None])).ravel() + np.array([(w * g * j[:, 0]).sum(), 0, 0, 0])])
-
-        t = rows.sum(work, 7)
-        g, h = t[1:3] / t[0] + 2 * l2 * theta, t[3:].reshape(2, 2) / t[0] + 2 * l2 * np.eye(2)
+        def work(b: Batch, theta=theta) -> np.ndarray:
+            z, w = np.exp(theta[0]) * score(b), b["__w"]
+            _, g, h = logistic(z + theta[1], b[target])
+            j = np.column_stack([z, np.ones(b.n)])
+            return np.concatenate([[w.sum()], j.T @ (w * g), (j.T @ (j * (w * h)[:, None])).ravel(), [(w * g) @ z]])
+
+        t = bank.sum(work, 8)
+        if not t[0]:
+            break
+        g, h = t[1:3] / t[0] + 2 * l2 * theta, t[3:7].reshape(2, 2) / t[0] + 2 * l2 * np.eye(2)
+        h[0, 0] += max(0.0, t[7] / t[0])  # where the loss isn't convex in the logarithm of the scale, without that part
         step = np.where(free, np.linalg.solve(h + np.diag(np.where(free, 0, 1e12)) + 1e-6 * np.eye(2), g), 0)
-        new = np.clip(theta - step, [np.log(0.25), -5], [np.log(4.0), 5])
+        new = np.clip(theta - np.clip(step, -1.0, 1.0), [np.log(0.25), -5], [np.log(4.0), 5])
         if np.abs(new - theta).max() < 1e-9:
             break
         theta = new
     return float(np.exp(theta[0])), float(theta[1])
 
 
+@dataclass
+class Calibration:
+    """A scale and an offset fitted to out-of-fold scores, what they gain there a row, and that gain's standard error."""
+
+    scale: float
+    offset: float
+    gain: float
+    error: float
+    accepted: bool
+
+
+def crossfitted_calibration(rows: Rows, design: Design, target: str, c: float, fold: str, folds: int, start: np.ndarray | None = None, intercept_only: bool = False, least_gain: float = 1e-4, least_signal: float = 1.0) -> Calibration:
+    """Calibration of a logistic fit by scores that models of the other folds give; refused if it gains too little.
+
+    All fold models are solved in the same passes.  The gain is the mean over rows of the log loss without less that
+    with the calibration; it has to reach ``least_gain`` and ``least_signal`` standard errors of these differences.
+    """
+    models = newton_many(rows, [Problem(design, 1.0 / c, True, start, (fold, k, True)) for k in range(folds)], target, logistic)
+    cells, bank = Cells(design), Bank(rows, [design])
+
+    def score(b: Batch) -> np.ndarray:
+        out = np.zeros(b.n)
+        for k, w in enumerate(models):
+            out += (b[fold] == k) * cells.score(b, w)
+        return out
+
+    scale, offset = _affine(bank, score, target, 1e-3, intercept_only)
+
+    def work(b: Batch) -> np.ndarray:
+        z, w = score(b), b["__w"]
+        d = logistic(z, b[target])[0] - logistic(scale * z + offset, b[target])[0]
+        return np.array([w.sum(), w @ d, w @ d**2])
+
+    n, one, two = bank.sum(work, 3)
+    gain = one / n if n else 0.0
+    error = float(np.sqrt(max(0.0, two / n - gain**2) / max(n - 1, 1))) if n else 0.0
+    return Calibration(scale, offset, float(gain), error, bool(gain >= least_gain and gain >= least_signal * error))
+
+
 def chi2_tail(x: float, df: int) -> float:
     """P(chi-square with ``df`` degrees of freedom > x): by the regularised incomplete gamma function."""
     a, z = df / 2, x / 2
