@@ -125,10 +125,14 @@ def full_and_stable(halves: DataFrame, features: list[str], rows: int, cardinali
     side = lambda v: F.max(F.when(F.col("half") == v, F.col("gain")))
     split = each.groupBy("f0", "f1", "gate_state").agg(side(0).alias("a"), side(1).alias("b")).where("a > 0 AND b > 0")
     stable = split.withColumn("score", stable_score(F.col("a"), F.col("b"), cardinality)).join(full.select("f0", "f1", "gate_state", "gain"), ["f0", "f1", "gate_state"])
-    near, out = False, []
-    for blocks in (full, stable):
-        top = top_blocks(blocks, features, "score", k + 1).persist()
-        scores = [r["score"] for r in top.orderBy("rank").collect()]  # k + 1 rows
-        near |= len(scores) > k and scores[k - 1] - scores[k] <= tolerance * max(abs(scores[0]), 1e-30)
-        out.append(top.where(F.col("rank") <= k))
-    return out[0], out[1], near
+    tops = [top_blocks(blocks, features, "score", k + 1) for blocks in (full, stable)]
+    return tops[0].where(F.col("rank") <= k), tops[1].where(F.col("rank") <= k), any(boundary_gap(t, k) <= tolerance for t in tops)
+
+
+def boundary_gap(ranked: DataFrame, k: int) -> float:
+    """How far the ``k``-th score is above the next one, in units of the best score's size; infinite if there is no next one."""
+    score = {r["rank"]: r["score"] for r in ranked.where(F.col("rank").isin(1, k, k + 1)).select("rank", "score").collect()}
+    if k + 1 not in score:
+        return float("inf")
+    gap, size = score[k] - score[k + 1], abs(score[1])
+    return gap / size if size else 0.0

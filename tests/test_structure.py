@@ -72,7 +72,7 @@ def test_bases_against_least_squares():
         y = -g / h  # the gain is half of what a weighted fit of all states explains beyond the nuisance
         left = y - nuisance @ np.linalg.lstsq(nuisance * np.sqrt(h)[:, None], y * np.sqrt(h), rcond=None)[0]
         assert b.gain == pytest.approx(0.5 * float(h @ left**2)) and b.df == 64 - np.linalg.matrix_rank(nuisance)
-        assert refine.nuisance_share(b.table @ np.ones(b.df), h, nuisance) < 1e-12
+        assert refine.spill(b.table @ np.ones(b.df), h, nuisance) < 1e-12
     assert refine.pair_design(4).shape == (64, 37)
     with pytest.raises(ValueError, match="multiple"):
         refine.parent_design(3, 8)
@@ -87,14 +87,17 @@ def test_cross_gram_and_selection(spark):
     g, h = F.lit(0.5) - F.col("y"), F.lit(0.25)
     sums = refine.sums_by_state(df, ["a", "b", "again"], [4, 4, 4], g, h)
     bases = [refine.quotient_basis(c, (c,), (4,), np.ones((4, 1)), sums[c][1], sums[c][2]) for c in ("a", "b", "again")]
-    k, t = refine.cross_gram(df, bases, h)
+    model = refine.JointModel.of(df, bases, h)
     rows = [bases[i].table[x] for i, x in enumerate((a, b, a))]
     want = np.column_stack(rows).T @ np.column_stack(rows) * 0.25
-    assert np.abs(k - want).max() < 1e-8
-    assert refine.greedy_selection(bases, k, t) == [0]  # the copy adds nothing, b tells nothing
-    assert refine.overlap(k, slice(0, 3), slice(6, 9))["largest"] == pytest.approx(1) and refine.overlap(k, slice(0, 3), slice(6, 9))["rank"] == 3
-    tables = refine.joint_lookups([bases[0]], k[:3, :3], t[:3], l2=20.0, rate=1.0)
-    beta = np.linalg.solve(np.eye(3) + 20 * bases[0].table.T @ bases[0].table, t[:3])
+    assert np.abs(model.k - want).max() < 1e-8
+    assert model.select() == [0]  # the copy adds nothing, b tells nothing
+    assert model.correlations(0, 2) == pytest.approx(1) and model.without(0).adds(2) == (0.0, 0)
+    both = np.column_stack(rows[:2])  # what a basis adds beside another is what both explain less what one does
+    gain = lambda x: 0.5 * float(model.t[: x.shape[1]] @ np.linalg.lstsq(x.T @ x * 0.25, model.t[: x.shape[1]], rcond=None)[0])
+    assert model.without(0).adds(1)[0] == pytest.approx(gain(both) - gain(rows[0]))
+    tables = model.part([0]).tables(l2=20.0, rate=1.0)
+    beta = np.linalg.solve(np.eye(3) + 20 * bases[0].table.T @ bases[0].table, model.t[:3])
     assert np.allclose(tables[0], bases[0].table @ beta) and tables[0][1] > 0 > tables[0][3]
 
 
@@ -176,7 +179,7 @@ def test_class_deltas(spark):
         return -(w[np.arange(len(w)), y[s == 1]] - np.log(np.exp(w).sum(axis=1))).sum() + 2.5 * v * v
 
     assert objective(x) <= min(objective(x + e) for e in (-0.01, 0.01)) and 0.8 < x < 2
-    assert deltas.prefixes(12) == [0, 4, 8, 12] and deltas.prefixes(1) == [0, 1] and deltas.prefixes(0) == [0]
+    assert deltas.prefixes(12) == [0, 4, 8, 12] and deltas.prefixes(1) == [0, 1] and deltas.prefixes(2) == [0, 1, 2] and deltas.prefixes(0) == [0]
 
 
 def test_threshold_head_against_its_objective(spark):
