@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..keys import column_sample, hashed_fold
 from ..operators import adapt, quantiles
+from ..operators.cache import HistogramCache
 from ..plans.program import Feature
 from ..schema import ParameterError, ResourceLimitError, ResourceWarning_, ValidationError, aligned, check_names, infer_roles, physical, quoted
+from ..sources.interim import stored
 
 
 @dataclass
@@ -24,8 +26,10 @@ class Adapter:
     there are any, "always", "none").  Categories with few values are states by sorted value (or binary digits of it),
     others are ordered by smoothed target means, out of fold while fitting.  Embeddings ("basic") become states of the
     difference of their distances to two class centroids and of their leading principal directions, or ("prototype")
-    of the difference of their distances to the nearest of several centres of each class and of a linear discriminant.
-    Weights count in medians, thresholds, means and centroids; rows of weight 0 have to be left out before.
+    of the difference of their distances to the nearest of several centres of each class and of a linear discriminant;
+    components are scaled for these, and what is made of classes is out of fold while fitting, too.  Vectors that are null, of
+    another length than most or hold null or non-finite components get the last state.  Weights count in medians,
+    thresholds, means, centroids and directions; rows of weight 0 have to be left out before.
     """
 
     bins: int = 16
@@ -71,8 +75,8 @@ class Adapter:
             else:
                 out = self._ordered(out, c, key, target)
         for c in roles["embedding"]:
-            self._embedding(df, c, target)
-        states = [f.expression().alias(f.state_column) for f in self.features if f.kind != "ordered" or f.state_column not in out.columns]
+            out = self._embedding(out, c, key, target)
+        states = [f.expression().alias(f.state_column) for f in self.features if f.state_column not in out.columns]
         return out.select("*", *states)
 
     def _ordered(self, df: DataFrame, column: str, key: str, target: str) -> DataFrame:
@@ -95,41 +99,50 @@ class Adapter:
         out = scored.withColumn(f.state_column, s.cast("int")).drop("score", "__fold")
         return out.withColumn(column, F.nullif(F.col(quoted(column)), F.lit(adapt.MISSING_KEY))) if self.missing_as_key else out
 
-    def _embedding(self, df: DataFrame, column: str, target: str) -> None:
+    def _embedding(self, df: DataFrame, column: str, key: str, target: str) -> DataFrame:
+        """States of directions that tell the halves of the target apart (out of fold while fitting) and of principal ones."""
         y = F.col(quoted(target)).cast("double")
         w = F.col(quoted(self.weight)).cast("double") if self.weight else None
         middle = quantiles.exact_quantiles(df, [target], [0.5], self.weight)[target][0]
         upper = y > middle if df.where(y > middle).limit(1).count() else y >= middle
-        halves = df.withColumn("__c", upper.cast("int"))
-        made: list[Feature] = []
+        fold = hashed_fold(F.col(quoted(key)), self.folds)
+        moments = adapt.Moments.of(df, column, upper.cast("int"), fold, self.folds, w)
+        if not moments.g[..., 0, 0].any():
+            return df
+        scale = moments.scale()
+        made: list[tuple[Feature, list[Column]]] = []  # the feature, and its value by a fit without each fold
+
+        def supervised(name: str, fit) -> None:
+            whole, others = fit(None), [fit(k) for k in range(self.folds)]
+            if whole is not None and all(o is not None for o in others):
+                feature = lambda o: Feature(name, "projection", column, 0, scores=[*o[0].tolist(), *o[1].tolist()])
+                made.append((feature(whole), [feature(o).direction() for o in others]))
+
         if self.embedding == "prototype":
-            centres = adapt.prototypes(halves, column, "__c", self.prototypes)
-            if min(len(v) for v in centres.values()):
-                flat = np.concatenate([centres[0], centres[1]]).ravel().tolist()
-                made.append(Feature(f"embp:{column}", "prototype", column, 0, scores=flat, shape=[len(centres[0]), len(centres[1])]))
-                direction, _ = adapt.discriminant_direction(halves, column, "__c")
-                made.append(Feature(f"embl:{column}", "projection", column, 0, scores=[0.0] * len(direction) + direction.tolist()))
+            centres = adapt.fold_prototypes(df.withColumn("__c", upper.cast("int")), column, "__c", fold, self.folds, self.prototypes, weight=w, scale=scale)
+            if min(len(v) for both in centres for v in both.values()):
+                flat = lambda both: np.concatenate([both[0] / scale, both[1] / scale]).ravel().tolist()
+                feature = lambda both: Feature(f"embp:{column}", "prototype", column, 0, scores=[*scale.tolist(), *flat(both)], shape=[len(both[0]), len(both[1])])
+                made.append((feature(centres[-1]), [feature(both).direction() for both in centres[:-1]]))
+            supervised(f"embl:{column}", moments.discriminant)
         else:
-            centre: dict[int, dict[int, float]] = {0: {}, 1: {}}
-            for r in adapt.class_centroids(halves, column, "__c", w).collect():
-                centre[r["class"]][r["dim"]] = r["mean"]
-            if centre[0] and centre[1]:
-                made.append(Feature(f"embq:{column}", "embedding", column, 0, scores=[centre[c][i] for c in (0, 1) for i in range(len(centre[c]))]))
+            supervised(f"embq:{column}", moments.centroid)
             if self.components:
-                mean, directions, _ = adapt.principal_directions(df, column, self.components)
-                made += [Feature(f"embc:{column}:{i}", "projection", column, 0, scores=mean.tolist() + d.tolist()) for i, d in enumerate(directions)]
-        if not made:
-            return
-        half = {f.name: len(f.scores) // 2 for f in made}
-        value = {f.name: adapt.centroid_direction(None, column, {0: f.scores[: half[f.name]], 1: f.scores[half[f.name] :]}) if f.kind == "embedding" else f.direction() for f in made}
-        weights = [F.col(quoted(self.weight))] if self.weight else []
-        d = df.select(*[value[f.name].alias(f"d{i}") for i, f in enumerate(made)], *weights)
-        cuts = quantiles.nested_thresholds(d, [f"d{i}" for i in range(len(made))], (self.category_bins,), weight=self.weight)
-        for i, f in enumerate(made):
-            f.thresholds = cuts[f"d{i}"][self.category_bins]
+                mean, directions, _ = moments.principal(self.components)
+                for i, d in enumerate(directions):
+                    f = Feature(f"embc:{column}:{i}", "projection", column, 0, scores=mean.tolist() + d.tolist())
+                    made.append((f, []))
+        value = [f.direction() if not others else F.coalesce(*[F.when(fold == k, x) for k, x in enumerate(others)]) for f, others in made]
+        d = df.select("*", *[v.alias(f"__d{i}") for i, v in enumerate(value)])
+        cuts = quantiles.nested_thresholds(d, [f"__d{i}" for i in range(len(made))], (self.category_bins,), digits=9, weight=self.weight) if made else {}
+        states = []
+        for i, (f, _) in enumerate(made):
+            f.thresholds = cuts[f"__d{i}"][self.category_bins]
             f.cardinality = len(f.thresholds) + 1
             if f.cardinality > 1:
                 self.features.append(f)
+                states.append(fn.state(F.round(F.col(f"__d{i}"), 9), f.thresholds).cast("int").alias(f.state_column))
+        return d.select(*[F.col(quoted(c)) for c in df.columns], *states)
 
     def transform(self, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         """``df`` with the state columns of all fitted features, or of those named."""
@@ -245,6 +258,43 @@ class Estimator:
     def _adapter(self, **options) -> Adapter:
         return Adapter(bins=self.bins, weight=self.weight, embedding=self.embedding, **options)
 
+    def newton_cache(self, df: DataFrame, features: list[str], target: str, key: str, prediction: str = "base", pair_features: int | None = None) -> tuple[HistogramCache, float]:
+        """Histograms of gradients and Hessians by state and by pair of states, and the rows' weight.
+
+        ``prediction="base"``: at the overall mean, on states of an adapter fitted here; pairs are those of the
+        ``pair_features`` features with the largest gains.  ``"model"``: at what the fitted program predicts, on its own
+        states: what it has left to explain.  Two classes count as 0 and 1; other targets as numbers with squared loss.
+        """
+        df = positive_weight(df, self.weight)
+        w = self._weight() if self.weight else F.lit(1.0)
+        classes = sorted(r[0] for r in df.select(quoted(target)).distinct().limit(3).collect()) if "c" in self.params else []
+        if "c" in self.params and len(classes) != 2:
+            raise ParameterError("Newton histograms of a classifier need two classes")
+        y = (F.col(quoted(target)) == F.lit(classes[1])).cast("double") if classes else F.col(quoted(target)).cast("double")
+        data = df.withColumn("__y", y)
+        if prediction == "model":
+            adapter, program = self.adapter_, self.program_
+            states = adapter.transform(data)
+            p = program.value(program.score({f.name: F.col(f.state_column) for f in adapter.features if f.name in program.features}))
+        else:
+            adapter = self._adapter()
+            states = adapter.fit(data, list(features), key, "__y")
+            p = F.lit(data.agg(F.sum(w * F.col("__y")) / F.sum(w)).first()[0])
+        if classes:
+            p = F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
+        sums = {"g": w * (F.col("__y") - p), "h": w * p * (1 - p) if classes else w}
+        states = states.persist()
+        try:
+            columns = [f.state_column for f in adapter.features]
+            singles = HistogramCache.build(states, columns, sums, self._weight(), feature_limit=1).single_gains([1.0])
+            gain = {r["feature"]: r["gain"] for r in singles.collect()}
+            order = sorted(columns, key=lambda c: (-gain.get(c, 0.0), columns.index(c)))
+            made = HistogramCache.build(states, order, sums, self._weight(), pair_features or self.pair_features)
+            made = HistogramCache(made.features, stored(made.singles), stored(made.pairs), made.sums)
+            return made, float(states.agg(F.sum(w)).first()[0])
+        finally:
+            states.unpersist()
+
     def to_config(self) -> dict:
         """The class's name and its parameters, as plain values."""
         return {"estimator": type(self).__name__, "params": dict(self.params)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import state
-from ..schema import finite, quoted
+from ..schema import ValidationError, finite, quoted
 from .numbering import numbered
 from .quantiles import exact_quantiles, nested_thresholds
 
@@ -108,8 +110,11 @@ def binned_scores(df: DataFrame, score: str, bins: int, output: str, shift: int
 
 def category_mode(df: DataFrame, columns: list[str], most: int = 16) -> dict[str, str]:
     """"identity" for columns with at most ``most`` different values, else "ordered"."""
-    row = df.agg(*[F.count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    return {c: "identity" if row[i] <= most else "ordered" for i, c in enumerate(columns)}
+    # an estimate of all columns first: exact counts of several columns at once would multiply the rows
+    guess = df.agg(*[F.approx_count_distinct(quoted(c), 0.02) for c in columns]).first()
+    near = [c for c, n in zip(columns, guess, strict=True) if n <= 2 * most + 4]
+    few = {c: df.select(F.col(quoted(c)).alias("c")).where("c IS NOT NULL").distinct().limit(most + 1).count() for c in near}
+    return {c: "identity" if few.get(c, most + 1) <= most else "ordered" for c in columns}
 
 
 # embeddings -------------------------------------------------------------------------------------------------------
@@ -134,29 +139,95 @@ def centroid_direction(df: DataFrame, column: str, centroids: dict[int, list[flo
     return far(centroids[0]) - far(centroids[1])
 
 
-def principal_directions(df: DataFrame, column: str, k: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, the ``k`` leading directions (rows; their largest entry is positive) and variances of an embedding column.
+def sound_vectors(df: DataFrame, column: str) -> tuple[Column, int]:
+    """Which rows have a vector of the commonest length (the larger of equally common ones) without null or non-finite components, and that length."""
+    x = F.col(quoted(column))
+    lengths = df.where(x.isNotNull()).groupBy(F.size(x).alias("size")).agg(F.count("*").alias("n"))
+    first = lengths.orderBy(F.desc("n"), F.desc("size")).first()
+    size = first["size"] if first else 0
+    return F.coalesce((F.size(x) == size) & F.forall(x, lambda v: v.isNotNull() & finite(v.cast("double"))), F.lit(False)), size
+
+
+@dataclass
+class Moments:
+    """Weights, sums and sums of products of vectors, by fold and class: what directions are made of, also without a fold.
 
-    One pass sums products; the driver holds a matrix of the embedding's length squared.
+    ``g[fold, class]`` is the weighted Gram matrix of a constant and the components.
     """
-    size = df.select(F.max(F.size(F.col(quoted(column))))).first()[0]
-
-    def work(batches):
-        total = np.zeros((size + 1, size + 1))
-        for batch in batches:
-            x = np.column_stack([np.ones(batch.num_rows), batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, size)])
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["i", "x"])
-
-    sound = df.select(F.col(quoted(column)).cast("array<double>").alias("x")).where((F.size("x") == size) & F.forall("x", lambda v: v.isNotNull() & finite(v)))
-    rows = sound.mapInArrow(work, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    g = np.zeros((size + 1) ** 2)
-    g[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    g = g.reshape(size + 1, size + 1)
-    mean = g[0, 1:] / g[0, 0]
-    values, vectors = np.linalg.eigh(g[1:, 1:] / g[0, 0] - np.outer(mean, mean))
-    values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k].T
-    return mean, vectors * np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)])[:, None], values
+
+    g: np.ndarray
+
+    @staticmethod
+    def of(df: DataFrame, column: str, target: Column | None = None, fold: Column | None = None, folds: int = 1, weight: Column | None = None) -> Moments:
+        """One pass.  ``target``: class 0 or 1 (null: no part); the driver holds the length squared for each fold and class."""
+        sound, size = sound_vectors(df, column)
+        rows = df.where(sound).select(
+            (fold if fold is not None else F.lit(0)).cast("int").alias("f"), (target if target is not None else F.lit(0)).cast("int").alias("y"),
+            (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"), F.col(quoted(column)).cast("array<double>").alias("x"),
+        ).where("y IN (0, 1) AND w > 0")
+        shape = (folds, 2, size + 1, size + 1)
+
+        def work(batches):
+            total = np.zeros(shape)
+            for batch in batches:
+                f, y, w = (batch.column(i).to_numpy() for i in range(3))
+                x = np.column_stack([np.ones(len(w)), batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(w), size)])
+                for k in np.unique(f * 2 + y).tolist():
+                    on = f * 2 + y == k
+                    total[k // 2, k % 2] += x[on].T @ (x[on] * w[on, None])
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total.ravel()[used])], names=["i", "x"])
+
+        out = np.zeros(int(np.prod(shape)))
+        got = rows.mapInArrow(work, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+        return Moments(out.reshape(shape))
+
+    def rest(self, without: int | None = None) -> np.ndarray:
+        """Both classes' Gram matrices over all folds, or over all but one."""
+        total = self.g.sum(axis=0)
+        return total if without is None else total - self.g[without]
+
+    def scale(self) -> np.ndarray:
+        """Population deviation of each component over all rows (1 where it is nearly 0)."""
+        g = self.g.sum(axis=(0, 1))
+        var = np.diag(g)[1:] / g[0, 0] - (g[0, 1:] / g[0, 0]) ** 2
+        return np.where(var < 1e-16, 1.0, np.sqrt(np.maximum(var, 1e-16)))
+
+    def centroid(self, without: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+        """Offset and direction whose product with a vector is its squared distance (of scaled components) to class 0's centroid less that to class 1's."""
+        g, s = self.rest(without), self.scale()
+        if not g[0, 0, 0] > 0 or not g[1, 0, 0] > 0:
+            return None
+        c = [g[k, 0, 1:] / g[k, 0, 0] for k in (0, 1)]
+        return (c[0] + c[1]) / 2, 2 * (c[1] - c[0]) / s**2
+
+    def discriminant(self, without: int | None = None, shrink: float = 0.1, scaled: bool = True) -> tuple[np.ndarray, np.ndarray, float] | None:
+        """Offset (of vectors), direction and constant of the linear discriminant, its covariance shrunk to its mean variance."""
+        g = self.rest(without)
+        s = self.scale() if scaled else np.ones(g.shape[-1] - 1)
+        n = g[:, 0, 0]
+        if not n.min() > 0:
+            return None
+        mean = g[:, 0, 1:] / n[:, None]
+        cov = sum(g[k, 1:, 1:] - n[k] * np.outer(mean[k], mean[k]) for k in (0, 1)) / n.sum() / np.outer(s, s)
+        cov = (1 - shrink) * cov + shrink * np.trace(cov) / len(s) * np.eye(len(s))
+        w = np.linalg.solve(cov, (mean[1] - mean[0]) / s) / s
+        return (mean[0] + mean[1]) / 2, w, float(np.log(n[1] / n[0]))
+
+    def principal(self, k: int, scaled: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean, the ``k`` leading directions (rows; their largest entry is positive) and variances, over all rows."""
+        g = self.g.sum(axis=(0, 1))
+        mean, s = g[0, 1:] / g[0, 0], self.scale() if scaled else np.ones(len(g) - 1)
+        values, vectors = np.linalg.eigh((g[1:, 1:] / g[0, 0] - np.outer(mean, mean)) / np.outer(s, s))
+        values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k].T
+        vectors = vectors * np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)])[:, None]
+        return mean, vectors / s, values
+
+
+def principal_directions(df: DataFrame, column: str, k: int = 8, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, the ``k`` leading directions and variances of an embedding column, see :meth:`Moments.principal`."""
+    return Moments.of(df, column, weight=weight).principal(k)
 
 
 def projected(column: str, mean: np.ndarray, directions: np.ndarray) -> Column:
@@ -166,71 +237,80 @@ def projected(column: str, mean: np.ndarray, directions: np.ndarray) -> Column:
     return F.array(*[dot(d) for d in directions])
 
 
-def prototypes(df: DataFrame, column: str, target: str, per_class: int = 64, rounds: int = 10) -> dict[int, np.ndarray]:
-    """k-means centres of each class (0 and 1), started from the rows with the smallest hashes of their values.
+def prototypes(df: DataFrame, column: str, target: str, per_class: int = 64, rounds: int = 10, weight: Column | None = None, scale: np.ndarray | None = None) -> dict[int, np.ndarray]:
+    """k-means centres of each class (0 and 1) over all rows, see :func:`fold_prototypes`."""
+    return fold_prototypes(df, column, target, None, 0, per_class, rounds, weight, scale)[0]
+
 
-    Every round is one aggregation; the driver holds the centres.
+def fold_prototypes(df: DataFrame, column: str, target: str, fold: Column | None, folds: int, per_class: int = 64, rounds: int = 10, weight: Column | None = None, scale: np.ndarray | None = None) -> list[dict[int, np.ndarray]]:
+    """k-means centres of each class (0 and 1): without each of some folds, and (the last) over all rows.
+
+    A start's centres are the rows with the smallest hashes of their values.  Distances are those of components divided
+    by ``scale``.  Each round is one aggregation for all folds; the driver holds the centres.
     """
-    rows = df.select(F.col(quoted(target)).cast("int").alias("y"), F.col(quoted(column)).cast("array<double>").alias("x")).where(F.col("x").isNotNull())
-    centres = {c: np.array([r[0] for r in rows.where(F.col("y") == c).select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(per_class).collect()]) for c in (0, 1)}
+    sound, size = sound_vectors(df, column)
+    s = np.ones(size) if scale is None else scale
+    rows = df.where(sound).select(F.col(quoted(target)).cast("int").alias("y"), F.coalesce(fold, F.lit(-1)).cast("int").alias("f") if fold is not None else F.lit(-1).alias("f"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"), F.col(quoted(column)).cast("array<double>").alias("x")).where("y IN (0, 1) AND w > 0")
+    unlike = rows.select("y", "f", "x", F.xxhash64("x").alias("h")).distinct()
+    some = unlike.withColumn("r", F.row_number().over(Window.partitionBy("y", "f", F.pmod("h", F.lit(64))).orderBy("h", "x"))).where(F.col("r") <= per_class)
+    first = some.withColumn("r", F.row_number().over(Window.partitionBy("y", "f").orderBy("h", "x"))).where(F.col("r") <= per_class).select("y", "f", "h", "x").collect()  # (folds * 2 * per_class) rows
+    centres = []
+    for k in range(folds + 1):
+        own = sorted((r for r in first if r["f"] != k or k == folds), key=lambda r: (r["h"], r["x"]))
+        centres.append({c: np.array(list(dict.fromkeys(tuple(r["x"]) for r in own if r["y"] == c))[:per_class]).reshape(-1, size) / s for c in (0, 1)})
+    shape = (folds + 1, 2, per_class, size + 1)
     for _ in range(rounds):
-        fixed = {c: v for c, v in centres.items()}
 
-        def work(batches, fixed=fixed):
-            total = {c: np.zeros((len(v), v.shape[1] + 1)) for c, v in fixed.items() if len(v)}
+        def work(batches, now=centres):
+            total = np.zeros(shape)
             for batch in batches:
-                y = batch.column(0).to_numpy()
-                for c, v in fixed.items():
-                    x = batch.column(1).filter(pa.array(y == c))
-                    if len(v) and len(x):
-                        x = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, v.shape[1])
-                        near = ((v**2).sum(axis=1) - 2 * x @ v.T).argmin(axis=1)
-                        np.add.at(total[c], near, np.column_stack([np.ones(len(x)), x]))
-            for c, t in total.items():
-                i, j = np.nonzero(t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), c, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(t[i, j])], names=["c", "i", "j", "x"])
-
-        moved = {c: np.zeros((len(v), v.shape[1] + 1)) for c, v in centres.items() if len(v)}
-        for r in rows.mapInArrow(work, "c int, i int, j int, x double").groupBy("c", "i", "j").agg(F.sum("x").alias("x")).collect():
-            moved[r["c"]][r["i"], r["j"]] = r["x"]
-        for c, t in moved.items():
-            on = t[:, 0] > 0
-            centres[c] = np.where(on[:, None], t[:, 1:] / np.maximum(t[:, :1], 1), centres[c])
-    return centres
-
-
-def prototype_score(column: str, centres: dict[int, np.ndarray]) -> Column:
-    """Distance to the nearest prototype of class 0 less that to the nearest of class 1."""
-    x = F.col(quoted(column))
+                y, f, w = (batch.column(i).to_numpy() for i in range(3))
+                x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(y), size) / s
+                ones = np.column_stack([np.ones(len(y)), x]) * w[:, None]
+                for k, both in enumerate(now):
+                    for c, v in both.items():
+                        on = (y == c) & ((f != k) | (k == folds))
+                        if len(v) and on.any():
+                            near = ((v**2).sum(axis=1) - 2 * x[on] @ v.T).argmin(axis=1)
+                            np.add.at(total[k, c], near, ones[on])
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total.ravel()[used])], names=["i", "x"])
+
+        sums = np.zeros(int(np.prod(shape)))
+        got = rows.mapInArrow(work, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        sums[got.column(0).to_numpy()] = got.column(1).to_numpy()
+        sums = sums.reshape(shape)
+        moved = 0.0
+        for k, both in enumerate(centres):
+            for c, v in both.items():
+                t = sums[k, c, : len(v)]
+                new = np.where(t[:, :1] > 0, t[:, 1:] / np.maximum(t[:, :1], 1e-300), v)
+                moved = max(moved, np.abs(new - v).max(initial=0.0))
+                both[c] = new
+        if moved < 1e-12:
+            break
+    return [{c: v * s for c, v in both.items()} for both in centres]
+
+
+def prototype_score(column: str, centres: dict[int, np.ndarray], scale: np.ndarray | None = None) -> Column:
+    """Distance (of components divided by ``scale``) to the nearest prototype of class 0 less that to the nearest of class 1."""
+    if scale is not None:
+        x = F.zip_with(F.col(quoted(column)), F.array(*map(F.lit, scale.tolist())), lambda a, b: a.cast("double") / b)
+        centres = {c: v / scale for c, v in centres.items()}
+    else:
+        x = F.col(quoted(column))
     far = lambda p: F.aggregate(F.zip_with(x, F.array(*map(F.lit, p.tolist())), lambda a, b: (a.cast("double") - b) ** 2), F.lit(0.0), lambda s, d: s + d)
     nearest = lambda c: F.sqrt(F.array_min(F.array(*[far(p) for p in centres[c]])))
     return nearest(0) - nearest(1)
 
 
-def discriminant_direction(df: DataFrame, column: str, target: str, shrink: float = 0.1) -> tuple[np.ndarray, float]:
+def discriminant_direction(df: DataFrame, column: str, target: str, shrink: float = 0.1, weight: Column | None = None) -> tuple[np.ndarray, float]:
     """Weights and offset of the linear discriminant of two classes with a covariance shrunk to its mean variance."""
-    size = df.select(F.max(F.size(F.col(quoted(column))))).first()[0]
-
-    def work(batches):
-        total = np.zeros((2, size + 1, size + 1))
-        for batch in batches:
-            y, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
-            x = np.column_stack([np.ones(len(x)), x])
-            for c in (0, 1):
-                total[c] += x[y == c].T @ x[y == c]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["i", "x"])
-
-    sound = df.select(F.col(quoted(target)).cast("int").alias("y"), F.col(quoted(column)).cast("array<double>").alias("x")).where((F.size("x") == size) & F.col("y").isin(0, 1) & F.forall("x", lambda v: v.isNotNull() & finite(v)))
-    rows = sound.mapInArrow(work, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    g = np.zeros(2 * (size + 1) ** 2)
-    g[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    g = g.reshape(2, size + 1, size + 1)
-    n = g[:, 0, 0]
-    mean = g[:, 0, 1:] / n[:, None]
-    cov = sum(g[c, 1:, 1:] - n[c] * np.outer(mean[c], mean[c]) for c in (0, 1)) / n.sum()
-    cov = (1 - shrink) * cov + shrink * np.trace(cov) / size * np.eye(size)
-    w = np.linalg.solve(cov, mean[1] - mean[0])
-    return w, float(-w @ (mean[0] + mean[1]) / 2 + np.log(n[1] / n[0]))
+    found = Moments.of(df, column, F.col(quoted(target)), weight=weight).discriminant(shrink=shrink, scaled=False)
+    if found is None:
+        raise ValidationError("both classes need vectors")
+    middle, w, constant = found
+    return w, float(constant - w @ middle)
 
 
 #: Distances that one block of queries computes in one pass.

@@ -23,7 +23,10 @@ class HistogramCache:
     def build(df: DataFrame, features: list[str], sums: dict[str, Column], weight: Column | None = None, feature_limit: int | None = None) -> HistogramCache:
         """Two aggregations over the rows; ``feature_limit``: pairs of the first so many features only."""
         chosen = features[:feature_limit] if feature_limit else features
-        return HistogramCache(list(features), stats.state_cells(df, features, sums=sums, weight=weight), stats.tuple_cells(df, stats.pairs_of(chosen), sums=sums, weight=weight), list(sums))
+        pairs, rows = stats.pairs_of(chosen), df
+        if not pairs:
+            pairs, rows = [(features[0], features[0])], df.limit(0)
+        return HistogramCache(list(features), stats.state_cells(df, features, sums=sums, weight=weight), stats.tuple_cells(rows, pairs, sums=sums, weight=weight), list(sums))
 
     @staticmethod
     def newton(df: DataFrame, features: list[str], target: str, probability: Column, weight: Column | None = None, feature_limit: int | None = None, clip: float = 1e-6) -> HistogramCache:
@@ -36,11 +39,30 @@ class HistogramCache:
         self.singles, self.pairs = self.singles.persist(), self.pairs.persist()
         return self
 
+    def unpersist(self) -> None:
+        self.singles.unpersist()
+        self.pairs.unpersist()
+
+    def single_gains(self, l2: list[float]) -> DataFrame:
+        """l2, feature, gain: for every penalty from the same cells."""
+        swept = self.singles.withColumn("l2", F.explode(F.array(*map(F.lit, map(float, l2)))))
+        return swept.groupBy("l2", "feature").agg((F.sum(F.col("g") ** 2 / (F.col("h") + F.col("l2"))) / 2).alias("gain"))
+
+    def gains(self, l2: list[float]) -> tuple[dict[float, dict[str, float]], dict[float, dict[tuple[str, str], float]]]:
+        """Gains of features and excesses of pairs under each penalty (a row for each feature and pair reaches the driver)."""
+        one: dict = {x: {} for x in l2}
+        two: dict = {x: {} for x in l2}
+        for r in self.single_gains(l2).collect():
+            one[r["l2"]][r["feature"]] = r["gain"]
+        for r in self.pair_gains(l2).collect():
+            two[r["l2"]][r["f0"], r["f1"]] = r["excess"]
+        return one, two
+
     def pair_gains(self, l2: list[float]) -> DataFrame:
         """l2, f0, f1, gain, excess over the better of the two features: for every penalty from the same cells."""
         swept = lambda cells: cells.withColumn("l2", F.explode(F.array(*map(F.lit, map(float, l2)))))
         gain = (F.sum(F.col("g") ** 2 / (F.col("h") + F.col("l2"))) / 2).alias("gain")
-        one = swept(self.singles).groupBy("l2", "feature").agg(gain)
+        one = self.single_gains(l2)
         two = swept(self.pairs).groupBy("l2", "f0", "f1").agg(gain)
         side = lambda f, name: F.broadcast(one.select("l2", F.col("feature").alias(f), F.col("gain").alias(name)))
         return two.join(side("f0", "a"), ["l2", "f0"]).join(side("f1", "b"), ["l2", "f1"]).select("l2", "f0", "f1", "gain", (F.col("gain") - F.greatest("a", "b")).alias("excess"))

@@ -27,7 +27,8 @@ class Feature:
     numeric: median and thresholds; missing: the flag; category: sorted values, the last state (if reserved) for the
     rest; category_bit: one binary digit of that state; ordered: scores of values, their default, and thresholds;
     embedding: two centroids and thresholds on the difference of distances; projection: a mean and a direction;
-    prototype: centres of both classes (``shape``: how many of each) and thresholds on the difference of distances.
+    prototype: scales, centres of both classes in scaled components (``shape``: how many of each) and thresholds on the
+    difference of distances.
     """
 
     name: str
@@ -80,7 +81,7 @@ class Feature:
 
             return fn.state(centroid_direction(None, self.column, {0: self.scores[:half], 1: self.scores[half:]}), self.thresholds)
         if self.kind in ("projection", "prototype"):
-            return fn.state(self.direction(), self.thresholds)
+            return fn.state(F.round(self.direction(), 9), self.thresholds)
         raise ValueError(self.kind)
 
     def direction(self) -> Column:
@@ -90,8 +91,9 @@ class Feature:
         if self.kind == "projection":
             half = len(self.scores) // 2
             return adapt.projected(self.column, np.array(self.scores[:half]), np.array([self.scores[half:]]))[0]
-        centres = np.array(self.scores).reshape(sum(self.shape), -1)
-        return adapt.prototype_score(self.column, {0: centres[: self.shape[0]], 1: centres[self.shape[0] :]})
+        parts = np.array(self.scores).reshape(sum(self.shape) + 1, -1)
+        scale, centres = parts[0], parts[1:] * parts[0]
+        return adapt.prototype_score(self.column, {0: centres[: self.shape[0]], 1: centres[self.shape[0] :]}, scale)
 
 
 @dataclass
