@@ -13,7 +13,7 @@ from .keys import scramble
 from .operators import adapt, cache, quantiles, rank, refine, stats
 from .plans.program import Bundle, Program, SharedProgram, max_error
 from .plans.rewrite import optimised
-from .queries import _CELLS, _DGH, _DIRECTED, _GH, _MI1, _MI2, _POS, LONG, LONG_PAIRS, ORACLES, PAIRS, STATES, frozen_program, mi_sql, order_states, order_states_sql, query, rounded
+from .queries import NUMERIC, _CELLS, _DGH, _DIRECTED, _GH, _MI1, _MI2, _POS, LONG, LONG_PAIRS, ORACLES, PAIRS, STATES, frozen_program, mi_sql, order_states, order_states_sql, query, rounded
 from .sources import order_features, table
 
 _STATUS = ["F", "O", "P"]
@@ -321,6 +321,156 @@ def shared_program_scores(spark, sf_dir):
     return out.select("o_orderkey", *[F.round(F.col("p")[i], 9).alias(f"p{i}") for i in range(3)], F.element_at(classes, fn.argmax(F.col("p")) + 1).alias("prediction"))
 
 
+# fitted models against what SQL can say of them: an (almost) unpenalised fit meets the sums of its target in every state
+# that it has a coefficient for -----------------------------------------------------------------------------------------
+
+FREE = {"bins": 4, "pair_features": 3, "max_pairs": 1}
+
+
+def _margins(df, value, names: list[str]):
+    """feature, state, n and mean of a fitted value, on the states of the four numeric columns."""
+    entries = F.array(*[F.struct(F.lit(s).alias("feature"), F.col(s).alias("state")) for s in STATES])
+    long = df.select(*[v.alias(n) for v, n in zip(value, names, strict=True)], F.explode(entries).alias("e"))
+    return long.groupBy("e.feature", "e.state").agg(F.count("*").alias("n"), *[F.round(F.avg(n), 4).alias(n) for n in names])
+
+
+@query(f"WITH {order_states_sql(4)} SELECT feature, state, count(*) AS n, round(avg(y), 4) AS p FROM ({LONG}) GROUP BY 1, 2")
+def margins_classifier(spark, sf_dir):
+    """A binary classifier's mean probability in each state of its main effects is the share of the class there."""
+    from .models import StateClassifier
+
+    df = order_states(spark, sf_dir)
+    model = StateClassifier(**FREE, c=1e6).fit(df, NUMERIC, "y", "o_orderkey")
+    return _margins(model.predict(df.select("o_orderkey", *NUMERIC, *STATES)), [F.col("probability")], ["p"])
+
+
+@query(f"WITH {order_states_sql(4)} SELECT feature, state, count(*) AS n, {', '.join(f'round(avg(CAST(status = {chr(39)}{c}{chr(39)} AS INTEGER)), 4) AS p{i}' for i, c in enumerate(_STATUS))} FROM ({LONG}) GROUP BY 1, 2")
+def margins_multiclass(spark, sf_dir):
+    """A softmax regression's mean probabilities in each state are the shares of the classes there."""
+    from .models import SharedClassifier
+
+    df = order_states(spark, sf_dir)
+    model = SharedClassifier(**(FREE | {"max_pairs": 0}), c=1e5).fit(df, NUMERIC, "status", "o_orderkey")
+    out = model.predict(df.select("o_orderkey", *NUMERIC, *STATES))
+    return _margins(out, [F.col("probabilities")[i] for i in range(3)], ["p0", "p1", "p2"])
+
+
+@query(f"WITH {order_states_sql(4)} SELECT feature, state, count(*) AS n, round(avg(price), 4) AS p FROM ({LONG.replace('price, o_orderkey', 'price + 10 * balance AS price, o_orderkey')}) GROUP BY 1, 2")
+def margins_ridge(spark, sf_dir):
+    """A ridge regression's mean prediction in each state is the mean of the target there."""
+    from .models import StateRidgeRegressor
+
+    df = order_states(spark, sf_dir).withColumn("goal", F.col("price") + 10 * F.col("balance"))
+    model = StateRidgeRegressor(**FREE, alpha=1e-7).fit(df, NUMERIC, "goal", "o_orderkey")
+    return _margins(model.predict(df.select("o_orderkey", *NUMERIC, *STATES)), [F.col("prediction")], ["p"])
+
+
+@query(f"WITH {order_states_sql(4)} SELECT feature, state, count(*) AS n, round(avg(price), 4) AS p, round(avg(bal), 4) AS q FROM ({LONG.replace('price, o_orderkey', 'price, balance AS bal, o_orderkey')}) GROUP BY 1, 2")
+def margins_multioutput(spark, sf_dir):
+    """Two targets on one design: both have their means in every state."""
+    from .models import MultiOutputRegressor
+
+    df = order_states(spark, sf_dir)
+    model = MultiOutputRegressor(bins=4, alpha=1e-7, pair_features=3, max_pairs=1).fit(df, NUMERIC, ["price", "balance"], "o_orderkey")
+    out = model.predict(df.select("o_orderkey", *NUMERIC, *STATES))
+    return _margins(out, [F.col("prediction_price"), F.col("prediction_balance")], ["p", "q"])
+
+
+@query("SELECT lang, count(*) AS n, round(avg(quality), 4) AS p, round(avg(toxic), 4) AS q FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def margins_multilabel(spark, sf_dir):
+    """Two labels of documents: mean probabilities by language are the labels' shares there."""
+    from .models import MultiLabelClassifier
+
+    df = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    model = MultiLabelClassifier(**(FREE | {"max_pairs": 0}), max_features=8, c=1e5, threshold="none").fit(df, ["lang", "n_chars"], ["quality", "toxic"], "doc_id")
+    out = model.predict(df.select("doc_id", "lang", "n_chars"))
+    return out.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.col("probabilities")[0]), 4).alias("p"), F.round(F.avg(F.col("probabilities")[1]), 4).alias("q"))
+
+
+@query("WITH e AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS types FROM events GROUP BY 1) SELECT types, count(*) AS users, round(avg(n), 4) AS mean FROM e GROUP BY 1")
+def margins_poisson(spark, sf_dir):
+    """A Poisson regression's mean prediction for each number of event types is the mean number of events."""
+    from .models import GeneralizedRegressor
+
+    df = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.count_distinct("event_type").alias("types"))
+    model = GeneralizedRegressor(loss="poisson", bins=8, alpha=1e-6, max_pairs=0).fit(df, ["mean_value", "types"], "n", "user_id")
+    return model.predict(df.select("user_id", "mean_value", "types")).groupBy("types").agg(F.count("*").alias("users"), F.round(F.avg("prediction"), 4).alias("mean"))
+
+
+_GATED = "CASE WHEN s_month = 3 THEN CAST(s_day >= 2 AS INTEGER) ELSE CAST((o_orderkey * 7919) % 1000003 % 2 AS INTEGER) END"
+
+
+@query(f"WITH {order_states_sql(4)}, t AS (SELECT *, {_GATED} AS t FROM st) SELECT s_month AS gate, s_day AS state, count(*) AS n, round(avg(t), 4) AS p FROM t WHERE s_month = 3 GROUP BY 1, 2")
+def margins_blocks(spark, sf_dir):
+    """A target that a column tells only inside one state of another: the block is found and meets the shares inside."""
+    from .models import BlockClassifier
+
+    df = order_states(spark, sf_dir).withColumn("t", F.expr(_GATED.replace("INTEGER", "INT")))
+    model = BlockClassifier(bins=4, max_pairs=0, pair_features=4, max_blocks=4, c=1e6, shrink=0.0).fit(df, NUMERIC, "t", "o_orderkey")
+    chosen = model.diagnostics_[0]["blocks"]
+    out = model.predict(df.select("o_orderkey", *NUMERIC, *STATES)).where("s_month = 3")
+    found = out.where(F.lit(("num:month", 3, "num:day") in chosen))  # no rows without the block
+    return found.groupBy(F.col("s_month").alias("gate"), F.col("s_day").alias("state")).agg(F.count("*").alias("n"), F.round(F.avg("probability"), 4).alias("p"))
+
+
+@query(
+    f"WITH {order_states_sql(4)}, {_GH}, x AS ({' UNION ALL '.join(f'SELECT {chr(39)}{s}{chr(39)} AS feature, {s} AS state, g, h FROM gh' for s in STATES)}), c AS (SELECT feature, state, sum(g) AS g, sum(h) AS h FROM x GROUP BY 1, 2), o AS (SELECT feature, sum(g * g / (h + 5)) / 2 AS gain FROM c GROUP BY 1), "
+    f"xp AS ({' UNION ALL '.join(f'SELECT {chr(39)}{a}{chr(39)} AS f0, {chr(39)}{b}{chr(39)} AS f1, {a} AS s0, {b} AS s1, g, h FROM gh' for a, b in PAIRS)}), d AS (SELECT f0, f1, s0, s1, sum(g) AS g, sum(h) AS h FROM xp GROUP BY ALL), p AS (SELECT f0, f1, sum(g * g / (h + 5)) / 2 AS gain FROM d GROUP BY 1, 2), "
+    "e AS (SELECT p.gain - greatest(a.gain, b.gain) AS excess FROM p JOIN o a ON a.feature = f0 JOIN o b ON b.feature = f1), s AS (SELECT gain, row_number() OVER (ORDER BY gain DESC) AS i FROM o WHERE gain > 0), t AS (SELECT excess, row_number() OVER (ORDER BY excess DESC) AS i FROM e WHERE excess > 0), "
+    "m AS (SELECT unnest([1, 2, 4]) AS max_features), k AS (SELECT unnest([0, 1, 3]) AS max_pairs) "
+    "SELECT max_features, max_pairs, round((SELECT coalesce(sum(gain / sqrt(i)), 0) FROM s WHERE i <= max_features) + (SELECT coalesce(sum(excess / sqrt(i)), 0) FROM t WHERE i <= max_pairs), 6) AS promise FROM m, k"
+)
+def search_promises(spark, sf_dir):
+    """What the histograms promise of nine candidate structures of a search."""
+    from .models.search import discounted
+
+    df = order_states(spark, sf_dir)
+    share = df.agg(F.avg("y")).first()[0]
+    singles, pairs = cache.HistogramCache.newton(df, STATES, "y", F.lit(share)).gains([5.0])
+    one, two = list(singles[5.0].values()), list(pairs[5.0].values())
+    return spark.createDataFrame([(m, k, round(discounted(one, m) + discounted(two, k), 6)) for m in (1, 2, 4) for k in (0, 1, 3)], "max_features int, max_pairs int, promise double")
+
+
+@query(
+    "WITH e AS (SELECT vec_id, label < 5 AS c, vec_id % 3 AS fold, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), s AS (SELECT dim, stddev_pop(x) AS s FROM e GROUP BY 1), "
+    "m AS (SELECT f.fold, dim, avg(x) FILTER (WHERE NOT c) AS m0, avg(x) FILTER (WHERE c) AS m1 FROM e JOIN (SELECT DISTINCT fold FROM e) f ON e.fold <> f.fold GROUP BY 1, 2) "
+    "SELECT vec_id, round(sum(((x - m0) / s) ** 2 - ((x - m1) / s) ** 2), 5) AS direction FROM e JOIN m USING (fold, dim) JOIN s USING (dim) GROUP BY 1"
+)
+def embedding_out_of_fold(spark, sf_dir):
+    """How much nearer each embedding is to the second class's centroid than to the first's, both of other folds, by scaled components."""
+    df = table(spark, sf_dir, "embeddings")
+    fold = F.col("vec_id") % 3
+    moments = adapt.Moments.of(df, "embedding", (F.col("label") < 5).cast("int"), fold, 3)
+    each = [adapt.projected("embedding", m, d[None, :])[0] for m, d in (moments.centroid(k) for k in range(3))]
+    return df.select("vec_id", F.round(F.coalesce(*[F.when(fold == k, x) for k, x in enumerate(each)]), 5).alias("direction"))
+
+
+@query(
+    "WITH RECURSIVE c AS (SELECT i, j, covar_pop(CAST(embedding[i] AS DOUBLE), CAST(embedding[j] AS DOUBLE)) AS x FROM embeddings, range(1, 1 + (SELECT max(len(embedding)) FROM embeddings)) a(i), range(1, 1 + (SELECT max(len(embedding)) FROM embeddings)) b(j) GROUP BY 1, 2), "
+    "r AS (SELECT i, list(x ORDER BY j) AS row FROM c GROUP BY 1), p AS (SELECT 0 AS k, list(row ORDER BY i) AS m FROM r UNION ALL SELECT k + 1, list_transform(list_transform(m, lambda a: list_transform(m, lambda b: list_inner_product(a, b))), lambda a: list_transform(a, lambda x: x / list_inner_product(m[1], m[1]))) FROM p WHERE k < 14), "
+    "v AS (SELECT list_transform(m, lambda a: a[1]) AS u FROM p WHERE k = 14), n AS (SELECT list_transform(u, lambda x: x / sqrt(list_inner_product(u, u))) AS u FROM v), s AS (SELECT list_transform(u, lambda x: x * CASE WHEN list_max(u) > -list_min(u) THEN 1 ELSE -1 END) AS u FROM n) "
+    "SELECT CAST(generate_subscripts(u, 1) - 1 AS INTEGER) AS dim, round(unnest(u), 4) AS weight FROM s"
+)
+def principal_direction(spark, sf_dir):
+    """The leading principal direction of the embeddings."""
+    _, directions, _ = adapt.principal_directions(table(spark, sf_dir, "embeddings"), "embedding", 1)
+    return spark.createDataFrame([(i, round(float(x), 4)) for i, x in enumerate(directions[0])], "dim int, weight double")
+
+
+@query(
+    f"WITH {order_states_sql(8)}, {_GH}, x AS (SELECT feature, state, state // 2 AS parent, sum(g) AS g, sum(h) AS h, count(*) AS n FROM ({' UNION ALL '.join(f'SELECT {chr(39)}{s}{chr(39)} AS feature, {s} AS state, g, h FROM gh' for s in STATES)}) GROUP BY ALL), u AS (SELECT * FROM x WHERE n >= 12), "
+    "f AS (SELECT feature, count(*) AS k, sum(g * g / h) AS fine FROM u GROUP BY 1), c AS (SELECT feature, count(*) AS k, sum(g * g / h) AS coarse FROM (SELECT feature, parent, sum(g) AS g, sum(h) AS h FROM u GROUP BY 1, 2) GROUP BY 1), "
+    "d AS (SELECT f.feature, f.k - c.k AS df, (fine - coarse) / 2 AS gain FROM f JOIN c USING (feature)) "
+    "SELECT feature, CAST(df AS INTEGER) AS df, round(gain, 6) AS gain FROM d WHERE df = 4 AND exp(-gain) * (1 + gain) < 0.2 OR df = 2 AND exp(-gain) < 0.2"
+)
+def resolution_selected(spark, sf_dir):
+    """Features whose eight states tell more beyond four than chance does in one of five cases."""
+    df = order_states(spark, sf_dir, 8)
+    p = df.agg(F.avg("y")).first()[0]
+    found = refine.resolution_candidates(df, [(s, 8) for s in STATES], 4, F.lit(p) - F.col("y"), F.lit(p * (1 - p)), alpha=0.2)
+    return spark.createDataFrame([(b.columns[0], b.df, round(b.gain, 6)) for b in found if b.df in (2, 4)], "feature string, df int, gain double")
+
+
 @query()
 def fit_blocks(spark, sf_dir):
     """A binary classifier of finished orders with conditional blocks: key, probability, class."""
