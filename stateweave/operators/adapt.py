@@ -342,14 +342,23 @@ def knn_probability(df: DataFrame, key: str, column: str, target: str, is_query:
             points = points.take(pa.array(order))
             matrix = lambda t: t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
             x, ids, folds, q, q_ids, q_folds = matrix(points), points.column("id").to_numpy(), points.column("fold").to_numpy(), matrix(queries), queries.column("id").to_numpy(), queries.column("fold").to_numpy()
-            for i in range(len(q)):
-                d = np.zeros(len(x))
-                for j in range(x.shape[1]):
-                    d += (x[:, j] - q[i, j]) ** 2
-                d = np.where((ids == q_ids[i]) | (by_fold & (folds == q_folds[i])), np.inf, np.round(d, 9))
-                best = np.argsort(d, kind="stable")[:most]  # ties: smaller ids first
-                best = best[np.isfinite(d[best])]
-                for o, v in zip(out, (np.full(len(best), q_ids[i]), d[best], ids[best], points.column("y").to_numpy()[best]), strict=True):
+            y, square, top = points.column("y").to_numpy(), (x**2).sum(axis=1), min(most, len(x)) - 1
+            step = max(1, 4_000_000 // len(x))
+            for a in range(0, len(q), step):
+                # a product finds who can be among the nearest, up to its rounding; sums of squares decide
+                rough = square - 2 * (q[a : a + step] @ x.T)
+                rough[(ids == q_ids[a : a + step, None]) | (by_fold & (folds == q_folds[a : a + step, None]))] = np.inf
+                limit = np.partition(rough, top, axis=1)[:, top]
+                room = 1e-8 + 1e-9 * (square.max() + (q[a : a + step] ** 2).sum(axis=1))
+                who, near = np.nonzero(rough <= np.where(np.isfinite(limit), limit + room, np.finfo(float).max)[:, None])
+                d = np.zeros(len(who))
+                for j in range(x.shape[1]):  # in this order, so that equal rows get equal sums
+                    d += (x[near, j] - q[a + who, j]) ** 2
+                d = np.round(d, 9)
+                order = np.lexsort((near, d, who))  # ties: smaller ids first
+                who, near, d = who[order], near[order], d[order]
+                best = np.arange(len(who)) - np.searchsorted(who, who) < most
+                for o, v in zip(out, (q_ids[a + who[best]], d[best], ids[near[best]], y[near[best]]), strict=True):
                     o.append(v)
         flat = [np.concatenate(o) if o else np.zeros(0) for o in out]
         kind = queries.schema.field("id").type

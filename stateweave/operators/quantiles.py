@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..schema import ValidationError, finite, quoted
 
-#: Up to so many rows the built-in exact percentile is used; beyond, its buffers (every distinct value of a column)
-#: could outgrow a task, and ranks are narrowed down by histograms instead.  Both are exact.
-BUFFER_ROWS = 20_000_000
+#: Up to so many values (rows times columns) the built-in exact percentile is used; beyond, its buffers (every distinct
+#: value of all columns, in one task) could outgrow it, and ranks are narrowed down by histograms instead.  Both are exact.
+BUFFER_VALUES = 20_000_000
 BINS = 4096
 
 
@@ -22,7 +22,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     w = F.col(quoted(weight)).cast("double") if weight else F.lit(1.0)
     values = df.select(*[F.when(finite(F.col(quoted(c)).cast("double")), F.col(quoted(c)).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)], w.alias("w")).where("w > 0")
     n, whole = values.agg(F.count("*"), F.coalesce(F.bool_and(F.col("w") == F.rint("w")), F.lit(True))).first()
-    if whole and n <= BUFFER_ROWS:
+    if whole and n * len(columns) <= BUFFER_VALUES:
         frequency = F.col("w").cast("bigint") if weight else F.lit(1)
         row = values.agg(*[F.percentile(f"v{i}", F.array(*map(F.lit, probabilities)), frequency).alias(f"q{i}") for i in range(len(columns))]).first()
         return {c: list(row[i] or []) for i, c in enumerate(columns)}
