@@ -263,14 +263,25 @@ def first_tokens(group: Group, shared: np.ndarray, groups: np.ndarray, percent:
 def _matrix_links(packs: DataFrame, percent: int) -> DataFrame:
     """Links between all labels of the packs (see :func:`_labelled`) that sets of the same or of different groups give."""
 
-    def unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for g, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                union = np.unique(np.frombuffer(tokens, np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(union), g)), pa.array(union)], names=["g", "token"])
+    def entries(part: int) -> DataFrame:
+        """The matrix' tokens in one range: g, token."""
+
+        def unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for g, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    own = np.frombuffer(tokens, np.uint64)
+                    union = np.unique(own[own % np.uint64(KEY_PARTS) == part]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(union), g)), pa.array(union)], names=["g", "token"])
 
-    matrix = stored(packs.select("g", "tokens").mapInArrow(tidied(unions), "g bigint, token bigint"))
-    often = matrix.groupBy("token").agg(F.count("*").cast("int").alias("groups")).where("groups > 1")
+        return packs.select("g", "tokens").mapInArrow(tidied(unions), "g bigint, token bigint")
+
+    often = []  # tokens that several groups have, a few ranges after the other
+    for part in range(KEY_PARTS):
+        matrix = stored(entries(part))
+        several = matrix.groupBy("token").agg(F.count("*").cast("int").alias("groups")).where("groups > 1")
+        often.append(stored(matrix.join(several, "token").select("g", "token", "groups")))
+        discard(matrix)
+        free_shuffles(packs.sparkSession)
 
     def gather(t: pa.Table) -> pa.Table:
         token, n = t.column("token").to_numpy().view(np.uint64), t.column("groups").to_numpy()
@@ -285,7 +296,7 @@ def _matrix_links(packs: DataFrame, percent: int) -> DataFrame:
                     n = len(tokens)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["g"])), pa.array(np.full(n, r["lo"])), pa.array(np.full(n, r["hi"])), pa.array(tokens.view(np.int64)), pa.array(np.full(n, asks))], names=["g", "lo", "hi", "token", "asks"])
 
-    known = matrix.join(often, "token").select("g", "token", "groups").groupBy("g").applyInArrow(lambda t: freed(gather)(t), "g bigint, shared binary, often binary")
+    known = reduce(DataFrame.unionByName, often).groupBy("g").applyInArrow(lambda t: freed(gather)(t), "g bigint, shared binary, often binary")
     first = stored(packs.join(known.hint("shuffle_merge"), "g").mapInArrow(tidied(choose), "g bigint, lo bigint, hi bigint, token bigint, asks boolean"))
     asking, asked = first.where("asks").drop("asks"), first.where("NOT asks").select("token", *[F.col(c).alias(f"{c}2") for c in ("g", "lo", "hi")])
     meets = asking.join(asked, "token").where("g <> g2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select(F.least("g", "g2").alias("g"), F.greatest("g", "g2").alias("g2")).distinct()
