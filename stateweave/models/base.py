@@ -325,9 +325,17 @@ class Estimator:
         return [f.name for f in self.adapter_.features]
 
 
+def weighted_mean(value, weight: str | None):
+    """The mean of a column's values, by a column of weights if one is named."""
+    if weight is None:
+        return F.avg(value)
+    w = F.col(quoted(weight)).cast("double")
+    return F.sum(F.when(w > 0, w * value)) / F.sum(F.when((w > 0) & value.isNotNull(), w))
+
+
 def positive_weight(df: DataFrame, weight: str | None) -> DataFrame:
     """Rows of weight 0 have no part in anything, thresholds and dictionaries included."""
     return df.where(F.col(quoted(weight)) > 0) if weight else df
 
 
-__all__ = ["Adapter", "Estimator", "ResourcePlan", "physical", "positive_weight", "resource_plan"]
+__all__ = ["Adapter", "Estimator", "ResourcePlan", "physical", "positive_weight", "resource_plan", "weighted_mean"]

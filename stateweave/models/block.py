@@ -13,7 +13,7 @@ from .. import functions as fn
 from ..keys import hashed_fold
 from ..operators import quantiles, rank, refine, solve, stats
 from ..plans.program import Feature, Program
-from ..plans.rewrite import optimised
+from ..plans.rewrite import compacted, optimised
 from ..schema import ParameterError, ValidationError, quoted
 from .base import Adapter
 from .classify import StateClassifier, program_of, ranked_structure
@@ -131,7 +131,7 @@ class BlockClassifier(StateClassifier):
             i = numbers.index(k)
             w = solve.logistic_l2(rows, designs[i], target, c, start=fits[i, c])
             self.diagnostics_.append({"held_out_loss": loss, "best_loss": best, "bytes": size, "mains": m, "pairs": p, "blocks": blocks[:k], "c": c, "candidates": len(compared)})
-            return optimised(program_of(adapter, m, p, w, designs[i], "logit", blocks=blocks[:k]))
+            return compacted(optimised(program_of(adapter, m, p, w, designs[i], "logit", blocks=blocks[:k])))
         finally:
             states.unpersist()
 

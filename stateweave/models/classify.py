@@ -14,7 +14,7 @@ from ..operators.deltas import fit_deltas, prefixes
 from ..plans.program import Bundle, Program, constant_program
 from ..plans.rewrite import optimised
 from ..schema import ParameterError, ValidationError, quoted
-from .base import Adapter, Estimator, positive_weight
+from .base import Adapter, Estimator, positive_weight, weighted_mean
 
 
 #: How pairs may be ranked.
@@ -311,10 +311,10 @@ class StateClassifier(Estimator):
         out = self.program_.transform(df, "probability")
         return out.withColumn(output, F.element_at(F.array(*map(F.lit, self.classes_)), F.when(F.col("probability") >= 0.5, 2).otherwise(1)))
 
-    def score(self, df: DataFrame, target: str) -> float:
-        """Accuracy."""
+    def score(self, df: DataFrame, target: str, weight: str | None = None) -> float:
+        """Accuracy, of weighted rows if a column of weights is named."""
         others = [c for c in df.columns if c not in self.columns_]
-        return self.predict(df.select(*map(quoted, [*others, *self.columns_]))).agg(F.avg((F.col("prediction") == F.col(quoted(target))).cast("double"))).first()[0]
+        return self.predict(df.select(*map(quoted, [*others, *self.columns_]))).agg(weighted_mean((F.col("prediction") == F.col(quoted(target))).cast("double"), weight)).first()[0]
 
 
 class SharedClassifier(StateClassifier):

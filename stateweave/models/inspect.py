@@ -13,7 +13,7 @@ def heads_of(model) -> list[tuple[str, Program]]:
     if isinstance(getattr(model, "programs_", None), dict):
         return list(model.programs_.items())
     if getattr(model, "programs_", None):
-        return [(str(i), p) for i, p in enumerate(model.programs_)]
+        return [(str(i), p) for i, p in (model.programs_.items() if isinstance(model.programs_, dict) else enumerate(model.programs_))]
     return [("", model.__dict__.get("program_") or model.__dict__["baseline_"])]
 
 
@@ -25,13 +25,13 @@ def feature_table(spark: SparkSession, model) -> DataFrame:
 
 def interaction_table(spark: SparkSession, model) -> DataFrame:
     """head, left, right, cells, low and high entry of the pair's table."""
-    rows = [(h, a, b, len(t) * len(t[0]), min(map(min, t)), max(map(max, t))) for h, p in heads_of(model) for a, b, t in p.pairs]
+    rows = [(h, a, b, len(t) * len(t[0]), min(map(min, t)), max(map(max, t))) for h, p in heads_of(model) for a, b, t in p.dense().pairs]
     return spark.createDataFrame(rows, "head string, left string, right string, cells int, low double, high double")
 
 
 def structure_table(spark: SparkSession, model) -> DataFrame:
     """head, intercept, number of single tables, pairs, linear terms, bytes."""
-    rows = [(h, p.intercept, len(p.unary), len(p.pairs), len(p.linear), p.size_bytes()) for h, p in heads_of(model)]
+    rows = [(h, p.intercept, len(p.unary), len(p.pairs) + len(p.sparse), len(p.linear), p.size_bytes()) for h, p in heads_of(model)]
     return spark.createDataFrame(rows, "head string, intercept double, mains int, pairs int, linear int, bytes int")
 
 
@@ -41,7 +41,7 @@ def summary(model) -> dict:
     return {
         "estimator": type(model).__name__, "params": model.get_params(), "columns": model.columns_,
         "inputs": sorted({c for _, p in heads for c in p.inputs}), "heads": len(heads), "bytes": sum(p.size_bytes() for _, p in heads),
-        "mains": sum(len(p.unary) for _, p in heads), "pairs": sum(len(p.pairs) for _, p in heads), "diagnostics": model.diagnostics_ if hasattr(model, "__dict__") and "diagnostics_" in model.__dict__ else {},
+        "mains": sum(len(p.unary) for _, p in heads), "pairs": sum(len(p.pairs) + len(p.sparse) for _, p in heads), "diagnostics": model.diagnostics_ if hasattr(model, "__dict__") and "diagnostics_" in model.__dict__ else {},
     }
 
 

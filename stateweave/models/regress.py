@@ -11,7 +11,7 @@ from ..operators import quantiles, rank, solve, stats
 from ..plans.program import Feature, Program
 from ..plans.rewrite import optimised
 from ..schema import ParameterError, ValidationError, quoted
-from .base import Adapter, Estimator, positive_weight
+from .base import Adapter, Estimator, positive_weight, weighted_mean
 from .classify import design_of, program_of
 
 
@@ -58,13 +58,14 @@ class _Regressor(Estimator):
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         return self.program_.transform(self._checked(df), output)
 
-    def score(self, df: DataFrame, target: str) -> float:
-        """R squared; of several quantiles minus the mean pinball loss."""
+    def score(self, df: DataFrame, target: str, weight: str | None = None) -> float:
+        """R squared; of several quantiles minus the mean pinball loss.  Of weighted rows if a column of weights is named."""
         y = F.col(quoted(target)).cast("double")
         if getattr(self, "programs_", None) and isinstance(self.programs_, list) and len(self.programs_) > 1:
             losses = [stats.pinball(y, F.col("prediction")[i], q) for i, q in enumerate(self.quantiles)]
-            return -self.predict(df).agg(F.avg(fn.total(losses, 0.0) / len(losses))).first()[0]
-        r = self.predict(df).agg(F.avg((F.col("prediction") - y) ** 2), F.var_pop(y)).first()
+            return -self.predict(df).agg(weighted_mean(fn.total(losses, 0.0) / len(losses), weight)).first()[0]
+        centre = df.agg(weighted_mean(y, weight)).first()[0]
+        r = self.predict(df).agg(*[weighted_mean((F.col("prediction") - y) ** 2, weight), weighted_mean((F.lit(centre) - y) ** 2, weight)]).first()
         return 1 - r[0] / r[1]
 
 
@@ -309,22 +310,30 @@ class GeneralizedRegressor(_Regressor):
 class MultiOutputRegressor(_Regressor):
     """Several targets on one design: one Gram matrix, a right side for each.
 
-    ``mode``: "shared" solves every target on the shared structure; "subspace" ranks structure by the directions of the
-    targets' correlations that stand out of noise (and falls back to the mean of the targets if none does).
+    ``mode``: "shared" ranks structure by the mean of the standardised targets; "subspace" by the directions of the
+    targets' correlations that stand out of noise; "independent" fits each target by a regressor of its own.  Where no
+    direction stands out, "subspace" is "independent" (``strategy_`` tells what was done).
     """
 
+    MODES = ("shared", "subspace", "independent")
+
     @classmethod
     def defaults(cls) -> dict:
         return super().defaults() | {"alpha": 1.0, "mode": "subspace", "max_features": 16, "max_pairs": 4}
 
     def fit(self, df: DataFrame, features: list[str], targets: list[str], key: str) -> MultiOutputRegressor:
+        if self.mode not in self.MODES:
+            raise ParameterError(f"mode {self.mode!r}")
         df = positive_weight(df, self.weight)
         yy = np.array(stats.gram(df, targets, self._weight()))
         n = yy[0, 0]
         mean = yy[0, 1:] / n
         sd = np.sqrt(np.maximum(np.diag(yy)[1:] / n - mean**2, 1e-24))
         self.values_, vectors, self.rank_ = solve.output_spectrum(yy, n)
-        directions = [vectors[:, k] for k in range(self.rank_)] if self.mode == "subspace" and self.rank_ else [np.ones(len(targets)) / len(targets)]
+        self.strategy_ = "independent" if self.mode == "subspace" and not self.rank_ else self.mode
+        if self.strategy_ == "independent":
+            return self._fit_each(df, features, targets, key)
+        directions = [vectors[:, k] for k in range(self.rank_)] if self.mode == "subspace" else [np.ones(len(targets)) / len(targets)]
         standard = [(F.col(quoted(t)).cast("double") - float(m)) / float(s) for t, m, s in zip(targets, mean, sd, strict=True)]
         joint = df.select("*", *[fn.total([x * float(v) for x, v in zip(standard, d, strict=True)], 0.0).alias(f"__d{i}") for i, d in enumerate(directions)])
         states = self._prepare(joint, features, "__d0", key)
@@ -350,6 +359,15 @@ class MultiOutputRegressor(_Regressor):
             states.unpersist()
         return self
 
+    def _fit_each(self, df: DataFrame, features: list[str], targets: list[str], key: str) -> MultiOutputRegressor:
+        common = {k: v for k, v in self.params.items() if k in StateRidgeRegressor.defaults()}
+        parts = {t: StateRidgeRegressor(**common).fit(df, features, t, key) for t in targets}
+        first = parts[targets[0]]
+        self.adapter_, self.columns_, self.key_ = first.adapter_, first.columns_, first.key_
+        self.programs_ = {t: p.program_ for t, p in parts.items()}
+        self.diagnostics_ = {"rank": self.rank_, "targets": {t: p.diagnostics_ for t, p in parts.items()}}
+        return self
+
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         """A column ``prediction_<target>`` for each target."""
         df = self._checked(df)

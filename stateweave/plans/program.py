@@ -109,11 +109,17 @@ class Program:
     scale: float = 1.0
     bits: int | None = None
     cubes: list[tuple[str, str, str, list[float]]] = field(default_factory=list)  # by joint state, the last feature counting fastest
+    sparse: list[tuple[str, str, list[int], list[list[float]]]] = field(default_factory=list)  # which row each state of the first feature reads; the rows
 
     @property
     def used(self) -> set[str]:
         """Names of the features that some table reads."""
-        return {f for f, _ in self.unary} | {f for a, b, _ in self.pairs for f in (a, b)} | {f for *c, _ in self.cubes for f in c}
+        return {f for f, _ in self.unary} | {f for a, b, *_ in [*self.pairs, *self.sparse] for f in (a, b)} | {f for *c, _ in self.cubes for f in c}
+
+    @property
+    def tables(self) -> list[list[float]]:
+        """The stored numbers of every table, one flat list each."""
+        return [t for _, t in self.unary] + [[v for r in t for v in r] for *_, t in [*self.pairs, *self.sparse]] + [t for *_, t in self.cubes]
 
     @property
     def inputs(self) -> list[str]:
@@ -128,6 +134,11 @@ class Program:
             width = self.features[b].cardinality
             inside = (s[a] >= 0) & (s[a] < len(t)) & (s[b] >= 0) & (s[b] < width)
             terms.append(F.when(inside, self._table(fn.pair_code(s[a], s[b], width), [v for row in t for v in row])).otherwise(F.lit(0.0)))
+        for a, b, slots, t in self.sparse:
+            width = len(t[0])
+            inside = (s[a] >= 0) & (s[a] < len(slots)) & (s[b] >= 0) & (s[b] < width)
+            row = F.element_at(F.array(*map(F.lit, slots)), s[a].cast("int") + 1)
+            terms.append(F.when(inside, self._table(fn.pair_code(row, s[b], width), [v for r in t for v in r])).otherwise(F.lit(0.0)))
         for a, b, c, t in self.cubes:
             kb, kc = self.features[b].cardinality, self.features[c].cardinality
             terms.append(self._table((s[a] * kb + s[b]) * kc + s[c], t))
@@ -167,15 +178,18 @@ class Program:
         if self.bits is None:
             return 0.0
         if self.bits == 32:
-            every = [t for _, t in self.unary] + [[v for r in t for v in r] for *_, t in self.pairs] + [t for *_, t in self.cubes]
-            return sum(float(np.abs(np.float32(t).astype(float) - np.array(t)).max(initial=0)) for t in every)
-        return sum(fn.quantise(t, self.bits)[2] for _, t in self.unary) + sum(fn.quantise([v for r in t for v in r], self.bits)[2] for *_, t in self.pairs) + sum(fn.quantise(t, self.bits)[2] for *_, t in self.cubes)
+            return sum(float(np.abs(np.float32(t).astype(float) - np.array(t)).max(initial=0)) for t in self.tables)
+        return sum(fn.quantise(t, self.bits)[2] for t in self.tables)
 
     def size_bytes(self) -> int:
         """Bytes of tables and thresholds, and of the bookkeeping of features and pairs."""
         cell = 8 if self.bits is None else self.bits // 8
-        tables = sum(len(t) for _, t in self.unary) + sum(len(t) * len(t[0]) for *_, t in self.pairs) + sum(len(t) for *_, t in self.cubes)
-        return cell * tables + sum(8 * len(f.thresholds) for f in self.features.values()) + 2 * len(self.features) + 4 * len(self.pairs)
+        slots = sum(len(slots) * slot_bytes(t) for _, _, slots, t in self.sparse)
+        return cell * sum(map(len, self.tables)) + slots + sum(8 * len(f.thresholds) for f in self.features.values()) + 2 * len(self.features) + 4 * (len(self.pairs) + len(self.sparse))
+
+    def dense(self) -> Program:
+        """The same program with every table of pairs written out."""
+        return replace(self, pairs=[*self.pairs, *[(a, b, [list(t[i]) for i in slots]) for a, b, slots, t in self.sparse]], sparse=[])
 
     def quantised(self, bits: int = 16) -> Program:
         """Tables in fixed point of 8 or 16 bits, or in single precision (32)."""
@@ -190,6 +204,7 @@ class Program:
             pairs=[(a, b, [[v * scale for v in r] for r in t]) for a, b, t in self.pairs],
             linear=[(c, md, m, s, w * scale) for c, md, m, s, w in self.linear],
             cubes=[(a, b, c, [v * scale for v in t]) for a, b, c, t in self.cubes],
+            sparse=[(a, b, slots, [[v * scale for v in r] for r in t]) for a, b, slots, t in self.sparse],
         )
 
     def to_json(self) -> dict:
@@ -199,7 +214,7 @@ class Program:
     def from_json(d: dict) -> Program:
         d = dict(d)
         d["features"] = {k: Feature(**v) for k, v in d["features"].items()}
-        for k in ("unary", "pairs", "linear", "cubes"):
+        for k in ("unary", "pairs", "linear", "cubes", "sparse"):
             d[k] = [tuple(x) for x in d.get(k, [])]
         return Program(**d)
 
@@ -271,7 +286,7 @@ class SharedProgram:
         size = len(bundle.heads)
         single: dict[str, np.ndarray] = {}
         joint: dict[tuple[str, str], np.ndarray] = {}
-        for k, h in enumerate(bundle.heads):
+        for k, h in enumerate(map(Program.dense, bundle.heads)):
             for f, t in h.unary:
                 single.setdefault(f, np.zeros((features[f].cardinality, size)))[: len(t), k] += t
             for a, b, t in h.pairs:
@@ -302,6 +317,11 @@ class SharedProgram:
         return 8 * sum(len(t) * len(self.intercept) for *_, t in [*self.unary, *self.pairs]) + sum(8 * len(f.thresholds) for f in self.features.values())
 
 
+def slot_bytes(rows: list) -> int:
+    """Bytes of a number that says which of some rows is meant."""
+    return 1 if len(rows) <= 256 else 2 if len(rows) <= 65_536 else 4
+
+
 def constant_program(share: float, limit: float = 1e-6) -> Program:
     """A head for a label that never changes: its clipped log odds."""
     from math import log

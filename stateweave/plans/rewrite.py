@@ -11,12 +11,13 @@ from dataclasses import replace
 
 import numpy as np
 
-from .program import Program
+from .program import Program, slot_bytes
 
 ZERO = 1e-12
 
 
 def optimised(program: Program) -> Program:
+    program = program.dense()
     order = {f: i for i, f in enumerate(program.features)}
     card = {f: x.cardinality for f, x in program.features.items()}
     single = {f: np.zeros(card[f]) for f in program.features}
@@ -52,6 +53,27 @@ def optimised(program: Program) -> Program:
     return replace(program, intercept=float(intercept), unary=unary, pairs=pairs, linear=linear, features={f: x for f, x in program.features.items() if f in used})
 
 
+def compacted(program: Program) -> Program:
+    """The same scores from tables of pairs whose equal rows are stored once, where that takes fewer bytes.
+
+    A table is read by rows of its first feature or of its second, whichever is smaller; ties go to the first.  A block
+    (one state of a gate, or none, in which another feature counts) keeps two rows.  Entries stay as they are; only the
+    order in which a score's terms are added changes.
+    """
+    cell = 8 if program.bits is None else program.bits // 8
+    pairs, sparse = [], []
+    for a, b, table in program.dense().pairs:
+        best, size = None, cell * len(table) * len(table[0])
+        for first, second, rows in ((a, b, table), (b, a, list(zip(*table, strict=True)))):
+            distinct = list(dict.fromkeys(map(tuple, rows)))
+            taken = cell * len(distinct) * len(rows[0]) + slot_bytes(distinct) * len(rows)
+            if taken < size:
+                at = {r: i for i, r in enumerate(distinct)}
+                best, size = (first, second, [at[tuple(r)] for r in rows], list(map(list, distinct))), taken
+        (sparse if best else pairs).append(best or (a, b, table))
+    return replace(program, pairs=pairs, sparse=sparse)
+
+
 def _padded(t: list[float], n: int) -> np.ndarray:
     out = np.zeros(n)
     out[: len(t)] = t[:n]

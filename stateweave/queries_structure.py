@@ -12,8 +12,8 @@ from . import functions as fn
 from .keys import scramble
 from .operators import adapt, cache, quantiles, rank, refine, stats
 from .plans.program import Bundle, Program, SharedProgram, max_error
-from .plans.rewrite import optimised
-from .queries import NUMERIC, _CELLS, _DGH, _DIRECTED, _GH, _MI1, _MI2, _POS, LONG, LONG_PAIRS, ORACLES, PAIRS, STATES, frozen_program, mi_sql, order_states, order_states_sql, query, rounded
+from .plans.rewrite import compacted, optimised
+from .queries import NUMERIC, _CELLS, _DGH, _DIRECTED, _GH, _MI1, _MI2, _POS, _STATES_SQL, LONG, LONG_PAIRS, ORACLES, PAIRS, STATES, frozen_program, mi_sql, order_states, order_states_sql, query, rounded
 from .sources import order_features, table
 
 _STATUS = ["F", "O", "P"]
@@ -293,6 +293,21 @@ def rewrite_error(spark, sf_dir):
     return out.select("what", F.round("largest_error", 9).alias("largest_error"), "n")
 
 
+_GATE = [0.125, -0.5, 0.75, 0.25, 0.0, -1.0]
+
+
+@query(
+    f"WITH {_STATES_SQL}, s AS (SELECT o_orderkey, 0.25 + CASE WHEN b = 1 THEN list_extract([{', '.join(map(str, _GATE))}], c + 1) ELSE 0 END + CASE WHEN a = 0 THEN b * b - 0.5 ELSE 0.5 * b END AS score FROM z) "
+    "SELECT o_orderkey, round(score, 9) AS score, 2 AS tables FROM s"
+)
+def sparse_row_scores(spark, sf_dir):
+    """Scores from tables of pairs that keep equal rows once: a block inside one gate state, and a row that differs from the rest."""
+    inside = [[0.0] * 6, _GATE, [0.0] * 6]
+    odd = [[b * b - 0.5 for b in range(3)], *[[0.5 * b for b in range(3)]] * 3]
+    program = compacted(replace(frozen_program("identity"), unary=[], linear=[], pairs=[("num:balance", "catid:priority", inside), ("num:price", "num:balance", odd)]))
+    return order_features(spark, sf_dir).select("o_orderkey", F.round(program.score(), 9).alias("score"), F.lit(len(program.sparse)).alias("tables"))
+
+
 _DELTA = [("s_price", 2, 1, 0.5), ("s_day", 0, 2, -0.25)]
 
 
