@@ -251,18 +251,23 @@ class ResolutionRegressor(_Regressor):
 class GeneralizedRegressor(_Regressor):
     """Other objectives on finite-state designs: squared, huber, quantile (one or several), poisson, gamma, tweedie.
 
-    ``offset`` (added to the score) and ``exposure`` (multiplies the mean; log links) name columns.
+    ``offset`` (added to the score) and ``exposure`` (multiplies the mean; log links) name columns.  Quantiles are
+    smoothed in a narrow band under a penalty on squares, or solved as linear programmes with ``penalty="l1"``: then
+    ``alpha`` weighs the coefficients' sizes against the mean loss, and ``gaps_`` bounds each solution's distance from
+    the optimum.
     """
 
     @classmethod
     def defaults(cls) -> dict:
-        return super().defaults() | {"loss": "squared", "alpha": 1.0, "quantiles": (0.5,), "power": 1.5, "epsilon": 1.35, "offset": None, "exposure": None, "max_features": 16, "max_pairs": 2}
+        return super().defaults() | {"loss": "squared", "alpha": 1.0, "quantiles": (0.5,), "power": 1.5, "epsilon": 1.35, "penalty": "l2", "offset": None, "exposure": None, "max_features": 16, "max_pairs": 2}
 
     LOG = ("poisson", "gamma", "tweedie")
 
     def fit(self, df: DataFrame, features: list[str], target: str, key: str) -> GeneralizedRegressor:
         if self.loss not in ("squared", "huber", "quantile", *self.LOG):
             raise ParameterError(f"loss {self.loss!r}")
+        if self.penalty not in ("l2", "l1") or self.penalty == "l1" and self.loss != "quantile":
+            raise ParameterError(f"penalty {self.penalty!r} of loss {self.loss!r}")
         y = F.col(quoted(target)).cast("double")
         low = df.agg(F.min(y)).first()[0]
         if self.loss in self.LOG and low is not None and (low < 0 or (self.loss == "gamma" and low <= 0)):
@@ -284,10 +289,13 @@ class GeneralizedRegressor(_Regressor):
             mean = states.agg(F.sum(w * F.col("__t")) / F.sum(w)).first()[0]
             spread = states.agg(F.sqrt(F.sum(w * (F.col("__t") - F.lit(mean)) ** 2) / F.sum(w))).first()[0]
             start[0] = np.log(max(mean, 1e-9)) if self.loss in self.LOG else mean
-            self.programs_ = []
+            self.programs_, self.gaps_ = [], []
             for q in self.quantiles if self.loss == "quantile" else (None,):
                 loss = {"squared": solve.squared, "poisson": solve.poisson, "gamma": solve.gamma, "tweedie": solve.tweedie(self.power)}.get(self.loss) or solve.pinball(q, 0.05 * (spread or 1.0))
-                if self.loss == "huber":
+                if self.penalty == "l1":
+                    w, gap = solve.quantile_regression(rows, design, "__t", q, self.alpha, "__o", start.copy(), spread or 1.0)
+                    self.gaps_.append(gap)
+                elif self.loss == "huber":
                     w, self.scale_ = solve.huber_regression(rows, design, "__t", self.epsilon, self.alpha, "__o", start.copy(), spread or 1.0)
                 else:
                     w = solve.newton(rows, design, "__t", loss, self.alpha, False, offset="__o", start=start.copy())

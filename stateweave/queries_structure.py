@@ -412,6 +412,20 @@ def margins_poisson(spark, sf_dir):
     return model.predict(df.select("user_id", "mean_value", "types")).groupBy("types").agg(F.count("*").alias("users"), F.round(F.avg("prediction"), 4).alias("mean"))
 
 
+@query(
+    f"WITH {order_states_sql(4)}, q AS (SELECT s_month AS state, quantile_disc(price, 0.3) AS q FROM st GROUP BY 1) "
+    "SELECT s_month AS state, count(*) AS n, round(avg(greatest(0.3 * (price - q), -0.7 * (price - q))), 2) AS loss FROM st JOIN q ON state = s_month GROUP BY 1"
+)
+def margins_quantile(spark, sf_dir):
+    """The least pinball loss of a quantile of prices in each state of a column, from an unpenalised linear programme."""
+    from .models import GeneralizedRegressor
+
+    df = order_states(spark, sf_dir)
+    model = GeneralizedRegressor(loss="quantile", quantiles=(0.3,), penalty="l1", alpha=0.0, bins=4, max_pairs=0).fit(df, ["month"], "price", "o_orderkey")
+    out = model.predict(df.select("o_orderkey", "month", "price", "s_month"))
+    return out.groupBy(F.col("s_month").alias("state")).agg(F.count("*").alias("n"), F.round(F.avg(stats.pinball(F.col("price"), F.col("prediction"), 0.3)), 2).alias("loss"))
+
+
 _GATED = "CASE WHEN s_month = 3 THEN CAST(s_day >= 2 AS INTEGER) ELSE CAST((o_orderkey * 7919) % 1000003 % 2 AS INTEGER) END"
 
 

@@ -100,3 +100,54 @@ def test_scores_of_weighted_rows(rows):
     for model, target in ((a, "real"), (b, "gated")):
         assert model.score(weighted, target, "w") == pytest.approx(model.score(repeated, target), abs=1e-12)
         assert model.score(weighted, target) == pytest.approx(model.score(rows, target))
+
+
+def local_rows(spark, columns: dict, design, weight=None):
+    """Solver rows of plain lists."""
+    names = list(columns)
+    kinds = {c: float if c in ("y", "w", "o") else int for c in names}
+    df = spark.createDataFrame([tuple(kinds[c](v) for c, v in zip(names, row, strict=True)) for row in zip(*columns.values(), strict=True)], names)
+    return solve.Rows(df, design.columns, ["y"], weight, extra=["o"] if "o" in columns else [])
+
+
+def best_by_corners(x: np.ndarray, y: np.ndarray, q: float, l1: float) -> float:
+    """The least mean pinball loss and penalty over all corners of the linear programme."""
+    n, p = x.shape
+    planes = np.vstack([x, np.eye(p)[1:]])
+    right = np.concatenate([y, np.zeros(p - 1)])
+    least = np.inf
+    for at in combinations(range(len(planes)), p):
+        m = planes[list(at)]
+        if abs(np.linalg.det(m)) > 1e-9:
+            w = np.linalg.solve(m, right[list(at)])
+            r = y - x @ w
+            least = min(least, np.maximum(q * r, (q - 1) * r).mean() + l1 * np.abs(w[1:]).sum())
+    return least
+
+
+@pytest.mark.parametrize("q,l1", [(0.5, 0.0), (0.2, 0.0), (0.8, 0.02), (0.5, 0.05), (0.3, 10.0)])
+def test_quantile_programme_against_all_corners(spark, q, l1):
+    rng = np.random.default_rng(int(100 * q))
+    a, b = np.repeat([0, 1, 2], 6), np.tile([0, 1], 9)
+    y = np.round(a + 2.0 * b + rng.normal(size=18), 1)  # ties
+    design = solve.Design([("a", 3), ("b", 2)])
+    w, gap = solve.quantile_regression(local_rows(spark, {"a": a, "b": b, "y": y}, design), design, "y", q, l1, spread=float(y.std()))
+    x = np.column_stack([np.ones(18), a == 1, a == 2, b == 1]).astype(float)
+    r = y - x @ w
+    loss = np.maximum(q * r, (q - 1) * r).mean() + l1 * np.abs(w[1:]).sum()
+    assert loss - best_by_corners(x, y, q, l1) < 1e-6 and gap < 1e-6
+    assert l1 < 1 or np.abs(w[1:]).max() < 1e-4
+
+
+def test_exact_quantiles_of_an_estimator(rows):
+    model = GeneralizedRegressor(loss="quantile", quantiles=(0.1, 0.9), penalty="l1", alpha=0.0, bins=4, max_pairs=0).fit(rows, ["u0"], "real", "key")
+    got = model.predict(rows).select((F.floor(F.col("u0") * 4)).alias("s"), "real", *[F.col("prediction")[k].alias(f"p{k}") for k in (0, 1)]).toPandas()
+    for k, q in ((0, 0.1), (1, 0.9)):
+        loss = lambda v, at: np.maximum(q * (v - at), (q - 1) * (v - at)).sum()  # noqa: B023, E731
+        least = sum(min(loss(g.real.values, at) for at in np.sort(g.real.values)[[int(q * len(g)) + d for d in (-1, 0, 1) if 0 <= int(q * len(g)) + d < len(g)]]) for _, g in got.groupby(f"p{k}"))
+        assert sum(loss(g.real.values, g[f"p{k}"].values) for _, g in got.groupby(f"p{k}")) - least < 1e-5 * len(got)
+    assert max(model.gaps_) < 1e-6 * 3
+    none = GeneralizedRegressor(loss="quantile", penalty="l1", alpha=100.0, bins=4, max_pairs=0).fit(rows, ["u0"], "real", "key")
+    assert none.predict(rows).agg(F.max("prediction") - F.min("prediction")).first()[0] < 1e-3
+    with pytest.raises(ParameterError):
+        GeneralizedRegressor(loss="poisson", penalty="l1").fit(rows, ["u0"], "real", "key")
