@@ -386,7 +386,7 @@ def margins_multioutput(spark, sf_dir):
     from .models import MultiOutputRegressor
 
     df = order_states(spark, sf_dir)
-    model = MultiOutputRegressor(bins=4, alpha=1e-7, pair_features=3, max_pairs=1).fit(df, NUMERIC, ["price", "balance"], "o_orderkey")
+    model = MultiOutputRegressor(mode="shared", bins=4, alpha=1e-7, pair_features=3, max_pairs=1).fit(df, NUMERIC, ["price", "balance"], "o_orderkey")
     out = model.predict(df.select("o_orderkey", *NUMERIC, *STATES))
     return _margins(out, [F.col("prediction_price"), F.col("prediction_balance")], ["p", "q"])
 
