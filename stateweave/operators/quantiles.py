@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +14,8 @@ from ..schema import ValidationError, finite, quoted
 #: Up to so many values (rows times columns) the built-in exact percentile is used; beyond, its buffers (every distinct
 #: value of all columns, in one task) could outgrow it, and ranks are narrowed down by histograms instead.  Both are exact.
 BUFFER_VALUES = 20_000_000
-BINS = 4096
+#: Cells of all histograms of a pass together.
+CELLS = 2**17
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], weight: str | None = None) -> dict[str, list[float]]:
@@ -29,45 +33,84 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     return _narrowed(values, columns, probabilities, not whole)
 
 
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers in the same order."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
+
+
+def _histograms(values: DataFrame, k: int, ranges: list[tuple[int, float, float]], by_value: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each range (column, lowest, highest) the weight, lowest and highest value of its cells in use, upwards: one pass.
+
+    Ranges of a column lie apart.  Cells are equally wide in value or in the order of all doubles; each range can be told
+    apart to single doubles by a few passes of the second kind, whatever its values.
+    """
+    bits = max((CELLS // len(ranges)).bit_length() - 1, 8)
+    own = [[(j, lo, hi) for j, (c, lo, hi) in enumerate(ranges) if c == i] for i in range(k)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(ranges) << bits
+        weight, low, high = np.zeros(size), np.full(size, np.inf), np.full(size, -np.inf)
+        for batch in batches:
+            w = batch.column(k).to_numpy(zero_copy_only=False)
+            for i in range(k):
+                if not own[i]:
+                    continue
+                number, lo, hi = (np.array(x) for x in zip(*own[i], strict=True))
+                x = batch.column(i).to_numpy(zero_copy_only=False)
+                j = np.maximum(np.searchsorted(lo, x, "right") - 1, 0)
+                on = (x >= lo[j]) & (x <= hi[j])
+                x, j, v = x[on], j[on], w[on]
+                if by_value:
+                    part = (x / 2 - lo[j] / 2) / (hi / 2 - lo / 2)[j] if (hi / 2 > lo / 2).all() else np.zeros(len(x))
+                    cell = np.minimum((part * (1 << bits)).astype(np.int64), (1 << bits) - 1)
+                else:
+                    first = _ordered(lo).view(np.uint64)
+                    shift = np.array([max(int(d).bit_length() - bits, 0) for d in _ordered(hi).view(np.uint64) - first], np.uint64)
+                    cell = ((_ordered(x).view(np.uint64) - first[j]) >> shift[j]).astype(np.int64)
+                cell += number[j] << bits
+                np.add.at(weight, cell, v)
+                np.minimum.at(low, cell, x)
+                np.maximum.at(high, cell, x)
+        used = np.flatnonzero(low <= high)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used.astype(np.int32), weight[used], low[used], high[used])], names=["c", "w", "lo", "hi"])
+
+    rows = values.select(*[f"v{i}" for i in range(k)], "w").mapInArrow(run, "c int, w double, lo double, hi double")
+    got = rows.groupBy("c").agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow().sort_by("c")
+    c, *rest = (x.to_numpy() for x in got.columns)
+    edge = np.searchsorted(c, np.arange(len(ranges) + 1) << bits)
+    return [tuple(x[a:b] for x in rest) for a, b in zip(edge, edge[1:], strict=False)]
+
+
 def _narrowed(values: DataFrame, columns: list[str], probabilities: list[float], midpoints: bool) -> dict[str, list[float]]:
-    """The same by histograms of ``BINS`` cells over shrinking ranges: each pass narrows all targets of all columns."""
+    """The same by histograms over shrinking ranges: each pass narrows all targets of all columns."""
     k = len(columns)
     row = values.agg(*[f(f"v{i}") for i in range(k) for f in (F.min, F.max)], *[F.coalesce(F.sum(F.when(F.col(f"v{i}").isNotNull(), F.col("w"))), F.lit(0.0)) for i in range(k)]).first()
     mass = [row[2 * k + i] for i in range(k)]
     # a target: (column, how much weight has to lie at or below the value sought)
-    goal: dict[tuple[int, float], list[float]] = {}
+    goal: dict[tuple[int, float], tuple[float, float, float]] = {}
     for i in range(k):
         if mass[i]:
             for p in probabilities:
                 ranks = [p * mass[i]] if midpoints else [float(np.floor(p * (mass[i] - 1))) + 1, float(np.ceil(p * (mass[i] - 1))) + 1]
                 for r in ranks:
-                    goal[i, r] = [row[2 * i], row[2 * i + 1], 0.0]  # lowest, highest, weight below
-    targets = list(goal)
-    while open_ := [t for t in targets if goal[t][0] < goal[t][1]]:
-        entries, width = [], {t: (goal[t][1] - goal[t][0]) / BINS for t in open_}
-        for j, (i, _) in enumerate(open_):
-            lo, hi, _ = goal[open_[j]]
-            cell = F.least(F.floor((F.col(f"v{i}") - lo) / width[open_[j]]), F.lit(BINS - 1)) if width[open_[j]] else F.lit(0)
-            entries.append(F.when((F.col(f"v{i}") >= lo) & (F.col(f"v{i}") <= hi), F.struct(F.lit(j).alias("t"), cell.cast("int").alias("b"), F.col(f"v{i}").alias("v"))))
-        cells = values.select("w", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-        found: dict[int, list] = {}
-        for r in cells.groupBy("e.t", "e.b").agg(F.sum("w").alias("w"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi")).collect():
-            found.setdefault(r["t"], []).append((r["b"], r["w"], r["lo"], r["hi"]))
-        for j, t in enumerate(open_):
-            below, parts = goal[t][2], sorted(found[j])
-            for n, (_, w, lo, hi) in enumerate(parts):
-                if below + w >= t[1] * (1 - 1e-12) or n == len(parts) - 1:
-                    goal[t] = [lo, hi, below]
-                    break
-                below += w
-            if not width[t]:
-                goal[t][1] = goal[t][0]
+                    goal[i, r] = (row[2 * i], row[2 * i + 1], 0.0)  # lowest, highest, weight below
+    by_value = True
+    while open_ := [t for t in goal if goal[t][0] < goal[t][1]]:
+        ranges = sorted({(t[0], *goal[t][:2]) for t in open_})
+        found = _histograms(values, k, ranges, by_value)
+        for t in open_:
+            weight, lows, highs = found[ranges.index((t[0], *goal[t][:2]))]
+            upto = goal[t][2] + np.cumsum(weight)
+            n = min(int(np.searchsorted(upto, t[1] * (1 - 1e-12))), len(upto) - 1)
+            goal[t] = (float(lows[n]), float(highs[n]), float(upto[n] - weight[n]))
+        by_value = not by_value
     at = {t: g[0] for t, g in goal.items()}
     if not midpoints:
         out = {}
         for i, c in enumerate(columns):
             x = [(p * (mass[i] - 1)) for p in probabilities] if mass[i] else []
-            out[c] = [at[i, float(np.floor(z)) + 1] + (z - np.floor(z)) * (at[i, float(np.ceil(z)) + 1] - at[i, float(np.floor(z)) + 1]) for z in x]
+            out[c] = [float(at[i, float(np.floor(z)) + 1] + (z - np.floor(z)) * (at[i, float(np.ceil(z)) + 1] - at[i, float(np.floor(z)) + 1])) for z in x]
         return out
     return _between_midpoints(values, columns, probabilities, mass, {t: (g[0], g[2]) for t, g in goal.items()})
 
