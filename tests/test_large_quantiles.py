@@ -7,7 +7,7 @@ from test_queries import duck, test_matches_sql as matches_sql  # noqa: F401  a
 from stateweave.operators import quantiles
 
 
-@pytest.mark.parametrize("name", ["quantile_thresholds_4_8_16", "weighted_quantile_freq"])
+@pytest.mark.parametrize("name", ["quantile_thresholds_4_8_16", "weighted_quantile_freq", "weighted_thresholds"])
 def test_queries_by_histograms(spark, duck, name, monkeypatch):  # noqa: F811
     monkeypatch.setattr(quantiles, "BUFFER_VALUES", 0)
     matches_sql(spark, duck, name)
