@@ -155,13 +155,21 @@ def check_weights(df: DataFrame, weight: str) -> bool:
 
 def few_values(df: DataFrame, columns: list[str], most: int) -> dict[str, list[float]]:
     """The sorted finite values of those columns that have at most ``most`` different ones."""
-    x = lambda c: F.when(finite(F.col(quoted(c)).cast("double")), F.col(quoted(c)).cast("double"))
-    rough = df.agg(*[F.approx_count_distinct(x(c), 0.01).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    likely = [c for i, c in enumerate(columns) if rough[i] <= 2 * most + 16]
-    if not likely:
-        return {}
-    row = df.agg(*[F.sort_array(F.collect_set(x(c))).alias(f"s{i}") for i, c in enumerate(likely)]).first()
-    return {c: list(row[i]) for i, c in enumerate(likely) if len(row[i]) <= most}
+    own = df.select(*[F.when(finite(F.col(quoted(c)).cast("double")), F.col(quoted(c)).cast("double")) for c in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.zeros(0)] * len(columns)
+        for batch in batches:
+            for i, known in enumerate(found):
+                if len(known) <= most:  # one more than that settles it
+                    x = batch.column(i).drop_null().to_numpy() + 0.0
+                    found[i] = np.union1d(known, x)[: most + 1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(columns), dtype=np.int32), [len(x) for x in found])), pa.array(np.concatenate([*found, np.zeros(0)]))], names=["c", "v"])
+
+    got = own.mapInArrow(run, "c int, v double").distinct().toArrow()
+    number, value = (x.to_numpy() for x in got.columns)
+    sets = {c: np.sort(value[number == i]).tolist() for i, c in enumerate(columns)}
+    return {c: v for c, v in sets.items() if len(v) <= most}
 
 
 def nested_thresholds(df: DataFrame, columns: list[str], levels: tuple[int, ...] = (4, 8, 16), digits: int | None = None, weight: str | None = None) -> dict[str, dict[int, list[float]]]:
@@ -171,7 +179,7 @@ def nested_thresholds(df: DataFrame, columns: list[str], levels: tuple[int, ...]
     """
     if weight:
         df = df.where(F.col(quoted(weight)) > 0)
-    few = few_values(df, columns, max(levels))
+    few = few_values(df, columns, max(levels)) if columns else {}
     probabilities = sorted({i / b for b in levels for i in range(b + 1)})
     quantile = exact_quantiles(df, columns, probabilities, weight) if columns else {}
     out: dict[str, dict[int, list[float]]] = {}
