@@ -16,6 +16,7 @@ from .operators import adapt, quantiles, rank, solve, stats
 from .plans.program import Bundle, Feature, Program, constant_program
 from .plans.rewrite import optimised
 from .sources import order_features, table
+from .sources.interim import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,9 +71,14 @@ def order_states_sql(bins: int) -> str:
     return f"{OC}, th AS (SELECT {th}), st AS (SELECT oc.*, {', '.join(f'{state_sql(c, f't_{c}')} AS s_{c}' for c in NUMERIC)} FROM oc, th)"
 
 
+def kept_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order features, joined once and kept as a table: for what passes over them many times."""
+    return stored(order_features(spark, sf_dir))
+
+
 def order_states(spark: SparkSession, sf_dir: str, bins: int = 4) -> DataFrame:
     """The order features with states s_price, s_balance, s_day, s_month."""
-    df = order_features(spark, sf_dir)
+    df = kept_features(spark, sf_dir)
     cuts = quantiles.nested_thresholds(df, NUMERIC, (bins,), digits=9)
     return df.select("*", *[fn.state(F.col(c), cuts[c][bins]).alias(f"s_{c}") for c in NUMERIC])
 
@@ -617,7 +623,7 @@ SMALL = {"bins": 8, "pair_features": 4, "max_pairs": 2, "max_features": 6}
 @query()
 def fit_classifier(spark, sf_dir):
     """A binary classifier of finished orders: key, probability, class."""
-    df = order_features(spark, sf_dir)
+    df = kept_features(spark, sf_dir)
     model = StateClassifier(**SMALL).fit(df, ORDER_COLUMNS, "y", "o_orderkey")
     return model.predict(df.select("o_orderkey", *ORDER_COLUMNS)).select("o_orderkey", "probability", "prediction")
 
@@ -625,7 +631,7 @@ def fit_classifier(spark, sf_dir):
 @query()
 def fit_multiclass(spark, sf_dir):
     """Status of orders by a softmax on shared structure."""
-    df = order_features(spark, sf_dir)
+    df = kept_features(spark, sf_dir)
     model = SharedClassifier(**SMALL).fit(df, ORDER_COLUMNS, "status", "o_orderkey")
     return model.predict(df.select("o_orderkey", *ORDER_COLUMNS)).select("o_orderkey", "probabilities", "prediction")
 
@@ -641,7 +647,7 @@ def fit_multilabel(spark, sf_dir):
 @query()
 def fit_ridge(spark, sf_dir):
     """Prices of orders by the finite-state ridge regression."""
-    df = order_features(spark, sf_dir)
+    df = kept_features(spark, sf_dir)
     features = ["balance", "day", "month", "priority", "segment", "status"]
     model = StateRidgeRegressor(**SMALL).fit(df, features, "price", "o_orderkey")
     return model.predict(df.select("o_orderkey", *features)).select("o_orderkey", "prediction")
@@ -650,7 +656,7 @@ def fit_ridge(spark, sf_dir):
 @query()
 def fit_fused(spark, sf_dir):
     """Prices of orders by the fused residual regression."""
-    df = order_features(spark, sf_dir)
+    df = kept_features(spark, sf_dir)
     features = ["balance", "day", "month", "priority", "segment", "status"]
     model = FusedRegressor(**(SMALL | {"thresholds": 4})).fit(df, features, "price", "o_orderkey")
     return model.predict(df.select("o_orderkey", *features)).select("o_orderkey", "prediction")
@@ -667,7 +673,7 @@ def fit_poisson(spark, sf_dir):
 @query()
 def fit_quantiles(spark, sf_dir):
     """Three quantiles of prices of orders, which don't cross."""
-    df = order_features(spark, sf_dir)
+    df = kept_features(spark, sf_dir)
     features = ["balance", "month", "priority"]
     model = GeneralizedRegressor(loss="quantile", quantiles=(0.1, 0.5, 0.9), bins=8).fit(df, features, "price", "o_orderkey")
     return model.predict(df.select("o_orderkey", *features)).select("o_orderkey", "prediction")
@@ -676,7 +682,7 @@ def fit_quantiles(spark, sf_dir):
 @query()
 def fit_multioutput(spark, sf_dir):
     """Price and balance together from shared structure."""
-    df = order_features(spark, sf_dir)
+    df = kept_features(spark, sf_dir)
     features = ["day", "month", "priority", "segment"]
     model = MultiOutputRegressor(bins=8).fit(df, features, ["price", "balance"], "o_orderkey")
     return model.predict(df.select("o_orderkey", *features)).select("o_orderkey", "prediction_price", "prediction_balance")

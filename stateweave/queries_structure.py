@@ -13,7 +13,7 @@ from .keys import scramble
 from .operators import adapt, cache, quantiles, rank, refine, stats
 from .plans.program import Bundle, Program, SharedProgram, max_error
 from .plans.rewrite import compacted, optimised
-from .queries import NUMERIC, _CELLS, _DGH, _DIRECTED, _GH, _MI1, _MI2, _POS, _STATES_SQL, LONG, LONG_PAIRS, ORACLES, PAIRS, STATES, frozen_program, mi_sql, order_states, order_states_sql, query, rounded
+from .queries import NUMERIC, _CELLS, _DGH, _DIRECTED, _GH, _MI1, _MI2, _POS, _STATES_SQL, LONG, LONG_PAIRS, ORACLES, PAIRS, STATES, frozen_program, kept_features, mi_sql, order_states, order_states_sql, query, rounded
 from .sources import order_features, table
 
 _STATUS = ["F", "O", "P"]
@@ -505,7 +505,7 @@ def fit_blocks(spark, sf_dir):
     """A binary classifier of finished orders with conditional blocks: key, probability, class."""
     from .models import BlockClassifier
 
-    df = order_features(spark, sf_dir)
+    df = kept_features(spark, sf_dir)
     columns = ["price", "balance", "day", "month", "segment"]
     model = BlockClassifier(bins=4, max_features=5, pair_features=4, max_pairs=1, max_blocks=4, c=0.5).fit(df, columns, "y", "o_orderkey")
     return model.predict(df.select("o_orderkey", *columns)).select("o_orderkey", "probability", "prediction")
@@ -516,6 +516,6 @@ def fit_refinement(spark, sf_dir):
     """A fixed program refined on finished orders: key and probability."""
     from .models import Refinement
 
-    df = order_features(spark, sf_dir)
+    df = kept_features(spark, sf_dir)
     model = Refinement(["price", "balance"], triad_features=0).fit(df, frozen_program(), "y", "o_orderkey")
     return model.program_.transform(df).select("o_orderkey", F.col("prediction").alias("probability"))
