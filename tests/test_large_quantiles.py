@@ -7,7 +7,7 @@ from test_queries import duck, test_matches_sql as matches_sql  # noqa: F401  a
 from stateweave.operators import quantiles
 
 
-@pytest.mark.parametrize("name", ["quantile_thresholds_4_8_16", "weighted_quantile_freq", "weighted_thresholds", "nested_codes", "mi_feature_rank"])
+@pytest.mark.parametrize("name", ["quantile_thresholds_4_8_16", "weighted_quantile_freq", "weighted_thresholds", "nested_codes", "mi_feature_rank", "resolution_gain", "pair_rank_mi"])
 def test_queries_by_histograms(spark, duck, name, monkeypatch):  # noqa: F811
     monkeypatch.setattr(quantiles, "BUFFER_VALUES", 0)
     matches_sql(spark, duck, name)
@@ -32,9 +32,10 @@ def test_values_of_all_sizes(spark, monkeypatch):
 
 def test_orders_are_joined_once(spark):
     """Every pass of a query over the order features reads a table, not the join of two."""
-    from stateweave.queries import order_states
+    from stateweave.queries import kept_features, order_states
 
-    assert "Join" not in order_states(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    for df in (order_states(spark, "/root/testdata/sf0.001"), kept_features(spark, "/root/testdata/sf0.001")):
+        assert "Join" not in df._jdf.queryExecution().toString()
 
 
 def test_passes_do_not_grow_with_probabilities(spark, monkeypatch):
