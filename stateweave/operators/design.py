@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import quoted
+from ..sources.interim import stored
 
 #: Rows (as they are, or grouped by what a design reads) that the driver takes over.
 DRIVER_ROWS = 200_000
+#: Rows that stay distributed are grouped once if each different one occurs so often on average.
+REPEATS = 4
 #: Rows of these that are worked on together.
 CHUNK_ROWS = 50_000
 
@@ -209,7 +212,8 @@ class Rows:
     """What a fit reads: the design's columns, targets and weights.
 
     Few rows are taken over by the driver as they are; many are grouped by what is read first, if an estimate of the
-    number of different ones (one pass, no shuffle) says that this makes them few; else they stay distributed.
+    number of different ones (one pass, no shuffle) says that this makes them few.  Else they stay distributed: grouped
+    once and kept as a table where each occurs several times on average, as they are otherwise.
     """
 
     def __init__(self, df: DataFrame, columns: list[str], targets: list[str], weight: str | None = None, driver_rows: int = DRIVER_ROWS, extra: list[str] = ()):
@@ -222,11 +226,16 @@ class Rows:
         if n <= driver_rows:
             taken = self.df.toArrow()
         elif different * 1.1 <= driver_rows:
-            taken = self.df.groupBy(*map(quoted, keys)).agg(F.sum("__w").alias("__w")).limit(driver_rows + 1).toArrow()
+            taken = self._grouped(keys).limit(driver_rows + 1).toArrow()
+        elif different * REPEATS <= n:
+            self.df = stored(self._grouped(keys))
         if taken is not None and taken.num_rows <= driver_rows:
             self.local = {c: taken.column(i).to_numpy(zero_copy_only=False).astype(float) for i, c in enumerate(self.columns)}
             self.n = taken.num_rows
 
+    def _grouped(self, keys: list[str]) -> DataFrame:
+        return self.df.groupBy(*map(quoted, keys)).agg(F.sum("__w").alias("__w"))
+
     def sum(self, work: Callable[[dict[str, np.ndarray], int], np.ndarray], size: int) -> np.ndarray:
         if self.local is None:
             return distributed_sum(self.df, self.columns, work, size)

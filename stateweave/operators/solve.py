@@ -374,7 +374,8 @@ def threshold_head(rows: Rows, design: Design, labels: list[str], basis: np.ndar
     """One logistic head for all thresholds: coefficients (width, thresholds) that vary over thresholds along a basis.
 
     The score at threshold t is the design times W times the basis at t, plus an intercept of its own for each threshold
-    (which is not penalised).  Newton's method on W and the intercepts; every step is one sum over the rows.
+    (which is not penalised).  Newton's method on W and the intercepts; every step is one sum over the rows: a full step
+    is tried with its derivatives, halved ones by their value alone.
     """
     cells, bank = Cells(design), Bank(rows, [design])
     p, k, m = design.width, basis.shape[1], len(labels)
@@ -414,12 +415,15 @@ def threshold_head(rows: Rows, design: Design, labels: list[str], basis: np.ndar
     value, g, h = at(theta)
     for _ in range(rounds):
         step = np.linalg.solve(h + 1e-9 * np.eye(size), g)
-        k_ = next((j for j in range(10) if at(theta - step * 0.5**j, False) <= value + 1e-12 * abs(value)), None)
-        if k_ is None:
-            break
+        trial, k_ = at(theta - step), 0
+        if not trial[0] <= value + 1e-12 * abs(value):
+            k_ = next((j for j in range(1, 10) if at(theta - step * 0.5**j, False) <= value + 1e-12 * abs(value)), None)
+            if k_ is None:
+                break
+            trial = at(theta - step * 0.5**k_)
         theta = theta - step * 0.5**k_
         last = value
-        value, g, h = at(theta)
+        value, g, h = trial
         if last - value <= 1e-8 * max(1.0, abs(value)):
             break
     slope, intercept = unpack(theta)
