@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .texts import bound_batches, tidied
 
-#: Entries that a worker's caches of chunks and of pre-tokens hold at most; a full cache starts anew (results don't
+#: Entries that a worker's caches of chunks, of pre-tokens and of tokens' edges hold at most; a full cache starts anew (results don't
 #: depend on it).
-CACHE_ENTRIES, PRE_TOKENS = 150_000, 80_000
+CACHE_ENTRIES, PRE_TOKENS, EDGES = 150_000, 80_000, 20_000
 
 #: How a byte-level vocabulary writes bytes as printable characters, and how it splits texts.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -128,7 +128,8 @@ class Codec:
         self.shorter = _Cache(self._shorter)
         self.compatible = _Cache(self._compatible)
         self.pre_token = _Cache(self._pre_token, PRE_TOKENS)
-        self.after_space = _Cache(lambda part: self._run(" " + part))
+        self.left_edge, self.right_edge = (_Cache(lambda token, side=side: self._edge(token, side), EDGES) for side in (0, 1))
+        self.after_space = _Cache(self._after_space)
         self.at_start = _Cache(self._run, 20_000)
 
     # the two tables -----------------------------------------------------------------------------------------------
@@ -160,8 +161,8 @@ class Codec:
         It fails if some merge across the seam comes up while both of its parts stand at the seam.  Of equal merges
         the left one goes first: inside the left token before the seam, at the seam before the right token.
         """
-        right = self._edge(pair[1], 0)
-        for a, a_ends in self._edge(pair[0], 1):
+        right = self.left_edge[pair[1]]
+        for a, a_ends in self.right_edge[pair[0]]:
             for b, b_ends in right:
                 found = self.merge.get((a, b))
                 if found and found[0] < a_ends and found[0] <= b_ends:
@@ -178,7 +179,7 @@ class Codec:
         whole = self.vocab.get(s)
         if whole is not None:
             return whole.to_bytes(4, "little")
-        n, length = len(s), self.length
+        n, length, compatible, shorter = len(s), self.length, self.compatible, self.shorter
         longest = [-1] * n
         for end, token in self.automaton.iter(s):
             longest[end - length[token] + 1] = token  # of tokens with one start, the longest comes last
@@ -188,8 +189,8 @@ class Codec:
         open_ = [True] * (n + 1)
         at, token = 0, longest[0]
         while at < n:
-            while token >= 0 and not (open_[at + length[token]] and (not out or self.compatible[out[-1], token])):
-                token = self.shorter[token]
+            while token >= 0 and not (open_[at + length[token]] and (not out or compatible[out[-1], token])):
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += length[token]
@@ -198,12 +199,21 @@ class Codec:
                 open_[at] = False
                 last = out.pop()
                 at -= length[last]
-                token = self.shorter[last]
+                token = shorter[last]
         return pack(f"<{len(out)}I", *out)
 
     def _run(self, chunk: str) -> bytes:
         return b"".join(map(self.pre_token.__getitem__, self.split.findall(chunk)))
 
+    def _after_space(self, part: str) -> bytes:
+        """A blank and what follows it up to the next blank; plain words, which are one pre-token, don't need the pattern."""
+        if part.isalpha() and max(part) < "\u0100":
+            return self._pre_token(" " + part)
+        word, last = part[:-1], part[-1:]
+        if word.isalpha() and max(word) < "\u0100" and last.isascii() and last.isprintable() and not last.isalnum():
+            return self.after_space[word] + self.pre_token[last]
+        return self._run(" " + part)
+
     #: A blank before other white space: only then do the splits on its two sides depend on each other.
     _TANGLED = re.compile(r" (?:[\s\x1c-\x1f\x85᠎​﻿]|$)")
 
@@ -245,7 +255,7 @@ class Codec:
 
     def forget(self) -> None:
         """Empties the caches."""
-        for cache in (self.shorter, self.compatible, self.pre_token, self.after_space, self.at_start):
+        for cache in (self.shorter, self.compatible, self.left_edge, self.right_edge, self.pre_token, self.after_space, self.at_start):
             cache.clear()
 
 
