@@ -79,15 +79,20 @@ class _Ragged:
 
 def forward(model: Model, r: _Ragged) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scaled forward probabilities, the scale of each step, and the emissions, step by step."""
-    emission = model.emit.T[r.classes]
+    emission = np.ascontiguousarray(model.emit.T)[r.classes]
     alpha = np.empty_like(emission)
     scale = np.empty(len(r.classes))
+    cut, ones = r.cut.tolist(), np.ones(len(model.first))
     for t in range(r.steps):
-        a, b = r.cut[t], r.cut[t + 1]
-        x = model.first * emission[a:b] if t == 0 else (alpha[last : last + b - a] @ model.move) * emission[a:b]
-        c = x.sum(axis=1)
-        scale[a:b] = c
-        np.divide(x, c[:, None], out=alpha[a:b])
+        a, b = cut[t], cut[t + 1]
+        x, c = alpha[a:b], scale[a:b]
+        if t:
+            np.matmul(alpha[last : last + b - a], model.move, out=x)
+            x *= emission[a:b]
+        else:
+            np.multiply(model.first, emission[a:b], out=x)
+        np.matmul(x, ones, out=c)
+        x /= c[:, None]
         last = a
     return alpha, scale, emission
 
@@ -106,17 +111,15 @@ def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray) -> M
     r = _Ragged(classes, lengths)
     alpha, scale, emission = forward(model, r)
     states, n_classes = model.emit.shape
-    move = np.zeros((states, states))
-    ahead = None
-    for t in range(r.steps - 1, -1, -1):
-        a, b = r.cut[t], r.cut[t + 1]
-        beta = np.ones((b - a, states))
-        if ahead is not None:
-            n = len(ahead)
-            move += alpha[a : a + n].T @ ahead
-            beta[:n] = ahead @ model.move.T
-        ahead = emission[a:b] * beta / scale[a:b, None]
-        alpha[a:b] *= beta  # from here on the probability of each state
+    move, back, cut = np.zeros((states, states)), np.ascontiguousarray(model.move.T), r.cut.tolist()
+    emission /= scale[:, None]
+    for t in range(r.steps - 2, -1, -1):
+        a, b, end = cut[t : t + 3]
+        n, ahead = end - b, emission[b:end]  # times the backward probabilities, which are 1 at a sequence's last token
+        move += alpha[a : a + n].T @ ahead
+        beta = ahead @ back
+        emission[a : a + n] *= beta
+        alpha[a : a + n] *= beta  # from here on the probability of each state
     emit = np.stack([np.bincount(r.classes, alpha[:, s], n_classes) for s in range(states)])
     return Model(alpha[: r.running[0]].sum(axis=0) if r.steps else np.zeros(states), model.move * move, emit)
 
