@@ -53,17 +53,21 @@ def classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return np.array(start, np.int64), differ, differ + 1 + room, room
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the set and 64-bit key of each of its parts, such that different linked sets have a key in common.
+def signatures(doc: np.ndarray, h: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the set and 64-bit key of each of its parts, such that different linked sets have a key in common, and
+    with how many of its keys, at least, a set meets others if it has a link.
 
     ``doc`` and ``h`` are the sets' tokens in order.  Parts are ranges of the hash; a set has those of its own class and,
     if a set of the next class can link with it, of that one.  Empty parts have no key.  A set with so many of them that
     only empty parts might be shared adds its lowest tokens as keys: by them it meets other such sets.
+
+    A token that only one of two linked sets has changes one part.  So a set shares all its parts but as many as it can
+    differ in from the largest set that it may link with, and those among them that have tokens have keys.
     """
     start, differ, parts, room = classes(percent)
     size = np.bincount(doc, minlength=n)
     level = np.searchsorted(start, size, side="right") - 1
-    sparse, owners, keys = np.zeros(n, bool), [], []
+    sparse, owners, keys, least = np.zeros(n, bool), [], [], np.full(n, np.iinfo(np.int64).max)
     for step in (0, 1):
         c = level + step
         takes_part = (size > 0) & (differ[c] > 0) & ((step == 0) | (100 * size >= percent * start[c]))
@@ -78,17 +82,20 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: int, percent: int) -> tuple[np
         tokens = np.add.reduceat(mixed(x + np.uint64(0x243F6A8885A308D3)), first)
         keys.append(mixed(mixed(tokens) + part[first] * np.uint64(0x9E3779B97F4A7C15) + mixed(c[d[first]].astype(np.uint64) + np.uint64(1))))
         owners.append(d[first])
-        sparse |= takes_part & (parts[c] - np.bincount(d[first], minlength=n) > room[c])
+        used = np.bincount(d[first], minlength=n)
+        sparse |= takes_part & (parts[c] - used > room[c])
+        most = (size + np.minimum(100 * size // percent, start[c + 1] - 1)) * (100 - percent) // (100 + percent)
+        least = np.where(takes_part, np.minimum(least, np.maximum(used - most, 1)), least)
     if sparse.any():
         place = np.arange(len(doc)) - np.searchsorted(doc, np.arange(n))[doc]
         lowest = sparse[doc] & (place < (size - (percent * size + 99) // 100 + 1)[doc])
         owners.append(doc[lowest])
         keys.append(mixed(h[lowest] ^ np.uint64(0x13198A2E03707344)))
     if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), least
     owner, key = np.concatenate(owners), np.concatenate(keys)
     order = np.argsort(owner, kind="stable")
-    return owner[order], key[order]
+    return owner[order], key[order], least
 
 
 def set_digests(doc: np.ndarray, h: np.ndarray, n: int) -> list[bytes]:
@@ -98,22 +105,38 @@ def set_digests(doc: np.ndarray, h: np.ndarray, n: int) -> list[bytes]:
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """row (unique), id, print (hash of the text), node (digest of the set), n (its size), keys."""
+    """row (unique), id, print (hash of the text), node (digest of the set), n (its size), keys, least (keys that a link needs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(2))
             for a, b in pieces(texts):
                 doc, h = shingle_sets(texts[a:b], size)
-                owner, key = signatures(doc, h, b - a, percent)
+                owner, key, least = signatures(doc, h, b - a, percent)
                 cut = pa.array(np.searchsorted(owner, np.arange(b - a + 1)), pa.int32())
                 lists = pa.ListArray.from_arrays(cut, pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(set_digests(doc, h, b - a), pa.binary()), pa.array(np.bincount(doc, minlength=b - a), pa.int64()), lists], names=["id", "print", "node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(set_digests(doc, h, b - a), pa.binary()), pa.array(np.bincount(doc, minlength=b - a), pa.int64()), lists, pa.array(least)], names=["id", "print", "node", "n", "keys", "least"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("print"), text.alias("text"))
-    return source.mapInArrow(tidied(run), f"id {id_type}, print bigint, node binary, n bigint, keys array<bigint>").withColumn("row", F.monotonically_increasing_id())
+    return source.mapInArrow(tidied(run), f"id {id_type}, print bigint, node binary, n bigint, keys array<bigint>, least bigint").withColumn("row", F.monotonically_increasing_id())
+
+
+def _in_common(read: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """For the given rows of ``read`` (row, keys) the number of keys that others of them have too: row, ``by``, parts.
+
+    A few ranges of keys are taken one after the other, so that disk holds one of them.  ``by`` may name the lead, the
+    smallest row that has a key.
+    """
+    found = []
+    for part in range(KEY_PARTS):
+        own = F.filter("keys", lambda k: F.pmod(k, F.lit(KEY_PARTS)) == part)  # noqa: B023
+        entries = read.select("row", own.alias("keys")).join(rows.hint("shuffle_merge"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
+        buckets = entries.groupBy("key").agg(F.min("row").alias("lead"), F.max("row").alias("last")).where("lead < last").drop("last")
+        found.append(stored(entries.join(buckets.hint("shuffle_merge"), "key").groupBy("row", *by).agg(F.count("*").alias("parts"))))
+        free_shuffles(read.sparkSession)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, chosen: DataFrame) -> DataFrame:
@@ -327,7 +350,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one shingle of all of them.  Exact but for collisions of 64-bit shingle hashes.
 
     Scale: equal sets are one node, by a grouping that combines before it shuffles.  Keys of parts are about a third of
-    the tokens; texts don't travel (unless more than 4 million of them have parts in common, see :class:`Wanted`), only
+    the tokens; sets that share fewer of them with others than a link takes are left out before anything else is done; texts don't travel (unless more than 4 million of them have parts in common, see :class:`Wanted`), only
     the sets of nodes with parts in common do.  A family of near copies, however large, is dealt to groups of about
     ``GROUP_SETS``; each level leaves one set of each component that groups have made, so that the levels' work shrinks
     by that factor.  Sets that share parts and never link meet through their rarest tokens only.  No cap: what levels
@@ -341,21 +364,20 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     bound_batches(spark)
     read = stored(_read(docs, id_col, text_col, size, percent))
-    members = stored(read.select("row", "id", "print", "node", "n"))
-    nodes = stored(members.groupBy("node").agg(F.min("id").alias("smallest"), F.min(F.struct("row", "id", "print", "n")).alias("first")).select("node", "smallest", "first.*"))
-
-    # sets that have a part in common with another one, and the smallest set that has it (its lead); a few ranges of keys
-    # after the other, so that disk holds one of them
-    parts = []
-    for part in range(KEY_PARTS):
-        own = F.filter("keys", lambda k: F.pmod(k, F.lit(KEY_PARTS)) == part)  # noqa: B023
-        entries = read.select("row", own.alias("keys")).join(nodes.where("n > 0").select("row").hint("shuffle_merge"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
-        buckets = entries.groupBy("key").agg(F.min("row").alias("lead"), F.max("row").alias("last")).where("lead < last").drop("last")
-        parts.append(stored(entries.join(buckets.hint("shuffle_merge"), "key").groupBy("row", "lead").agg(F.count("*").alias("parts"))))
-        free_shuffles(spark)
+    members = stored(read.select("row", "id", "print", "node", "n", "least"))
+    nodes = stored(members.groupBy("node").agg(F.min("id").alias("smallest"), F.min(F.struct("row", "id", "print", "n", "least")).alias("first")).select("node", "smallest", "first.*"))
+    members = members.drop("least")
+
+    # sets that have as many parts in common with others as a link takes, so that a few parts that many texts have by
+    # chance don't count
+    meets = _in_common(read, nodes.where("n > 0").select("row"), []).groupBy("row").agg(F.sum("parts").alias("parts"))
+    rows = stored(nodes.select("row", "least").join(meets.hint("shuffle_merge"), "row").where("parts >= least").select("row"))
+    wanted = Wanted(read.select("row", "keys", F.xxhash64("row").alias("h")), "h", rows.select(F.xxhash64("row")))
+    kept = stored(wanted.rows.mapInArrow(tidied(lambda batches: map(wanted.keep, batches)), wanted.rows.schema).select("row", "keys"))
     discard(read)
-    shared = reduce(DataFrame.unionByName, parts).groupBy("row", "lead").agg(F.sum("parts").alias("parts"))
-    shared = stored(shared)
+    # the smallest set that has a part (its lead)
+    shared = stored(_in_common(kept, rows, ["lead"]).groupBy("row", "lead").agg(F.sum("parts").alias("parts")))
+    discard(kept)
 
     # groups of the sets that share most of their parts with the same lead, and what is linked inside them
     leads = shared.groupBy("row").agg(F.max_by("lead", F.struct("parts", -F.col("lead"))).alias("lead"))

@@ -110,7 +110,40 @@ def test_linked_sets_have_a_key_in_common(percent):
             if not (swap or extra) or 100 * common < percent * (len(a) + len(b) - common):
                 continue
             doc = np.repeat([0, 1], [len(a), len(b)])
-            owner, key = tg.signatures(doc, np.concatenate([np.sort(a), np.sort(b)]), 2, percent)
+            owner, key, *_ = tg.signatures(doc, np.concatenate([np.sort(a), np.sort(b)]), 2, percent)
             assert set(key[owner == 0]) & set(key[owner == 1])
             pairs += 1
     assert pairs > 80
+
+
+@pytest.mark.parametrize("percent", [75, 85, 95])
+def test_linked_sets_share_as_many_keys_as_a_link_takes(percent):
+    """At the threshold, whatever the sizes; and larger sets that link need more than one key."""
+    rng = np.random.default_rng(percent)
+    pairs, most = 0, 0
+    for n in [*range(1, 60), *range(60, 400, 7), 1000, 5000]:
+        for extra in {0, int(n * (100 - percent) / percent / 2), int(n * (100 - percent) / percent)}:
+            swap = max(0, (2 * n + extra) * (100 - percent) // (100 + percent) - extra) // 2
+            a = rng.integers(0, 2**64, n, np.uint64)
+            b = np.concatenate([a[swap:], rng.integers(0, 2**64, swap + extra, np.uint64)])
+            if not (swap or extra) or 100 * (n - swap) < percent * (n + swap + extra):
+                continue
+            doc = np.repeat([0, 1], [len(a), len(b)])
+            owner, key, least = tg.signatures(doc, np.concatenate([np.sort(a), np.sort(b)]), 2, percent)
+            assert len(set(key[owner == 0]) & set(key[owner == 1])) >= least.max() >= 1
+            pairs, most = pairs + 1, max(most, least.max())
+    assert pairs > 80 and most > 5
+
+
+def test_sets_with_few_parts_in_common_are_left_out(spark, monkeypatch):
+    """A passage that texts share, but too little for a link, brings none of them into the groups."""
+    seen = []
+    monkeypatch.setattr(tg, "_sets", lambda *a, f=tg._sets: seen.append(a[-1].count()) or f(*a))
+    rnd = random.Random(2)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage = words(60)
+    twin = words(300)
+    texts = [words(170) + passage + words(170) for _ in range(100)] + [twin, edited(rnd, twin, 0.01)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, tg.similar_sets(spark.createDataFrame(rows, SCHEMA)).collect()), key=str) == brute(rows)
+    assert 2 <= seen[0] < 10
