@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .texts import bound_batches, tidied
 
-#: Entries that a worker's caches of chunks, of pre-tokens and of tokens' edges hold at most; a full cache starts anew (results don't
-#: depend on it).
-CACHE_ENTRIES, PRE_TOKENS, EDGES = 150_000, 80_000, 20_000
+#: Entries that a worker's caches of words, of pairs of tokens, of pre-tokens and of tokens' edges hold at most; a full cache starts
+#: anew (results don't depend on it).
+WORDS, CACHE_ENTRIES, PRE_TOKENS, EDGES = 400_000, 150_000, 80_000, 20_000
 
 #: How a byte-level vocabulary writes bytes as printable characters, and how it splits texts.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -41,8 +41,8 @@ LATER_LETTERS = (
     "1DFCD-1DFFF, 1E6C0-1E6DE, 1E6E0-1E6E2, 1E6E4-1E6E5, 1E6E7-1E6ED, 1E6F0-1E6F4, 1E6FE-1E6FF, 2B73A-2B73F, 2B81E, 2CEA2-2CEAD, 323B0-33479, 3D000-3FC3F"
 )
 LATER_NUMBERS = "11DE0-11DE9, 1246F, 12475-1247F, 12550-12686, 16FF4-16FF6"
-#: Longest chunk of text that a worker's caches keep.
-CACHE_LENGTH = 256
+#: Longest chunk of text that a worker's caches keep, and longest word (longer ones hardly come twice).
+CACHE_LENGTH, WORD_LENGTH = 256, 64
 
 
 def later_class(ranges: str = f"{LATER_LETTERS}, {LATER_NUMBERS}") -> str:
@@ -67,12 +67,12 @@ def byte_letters() -> list[str]:
 class _Cache(dict):
     """A dictionary that computes what it lacks and starts anew when it is full; long texts aren't kept."""
 
-    def __init__(self, compute, limit: int = CACHE_ENTRIES):
+    def __init__(self, compute, limit: int = CACHE_ENTRIES, longest: int = CACHE_LENGTH):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.longest = compute, limit, longest
 
     def __missing__(self, key):
-        if isinstance(key, str) and len(key) > CACHE_LENGTH:
+        if isinstance(key, str) and len(key) > self.longest:
             return self.compute(key)
         if len(self) >= self.limit:
             self.clear()
@@ -129,7 +129,7 @@ class Codec:
         self.compatible = _Cache(self._compatible)
         self.pre_token = _Cache(self._pre_token, PRE_TOKENS)
         self.left_edge, self.right_edge = (_Cache(lambda token, side=side: self._edge(token, side), EDGES) for side in (0, 1))
-        self.after_space = _Cache(self._after_space)
+        self.after_space = _Cache(self._after_space, WORDS, WORD_LENGTH)
         self.at_start = _Cache(self._run, 20_000)
 
     # the two tables -----------------------------------------------------------------------------------------------

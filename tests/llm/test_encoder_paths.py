@@ -26,6 +26,19 @@ def test_plain_words_need_no_pattern(codec):
     assert not {" word", " words,", " Straße", " déjà.", " x'"} & set(asked)
 
 
+def test_words_of_a_large_vocabulary_are_encoded_once(codec):
+    codec.forget()
+    cache, asked = codec.after_space, []
+    compute, cache.compute = cache.compute, lambda part: asked.append(part) or b""
+    text = " " + " ".join(f"w{i}" for i in range(200_000))
+    codec.encode(text + text)
+    assert len(asked) == 200_000
+    codec.encode(2 * (" " + "x" * (bpe.WORD_LENGTH + 1)))
+    assert len(asked) == 200_002 and max(map(len, cache)) <= bpe.WORD_LENGTH
+    cache.compute = compute
+    codec.forget()
+
+
 def test_expected_counts_against_all_paths():
     rng = np.random.default_rng(2)
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
